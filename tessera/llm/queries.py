@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hyperminhash, line_dedup
+import public_tokenizers
+
+from tessera.llm import content_chunks, decontaminate, hyperminhash, line_dedup, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +27,30 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(path: str | None = None) -> str:
+    """A vocabulary file's content; the public word vocabulary by default."""
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op6_hyperminhash": op6_hyperminhash,
+    "op9_content_chunks": op9_content_chunks,
+    "op10_trie_bpe": op10_trie_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
