@@ -1,8 +1,10 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the bytes decides where chunks end, from the last 32 bytes alone, so that an
-insertion moves the chunks around it but not those further on. Chunks are counted by digest over all
-documents; runs of chunks that other documents hold too are repeated passages.
+insertion moves the chunks around it but not those further on. A chunk of a few words recurs by
+chance, so what is counted over all documents is the digest of the shortest run of chunks from each
+chunk on that has ``WINDOW_WORDS`` words; overlapping runs that other documents hold too make up
+repeated passages.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes of a chunk on average and at most, and words from which a run of repeated chunks counts.
-MEAN_BYTES, MOST_BYTES, LEAST_WORDS = 32, 1024, 20
-REACH = 32
+#: Bytes of a chunk on average and at most, words of a run whose digest is counted, and of a passage at least.
+MEAN_BYTES, MOST_BYTES, WINDOW_WORDS, LEAST_WORDS = 32, 1024, 16, 24
+_P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def gear_table() -> np.ndarray:
@@ -46,18 +48,36 @@ def cut_points(data: np.ndarray, table: np.ndarray, mean: int = MEAN_BYTES, most
     return ends
 
 
-def chunks(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES) -> DataFrame:
-    """``docs(doc, text)`` -> ``(doc, k, start, end, words, d1, d2)``: chunk k of the UTF-8 bytes, words begun in it, digest."""
+def run_digests(digests: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Digest of chunks lo[i] to hi[i] (exclusive) from the chunks' 2 x 64-bit digests, by prefix sums of powers."""
+    out = np.empty((len(lo), 2), np.uint64)
+    with np.errstate(over="ignore"):
+        for lane, p in enumerate(_P):
+            up = np.full(len(digests) + 1, p, np.uint64)
+            up[0] = 1
+            down = np.full(len(digests) + 1, pow(p, -1, 1 << 64), np.uint64)
+            down[0] = 1
+            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests[:, lane] * up[:-1], dtype=np.uint64)])
+            out[:, lane] = (total[hi] - total[lo]) * down[lo]
+    return out
+
+
+def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES, words: int = WINDOW_WORDS) -> DataFrame:
+    """``docs(doc, text)`` -> ``(doc, k, start, end, word, word_end, d1, d2)``.
+
+    A row for each chunk k from which a run of chunks with ``words`` words goes on: the run's bytes, its
+    first and last word's numbers, its digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table()
         blank = np.zeros(256, bool)
         blank[[9, 10, 11, 12, 13, 32]] = True
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                cols: list[list] = [[] for _ in range(6)]
-                digests: list[bytes] = []
-                part = b.slice(lo, 64)
+            for at in range(0, b.num_rows, 64):
+                cols: list[tuple] = []
+                part = b.slice(at, 64)
                 for doc, t in zip(part["doc"].to_pylist(), part["text"], strict=True):
                     raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                     data = np.frombuffer(raw, np.uint8)
@@ -68,32 +88,39 @@ def chunks(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES) -> D
                     gap = blank[data]
                     begins = ~gap
                     begins[1:] &= gap[:-1]
-                    digests += [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    for c, v in zip(cols, (np.full(len(ends), doc), np.arange(len(ends)), starts, ends, np.add.reduceat(begins, starts)), strict=False):
-                        c.append(v)
-                if digests:
-                    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    doc, k, s, e, w = (np.concatenate(c) for c in cols[:5])
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (k, s, e, w)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc", "k", "start", "end", "words", "d1", "d2"])
+                    before = np.concatenate([[0], np.cumsum(np.add.reduceat(begins, starts, dtype=np.int64))])
+                    hi = np.searchsorted(before, before[:-1] + words)
+                    lo = np.flatnonzero(hi <= len(ends))
+                    if not len(lo):
+                        continue
+                    hi = hi[lo]
+                    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+                    d = run_digests(digests, lo, hi).view(np.int64)
+                    cols.append((np.full(len(lo), doc, np.int64), lo, starts[lo], ends[hi - 1], before[lo], before[hi], d[:, 0], d[:, 1]))
+                if cols:
+                    merged = [np.concatenate(c) for c in zip(*cols, strict=True)]
+                    types = [np.int64, *[np.int32] * 5, np.int64, np.int64]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(merged, types, strict=True)], ["doc", "k", "start", "end", "word", "word_end", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc long, k int, start int, end int, words int, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc long, k int, start int, end int, word int, word_end int, d1 long, d2 long")
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN_BYTES, most: int = MOST_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, start, end, n_chunks, n_words, n_docs, first_doc)``: passages that other documents hold too.
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN_BYTES, most: int = MOST_BYTES, window_words: int = WINDOW_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, start, end, n_runs, n_words, n_docs, first_doc)``: passages that other documents hold too.
 
-    start and end are byte offsets in the UTF-8 text. A passage is a maximal run of chunks each found
-    in two documents or more, of ``least_words`` words at least; it lies inside the true repeated
-    passage and falls short of it by part of a chunk at either end. n_docs is the largest number of
-    documents that share one of its chunks, first_doc the smallest id that holds the first one:
+    start and end are byte offsets in the UTF-8 text. A passage is the union of consecutive runs each
+    found in two documents or more, of ``least_words`` words at least; it lies inside the true repeated
+    passage and falls short of it by 32 bytes and part of a chunk at either end. n_docs is the largest
+    number of occurrences of one of its runs, first_doc the smallest id that holds the first one:
     where that is another document, this copy is redundant. Null and empty texts have no chunks;
     rows with a null id are left out; repeated rows of one id count as one document.
     """
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    each = chunks(base, mean, most)
+    each = chunk_runs(base, mean, most, window_words)
     held = each.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n_docs")).where("low < high").select("d1", "d2", "low", "n_docs")
-    hits = each.join(held, ["d1", "d2"]).select("doc", "k", "start", "end", "words", "low", "n_docs")
+    hits = each.join(held, ["d1", "d2"]).select("doc", "k", "start", "end", "word", "word_end", "low", "n_docs")
     order = W.partitionBy("doc").orderBy("k", "start")
-    hits = hits.dropDuplicates(["doc", "k", "start", "end"]).withColumn("run", F.col("k") - F.dense_rank().over(order))
-    runs = hits.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.max("n_docs").alias("n_docs"), F.min_by("low", "k").alias("first_doc"))
-    return runs.where(F.col("n_words") >= least_words).select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_chunks", "n_words", "n_docs", "first_doc")
+    hits = hits.dropDuplicates(["doc", "k", "start", "end"]).withColumn("gap", F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(0)))
+    hits = hits.withColumn("run", F.sum("gap").over(order))
+    runs = hits.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_runs"), (F.max("word_end") - F.min("word")).alias("n_words"), F.max("n_docs").alias("n_docs"), F.min_by("low", "k").alias("first_doc"))
+    return runs.where(F.col("n_words") >= least_words).select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs", F.col("n_words").cast("long").alias("n_words"), "n_docs", "first_doc")
