@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import content_chunks, decontaminate, hyperminhash, line_dedup, toxicity, trie_bpe
+from tessera.llm import chat, content_chunks, decontaminate, hyperminhash, licenses, line_dedup, secrets, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,8 +65,11 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op3_chat_rotation": op3_chat_rotation,
     "op4_toxicity": op4_toxicity,
+    "op5_secrets": op5_secrets,
     "op6_hyperminhash": op6_hyperminhash,
+    "op8_licenses": op8_licenses,
     "op9_content_chunks": op9_content_chunks,
     "op10_trie_bpe": op10_trie_bpe,
 }
