@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import chat, content_chunks, decontaminate, hyperminhash, licenses, line_dedup, secrets, toxicity, trie_bpe
+from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hyperminhash, licenses, line_dedup, secrets, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op7_additive_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantizer.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_hyperminhash": op6_hyperminhash,
+    "op7_additive_quantization": op7_additive_quantization,
     "op8_licenses": op8_licenses,
     "op9_content_chunks": op9_content_chunks,
     "op10_trie_bpe": op10_trie_bpe,
