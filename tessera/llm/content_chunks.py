@@ -64,10 +64,11 @@ def run_digests(digests: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
 
 
 def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES, words: int = WINDOW_WORDS) -> DataFrame:
-    """``docs(doc, text)`` -> ``(doc, k, start, end, word, word_end, d1, d2)``.
+    """``docs(doc, text)`` -> ``(doc, at, words, d1, d2)``.
 
-    A row for each chunk k from which a run of chunks with ``words`` words goes on: the run's bytes, its
-    first and last word's numbers, its digest.
+    A row for each chunk from which a run of chunks with ``words`` words goes on. To keep the shuffled
+    rows short, at holds the run's bytes as start << 32 | end, words the numbers of its first word and
+    of the word after it likewise; d1 and d2 are 96 bits of its digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +97,13 @@ def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES,
                     hi = hi[lo]
                     digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
                     d = run_digests(digests, lo, hi).view(np.int64)
-                    cols.append((np.full(len(lo), doc, np.int64), lo, starts[lo], ends[hi - 1], before[lo], before[hi], d[:, 0], d[:, 1]))
+                    cols.append((np.full(len(lo), doc, np.int64), starts[lo] << 32 | ends[hi - 1], before[lo] << 32 | before[hi], d[:, 0], d[:, 1] >> 32))
                 if cols:
                     merged = [np.concatenate(c) for c in zip(*cols, strict=True)]
-                    types = [np.int64, *[np.int32] * 5, np.int64, np.int64]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(merged, types, strict=True)], ["doc", "k", "start", "end", "word", "word_end", "d1", "d2"])
+                    merged[4] = merged[4].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], ["doc", "at", "words", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc long, k int, start int, end int, word int, word_end int, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc long, at long, words long, d1 long, d2 int")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN_BYTES, most: int = MOST_BYTES, window_words: int = WINDOW_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -117,10 +118,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     each = chunk_runs(base, mean, most, window_words)
-    held = each.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n_docs")).where("low < high").select("d1", "d2", "low", "n_docs")
-    hits = each.join(held, ["d1", "d2"]).select("doc", "k", "start", "end", "word", "word_end", "low", "n_docs")
-    order = W.partitionBy("doc").orderBy("k", "start")
-    hits = hits.dropDuplicates(["doc", "k", "start", "end"]).withColumn("gap", F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(0)))
+    held = each.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n_docs")).where("low < high")
+    # a join key of its own has an exchange of its own on both sides, which the skew-join rule can split
+    key = F.col("d1").bitwiseXOR(F.lit(1)).alias("key")
+    hits = each.select(key, "d2", "doc", "at", "words").join(held.select(key, "d2", "low", "n_docs"), ["key", "d2"])
+    half = lambda c, n: F.shiftright(c, 32) if n else F.col(c).bitwiseAND((1 << 32) - 1)
+    hits = hits.select("doc", half("at", 1).alias("start"), half("at", 0).alias("end"), half("words", 1).alias("word"), half("words", 0).alias("word_end"), "low", "n_docs").dropDuplicates(["doc", "start", "end"])
+    order = W.partitionBy("doc").orderBy("start", "end")
+    hits = hits.withColumn("gap", F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(0)))
     hits = hits.withColumn("run", F.sum("gap").over(order))
-    runs = hits.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_runs"), (F.max("word_end") - F.min("word")).alias("n_words"), F.max("n_docs").alias("n_docs"), F.min_by("low", "k").alias("first_doc"))
+    runs = hits.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_runs"), (F.max("word_end") - F.min("word")).alias("n_words"), F.max("n_docs").alias("n_docs"), F.min_by("low", "start").alias("first_doc"))
     return runs.where(F.col("n_words") >= least_words).select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs", F.col("n_words").cast("long").alias("n_words"), "n_docs", "first_doc")
