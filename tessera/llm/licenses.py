@@ -59,14 +59,16 @@ TEMPLATES = {
 }
 
 
-def words_of(text: Column) -> Column:
-    """Words: runs of letters and digits, with dots and dashes inside; A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+def word_lines(text: Column) -> Column:
+    """Hashes of the words of each line: runs of letters and digits, dots and dashes inside, A-Z lower-cased."""
+    words = lambda line: F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+    lines = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "\n", -1)
+    return F.transform(lines, lambda line: F.transform(words(line), lambda w: F.xxhash64(w)))
 
 
 def shingles_of(words: Column) -> Column:
-    """Hashes of all runs of SHINGLE words; a shorter non-empty window is one shingle."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+    """Hashes of all runs of SHINGLE words; a shorter non-empty window is one shingle. ``words`` is a column or variable."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
     return F.when(F.size(words) > 0, runs).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
@@ -79,22 +81,23 @@ def bands_of(shingles: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(seed), F.array_min(F.transform(shingles, _under(seed)))) for seed in SEEDS])
 
 
-def windows_of(text: Column) -> Column:
-    """Overlapping windows as arrays of words: each line, and WINDOW words every STEP of texts with more lines.
+def windows(rows: DataFrame, text: str) -> DataFrame:
+    """rows with ``words``: a row for each overlapping window.
 
-    A line of more than WINDOW words is left to the windows of words.
+    Windows are the lines of up to WINDOW words, and WINDOW words every STEP across lines.
     """
-    body = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.transform(F.split(body, "\n", -1), words_of), lambda w: (F.size(w) > 0) & (F.size(w) <= WINDOW))
-    words = words_of(body)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STEP)), lambda i: F.slice(words, i, WINDOW))
-    return F.concat(lines, F.filter(runs, lambda w: F.size(w) > 0))
+    own = [c for c in rows.columns if c != text]
+    lined = rows.select(*own, word_lines(F.col(text)).alias("lines")).select(*own, "lines", F.flatten("lines").alias("all"))
+    short = F.filter("lines", lambda w: (F.size(w) > 0) & (F.size(w) <= WINDOW))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(STEP)), lambda i: F.slice("all", i, WINDOW))
+    return lined.select(*own, F.explode(F.concat(short, F.filter(runs, lambda w: F.size(w) > 0))).alias("words"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``(license, shingles)``: a row a template, its distinct shingles."""
     t = spark.createDataFrame(sorted(templates.items()), "license string, body string")
-    return t.select("license", "body", F.array_distinct(shingles_of(words_of(F.col("body")))).alias("shingles"))
+    t = t.select("license", "body", F.flatten(word_lines(F.col("body"))).alias("all"))
+    return t.select("license", "body", F.array_distinct(shingles_of(F.col("all"))).alias("shingles"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
@@ -107,11 +110,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     fixed size and goes to every task.
     """
     known = template_table(docs.sparkSession, templates)
-    parts = known.select("license", F.explode(F.transform(windows_of(F.col("body")), shingles_of)).alias("s"))
-    bands = F.broadcast(parts.select("license", F.explode(bands_of(F.col("s"))).alias("band")).distinct())
-    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(windows_of(F.col(text))).alias("words"))
-    hashed = base.select("doc_id", shingles_of(F.col("words")).alias("s"))
-    asked = hashed.select("doc_id", "s", F.explode(bands_of(F.col("s"))).alias("band"))
+    hashed = lambda rows, key: windows(rows, "body").select(key, shingles_of(F.col("words")).alias("s"))
+    bands = F.broadcast(hashed(known.select("license", "body"), "license").select("license", F.explode(bands_of(F.col("s"))).alias("band")).distinct())
+    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
+    asked = hashed(base, "doc_id").select("doc_id", "s", F.explode(bands_of(F.col("s"))).alias("band"))
     hits = asked.join(bands, "band").select("doc_id", "license", "s")
     exact = hits.join(F.broadcast(known.select("license", "shingles")), "license")
     shared = exact.select("doc_id", "license", F.size("shingles").alias("n_shingles"), F.explode(F.array_intersect("s", "shingles")).alias("h"))
