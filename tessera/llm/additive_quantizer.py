@@ -30,6 +30,7 @@ def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps: int = 6, seed: int = 5) -> np.ndarray:
     """Codebooks books x words x dim: k-means on the residuals, then one least-squares fit of all codewords at once."""
+    words = min(words, len(x))
     rng, rest = np.random.default_rng(seed), x.astype(np.float32).copy()
     out = np.zeros((books, words, x.shape[1]), np.float32)
     for m in range(books):

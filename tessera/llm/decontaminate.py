@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm.base import Memo, windows64
 
 WINDOW, COVERAGE = 8, 0.6
+#: Tokens of an item at least; a shorter one recurs by chance and matches nothing.
+LEAST_TOKENS = 4
 #: Bytes of benchmark window hashes up to which every task gets them as a filter ahead of the join.
 FILTER_BYTES = 32 << 20
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th|e[+-]?\d+)?")
@@ -151,11 +153,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     A pair is returned if, over alignments whose slots are consistent, the share of the item's
     distinct windows found reaches ``coverage``. n_changed counts slots whose values differ: 0 for a
-    plain copy. Null and empty texts and items match nothing; repeated rows of an id count once;
+    plain copy. Null and empty texts and items match nothing, nor do items of fewer than
+    LEAST_TOKENS tokens; repeated rows of an id count once;
     rows with a null id are left out. Other columns play no part.
     """
     items = template_windows(benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("row"), F.col(item_text).alias("text")), window)
-    items = items.distinct()
+    items = items.where(F.col("n") >= LEAST_TOKENS).distinct()
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most `window` of them
     among = None
     if items.agg(F.count_distinct("h")).first()[0] * 8 <= FILTER_BYTES:

@@ -96,4 +96,24 @@ WITH split AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op3_chat_rotation": """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL
+), p AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), m AS (
+  SELECT conv_id, perspective, turn // 64 AS segment, turn, role, text, role = perspective AS own,
+    CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user name="' || replace(role, chr(34), chr(39)) || '"|>' || chr(10) END AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM t JOIN p USING (conv_id)
+), o AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment
+    ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM m
+)
+SELECT conv_id, perspective, segment, 0::BIGINT AS bucket, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_masked,
+  string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+  coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
+FROM o GROUP BY conv_id, perspective, segment""".replace("\\'", "'"),
 }

@@ -41,7 +41,7 @@ def test_copies_parameters_and_clean(spark):
 
 
 def test_short_items_and_empty_tables(spark):
-    assert set(found(spark, [(1, "way too short here"), (2, "too long")], [(5, "too short")])) == {(1, 5)}
+    assert set(found(spark, [(1, "so four little words here"), (2, "four little words")], [(5, "four little words here"), (6, "little words")])) == {(1, 5)}
     assert found(spark, [(1, "a")], [(5, None)]) == {}
     assert found(spark, [(1, None)]) == {}
 
