@@ -1,7 +1,9 @@
 import os
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # one task, one thread
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
