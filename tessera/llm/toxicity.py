@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 1. Lexicon voters hold words, pattern voters hold word beginnings; what they hold is mined from the
-   labelled rows that may be learnt from (associations counted over all of those rows). One more
+   labelled rows that may be learnt from, up to a bound. One more
    pattern voter looks for runs of marks. Each voter says toxic or keeps silent.
 2. The label model takes no labels. On the counts of all documents' vote patterns it fits a mixture of
    two classes by EM, which gives each voter's hit rates in both; correlations come from the pairs'
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.base import Memo, cut
 
-#: Labelled rows the classifier is fitted on at most, features kept at most, and voters of each kind.
-SAMPLE_ROWS, MOST_FEATURES, LEXICONS, PATTERNS = 20_000, 4_096, 6, 4
+#: Labelled rows that words are mined from at most, rows the regression is fitted on at most, features
+#: kept at most, and voters of each kind. All are bounds, not shares.
+LABELLED_ROWS, SAMPLE_ROWS, MOST_FEATURES, LEXICONS, PATTERNS = 60_000, 20_000, 4_096, 6, 4
 #: Toxic rows a feature needs (and 0.5 % of them), and log-odds from which it counts as toxic.
 LEAST_ROWS, LEAST_ODDS = 3, 2.5
 #: Log-likelihood ratio of a feature against no association, at least; 3 more for each tenfold of 35
@@ -184,16 +185,18 @@ def fit_linear(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, size: i
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, labelled_rows: int = LABELLED_ROWS) -> Model:
     """Train on the rows of docs that ``learnable`` allows; see the module's text.
 
-    Associations come from all labelled learnable rows, vote patterns from all learnable rows. The
+    Associations come from the ``labelled_rows`` labelled learnable ids with the smallest hashes, whose
+    labels, a table of bounded size, go to every task; vote patterns from all learnable rows. The
     regression takes the ``sample_rows`` learnable rows with the smallest hashes of their ids, half
     of them with some vote: a bound, not a share, so that the driver's memory does not grow.
     """
     own = docs.where(F.col(doc_id).isNotNull() & learnable(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    found = association(own.join(known, "_id"))
+    known = known.where(learnable("_id")).orderBy(F.xxhash64("_id"), "_id").limit(labelled_rows)
+    found = association(own.join(F.broadcast(known), "_id"))
     voters = assign_voters(found)
     size = LEXICONS + PATTERNS
     names = [f for f, *_ in found]
