@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut
+from tessera.llm.base import cut, shuffle_partitions
+
+#: Edges of a partition between steps, about; few edges then need few tasks and files.
+PART_EDGES = 20_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -14,7 +17,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
-    """``edges(a, b)`` of comparable ids -> ``(node, component)``, component the smallest id reachable.
+    """``edges(a, b)`` of integer ids -> ``(node, component)``, component the smallest id reachable.
 
     Nodes without an edge are absent; loops, nulls and repeated edges do no harm. Each step moves
     edges only; the driver sees two numbers a step. Minima are aggregated before the shuffle and
@@ -30,7 +33,7 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(small)
+        e = cut(small.coalesce(max(1, min(shuffle_partitions(edges.sparkSession), mark[0] // PART_EDGES))))
         now = _mark(e)
         if now == mark:
             break
