@@ -33,7 +33,7 @@ _OLD = re.compile("[^\x00-ͷ]")
 #: White space to Python's split() but not to the split pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Chunks a worker keeps encoded, and trie nodes of one walk.
-KEPT_WORDS, TRIE_NODES = 250_000, 100_000
+KEPT_WORDS, TRIE_NODES = 400_000, 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -55,8 +55,7 @@ class TrieEncoder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = Tokenizer.from_str(spec)
         self.byte = byte_symbols()
-        self.endings = {t[i:] for t in self.vocab for i in range(len(t))}
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        self.backwards = {"": self._reversed(""), self.end: self._reversed(self.end)}
         self.words: dict[str, tuple[str, str]] = {}
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
@@ -94,11 +93,20 @@ class TrieEncoder:
             known = self._follow[a, b] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
         return known
 
-    def whole(self, token: str) -> bool:
-        """Whether the symbols of a token merge to it; a vocabulary may hold tokens that no merges reach."""
-        if (known := self._follow.get(("", token))) is None:
-            known = self._follow["", token] = token in self.vocab and self.merged(self.symbols(token)) == [token]
-        return known
+    def _reversed(self, end: str) -> dict:
+        """A trie of the reversed tokens with or without the end marker; "" holds the token itself.
+
+        Tokens that no merges reach are left out.
+        """
+        top: dict = {}
+        for t in self.vocab:
+            body = t[: -len(end)] if end else t
+            if t.endswith(self.end) == bool(end) and body and self.merged(self.symbols(t)) == [t]:
+                node = top
+                for s in reversed(body):
+                    node = node.setdefault(s, {})
+                node[""] = t
+        return top
 
     def encode_words(self, words: list[str]) -> None:
         """Put words into a trie, walk it depth first, and store each word's encoding."""
@@ -109,51 +117,49 @@ class TrieEncoder:
                 node = node.setdefault(s, {})
             node[""] = w
         last = [""]  # the last token of each prefix of the path
-        path: list[str] = []
-        stack = [(0, "", trie)]
+        stack = [("", trie)]
         while stack:
-            depth, s, node = stack.pop()
-            del path[max(depth - 1, 0) :], last[max(depth, 1) :]
+            path, node = stack.pop()
+            depth = len(path)
+            del last[max(depth, 1) :]
             if depth:
-                path.append(s)
-                tail = "".join(path[-self.longest :])
-                if len(node) > ("" in node):  # someone goes on from here
-                    last.append(self._suffix(tail, last, ""))
-                else:
-                    last.append("")
-                if "" in node:
-                    self._keep(node[""], tail, last)
-            for k, child in node.items():
-                if k:
-                    stack.append((depth + 1, k, child))
-
-    def _suffix(self, tail: str, last: list[str], end: str) -> str:
-        """The last token of the path's encoding, longest candidates first.
-
-        ``tail`` is the path's end, as long as the longest token; last[d] is the last token of the
-        prefix of d symbols. Candidates are found backwards, as far as some token has such an ending.
+                word = node.pop("", None)
+                if word is not None:
+                    self._keep(word, path, last)
+                if node:  # someone goes on from here
+                    last.append(self._suffix(path, last, ""))
+            for s, child in node.items():
+                stack.append((path + s, child))
+
+    def _suffix(self, path: str, last: list[str], end: str) -> str:
+        """The last token of the encoding of path + end; last[d] is that of the prefix of d symbols.
+
+        Candidates are met backwards from the end, and the longest that may follow what stands before it wins.
         """
-        n, endings, found = len(tail), self.endings, []
-        before = len(last) - (end != "")
-        for size in range(1, n + 1):
-            token = tail[n - size :] + end
-            if token not in endings:
+        node, n, found, follow = self.backwards[end], len(path), [], self._follow
+        for i in range(n - 1, -1, -1):
+            node = node.get(path[i])
+            if node is None:
                 break
-            if token in self.vocab:
-                found.append((size, token))
-        for size, token in reversed(found):
-            if self.whole(token) and (before == size or self.follows(last[before - size], token)):
+            if "" in node:
+                found.append((i, node[""]))
+        for i, token in reversed(found):
+            if i == 0:
+                return token
+            pair = (last[i], token)
+            known = follow.get(pair)
+            if known or known is None and self.follows(*pair):
                 return token
-        raise ValueError(f"no token ends {tail!r}")
+        raise ValueError(f"no token ends {path!r}")
 
-    def _keep(self, word: str, tail: str, last: list[str]) -> None:
-        tokens, depth = [self._suffix(tail, last, self.end)], len(last) - 1
-        depth -= len(tokens[0]) - len(self.end)
+    def _keep(self, word: str, path: str, last: list[str]) -> None:
+        tokens = [self._suffix(path, last, self.end)]
+        depth = len(path) - len(tokens[0]) + len(self.end)
         while depth:
             tokens.append(last[depth])
             depth -= len(tokens[-1])
         tokens.reverse()
-        self.words[word] = (" ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens))
+        self.words[word] = (" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens))
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens: NFC, one space for white space, lower case, split pattern.
@@ -175,9 +181,6 @@ class TrieEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks not met before, all their new words in common tries, and keep the results."""
-        if len(self.ids) > KEPT_WORDS:
-            self.words, self.ids, self.tokens = {}, {}, {}
-            raise KeyError
         plain = {c: self.pieces(c) for c in chunks if c not in self.special}
         new = sorted({w for words in plain.values() for w in words} - self.words.keys())
         at = size = 0
@@ -193,13 +196,10 @@ class TrieEncoder:
     def encode(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """(ids, number of ids, tokens) of each text; ids and tokens joined by one space."""
         cut = [self.chunks(t or "") for t in texts]
-        for _ in range(2):
-            try:
-                if new := set().union(*cut) - self.ids.keys():
-                    self.learn(sorted(new))
-                break
-            except KeyError:  # the memory was full and is now empty
-                continue
+        now = set().union(*cut)
+        if len(self.ids) > KEPT_WORDS:
+            self.words, self.ids, self.tokens = {}, {}, {}
+        self.learn(sorted(now - self.ids.keys()))
         out = []
         for c in cut:
             ids = " ".join(map(self.ids.__getitem__, c))
