@@ -59,6 +59,7 @@ class TrieEncoder:
         self.words: dict[str, tuple[str, str]] = {}
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
+        self.again: set[str] = set()
         self._follow: dict[tuple[str, str], bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -193,12 +194,19 @@ class TrieEncoder:
             got = [self.words[w] for w in plain[c]] if c in plain else [(str(self.special[c]), c)]
             self.ids[c], self.tokens[c] = (" ".join(g[k] for g in got) for k in (0, 1))
 
+    def forget(self) -> None:
+        """Keep only what was met in two batches or more, if that is well under the limit, else nothing."""
+        keep = self.again if len(self.again) < KEPT_WORDS // 2 else set()
+        self.words, self.ids, self.tokens = ({c: v for c, v in x.items() if c in keep} for x in (self.words, self.ids, self.tokens))
+        self.again = set()
+
     def encode(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """(ids, number of ids, tokens) of each text; ids and tokens joined by one space."""
         cut = [self.chunks(t or "") for t in texts]
         now = set().union(*cut)
         if len(self.ids) > KEPT_WORDS:
-            self.words, self.ids, self.tokens = {}, {}, {}
+            self.forget()
+        self.again |= now & self.ids.keys()
         self.learn(sorted(now - self.ids.keys()))
         out = []
         for c in cut:
