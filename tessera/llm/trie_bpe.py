@@ -12,14 +12,17 @@ white space runs made one space.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ _OLD = re.compile("[^\x00-ͷ]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Chunks a worker keeps encoded, and trie nodes of one walk.
 KEPT_WORDS, TRIE_NODES = 400_000, 200_000
+#: Bytes of text encoded at a time, or one text, if longer.
+PART_BYTES = 2_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -43,6 +48,18 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """No cycle search meanwhile: tries have many nodes and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class TrieEncoder:
     """Encodes with one vocabulary; ``words``, ``ids`` and ``tokens`` keep the results of words and chunks met."""
 
@@ -64,11 +81,12 @@ class TrieEncoder:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols, for the pair test."""
+        rank = self.rank
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            pair = (symbols[best], symbols[best + 1])
-            if pair not in self.rank:
+            ranked = [(rank[p], p) for p in zip(symbols, symbols[1:], strict=False) if p in rank]
+            if not ranked:
                 break
+            pair = min(ranked)[1]
             out, i = [], 0
             while i < len(symbols):
                 if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
@@ -115,46 +133,64 @@ class TrieEncoder:
         for w in words:
             node = trie
             for s in "".join(map(self.byte.__getitem__, w.encode("utf-8"))):
-                node = node.setdefault(s, {})
+                below = node.get(s)
+                if below is None:
+                    below = node[s] = {}
+                node = below
             node[""] = w
-        last = [""]  # the last token of each prefix of the path
+        last: list[str | None] = [""]  # the last token of each prefix of the path; None until a word asks for it
         stack = [("", trie)]
         while stack:
             path, node = stack.pop()
-            depth = len(path)
-            del last[max(depth, 1) :]
-            if depth:
-                word = node.pop("", None)
-                if word is not None:
+            if depth := len(path):
+                del last[depth:]
+                last.append(None)
+                if (word := node.pop("", None)) is not None:
                     self._keep(word, path, last)
-                if node:  # someone goes on from here
-                    last.append(self._suffix(path, last, ""))
-            for s, child in node.items():
-                stack.append((path + s, child))
-
-    def _suffix(self, path: str, last: list[str], end: str) -> str:
-        """The last token of the encoding of path + end; last[d] is that of the prefix of d symbols.
+            for s, below in node.items():
+                stack.append((path + s, below))
 
-        Candidates are met backwards from the end, and the longest that may follow what stands before it wins.
-        """
-        node, n, found, follow = self.backwards[end], len(path), [], self._follow
+    def _ends(self, path: str, n: int, end: str) -> list[tuple[int, str]]:
+        """(start, token) of the tokens that path[:n] + end can end with, the longest at the end of the list."""
+        node, found = self.backwards[end], []
         for i in range(n - 1, -1, -1):
             node = node.get(path[i])
             if node is None:
                 break
             if "" in node:
                 found.append((i, node[""]))
-        for i, token in reversed(found):
-            if i == 0:
-                return token
-            pair = (last[i], token)
-            known = follow.get(pair)
-            if known or known is None and self.follows(*pair):
+        return found
+
+    def _propagate(self, path: str, last: list[str | None], end: str) -> str:
+        """The last token of the encoding of path + end; last[d] is that of the prefix of d symbols.
+
+        The longest candidate that may follow what stands before it wins. States of prefixes that are asked for
+        and not known yet are found first and stay in ``last`` for all words below.
+        """
+        follow, asked = self._follow, [(-1, self._ends(path, len(path), end))]
+        while True:
+            n, found = asked[-1]
+            if not found:
+                raise ValueError(f"no token ends {path!r}")
+            i, token = found[-1]
+            if i:
+                if (before := last[i]) is None:
+                    asked.append((i, self._ends(path, i, "")))
+                    continue
+                known = follow.get((before, token))
+                if known is None:
+                    known = self.follows(before, token)
+                if not known:
+                    found.pop()
+                    continue
+            if n < 0:
                 return token
-        raise ValueError(f"no token ends {path!r}")
+            last[n] = token
+            asked.pop()
 
-    def _keep(self, word: str, path: str, last: list[str]) -> None:
-        tokens = [self._suffix(path, last, self.end)]
+    def _keep(self, word: str, path: str, last: list[str | None]) -> None:
+        """Store the encoding of a word. The tokens before its last one are the states on its path, read backwards."""
+        tokens = [self._propagate(path, last, self.end)]
         depth = len(path) - len(tokens[0]) + len(self.end)
         while depth:
             tokens.append(last[depth])
@@ -202,23 +238,38 @@ class TrieEncoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """(ids, number of ids, tokens) of each text; ids and tokens joined by one space."""
-        cut = [self.chunks(t or "") for t in texts]
-        now = set().union(*cut)
-        if len(self.ids) > KEPT_WORDS:
-            self.forget()
-        self.again |= now & self.ids.keys()
-        self.learn(sorted(now - self.ids.keys()))
-        out = []
-        for c in cut:
-            ids = " ".join(map(self.ids.__getitem__, c))
-            out.append((ids, ids.count(" ") + 1 if ids else 0, " ".join(map(self.tokens.__getitem__, c))))
-        return out
+        with collector_paused():
+            cut = [self.chunks(t or "") for t in texts]
+            now = set().union(*cut)
+            if len(self.ids) > KEPT_WORDS:
+                self.forget()
+            self.again |= now & self.ids.keys()
+            self.learn(sorted(now - self.ids.keys()))
+            out = []
+            for c in cut:
+                ids = " ".join(map(self.ids.__getitem__, c))
+                out.append((ids, ids.count(" ") + 1 if ids else 0, " ".join(map(self.tokens.__getitem__, c))))
+            return out
 
 
 @cache
 def encoder(spec: str) -> TrieEncoder:
     """One encoder a worker and vocabulary, so that tasks of one worker share the words met so far."""
-    return TrieEncoder(spec)
+    with collector_paused():
+        made = TrieEncoder(spec)
+    gc.freeze()  # the vocabulary stays as long as the worker
+    return made
+
+
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PART_BYTES of text, one row at least."""
+    at = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch[text]), 0).to_pylist()):
+        if size and size + n > PART_BYTES:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    yield batch.slice(at)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -235,14 +286,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(sent.value)
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in parts(b, "_text"):
                 got = enc.encode(part["_text"].to_pylist())
                 sha = [[hashlib.sha256(g[k].encode("utf-8")).hexdigest() for g in got] for k in (0, 2)]
-                cols = [part["_id"], pa.array([g[1] for g in got], pa.int64()), pa.array(sha[0]), pa.array(sha[1])]
+                cols = [part["_id"], pa.array([g[1] for g in got], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_text:
-                    cols, names = [*cols, pa.array([g[0] for g in got]), pa.array([g[2] for g in got])], [*names, "ids", "decoded"]
+                    cols, names = [*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
