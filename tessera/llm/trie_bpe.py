@@ -294,8 +294,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text
                 if keep_text:
                     cols, names = [*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
-        enc.forget()  # workers live on and serve other operators
-        pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()  # workers live on and serve other operators
 
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     return base.mapInArrow(run, f"doc_id {base.schema['_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
