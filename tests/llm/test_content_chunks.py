@@ -52,3 +52,23 @@ def test_planted_passages(spark):
         assert len(passage.split()) + 1 >= r["n_words"] >= C.LEAST_WORDS and r["first_doc"] <= r["doc_id"]
         assert any(passage in t for i, t in text.items() if i != r["doc_id"])
     assert C.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passages_of_51_short_words_are_all_found(spark):
+    rng = random.Random(6)
+    for letters in (3, 4):
+        word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(letters))  # noqa: B023, E731
+        noise = lambda n: " ".join(word() for _ in range(n))  # noqa: B023, E731
+        docs = []
+        for k in range(150):
+            p = noise(51)
+            docs += [(i, noise(rng.randint(10, 90)) + " " + p + " " + noise(rng.randint(10, 90))) for i in (2 * k, 2 * k + 1)]
+        rows = C.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r["doc_id"] for r in rows} == {i for i, _ in docs}
+        text = {i: t.encode() for i, t in docs}
+        assert all(text[r["doc_id"]][r["start"] : r["end"]] in text[r["doc_id"] ^ 1] for r in rows)
+
+
+def test_every_window_has_a_cut():
+    data, table = np.random.default_rng(5).integers(97, 123, 20000).astype(np.uint8), C.gear_table()
+    assert np.diff(C.cut_points(data, table, span=96)).max() <= 96 < np.diff(C.cut_points(data, table)).max()
