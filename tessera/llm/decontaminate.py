@@ -111,13 +111,23 @@ def _slots(kind: np.ndarray, at: np.ndarray, lo: int, n: int) -> str | None:
     return "\x1f".join(f"{i - lo}={kind[i]}={v}" for i, v in zip(here, _reader().values(at[here]), strict=True))
 
 
-_SCHEMA = "row string, pos int, n int, h long, slots string, total int"
+def _inside(n: int, kind: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[int, str] | None:
+    """Hash and slots of the first window of n tokens as it reads inside a sentence, where its first word is a name; None if it isn't."""
+    if kind[0] or _reader().kinds[at[0], 1] != 2:
+        return None
+    h, kind = h[:n].copy(), kind[:n].copy()
+    h[0], kind[0] = _reader().name_hash, 2
+    return int(windows64(h, n).view(np.int64)[0]), _slots(kind, at, 0, n)
+
+
+_SCHEMA = "row string, pos int, n int, h long, slots string, total int, inside boolean"
 
 
-def template_windows(rows: DataFrame, window: int, lengths: list[int] | None = None, among: np.ndarray | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, window: int, lengths: list[int] | None = None, among: np.ndarray | None = None, inside: bool = False) -> DataFrame:
     """``rows(row, text)`` -> their template windows, only those whose hash is in ``among`` if that is given.
 
     Without ``lengths`` each text has windows of ``window`` tokens, or one of its own length if it is shorter.
+    With ``inside`` the first window comes also as it reads inside a sentence, if that differs.
     """
     sent = rows.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
@@ -139,11 +149,14 @@ def template_windows(rows: DataFrame, window: int, lengths: list[int] | None = N
                         keep = keep[wanted[near] == h[keep]]
                     elif sent is not None:
                         keep = keep[:0]
-                    out += [(row, int(i), n, int(h[i : i + 1].view(np.int64)[0]), _slots(kind, at, i, n), len(h)) for i in keep]
+                    out += [(row, int(i), n, int(h[i : i + 1].view(np.int64)[0]), _slots(kind, at, i, n), len(h), False) for i in keep]
+                    other = _inside(n, kind, at, _reader().read(text)[0]) if inside else None
+                    if other:
+                        out.append((row, 0, n, other[0], other[1], len(h), True))
             if out:
                 cols = list(zip(*out, strict=True))
-                types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "pos", "n", "h", "slots", "total"])
+                types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "pos", "n", "h", "slots", "total", "inside"])
 
     return rows.select(F.col("row").cast("string").alias("row"), F.col("text").alias("text")).mapInArrow(run, _SCHEMA)
 
@@ -157,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     LEAST_TOKENS tokens; repeated rows of an id count once;
     rows with a null id are left out. Other columns play no part.
     """
-    items = template_windows(benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("row"), F.col(item_text).alias("text")), window)
+    items = template_windows(benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("row"), F.col(item_text).alias("text")), window, inside=True)
     items = items.where(F.col("n") >= LEAST_TOKENS).distinct()
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most `window` of them
     among = None
@@ -165,11 +178,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         held = items.select("h").distinct().toPandas()["h"].to_numpy(np.int64)
         among = np.sort(held.view(np.uint64))
     found = template_windows(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("row"), F.col(text).alias("text")), window, lengths or [window], among)
-    i = items.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "n", "h", F.col("slots").alias("item_slots"), "total")
+    i = items.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "n", "h", F.col("slots").alias("item_slots"), "total", "inside")
     d = found.select("row", "pos", "n", "h", "slots")
     pairs = i.join(d, ["h", "n"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     slot = lambda a: F.split(F.coalesce(F.col(a), F.lit("")), "\x1f")
     of = F.zip_with(slot("item_slots"), slot("slots"), lambda x, y: F.struct(F.regexp_replace(x, "^[0-9]+=", "").alias("a"), F.regexp_replace(y, "^[0-9]+=", "").alias("b")))
+    # a first word that only its place made a name must be the same word
+    pairs = pairs.where(~F.col("inside") | (slot("item_slots")[0] == slot("slots")[0]))
     pairs = pairs.withColumn("maps", F.filter(of, lambda m: m["a"] != ""))
     aligned = pairs.groupBy("row", "item", "shift").agg(F.collect_set("item_pos").alias("at"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("maps"))).alias("maps"))
     one = lambda side: F.size(F.array_distinct(F.transform("maps", lambda m: m[side])))

@@ -46,6 +46,20 @@ def test_short_items_and_empty_tables(spark):
     assert found(spark, [(1, None)]) == {}
 
 
+def test_capitalised_items_inside_a_sentence(spark):
+    bench = [(1, "What is the capital of France?"), (2, "Where does the longest river of Peru begin today?")]
+    docs = [
+        (1, "as he asked me What is the capital of France? and left"),
+        (2, "A heading\nWhat is the capital of France?"),
+        (3, "so then Where does the longest river of Peru begin today? he said"),
+        (4, "What is the capital of France?"),
+        (5, "we know that Paris is the capital of France, of course"),
+        (6, "one asks What is the capital of Spain?"),
+        (7, "Yes. Where does the longest river of Peru begin today?"),
+    ]
+    assert found(spark, docs, bench) == {(1, 1): 0, (2, 1): 0, (3, 2): 0, (4, 1): 0, (6, 1): 1, (7, 2): 0}
+
+
 def test_no_filter_gives_the_same(spark, monkeypatch):
     docs = [(1, "so " + BENCH[1][1]), (2, "other words entirely, nothing of the kind, and then a little more of it")]
     with_filter = found(spark, docs)
