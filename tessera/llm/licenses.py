@@ -3,7 +3,11 @@
 DataFrame functions only. Windows are the lines of a text (a notice often stands on a line of its own)
 and runs of ``WINDOW`` words every ``STEP`` words across lines. A window whose similarity to a template's
 window is s shares one of ``len(SEEDS)`` bands of one minimum with probability 1 - (1 - s) ** len(SEEDS):
-0.996 at 0.5, 1 for equal windows. What a shared band retrieves is verified on the shingles themselves.
+0.996 at 0.5, 1 for equal windows. Inside a long line or paragraph a window is much larger than a short
+template, so a third kind of window is a single shingle: it shares a band with a template if it is one of the
+template's least shingles under the seeds. A text with a share c of a template's shingles, whatever stands
+around them, holds one of those with probability about 1 - (1 - c) ** len(SEEDS): 1 for whole templates.
+What a shared band retrieves is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -81,23 +85,36 @@ def bands_of(shingles: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(seed), F.array_min(F.transform(shingles, _under(seed)))) for seed in SEEDS])
 
 
-def windows(rows: DataFrame, text: str) -> DataFrame:
-    """rows with ``words``: a row for each overlapping window.
+def least_shingles(shingles: Column) -> Column:
+    """The distinct shingles with the least hash under one of the seeds."""
+    under = lambda seed: F.array_min(F.transform(shingles, lambda h: F.struct(_under(seed)(h).alias("by"), h.alias("h"))))["h"]
+    return F.array_distinct(F.array(*[under(seed) for seed in SEEDS]))
 
-    Windows are the lines of up to WINDOW words, and WINDOW words every STEP across lines.
+
+def windows(rows: DataFrame, text: str, least: list[int] | None = None, around: int = WINDOW) -> DataFrame:
+    """rows with ``words`` and ``spot``: a row for each overlapping window.
+
+    Windows are the lines of up to WINDOW words, and WINDOW words every STEP across lines; their spot is
+    null. Each shingle among ``least`` is a spot, with the words up to ``around`` before and after its start.
     """
     own = [c for c in rows.columns if c != text]
     lined = rows.select(*own, word_lines(F.col(text)).alias("lines")).select(*own, "lines", F.flatten("lines").alias("all"))
     short = F.filter("lines", lambda w: (F.size(w) > 0) & (F.size(w) <= WINDOW))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(STEP)), lambda i: F.slice("all", i, WINDOW))
-    return lined.select(*own, F.explode(F.concat(short, F.filter(runs, lambda w: F.size(w) > 0))).alias("words"))
+    plain = lambda w: F.struct(w.alias("words"), F.lit(None).cast("long").alias("spot"))
+    found = F.transform(F.concat(short, F.filter(runs, lambda w: F.size(w) > 0)), plain)
+    if least:
+        at = F.filter(F.transform(shingles_of(F.col("all")), lambda h, i: F.struct((i + 1).alias("i"), h.alias("h"))), lambda x: x["h"].isin(least))
+        first = lambda x: F.greatest(x["i"] - around, F.lit(1))
+        found = F.concat(found, F.transform(at, lambda x: F.struct(F.slice("all", first(x), x["i"] - first(x) + around).alias("words"), x["h"].alias("spot"))))
+    return lined.select(*own, F.explode(found).alias("w")).select(*own, "w.words", "w.spot")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``(license, shingles)``: a row a template, its distinct shingles."""
+    """``(license, body, n_words, shingles)``: a row a template, its distinct shingles."""
     t = spark.createDataFrame(sorted(templates.items()), "license string, body string")
     t = t.select("license", "body", F.flatten(word_lines(F.col("body"))).alias("all"))
-    return t.select("license", "body", F.array_distinct(shingles_of(F.col("all"))).alias("shingles"))
+    return t.select("license", "body", F.size("all").alias("n_words"), F.array_distinct(shingles_of(F.col("all"))).alias("shingles"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
@@ -110,10 +127,14 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     fixed size and goes to every task.
     """
     known = template_table(docs.sparkSession, templates)
-    hashed = lambda rows, key: windows(rows, "body").select(key, shingles_of(F.col("words")).alias("s"))
-    bands = F.broadcast(hashed(known.select("license", "body"), "license").select("license", F.explode(bands_of(F.col("s"))).alias("band")).distinct())
+    least = known.where("n_words > 0").select("license", "n_words", F.explode(least_shingles(F.col("shingles"))).alias("band"))
+    spots = least.collect()  # at most len(SEEDS) a template
+    around = max((r["n_words"] for r in spots), default=WINDOW)
+    of_windows = windows(known.select("license", "body"), "body").select("license", shingles_of(F.col("words")).alias("s"))
+    bands = F.broadcast(of_windows.select("license", F.explode(bands_of(F.col("s"))).alias("band")).union(least.select("license", "band")).distinct())
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    asked = hashed(base, "doc_id").select("doc_id", "s", F.explode(bands_of(F.col("s"))).alias("band"))
+    asked = windows(base, "body", sorted({r["band"] for r in spots}), around).select("doc_id", "spot", shingles_of(F.col("words")).alias("s"))
+    asked = asked.select("doc_id", "s", F.explode(F.when(F.col("spot").isNull(), bands_of(F.col("s"))).otherwise(F.array("spot"))).alias("band"))
     hits = asked.join(bands, "band").select("doc_id", "license", "s")
     exact = hits.join(F.broadcast(known.select("license", "shingles")), "license")
     shared = exact.select("doc_id", "license", F.size("shingles").alias("n_shingles"), F.explode(F.array_intersect("s", "shingles")).alias("h"))

@@ -35,3 +35,12 @@ def test_each_template_finds_itself(spark):
     docs = list(enumerate(L.TEMPLATES.values()))
     got = scan(spark, docs)
     assert {(i, k) for i, k in enumerate(L.TEMPLATES)} <= got
+
+
+def test_each_template_inside_a_long_paragraph(spark):
+    rng = random.Random(7)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    docs = [(20 * i + k, noise(rng.randint(100, 180)) + " " + body + " " + noise(rng.randint(100, 180))) for i, body in enumerate(L.TEMPLATES.values()) for k in range(10)]
+    docs += [(20 * i + 10, noise(12) + " " + body + " " + noise(12)) for i, body in enumerate(L.TEMPLATES.values())]
+    got = scan(spark, docs)
+    assert {(20 * i + k, name) for i, name in enumerate(L.TEMPLATES) for k in range(11)} <= got
