@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word and line contracts, as code points: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
+_LIBC = ctypes.CDLL(None)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,10 +82,14 @@ def windows64(words: np.ndarray, n: int) -> np.ndarray:
         return mix64(h)
 
 
-WORD_HASH = Memo(xxhash.xxh3_64_intdigest)
+def give_back() -> None:
+    """Return memory that is no longer in use at the end of a task: workers live on and serve other operators."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):  # of the GNU library
+        trim(0)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a whole text, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

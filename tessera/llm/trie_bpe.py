@@ -1,10 +1,11 @@
 """BPE encoding by prefix-sharing trie traversal, and decoding.
 
-The distinct words of a batch go into a trie of symbols. A depth-first walk carries one state for each
-prefix: the last token of that prefix's encoding. The encoding of a prefix is the encoding of a
-shorter prefix plus its last token, and a token may follow another if merging the two alone leaves
-both as they are; exactly one suffix of each prefix meets this. So the prefixes that words share are
-encoded once, and a word's tokens are read off backwards through the states on its path.
+The distinct words of a batch are sorted, which lays their trie out in depth-first order: a word shares
+with the one before it the path of their common prefix. The walk carries one state for each prefix of the
+path, the last token of that prefix's encoding with the encoding so far, and a word begins with the states
+its predecessor left on the shared path. The encoding of a prefix is the encoding of a shorter prefix plus
+its last token, and a token may follow another if no merge ever crosses the border between the two; exactly
+one suffix of each prefix meets this. So the prefixes that words share are encoded once.
 
 Vocabularies are JSON files of the kind whose words end in a marker and are lower-cased, with NFC and
 white space runs made one space.
@@ -12,14 +13,12 @@ white space runs made one space.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,17 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.base import give_back
+
 #: The vocabulary's own split pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same for lower-case ASCII texts.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
 _BLANKS = regex.compile(r"\s+")
 #: Every code point up to here is assigned, so that all Unicode versions agree on it.
 _OLD = re.compile("[^\x00-ͷ]")
 #: White space to Python's split() but not to the split pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Chunks a worker keeps encoded, and trie nodes of one walk.
-KEPT_WORDS, TRIE_NODES = 400_000, 200_000
+#: Chunks a worker keeps encoded, and borders between tokens that it keeps judged.
+KEPT_WORDS, KEPT_BORDERS = 400_000, 200_000
 #: Bytes of text encoded at a time, or one text, if longer.
 PART_BYTES = 2_000_000
+#: Symbols of a word up to which it goes into the trie; a longer one shares nothing and is walked alone.
+LONG_WORD = 100
 
 
 def byte_symbols() -> dict[int, str]:
@@ -48,155 +53,153 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@contextmanager
-def collector_paused() -> Iterator[None]:
-    """No cycle search meanwhile: tries have many nodes and no cycles."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
 class TrieEncoder:
-    """Encodes with one vocabulary; ``words``, ``ids`` and ``tokens`` keep the results of words and chunks met."""
+    """Encodes with one vocabulary; ``words`` and ``ids`` keep the ids of words and chunks met, as text."""
 
     def __init__(self, spec: str):
-        model = json.loads(spec)["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.end = model["end_of_word_suffix"]
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)): i for i, m in enumerate(model["merges"])}
-        self.special = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}
+        read = json.loads(spec)
+        model = read["model"]
+        vocab: dict[str, int] = model["vocab"]
+        self.spec, self.end = spec, model["end_of_word_suffix"]
+        self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.library = Tokenizer.from_str(spec)
+        self.size = max([*vocab.values(), *self.special.values()]) + 1
+        self.text: list[str] = [""] * self.size
+        for t, i in [*vocab.items(), *self.special.items()]:
+            self.text[i] = t
+        self.number = [str(i) for i in range(self.size)]
+        self.token_of = dict(zip(self.number, self.text))
+        #: rank of the merge of two tokens, by first * size + second; and of the merge that makes a token, with its parts.
+        self.rank: dict[int, int] = {}
+        self.made, self.left, self.right = [-1] * self.size, [-1] * self.size, [-1] * self.size
+        #: tokens that merges do reach, without and with the end marker, by their symbols.
+        self.plain: dict[str, int] = {}
+        self.ended: dict[str, int] = {}
+        for t, i in vocab.items():
+            if len(t) == 1:
+                self.plain[t] = i
+            elif len(t) == 1 + len(self.end) and t.endswith(self.end):
+                self.ended[t[:1]] = i
+        self._read_merges(vocab, [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]])
+        #: length of the longest token that ends in given three symbols; tokens of two symbols may end in any.
+        self.reach, self.reach_end = ({}, {})
+        for tokens, reach in ((self.plain, self.reach), (self.ended, self.reach_end)):
+            for t in tokens:
+                if len(t) > reach.get(t[-3:], 2):
+                    reach[t[-3:]] = len(t)
+        self.borders: dict[int, bool] = {}
         self.byte = byte_symbols()
-        self.backwards = {"": self._reversed(""), self.end: self._reversed(self.end)}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.table = {b: ord(c) for b, c in self.byte.items()}
+        self.words: dict[str, str] = {}
         self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
         self.again: set[str] = set()
-        self._follow: dict[tuple[str, str], bool] = {}
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Plain BPE of a few symbols, for the pair test."""
-        rank = self.rank
-        while len(symbols) > 1:
-            ranked = [(rank[p], p) for p in zip(symbols, symbols[1:], strict=False) if p in rank]
-            if not ranked:
-                break
-            pair = min(ranked)[1]
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
+
+    def _read_merges(self, vocab: dict[str, int], merges: list) -> None:
+        """Ranks of all merges, then how each token that merges reach is made: by the one merge that its own symbols lead to."""
+        pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        for r, (a, b, _) in enumerate(pairs):
+            self.rank.setdefault(a * self.size + b, r)
+        known = {*self.plain.values(), *self.ended.values()}
+        for r, (a, b, c) in enumerate(pairs):
+            if c not in known and a in known and b in known and self.follows(a, b, r):
+                self.made[c], self.left[c], self.right[c] = r, a, b
+                known.add(c)
+                t = self.text[c]
+                if t.endswith(self.end):
+                    self.ended[t[: -len(self.end)]] = c
                 else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
-
-    def symbols(self, token: str) -> list[str]:
-        if token.endswith(self.end) and token != self.end:
-            body = token[: -len(self.end)]
-            return [*body[:-1], body[-1] + self.end]
-        return list(token)
-
-    def follows(self, a: str, b: str) -> bool:
-        """Whether token b may stand after token a."""
-        if (known := self._follow.get((a, b))) is None:
-            if len(self._follow) > 1_000_000:
-                self._follow.clear()
-            known = self._follow[a, b] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
-        return known
+                    self.plain[t] = c
 
-    def _reversed(self, end: str) -> dict:
-        """A trie of the reversed tokens with or without the end marker; "" holds the token itself.
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.spec)
 
-        Tokens that no merges reach are left out.
+    def follows(self, a: int, b: int, limit: int = 1 << 60) -> bool:
+        """Whether token b may stand after token a: no merge ranked under ``limit`` crosses their border at any time.
+
+        The merges that made the two are undone, the later one first; what then stands at the border must not
+        have been merged before. Of equal merges the one further left comes first.
         """
-        top: dict = {}
-        for t in self.vocab:
-            body = t[: -len(end)] if end else t
-            if t.endswith(self.end) == bool(end) and body and self.merged(self.symbols(t)) == [t]:
-                node = top
-                for s in reversed(body):
-                    node = node.setdefault(s, {})
-                node[""] = t
-        return top
+        rank, made, size = self.rank, self.made, self.size
+        while True:
+            r = rank.get(a * size + b)
+            if r is not None and r < limit:
+                return False
+            ra, rb = made[a], made[b]
+            if ra > rb:
+                limit, a = ra, self.right[a]
+            elif rb >= 0:
+                limit, b = rb + 1, self.left[b]
+            else:
+                return True
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        key = a * self.size + b
+        known = self.borders.get(key)
+        if known is None:
+            if len(self.borders) >= KEPT_BORDERS:
+                self.borders.clear()
+            known = self.borders[key] = self.follows(a, b)
+        return known
 
     def encode_words(self, words: list[str]) -> None:
-        """Put words into a trie, walk it depth first, and store each word's encoding."""
-        trie: dict = {}
-        for w in words:
-            node = trie
-            for s in "".join(map(self.byte.__getitem__, w.encode("utf-8"))):
-                below = node.get(s)
-                if below is None:
-                    below = node[s] = {}
-                node = below
-            node[""] = w
-        last: list[str | None] = [""]  # the last token of each prefix of the path; None until a word asks for it
-        stack = [("", trie)]
-        while stack:
-            path, node = stack.pop()
-            if depth := len(path):
-                del last[depth:]
-                last.append(None)
-                if (word := node.pop("", None)) is not None:
-                    self._keep(word, path, last)
-            for s, below in node.items():
-                stack.append((path + s, below))
-
-    def _ends(self, path: str, n: int, end: str) -> list[tuple[int, str]]:
-        """(start, token) of the tokens that path[:n] + end can end with, the longest at the end of the list."""
-        node, found = self.backwards[end], []
-        for i in range(n - 1, -1, -1):
-            node = node.get(path[i])
-            if node is None:
-                break
-            if "" in node:
-                found.append((i, node[""]))
-        return found
-
-    def _propagate(self, path: str, last: list[str | None], end: str) -> str:
-        """The last token of the encoding of path + end; last[d] is that of the prefix of d symbols.
-
-        The longest candidate that may follow what stands before it wins. States of prefixes that are asked for
-        and not known yet are found first and stay in ``last`` for all words below.
+        """Walk the trie of the words depth first and store each word's ids."""
+        table, out = self.table, self.words
+        #: the last token of each prefix of the path, -1 until a word asks for it, and the prefix's ids
+        last, ids = [-1], [""]
+        before = ""
+        paths = [(w.encode("utf-8").decode("latin-1").translate(table), w) for w in words]
+        for path, word in sorted(p for p in paths if len(p[0]) <= LONG_WORD):
+            shared, n = 0, len(path)
+            for x, y in zip(before, path):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], ids[shared + 1 :]
+            more = n - shared
+            last += [-1] * more
+            ids += [""] * more
+            out[word] = self._find(path, n, self.ended, self.reach_end, last, ids)[1]
+            before = path
+        for path, word in paths:
+            if len(path) > LONG_WORD:
+                out[word] = self._alone(path)
+
+    def _alone(self, path: str) -> str:
+        """Ids of a long word, all its states found in order, without the ids so far, and read off backwards."""
+        n, last = len(path), [-1]
+        none = [""] * (n + 1)
+        for k in range(1, n):
+            last.append(self._find(path, k, self.plain, self.reach, last, none)[0])
+        found = [self._find(path, n, self.ended, self.reach_end, last, none)[0]]
+        at = n - len(self.text[found[0]]) + len(self.end)
+        while at:
+            found.append(last[at])
+            at -= len(self.text[last[at]])
+        return " ".join([self.number[t] for t in reversed(found)])
+
+    def _state(self, path: str, n: int, last: list[int], ids: list[str]) -> int:
+        """The last token of path[:n]'s encoding, found once and kept for all words below."""
+        last[n], ids[n] = self._find(path, n, self.plain, self.reach, last, ids)
+        return last[n]
+
+    def _find(self, path: str, n: int, tokens: dict[str, int], reach: dict[str, int], last: list[int], ids: list[str]) -> tuple[int, str]:
+        """The last token of path[:n], one of ``tokens``, and the ids of path[:n].
+
+        The longest token that may follow what stands before it wins. States of shorter prefixes that are asked
+        for and not known yet are found first.
         """
-        follow, asked = self._follow, [(-1, self._ends(path, len(path), end))]
-        while True:
-            n, found = asked[-1]
-            if not found:
-                raise ValueError(f"no token ends {path!r}")
-            i, token = found[-1]
-            if i:
-                if (before := last[i]) is None:
-                    asked.append((i, self._ends(path, i, "")))
-                    continue
-                known = follow.get((before, token))
-                if known is None:
-                    known = self.follows(before, token)
-                if not known:
-                    found.pop()
-                    continue
-            if n < 0:
-                return token
-            last[n] = token
-            asked.pop()
-
-    def _keep(self, word: str, path: str, last: list[str | None]) -> None:
-        """Store the encoding of a word. The tokens before its last one are the states on its path, read backwards."""
-        tokens = [self._propagate(path, last, self.end)]
-        depth = len(path) - len(tokens[0]) + len(self.end)
-        while depth:
-            tokens.append(last[depth])
-            depth -= len(tokens[-1])
-        tokens.reverse()
-        self.words[word] = (" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens))
+        for i in range(max(0, n - reach.get(path[max(0, n - 3) : n], 2)), n):
+            token = tokens.get(path[i:n])
+            if token is not None:
+                if not i:
+                    return token, self.number[token]
+                before = last[i]
+                if before < 0:
+                    before = self._state(path, i, last, ids)
+                if self._may_follow(before, token):
+                    return token, f"{ids[i]} {self.number[token]}"
+        raise ValueError(f"no token ends {path[:n]!r}")
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens: NFC, one space for white space, lower case, split pattern.
@@ -218,47 +221,42 @@ class TrieEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks not met before, all their new words in common tries, and keep the results."""
-        plain = {c: self.pieces(c) for c in chunks if c not in self.special}
-        new = sorted({w for words in plain.values() for w in words} - self.words.keys())
-        at = size = 0
-        for i, w in enumerate(new):
-            size += len(w)
-            if size > TRIE_NODES or i == len(new) - 1:
-                self.encode_words(new[at : i + 1])
-                at, size = i + 1, 0
+        plain = {c: (([c.lower()] if c.isalpha() else _ASCII.findall(c.lower())) if c.isascii() else self.pieces(c)) for c in chunks if c not in self.special}
+        known = self.words
+        self.encode_words([*{w for words in plain.values() for w in words if w not in known}])
         for c in chunks:
-            got = [self.words[w] for w in plain[c]] if c in plain else [(str(self.special[c]), c)]
-            self.ids[c], self.tokens[c] = (" ".join(g[k] for g in got) for k in (0, 1))
+            if c in self.special:
+                self.ids[c] = str(self.special[c])
+            else:
+                self.ids[c] = known[plain[c][0]] if len(plain[c]) == 1 else " ".join([known[w] for w in plain[c]])
 
     def forget(self) -> None:
         """Keep only what was met in two batches or more, if that is well under the limit, else nothing."""
         keep = self.again if len(self.again) < KEPT_WORDS // 2 else set()
-        self.words, self.ids, self.tokens = ({c: v for c, v in x.items() if c in keep} for x in (self.words, self.ids, self.tokens))
+        self.words, self.ids = ({c: v for c, v in x.items() if c in keep} for x in (self.words, self.ids))
         self.again = set()
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """(ids, number of ids, tokens) of each text; ids and tokens joined by one space."""
-        with collector_paused():
-            cut = [self.chunks(t or "") for t in texts]
-            now = set().union(*cut)
-            if len(self.ids) > KEPT_WORDS:
-                self.forget()
-            self.again |= now & self.ids.keys()
-            self.learn(sorted(now - self.ids.keys()))
-            out = []
-            for c in cut:
-                ids = " ".join(map(self.ids.__getitem__, c))
-                out.append((ids, ids.count(" ") + 1 if ids else 0, " ".join(map(self.tokens.__getitem__, c))))
-            return out
+        cut = [self.chunks(t or "") for t in texts]
+        now = set().union(*cut)
+        if len(self.ids) > KEPT_WORDS:
+            self.forget()
+        new = [c for c in now if c not in self.ids]
+        self.again |= now.difference(new)
+        self.learn(new)
+        out = []
+        for c in cut:
+            ids = " ".join(map(self.ids.__getitem__, c))
+            each = ids.split(" ") if ids else []
+            out.append((ids, len(each), " ".join(map(self.token_of.__getitem__, each))))
+        return out
 
 
 @cache
 def encoder(spec: str) -> TrieEncoder:
     """One encoder a worker and vocabulary, so that tasks of one worker share the words met so far."""
-    with collector_paused():
-        made = TrieEncoder(spec)
-    gc.freeze()  # the vocabulary stays as long as the worker
-    return made
+    return TrieEncoder(spec)
 
 
 def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -294,7 +292,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text
                 if keep_text:
                     cols, names = [*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
-        pa.default_memory_pool().release_unused()  # workers live on and serve other operators
+        give_back()
 
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     return base.mapInArrow(run, f"doc_id {base.schema['_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -44,3 +44,41 @@ def test_rows(spark, both):
     want = [(i, (e := expect(both[1], t))[1], sha(e[0]), sha(e[2])) for i, t, _ in rows]
     assert got == sorted(want, key=repr)
     assert encode_decode(df.limit(0), vocabulary()).count() == 0
+
+
+def plain_bpe(enc, symbols):
+    """Merges in order of rank, the one further left first."""
+    while True:
+        ranked = [(enc.rank[p[0] * enc.size + p[1]], k) for k, p in enumerate(zip(symbols, symbols[1:])) if p[0] * enc.size + p[1] in enc.rank]
+        if not ranked:
+            return symbols
+        k = min(ranked)[1]
+        joined = enc.text[symbols[k]] + enc.text[symbols[k + 1]]
+        symbols = [*symbols[:k], enc.text.index(joined), *symbols[k + 2 :]]
+
+
+def test_border_test_is_plain_bpe(both):
+    enc = both[0]
+    number = {t: i for i, t in enumerate(enc.text)}
+    cut = lambda t: [*t[: -len(enc.end) - 1], t[-len(enc.end) - 1] + enc.end] if t.endswith(enc.end) and t != enc.end else list(t)
+    rng = random.Random(9)
+    plain, every = [*enc.plain.values()], [*enc.plain.values(), *enc.ended.values()]
+    seen = set()
+    for _ in range(400):
+        a, b = rng.choice(plain), rng.choice(every)
+        if rng.random() < 0.5:  # halves of a token meet at a border that some merge crosses
+            t = rng.choice([*enc.plain])
+            k = rng.randrange(1, len(t)) if len(t) > 1 else 0
+            if k and t[:k] in enc.plain and t[k:] in enc.plain:
+                a, b = enc.plain[t[:k]], enc.plain[t[k:]]
+        want = plain_bpe(enc, [number[s] for t in (a, b) for s in cut(enc.text[t])]) == [a, b]
+        assert enc.follows(a, b) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_long_words_share_no_state(both):
+    ours, library = both
+    rng = random.Random(11)
+    texts = ["ab" * 5000 + " abab", "x" * 101 + " " + "x" * 100 + " " + "x" * 99, "".join(rng.choice("etaoinshrdlu") for _ in range(200_000)), "é" * 3000, " ".join("q" * k for k in range(1, 140))]
+    assert ours.encode(texts) == [expect(library, t) for t in texts]
