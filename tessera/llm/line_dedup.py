@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import SPACES, ascii_lower, cut
+from tessera.llm.base import SPACES, ascii_lower, cut, fresh, give_back
 
 SLOTS, KICKS = 4, 500
-#: Keys a shard is laid out for, and the bytes up to which all filters go to every task.
+#: Keys a shard is laid out for, and the bytes of filters that go to every task at a time (one shard at least).
 SHARD_KEYS, BROADCAST_BYTES = 1 << 20, 32 << 20
+#: Repeated ids up to which they go to every task.
+BROADCAST_IDS = 1_000_000
 
 
 class CuckooFilter:
@@ -56,10 +58,18 @@ class CuckooFilter:
         return (self.data[i] == f[:, None]).any(1) | (self.data[j] == f[:, None]).any(1)
 
     def insert(self, h: np.ndarray) -> bool:
-        """False if there was no room; the caller then lays out a larger filter from the counts."""
+        """False if there was no room; the caller then lays out a larger filter from the counts.
+
+        Most keys find a free slot in one of their buckets, all at once; the others push keys out one by one.
+        """
         rng = np.random.default_rng(0)
-        for f, i, j in zip(*self.places(h), strict=True):
-            at = i if (self.data[i] == 0).any() else j
+        f, i, j = self.places(h)
+        left = ~self._fill(f, i)
+        f, i, j = f[left], i[left], j[left]
+        left = ~self._fill(f, j)
+        f, i, j = f[left], i[left], j[left]
+        for f, i, j in zip(f, i, j, strict=True):
+            at = i if rng.integers(2) else j
             for _ in range(KICKS):
                 free = np.flatnonzero(self.data[at] == 0)
                 if len(free):
@@ -72,6 +82,20 @@ class CuckooFilter:
                 return False
         return True
 
+    def _fill(self, f: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of the buckets ``at``; which of them found one."""
+        order = np.argsort(at, kind="stable")
+        b = at[order]
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else b
+        turn = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+        fits = turn < (self.data[b] == 0).sum(1)
+        b, turn = b[fits], turn[fits]
+        slot = np.argsort(self.data[b] != 0, axis=1, kind="stable")[np.arange(len(b)), turn]  # free slots first
+        self.data[b, slot] = f[order[fits]]
+        out = np.zeros(len(at), bool)
+        out[order[fits]] = True
+        return out
+
     def delete(self, h: np.ndarray) -> None:
         for f, i, j in zip(*self.places(h), strict=True):
             for at in (i, j):
@@ -112,11 +136,23 @@ def _shard(digest: Column, shards: int) -> Column:
     return F.pmod(F.hash(digest), F.lit(shards)).cast("int")
 
 
-def reference_counts(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
-    """``(digest, n_docs)``: in how many rows of docs each line key of ``min_chars`` code points or more occurs."""
-    keys = F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars)
-    each = docs.select(F.explode(F.array_distinct(F.transform(keys, lambda k: F.unhex(F.md5(k))))).alias("digest"))
-    return each.groupBy("digest").agg(F.count("*").alias("n_docs"))
+def reference_counts(docs: DataFrame, text: str = "text", min_chars: int = 1, count_by: str | None = None) -> DataFrame:
+    """``(digest, n_docs)``: how many documents hold each line key of ``min_chars`` code points or more.
+
+    A document is a row, or with ``count_by`` a value of that column (rows where it is null are one each).
+    """
+    digests = F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), lambda k: F.unhex(F.md5(k))))
+    counts = docs.select(F.explode(digests).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_docs"))
+    if count_by is None:
+        return counts
+    again = docs.where(F.col(count_by).isNotNull()).groupBy(F.col(count_by).alias("by")).agg(F.count("*").alias("n")).where("n > 1").select("by")
+    n = again.count()
+    if not n:
+        return counts
+    # rows of the same document count once: what they have in common is taken off
+    rows = docs.select(F.col(count_by).alias("by"), digests.alias("digests")).join(F.broadcast(again) if n <= BROADCAST_IDS else again, "by", "left_semi")
+    extra = rows.select("by", F.explode("digests").alias("digest")).groupBy("by", "digest").agg((F.lit(1) - F.count("*")).alias("n_docs")).where("n_docs < 0")
+    return add_counts(counts, extra.select("digest", "n_docs"))
 
 
 def add_counts(counts: DataFrame, more: DataFrame) -> DataFrame:
@@ -163,16 +199,36 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_
     return filters.groupBy("shard").cogroup(move.groupBy("shard")).applyInPandas(change, "shard int, n_keys long, filter binary")
 
 
+def shard_groups(filters: DataFrame, most_bytes: int) -> list[list[int]]:
+    """Shards whose filters have ``most_bytes`` together; a shard's number and size are all that the driver sees."""
+    groups, size = [[]], 0
+    for r in filters.select("shard", F.length("filter").alias("n")).orderBy("shard").collect():
+        if groups[-1] and size + r["n"] > most_bytes:
+            groups.append([])
+            size = 0
+        groups[-1].append(r["shard"])
+        size += r["n"]
+    return groups
+
+
 def probe(lines: DataFrame, filters: DataFrame, shards: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of ``lines(..., digest)`` that the filters may hold.
 
-    The filters go to every task if together they have ``most_bytes`` at most; beyond that all rows
-    go on to the exact join, which gives the same result.
+    Filters go to every task, ``most_bytes`` at a time: where all together are larger, groups of shards are
+    probed in turn, and each turn's hits are written before the next, so that memory stays bounded.
     """
-    if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > most_bytes:
-        return lines
-    held = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}
-    sent, names = lines.sparkSession.sparkContext.broadcast(held), lines.columns
+    filters, out = cut(filters), None
+    groups, names = shard_groups(filters, most_bytes), lines.columns
+    for group in groups:
+        held = {r["shard"]: bytes(r["filter"]) for r in filters.where(F.col("shard").isin(group)).collect()}
+        part = _probe(lines if len(groups) == 1 else lines.where(_shard(F.col("digest"), shards).isin(group)), names, held, shards)
+        part = part if len(groups) == 1 else cut(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _probe(lines: DataFrame, names: list[str], held: dict[int, bytes], shards: int) -> DataFrame:
+    sent = lines.sparkSession.sparkContext.broadcast(held)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {k: CuckooFilter(np.frombuffer(v, np.uint16)) for k, v in sent.value.items()}
@@ -183,29 +239,37 @@ def probe(lines: DataFrame, filters: DataFrame, shards: int, most_bytes: int = B
                 if (f := ready.get(int(k))) is not None:
                     hit[shard == k] = f.contains(h[shard == k])
             yield b.select(names).filter(pa.array(hit))
+        give_back()
 
     asked = lines.select(*names, _shard(F.col("digest"), shards).alias("_shard"), _filter_hash(F.col("digest")).alias("_h"))
     return asked.mapInArrow(look, lines.schema)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, counts: DataFrame | None = None, filters: DataFrame | None = None, shards: int | None = None) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, counts: DataFrame | None = None, filters: DataFrame | None = None,
+    shards: int | None = None, count_by: str | None = None, most_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """docs with ``text`` less the lines found in ``min_docs`` documents or more, and ``n_lines``, ``n_dropped``.
 
-    Each row of docs counts as a document, repeated rows and null ids too. Null text counts as empty
-    text and comes back as the empty string. Other columns stay; columns of docs named n_lines or
-    n_dropped are replaced. ``counts``, ``filters`` and ``shards`` may come from an earlier state of
-    the store; else they are made from docs.
+    Each row of docs counts as a document, repeated rows and null ids too, unless ``count_by`` names a column
+    whose values are documents. Null text counts as empty text and comes back as the empty string. Other
+    columns stay, whatever their names; columns of docs named n_lines or n_dropped are replaced. ``counts``,
+    ``filters`` and ``shards`` may come from an earlier state of the store; else they are made from docs.
     """
-    counts = counts if counts is not None else cut(reference_counts(docs, text, min_chars))
+    if (filters is None) != (shards is None):
+        raise ValueError("filters and shards come together")
+    counts = counts if counts is not None else cut(reference_counts(docs, text, min_chars, count_by))
     frequent = counts.where(F.col("n_docs") >= min_docs)
     if filters is None:
         shards = max(1, -(-frequent.count() // SHARD_KEYS))
         filters = build_filters(counts, min_docs, shards)
-    each = docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_digest))).alias("digest"))
-    hits = probe(each, filters, shards).join(frequent.select("digest"), "digest").groupBy("_id").agg(F.collect_set("digest").alias("_gone"))
-    both = docs.join(hits.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    lines = both.withColumn("_lines", lines_of(F.col(text)))
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_gone"), line_digest(x))))
-    lines = lines.withColumn("_kept", kept)
-    out = lines.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), text: F.array_join("_kept", "\n")})
-    return out.drop("_id", "_gone", "_lines", "_kept")
+    # rows of one id and text share their lines; null ids are told apart by their texts
+    key, gone, all_lines, kept = fresh(docs, "_key", "_gone", "_lines", "_kept")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
+    each = keyed.select(F.col(key).alias("_row"), F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_digest))).alias("digest"))
+    hits = probe(each, filters, shards, most_bytes).join(frequent.select("digest"), "digest").groupBy(F.col("_row").alias(key)).agg(F.collect_set("digest").alias(gone))
+    lines = keyed.join(hits.hint("shuffle_hash"), key, "left").withColumn(all_lines, lines_of(F.col(text)))
+    stay = F.when(F.col(gone).isNull(), F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col(gone), line_digest(x))))
+    lines = lines.withColumn(kept, stay)
+    out = lines.withColumns({"n_lines": F.size(all_lines).cast("long"), "n_dropped": (F.size(all_lines) - F.size(kept)).cast("long"), text: F.array_join(kept, "\n")})
+    return out.drop(key, gone, all_lines, kept)

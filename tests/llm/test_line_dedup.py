@@ -85,3 +85,38 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in op2_line_dedup(spark, str(tmp_path)).collect()}
     assert all(got[i]["kept_sha256"] == hashlib.sha256(f"own {i}".encode()).hexdigest() and got[i]["n_dropped"] == 1 for i, _ in docs)
+
+
+def test_query_counts_documents_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL, op2_line_dedup
+
+    rows = [(1, "often\nx")] * 8 + [(1, "often")] * 4 + [(k, "Nine\nten \nrest\nonce") for k in range(2, 10)] + [(10, "nine\nTEN"), (11, "ten\nonce\n"), (12, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    ours = sorted(tuple(r[c] for c in names) for r in op2_line_dedup(spark, str(tmp_path)).collect())
+    assert ours == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL['op2_line_dedup']})").fetchall())
+    assert (1, 2, 0) in {r[:3] for r in ours} and (10, 2, 1) in {r[:3] for r in ours}
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_shards_in_turn_give_the_same(spark, least, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 2)
+    rng = random.Random(least)
+    docs = DOCS + [(100 + i, "\n".join(rng.choice(["a", "b", "c c", "", "  ", "dd", f"own {i}"]) for _ in range(rng.randint(0, 30)))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    filters = L.build_filters(L.reference_counts(df), least, 4)
+    assert len(L.shard_groups(filters, 1)) >= 3
+    assert ours(df, min_docs=least, most_bytes=1) == ours(df, min_docs=least) == brute(docs, least)
+
+
+def test_clashing_names(spark):
+    names = ["_gone", "_lines", "_kept", "_key", "_row", "_id"]
+    df = spark.createDataFrame([(1, "a\nb", *names), (2, "a", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    rows = L.dedup_lines(df, min_docs=2).collect()
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(1, "b"), (2, "")} and all(r[n] == n for r in rows for n in names)
+    with pytest.raises(ValueError, match="together"):
+        L.dedup_lines(df, filters=df)
