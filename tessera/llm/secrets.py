@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,67 +22,107 @@ CLASSES = {
 }
 WINDOW = 20
 #: Candidates that match one of these are let through: one letter case or a capitalised word, decimal
-#: numbers, UUIDs, paths of words, placeholders.
+#: numbers, UUIDs, paths of words, placeholders. Repeated groups are possessive, as others take a stack frame a turn.
 ALLOWED = (
     r"[A-Z]?[a-z]+|[A-Z]+",
     r"[0-9]+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"/?[A-Za-z]+([/_-][A-Za-z]+)*/?",
+    r"/?[A-Za-z]++(?:[/_-][A-Za-z]++)*+/?",
     r"(?i).*(example|placeholder|changeme|xxxx|0123456789|abcdefghij).*",
 )
 
 
+#: Matches whose places are found in one fold, and characters of a run whose windows are.
+PART_MATCHES, PART_CHARS = 500, 256
+_SPAN = "struct<start:int,end:int,m:string>"
+
+
 def _scan(text: Column, pattern: str) -> Column:
     """Spans ``(start, end, m)`` of the leftmost non-overlapping matches, in code points.
 
-    split gives what lies between the matches, so that lengths add up to places.
+    split gives what lies between the matches, so that lengths add up to places. A fold copies the array it
+    adds to, so matches are dealt into parts: one fold over the parts' lengths, one inside each part.
     """
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)").alias("spans"))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
+    def spans(part: Column, begin: Column) -> Column:
+        def step(acc, x):
+            end = acc["at"] + length(x)
+            start = acc["at"] + F.length(x["gap"])
+            span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
+            return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(found, zero, step, lambda acc: acc["spans"])).otherwise(none)
+        return F.aggregate(part, F.struct(begin.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
+    def all_parts(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(x), F.lit(PART_MATCHES)), lambda i: F.slice(x, i, PART_MATCHES))
+        add = lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.aggregate(p, F.lit(0), lambda n, y: n + length(y)))
+        begins = lambda ps: F.aggregate(ps, F.array(F.lit(0)), add)
+        return once(parts, lambda ps: once(begins(ps), lambda bs: F.flatten(F.transform(ps, lambda p, k: spans(p, F.element_at(bs, k + 1))))))
 
-def high_entropy(run: Column, alphabet: str, least: float, window: int = WINDOW) -> Column:
-    """``(first, last)``: starts of the first and last window of a run with ``least`` bits a character; null if none.
+    return F.when(text.rlike(pattern), once(found, lambda x: F.when(F.size(x) <= PART_MATCHES, spans(x, F.lit(0))).otherwise(all_parts(x)))).otherwise(none)
 
-    Entropy is log2(window) - S / window with S the sum of c log2 c over the counts c. A character that
-    comes in or goes out changes one count, and S by the difference of that term.
+
+def _part_windows(chars: Column, alphabet: str, least: float, n: int) -> Column:
+    """``(first, last)``: the first and last window of ``n`` characters with ``least`` bits a character; null if none.
+
+    Entropy is log2(n) - S / n with S the sum of c log2 c over the counts c. A character that comes in or
+    goes out changes one count by one, and S by the difference of that term. Counts are five bits each of
+    some numbers, so that a step changes one of those and copies few. ``chars`` are places in the alphabet.
     """
-    size, n = len(alphabet), window
-    term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(n + 2)])
-    t = lambda c: F.element_at(term, c.cast("int") + 1)
-    slot = lambda i: F.instr(F.lit(alphabet), F.substring(run, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), size + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    each = 12  # counts of one number
+    words = -(-len(alphabet) // each)
+    term = F.lit(np.array([c * math.log2(c) if c else 0.0 for c in range(n + 2)]))
+    unit = F.lit(np.array([1 << 5 * k for k in range(each)], np.int64))
+    t = lambda c: F.element_at(term, c + 1)
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    count = lambda ws, at: F.call_function("shiftright", F.element_at(ws, F.floor(at / each).cast("int") + 1), (at % each * 5).cast("int")).bitwiseAND(31).cast("int")
+    change = lambda ws, at, by: F.transform(ws, lambda w, k: F.when(k == F.floor(at / each).cast("int"), w + by * F.element_at(unit, (at % each + 1).cast("int"))).otherwise(w))
 
     def move(acc, at, by):
-        c = F.element_at(acc["counts"], at + 1)
-        counts = F.transform(acc["counts"], lambda v, k: F.when(k == at, v + by).otherwise(v))
-        return F.struct(counts.alias("counts"), (acc["s"] - t(c) + t(c + by)).alias("s"), acc["first"].alias("first"), acc["last"].alias("last"))
+        return once(count(acc["counts"], at), lambda c: F.struct(change(acc["counts"], at, by).alias("counts"), (acc["s"] - t(c) + t(c + by)).alias("s"), acc["first"].alias("first"), acc["last"].alias("last")))
 
     def step(acc, i):
-        one = move(acc, slot(i), F.lit(1))
-        gone = F.when(i > n, F.struct(slot(i - n).alias("at"), F.lit(-1).alias("by"))).otherwise(F.struct(F.lit(0).alias("at"), F.lit(0).alias("by")))
-        # array folds stand in for names: each holds a value once, so that it is computed once
-        fold = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-        both = lambda a: fold(gone, lambda g: move(a, g["at"], g["by"]))
+        came = move(acc, F.element_at(chars, i), 1)
+        went = lambda a: F.when(i > n, move(a, F.element_at(chars, F.greatest(i - n, F.lit(1))), -1)).otherwise(a)
 
         def mark(a):
             hit = (i >= n) & (F.lit(math.log2(n)) - a["s"] / n >= least)
             start = i - n
             return F.struct(a["counts"].alias("counts"), a["s"].alias("s"), F.when(hit, F.coalesce(a["first"], start)).otherwise(a["first"]).alias("first"), F.when(hit, start).otherwise(a["last"]).alias("last"))
 
-        return fold(fold(one, both), mark)
+        return once(once(came, went), mark)
+
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
+
+
+def high_entropy(run: Column, alphabet: str, least: float, window: int = WINDOW) -> Column:
+    """``(first, last)``: start of the first and end of the last window of a run with ``least`` bits a character; null if none.
+
+    The run is cut into parts that share ``window - 1`` characters, so that every window lies in one. Only
+    the outermost windows matter: parts are looked through from the front to the first that has one, and
+    from the back.
+    """
+    code = F.lit(np.array([max(0, alphabet.find(chr(c))) for c in range(128)], np.int32))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    pieces = F.regexp_extract_all(run, F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0))
+    places = lambda piece: F.transform(F.split(piece, ""), lambda ch: F.element_at(code, F.ascii(ch) + 1))
+
+    def outermost(ps: Column) -> Column:
+        seen = lambda k: _part_windows_of(F.concat(F.element_at(ps, k), F.left(F.coalesce(F.try_element_at(ps, k + 1), F.lit("")), F.lit(window - 1))))
+        _part_windows_of = lambda piece: once(places(piece), lambda chars: _part_windows(chars, alphabet, least, window))
+        none = F.expr("cast(null as struct<at:int,first:int,last:int>)")
+        look = lambda acc, k: F.when(acc.isNotNull(), acc).otherwise(once(seen(k), lambda w: F.when(w.isNotNull(), F.struct(((k - 1) * PART_CHARS).alias("at"), w["first"].alias("first"), w["last"].alias("last")))))
+        front = F.aggregate(F.sequence(F.lit(1), F.size(ps)), none, look)
+        back = F.aggregate(F.sequence(F.size(ps), F.lit(1)), none, look)
+        both = lambda f: F.when(f.isNotNull(), once(back, lambda b: F.struct((f["at"] + f["first"]).alias("first"), (b["at"] + b["last"] + window).alias("last"))))
+        return once(front, both)
 
-    places = F.sequence(F.lit(1), F.length(run))
-    return F.aggregate(places, zero, step, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), (acc["last"] + n).alias("last"))))
+    return once(pieces, outermost)
 
 
 def _windows_of(alphabet: str, least: float):
@@ -116,8 +157,11 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", al
         out = out.withColumn(f"_class_{name}", runs)
         seen = F.transform(f"_class_{name}", _windows_of(alphabet, least))
         part = F.transform(F.filter(seen, lambda s: s["w"].isNotNull()), lambda s: F.struct((s["at"] + s["w"]["first"]).alias("start"), (s["at"] + s["w"]["last"]).alias("end")))
-        out = out.withColumn(f"_class_{name}", _spans("entropy", part))
+        out = out.withColumn(f"_class_{name}", part)
     out = out.withColumn("_base", F.concat(*[_spans(k, F.col(f"_{k}")) for k in KINDS[:3]]))
-    out = out.withColumn("_entropy", F.array_distinct(F.concat(*[F.col(f"_class_{c}") for c in CLASSES])))
+    # spans as numbers, of which repeated ones are found by hash and not by comparing all
+    packed = F.transform(F.concat(*[F.col(f"_class_{c}") for c in CLASSES]), lambda s: F.shiftleft(s["start"].cast("long"), 32) + s["end"])
+    unpacked = F.transform(F.array_distinct(packed), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("end")))
+    out = out.withColumn("_entropy", _spans("entropy", unpacked))
     count = lambda k: F.size(f"_{k}").cast("long").alias(f"n_{k}")
     return out.select("doc_id", *map(count, KINDS), _written(F.col("_base")).alias("base_spans"), _written(F.concat("_base", "_entropy")).alias("spans"))

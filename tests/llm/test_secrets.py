@@ -56,3 +56,24 @@ def test_allow_list(spark):
     got = S.scan_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["n_entropy"] for r in got] == [1, 0, 0, 0, 0]
     assert S.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_runs_are_looked_through_in_parts(spark):
+    rng = random.Random(8)
+    _, alphabet, least = S.CLASSES["base64"]
+    loud = "".join(rng.choice(alphabet) for _ in range(40))
+    runs = ["".join(rng.choice(alphabet[: rng.choice([4, 9, 66])]) for _ in range(n)) for n in (255, 256, 257, 275, 276, 511, 700, 2000)]
+    runs += ["a" * k + loud + "b" * 600 for k in (230, 240, 250, 256, 500)] + ["ab" * 700]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, r string").select("i", S.high_entropy(F.col("r"), alphabet, least).alias("w")).collect()
+    for g in got:
+        assert (g["w"] and (g["w"]["first"], g["w"]["last"])) == brute_windows(runs[g["i"]], alphabet, least, S.WINDOW)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    alphabet = S.CLASSES["base64"][1].replace("x", "").replace("X", "")  # four in a row are a placeholder
+    texts = ["ab-" * 350_000, "1." * 500_000, "".join(rng.choice(alphabet) for _ in range(1_000_000)), "abcd" * 60_000, "token=abcdef1 " * 20_000, "so it goes. " * 400_000]
+    got = {r["doc_id"]: r for r in S.scan_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)).collect()}
+    assert [got[i]["n_entropy"] for i in range(6)] == [0, 0, 1, 0, 0, 0]
+    assert got[2]["spans"].endswith("1000000") and got[4]["n_assign"] == 20_000
+    assert got[4]["base_spans"] == base(texts[4])
