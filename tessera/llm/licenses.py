@@ -63,9 +63,13 @@ TEMPLATES = {
 }
 
 
+#: Possessive, as a repeated group that can give back takes a stack frame a turn.
+WORD = r"[\p{L}\p{N}]++(?:[.-][\p{L}\p{N}]++)*+"
+
+
 def word_lines(text: Column) -> Column:
     """Hashes of the words of each line: runs of letters and digits, dots and dashes inside, A-Z lower-cased."""
-    words = lambda line: F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+    words = lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
     lines = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "\n", -1)
     return F.transform(lines, lambda line: F.transform(words(line), lambda w: F.xxhash64(w)))
 

@@ -44,3 +44,8 @@ def test_each_template_inside_a_long_paragraph(spark):
     docs += [(20 * i + 10, noise(12) + " " + body + " " + noise(12)) for i, body in enumerate(L.TEMPLATES.values())]
     got = scan(spark, docs)
     assert {(20 * i + k, name) for i, name in enumerate(L.TEMPLATES) for k in range(11)} <= got
+
+
+def test_very_long_texts(spark):
+    texts = ["1." * 500_000, "a-" * 500_000, "x" * 1_000_000, "word " * 100_000 + "Released under the MIT License." + " word" * 1000]
+    assert scan(spark, list(enumerate(texts))) == {(3, "notice-mit")}
