@@ -77,3 +77,46 @@ def test_reader_forgets_between_texts():
 @pytest.mark.parametrize(("token", "kind"), [("3", 1), ("1,000.5", 1), ("$5", 1), ("km", 3), ("Mary", 2), ("MARY", 0), ("word", 0), ("a1", 0), ("...", 0)])
 def test_types(token, kind):
     assert D._read(token)[3] == kind
+
+
+def test_changes_of_all_parts_count(spark):
+    a, b = "the baker sold 12 loaves on the first day of the fair in May", "and then 30 rolls to the mayor who paid 9 coins for all of them"
+    changed = b.replace("30", "31").replace("9", "8")
+    rest = "so it went on and on for quite some time that year"
+    got = found(spark, [(1, f"{a} {rest} {changed}"), (2, f"{a} {b}"), (3, f"{a} {b} {rest} {a} {changed}")], [(1, f"{a} {b}")])
+    assert got == {(1, 1): 2, (2, 1): 0, (3, 1): 0}
+
+
+def test_number_tables_go_by_values(spark):
+    table = "11 12 13 14 15 16 17 18 19 20 21 22"
+    docs = [(1, " ".join(str(k) for k in range(3000, 5000))), (2, f"see {table} there"), (3, "1 2 3 4 5 6 7 8 9 10")]
+    assert set(found(spark, docs, [(1, table)])) == {(2, 1)}
+
+
+def test_one_slip_in_a_long_item(spark):
+    parts = [f"clerk number {k} filed {k * 7} forms in room {k + 400} that day" for k in range(12)]
+    item = " and ".join(parts) + " while clerk number 3 slept"
+    assert (1, 1) in found(spark, [(1, item.replace("clerk number 3 slept", "clerk number 8 slept"))], [(1, item)])
+
+
+def brute(docs, bench):
+    """Items whose tokens, but for case, all stand in a row in a text: what any method must find."""
+    norm = lambda t: [D._read(w)[2].lower() for w in (t or "").split()]
+    out = set()
+    for i, t in docs:
+        words = norm(t)
+        for k, b in bench:
+            item = norm(b)
+            if len(item) >= D.LEAST_TOKENS and any(words[j : j + len(item)] == item for j in range(len(words) - len(item) + 1)):
+                out.add((i, k))
+    return out
+
+
+def test_all_verbatim_copies_and_no_others(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))), str(rng.randrange(1000)), "Zed", "km"])
+    noise = lambda n: " ".join(word() for _ in range(n))
+    bench = [(k, noise(rng.randint(4, 40))) for k in range(25)]
+    docs = [(k, noise(rng.randint(0, 60)) + " " + rng.choice(bench)[1] + " " + noise(rng.randint(0, 60)) if k % 2 else noise(rng.randint(0, 160))) for k in range(120)]
+    want = brute(docs, bench)
+    assert len(want) >= 60 and set(found(spark, docs, bench)) == want
