@@ -3,12 +3,15 @@
 1. Each document's distinct five-word shingles are hashed and give ``k`` minima. A register keeps of
    its minimum the number of leading zeros and the next ``MANTISSA`` bits: 16 bits in place of 32.
 2. Documents with equal shingle sets become one class, represented by their smallest id.
-3. Bands of ``rows`` registers put representatives into buckets; buckets that share members join up
-   into blobs (connected components over star edges, one edge a member and not one a pair).
-4. A blob is cut into blocks; each pair of blocks is one unit of work. There the registers of all
-   pairs are compared: a pair that agrees in some band and whose collision-corrected estimate is not
-   well under the limit has its full sets intersected. Only a spanning forest of the links leaves the task.
-5. Components of the links, spread back over the classes.
+3. Bands of ``rows`` registers put classes into buckets. Each bucket's smallest class is its hub, and every
+   other member makes a star edge to it, one edge a member and not one a pair. Edges whose
+   collision-corrected estimate is not well under the limit are verified on full sets, leaf by leaf past
+   their hub; components of what holds contract most groups to one node.
+4. Pairs without the hub are still open in buckets whose other members are not all in one component.
+   Such a bucket is cut into blocks, and the registers of each pair of blocks are compared; only members of
+   pairs between components that pass the estimate come back, and only those have their sets compared. A
+   spanning forest of the links leaves the task.
+5. Components of all links, spread back over the classes.
 
 No pair of a bucket is emitted as a row and no bucket is capped. A link is missed only if no band
 agrees (8e-8 at similarity 0.85 and 2e-5 at 0.80 for 28 bands of 5) or its estimate falls six
@@ -20,18 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, windows64, word_hashes
+from tessera.llm.base import cut, give_back, windows64, word_hashes
 from tessera.llm.components import connected_components
 
 BANDS, ROWS, MANTISSA = 28, 5, 10
-#: Documents of a block, on average.
-BLOCK_DOCS = 192
+#: Members of a block on average, and their shingles; leaves of a hub that one task compares with it.
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_LEAVES = 512, 1_000_000, 1_000
 _U32 = np.uint32
 
 
@@ -69,17 +71,33 @@ def registers(sets: list[np.ndarray], k: int) -> np.ndarray:
     return compress(least)
 
 
-def estimate(agree: np.ndarray, k: int) -> np.ndarray:
-    """Jaccard similarity from the share of agreeing registers, less the share that agrees by accident.
+def accident(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The share of registers of disjoint sets of n and m shingles that agree all the same.
 
-    Two different minima with equal leading zeros share their mantissa with probability 2**-MANTISSA,
-    and leading zeros of different sets agree at most half the time or so.
+    A minimum of n uniform values has z leading zeros with probability (1 - 2**-(z+1))**n - (1 - 2**-z)**n,
+    from P(minimum >= x); two such agree in z and then, inside that range nearly uniform, in the mantissa.
     """
-    accident = 0.5 * 2.0**-MANTISSA
-    return np.maximum(0, (agree / k - accident) / (1 - accident))
+    z = np.arange(33)
+    lead = lambda x: (1 - 2.0 ** -(z + 1)) ** x[..., None] - (1 - 2.0**-z) ** x[..., None]
+    return (lead(np.asarray(n, float)) * lead(np.asarray(m, float))).sum(-1) * 2.0**-MANTISSA
 
 
-def _sketch(bands: int, rows: int, words: int):
+def estimate(agree: np.ndarray, k: int, by_chance: np.ndarray | float = 0.5 * 2.0**-MANTISSA) -> np.ndarray:
+    """Jaccard similarity from the share of agreeing registers, less the share that agrees by accident."""
+    return np.maximum(0, (agree / k - by_chance) / (1 - by_chance))
+
+
+def least_estimate(percent: int, k: int) -> float:
+    """Six standard deviations under the limit."""
+    limit = percent / 100
+    return limit - 6 * np.sqrt(limit * (1 - limit) / k)
+
+
+def sizes_allow(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _sketch(bands: int, rows: int, words: int, more: list[str] = ()):
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,19 +120,21 @@ def _sketch(bands: int, rows: int, words: int):
                         regs[i], band[i] = reg[r].tobytes(), keys[r].view(np.int64)
                 class_key = [set_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at : at + len(sets)], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_key, pa.int64()), pa.array(regs, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                    ["id", "n", "class_key", "registers", "bands"],
+                    [pa.array(ids[at : at + len(sets)], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_key, pa.int64()), pa.array(regs, pa.binary()), pa.array(band, pa.list_(pa.int64())), *(b[c].slice(at, len(sets)) for c in more)],
+                    ["id", "n", "class_key", "registers", "bands", *more],
                 )
                 at += len(sets)
+        give_back()
 
     return run
 
 
 class _Forest:
-    """Union-find over the rows of one pair of blocks."""
+    """Union-find over the members of one pair of blocks and the components they are in."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, groups: np.ndarray):
+        _, first, at = np.unique(groups, return_index=True, return_inverse=True)
+        self.up = first[at].tolist()
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -127,74 +147,188 @@ class _Forest:
         return i != j
 
 
-def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets[left[i]] and sets[right[i]], exactly."""
-    out = np.empty(len(left), np.int64)
-    for i, (x, y) in enumerate(zip(left, right, strict=True)):
-        a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        out[i] = np.count_nonzero(b[at] == a)
-    return out
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
 
+def open_pairs(part: np.ndarray, group: np.ndarray, regs: np.ndarray, n: np.ndarray, band: int, bands: int, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between part 0 and part 1, or inside part 0 if it stands alone, that need their sets compared; best first.
 
-def link(ids: np.ndarray, part: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], bands: int, rows: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between part 0 and part 1, or inside part 0 if it stands alone."""
-    k, n = bands * rows, np.array([len(s) for s in sets])
+    Left out are pairs of one component, of sizes or registers too unlike, and those that an earlier band's
+    bucket has too.
+    """
+    k = bands * rows
     first = np.flatnonzero(part == 0)
     second = np.flatnonzero(part == 1) if (part == 1).any() else first
-    limit = percent / 100
-    least = limit - 6 * np.sqrt(limit * (1 - limit) / k)
-    agree = np.zeros((len(first), len(second)), np.int32)
-    banded = np.zeros(agree.shape, bool)
-    for j in range(bands):
-        all_rows = np.ones(agree.shape, bool)
-        for c in range(j * rows, (j + 1) * rows):
-            same = regs[first, c][:, None] == regs[second, c][None, :]
-            agree += same
-            all_rows &= same
-        banded |= all_rows
-    size = 100 * np.minimum(n[first][:, None], n[second][None, :]) >= percent * np.maximum(n[first][:, None], n[second][None, :])
-    ask = banded & size & (estimate(agree, k) >= least)
+    ask = (group[first][:, None] != group[second][None, :]) & sizes_allow(n[first][:, None], n[second][None, :], percent)
     if second is first:
         ask = np.triu(ask, 1)
-    x, y = np.nonzero(ask)
+    agree, earlier = np.zeros(ask.shape, np.int16), np.zeros(ask.shape, bool)
+    if ask.any():
+        for j in range(bands):
+            all_rows = np.ones(ask.shape, bool)
+            for c in range(j * rows, (j + 1) * rows):
+                same = regs[first, c][:, None] == regs[second, c][None, :]
+                agree += same
+                all_rows &= same
+            if j < band:
+                earlier |= all_rows
+    x, y = np.nonzero(ask & ~earlier & (agree >= k * least_estimate(percent, k)))
+    fine = estimate(agree[x, y], k, accident(n[first[x]], n[second[y]])) >= least_estimate(percent, k)
+    x, y = x[fine], y[fine]
     order = np.argsort(-agree[x, y], kind="stable")
-    x, y = first[x[order]], second[y[order]]
-    forest, links = _Forest(len(ids)), []
-    for at in range(0, len(x), 256):
-        px, py = x[at : at + 256], y[at : at + 256]
-        open_ = np.array([forest.find(i) != forest.find(j) for i, j in zip(px, py, strict=True)], bool)
-        px, py = px[open_], py[open_]
-        both = _intersections(sets, px, py)
-        for i, j, c in zip(px, py, both, strict=True):
-            if 100 * c >= percent * (n[i] + n[j] - c) and forest.join(int(i), int(j)):
-                links.append((int(ids[i]), int(ids[j])))
-    return links
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys from batches sorted by key; one run is held at a time; repeated ids once."""
-    held: list[pd.DataFrame] = []
+    return first[x[order]], second[y[order]]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys from batches sorted by key; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
-        pdf = b.to_pandas()
-        keys = pdf[key].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            if lo == hi:
-                continue
-            if last is not None and tuple(keys[lo]) != last:
-                yield pd.concat(held).drop_duplicates("id")
+        if not b.num_rows:
+            continue
+        cols = [b[k].to_numpy() for k in key]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = (np.flatnonzero(change) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            now = tuple(c[lo] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
                 held = []
-            last = tuple(keys[lo])
-            held.append(pdf.iloc[lo:hi])
+            last = now
+            held.append(b.slice(lo, hi - lo))
     if held:
-        yield pd.concat(held).drop_duplicates("id")
+        yield pa.Table.from_batches(held)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, a row for each row of docs.
+_LINKS = "a long, b long"
+
+
+def _likely(stars: DataFrame, percent: int, k: int) -> DataFrame:
+    """The star edges ``(a, b, na, nb, ra, rb)`` that sizes and registers allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b[c].to_numpy().astype(float) for c in ("na", "nb"))
+            ra, rb = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(-1, k) for c in ("ra", "rb"))
+            keep = sizes_allow(na, nb, percent) & (estimate((ra == rb).sum(1), k, accident(na, nb)) >= least_estimate(percent, k))
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return stars.mapInArrow(run, _LINKS)
+
+
+def _sets(asked: DataFrame, classes: DataFrame, base: DataFrame, words: int) -> DataFrame:
+    """asked(node, uses) -> ``(node, uses, shingles)`` from the class's text, which is read and hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):  # few sets at a time
+                part = b.slice(at, 256)
+                sets = [shingle_set(t.as_py(), words) for t in part["_text"]]
+                own = pa.array([set_key(s) == k for s, k in zip(sets, part["node"].to_pylist(), strict=True)])  # not another text of the same id
+                yield pa.RecordBatch.from_arrays([part["node"], part["uses"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "uses", "shingles"]).filter(own)
+        give_back()
+
+    rows = asked.join(classes.select("node", "rep"), "node").join(base, F.col("rep") == F.col("_id")).select("node", "uses", "_text")
+    return rows.mapInArrow(run, f"node long, uses {asked.schema['uses'].dataType.simpleString()}, shingles binary")
+
+
+def _star_links(likely: DataFrame, classes: DataFrame, base: DataFrame, percent: int, words: int) -> DataFrame:
+    """The likely star edges ``(a, b)`` that hold on full sets; leaves stream past their hub."""
+    parts = likely.groupBy("b").agg(F.count("*").alias("m")).select("b", F.ceil(F.col("m") / STAR_LEAVES).cast("int").alias("parts"))
+    leaves = likely.join(parts, "b").select(F.col("a").alias("node"), F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("leaf")).alias("use"))
+    hubs = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("node"), F.struct("b", "part", F.lit(0).alias("leaf")).alias("use"))
+    uses = leaves.unionByName(hubs).groupBy("node").agg(F.collect_list("use").alias("uses"))
+    held = _sets(uses, classes, base, words)
+    units = held.select("node", F.explode("uses").alias("use"), "shingles").select("use.b", "use.part", "use.leaf", "node", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
+        for b in batches:
+            found = []
+            for h, leaf, node, raw in zip(b["b"].to_pylist(), b["leaf"].to_pylist(), b["node"].to_pylist(), b["shingles"], strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not leaf:
+                    hub, own = h, s.copy()
+                elif h == hub:
+                    c = _common(own, s)
+                    if 100 * c >= percent * (len(own) + len(s) - c):
+                        found.append((node, h))
+            yield _links(found)
+        give_back()
+
+    return units.repartition("b", "part").sortWithinPartitions("b", "part", "leaf").mapInArrow(run, _LINKS)
+
+
+def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps: DataFrame, percent: int, words: int, bands: int, rows: int) -> DataFrame | None:
+    """Links between components inside buckets, ``buckets(bucket, band, node, low)``; None where nothing is open."""
+    own = buckets.where("node <> low").join(comps.select(F.col("node").alias("cnode"), "component"), F.col("node") == F.col("cnode"), "left")
+    own = own.join(classes.select(F.col("node").alias("nnode"), "n"), F.col("node") == F.col("nnode")).select("bucket", "band", "node", "n", F.coalesce("component", "node").alias("group"))
+    several = own.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("g <> h")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    # a key of its own has an exchange of its own, which the skew-join rule can split
+    key = F.col("bucket").bitwiseXOR(F.lit(1)).alias("key")
+    rest = cut(own.select(key, "*").join(several.select(key, blocks.alias("nb")), "key").select("bucket", "band", "node", "n", "group", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb"))
+    if rest.isEmpty():
+        return None
+    # block i meets every block j >= i; a unit (lo, hi) gets both, lo = hi has one
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+        return df.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("part"))
+
+    unit = ["bucket", "lo", "hi"]
+    registers_of = classes.select(F.col("node").alias("rnode"), "registers")
+    units = dealt(rest.join(registers_of, F.col("node") == F.col("rnode"))).select(*unit, "part", "band", "node", "n", "group", "registers")
+
+    def arrays(g: pa.Table) -> tuple:
+        regs = np.frombuffer(b"".join(g["registers"].to_pylist()), np.uint16).reshape(g.num_rows, bands * rows)
+        return g["part"].to_numpy(), g["group"].to_numpy(), regs, g["n"].to_numpy(), g["band"][0].as_py(), bands, rows, percent
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, unit):
+            x, y = open_pairs(*arrays(g))
+            if len(x):
+                yield from g.select([*unit, "node"]).take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
+        give_back()
+
+    asked = cut(units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(ask, "bucket long, lo int, hi int, node long"))
+    if asked.isEmpty():
+        return None
+    uses = asked.groupBy("node").agg(F.collect_set(F.struct(*unit)).alias("uses"))
+    held = _sets(uses, classes, base, words).select(F.explode("uses").alias("use"), "node", "shingles").select("use.*", "node", "shingles")
+    member = dealt(rest).select(*unit, "part", "band", "node", "n", "group").join(held, [*unit, "node"]).join(registers_of, F.col("node") == F.col("rnode")).drop("rnode")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, unit):
+            x, y = open_pairs(*arrays(g))
+            nodes, n, groups = (g[c].to_numpy() for c in ("node", "n", "group"))
+            sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in g["shingles"]]
+            forest, found = _Forest(groups), []
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if forest.find(i) != forest.find(j):
+                    c = _common(sets[i], sets[j])
+                    if 100 * c >= percent * (n[i] + n[j] - c):
+                        forest.join(i, j)
+                        found.append((int(nodes[i]), int(nodes[j])))
+            yield _links(found)
+        give_back()
+
+    return member.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, _LINKS)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, bands: int = BANDS, rows: int = ROWS, text_hash: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, a row for each row of docs; with ``text_hash`` also xxhash64 of the text.
 
     Linked are documents with 100 * intersection >= percent * union of their shingle sets, confirmed
     on the full sets. component_id is the smallest id reachable over links. Documents without words
@@ -204,48 +338,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Ids are integers.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    sketches = cut(base.mapInArrow(_sketch(bands, rows, words), "id long, n long, class_key long, registers binary, bands array<long>"))
+    more = {"text_hash": F.xxhash64("_text")} if text_hash else {}
+    sketches = cut(base.withColumns(more).mapInArrow(_sketch(bands, rows, words, [*more]), "id long, n long, class_key long, registers binary, bands array<long>" + "".join(f", {c} long" for c in more)))
     # documents with equal sets: the smallest id stands for them
-    reps = sketches.where("id is not null and n > 0").groupBy("n", "class_key").agg(F.min("id").alias("rep"), F.min_by("registers", "id").alias("registers"), F.min_by("bands", "id").alias("bands"))
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("m")).where("m > 1")
-    stars = buckets.join(first, "bucket").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    blobs = cut(connected_components(stars.distinct()))
-    edges = cut(_verified(base, reps.select("rep", "registers", "class_key"), blobs, percent, words, bands, rows))
-    comps = connected_components(edges)
-    classes = reps.select("n", "class_key", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("n", "class_key", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n", "class_key").join(classes, ["n", "class_key"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    out = out.select("id", "n", component.cast("long").alias("component"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
-
-
-def _verified(base: DataFrame, reps: DataFrame, blobs: DataFrame, percent: int, words: int, bands: int, rows: int) -> DataFrame:
-    """Links ``(a, b)`` inside blobs, verified on full shingle sets; a forest a pair of blocks."""
-    sizes = blobs.groupBy("component").agg(F.count("*").alias("m"))
-    n_blocks = F.ceil(F.col("m") / F.lit(BLOCK_DOCS)).cast("int")
-    placed = blobs.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("blob"), n_blocks.alias("nb")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    members = placed.join(reps, "rep").join(base, F.col("rep") == F.col("_id"))
-    schema = "blob long, block int, nb int, id long, registers binary, shingles binary"
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b["_text"]]
-            own = pa.array([set_key(s) == k for s, k in zip(sets, b["class_key"].to_pylist(), strict=True)])  # not another text of the same id
-            full = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["blob"], b["block"], b["nb"], b["rep"], b["registers"], full], ["blob", "block", "nb", "id", "registers", "shingles"]).filter(own)
-
-    sets = members.select("blob", "block", "nb", "rep", "registers", "class_key", "_text").mapInArrow(to_sets, schema)
-    # block i meets every block j >= i; a unit (lo, hi) gets both, lo = hi has one
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("_other")
-    units = sets.select("*", other).select("blob", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), (F.col("block") > F.col("_other")).cast("int").alias("part"), "id", "registers", "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["blob", "lo", "hi"]):
-            regs = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), bands * rows)
-            held = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-            if len(found := link(g["id"].to_numpy(), g["part"].to_numpy(), regs, held, bands, rows, percent)):
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return units.repartition("blob", "lo", "hi").sortWithinPartitions("blob", "lo", "hi").mapInArrow(verify, "a long, b long")
+    classes = sketches.where("id is not null and n > 0").groupBy(F.col("class_key").alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    classes = cut(classes)
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    first = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1")
+    buckets = cut(buckets.join(first, "bucket").select("bucket", "band", "node", "low", "m"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+    stars = buckets.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    likely = cut(_likely(stars.join(side("a"), "a").join(side("b"), "b"), percent, bands * rows))
+    comps = cut(connected_components(_star_links(likely, classes, base, percent, words)))
+    others = _open_links(buckets.where("m > 2"), classes, base, comps, percent, words, bands, rows)
+    if others is not None:
+        comps = connected_components(comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(others))
+    member = comps.select(F.col("component").bitwiseXOR(F.lit(1)).alias("key"), "node").join(classes.select("node", "rep"), "node")
+    lowest = member.groupBy("key").agg(F.min("rep").alias("component"))
+    # a key of its own has an exchange of its own, which the skew-join rule can split
+    named = member.select(F.col("key").bitwiseXOR(F.lit(2)).alias("k"), "node").join(lowest.select(F.col("key").bitwiseXOR(F.lit(2)).alias("k"), "component"), "k").select(F.col("node").alias("class_key"), "component")
+    named = classes.select(F.col("node").alias("class_key"), "rep").join(named, "class_key", "left").select("class_key", F.coalesce("component", "rep").alias("component"))
+    out = sketches.select("id", "n", "class_key", *more).join(named, "class_key", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    out = out.select("id", "n", component.cast("long").alias("component"), *more)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), *more)

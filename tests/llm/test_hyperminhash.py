@@ -79,3 +79,47 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_open_buckets(spark, monkeypatch):
+    """Rows that meet in buckets whose hub is unlike them are compared among themselves, over several blocks."""
+    monkeypatch.setattr(H, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(H, "STAR_LEAVES", 2)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    docs, n = [], 0
+    for _ in range(4):  # families whose members share about half, in groups of near copies
+        common = [rng.choice(words) for _ in range(150)]
+        for _ in range(4):
+            own = common + [rng.choice(words) for _ in range(40)]
+            for _ in range(4):
+                w = list(own)
+                w[rng.randrange(len(w))] = rng.choice(words)
+                docs.append((n, " ".join(w)))
+                n += 1
+    rng.shuffle(docs)
+    seen = []
+    before = H._open_links
+    monkeypatch.setattr(H, "_open_links", lambda *a: seen.append(before(*a)) or seen[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()}
+    assert got == brute(docs, 85)
+    assert seen[0] is not None
+
+
+def test_many_near_copies(spark):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    docs = []
+    for i in range(3000):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    got = H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).groupBy("component_id").count().collect()
+    assert [(r["component_id"], r["count"]) for r in got] == [(0, 3000)]
+
+
+def test_accidents(spark):
+    rng = np.random.default_rng(6)
+    for n, m in ((50, 50), (50, 5000), (3000, 3000)):
+        share = [np.mean(np.equal(*H.registers([rng.integers(0, 1 << 63, x, np.uint64) for x in (n, m)], 4000))) for _ in range(12)]
+        assert abs(np.mean(share) - H.accident(np.array([n]), np.array([m]))[0]) < 3e-4
