@@ -7,7 +7,8 @@ window is s shares one of ``len(SEEDS)`` bands of one minimum with probability 1
 template, so a third kind of window is a single shingle: it shares a band with a template if it is one of the
 template's least shingles under the seeds. A text with a share c of a template's shingles, whatever stands
 around them, holds one of those with probability about 1 - (1 - c) ** len(SEEDS): 1 for whole templates.
-What a shared band retrieves is verified on the shingles themselves.
+What a shared band retrieves is verified on the shingles themselves. A text without a single shingle of any
+template can hold none of them, so only the others have their windows made.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import LOWER, UPPER
-
 SHINGLE, WINDOW, STEP, CONTAINED = 4, 64, 32, 0.8
 #: Templates of fewer shingles must be found whole: one word there is another license.
 SHORT = 20
@@ -67,11 +66,18 @@ TEMPLATES = {
 WORD = r"[\p{L}\p{N}]++(?:[.-][\p{L}\p{N}]++)*+"
 
 
+def words_of(text: Column) -> Column:
+    """Hashes of the words of a lower-cased text: runs of letters and digits, dots and dashes inside."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def word_lines(text: Column) -> Column:
-    """Hashes of the words of each line: runs of letters and digits, dots and dashes inside, A-Z lower-cased."""
-    words = lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
-    lines = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "\n", -1)
-    return F.transform(lines, lambda line: F.transform(words(line), lambda w: F.xxhash64(w)))
+    """Hashes of the words of each line."""
+    return F.transform(F.split(lowered(text), "\n", -1), words_of)
 
 
 def shingles_of(words: Column) -> Column:
@@ -133,11 +139,16 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     known = template_table(docs.sparkSession, templates)
     least = known.where("n_words > 0").select("license", "n_words", F.explode(least_shingles(F.col("shingles"))).alias("band"))
     spots = least.collect()  # at most len(SEEDS) a template
+    own = sorted({h for r in known.select("shingles").collect() for h in r["shingles"]})
+    shortest = min((r["n_words"] for r in spots), default=0)
     around = max((r["n_words"] for r in spots), default=WINDOW)
     of_windows = windows(known.select("license", "body"), "body").select("license", shingles_of(F.col("words")).alias("s"))
     bands = F.broadcast(of_windows.select("license", F.explode(bands_of(F.col("s"))).alias("band")).union(least.select("license", "band")).distinct())
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    asked = windows(base, "body", sorted({r["band"] for r in spots}), around).select("doc_id", "spot", shingles_of(F.col("words")).alias("s"))
+    # no word spans lines, so the words of all lines are those of the text
+    # an array of one stands in for a name, so that the words are found once
+    held = F.exists(F.array(words_of(lowered(F.col("body")))), lambda ws: F.exists(shingles_of(ws), lambda h: h.isin(own)))
+    asked = windows(base if shortest < SHINGLE else base.where(held), "body", sorted({r["band"] for r in spots}), around).select("doc_id", "spot", shingles_of(F.col("words")).alias("s"))
     asked = asked.select("doc_id", "s", F.explode(F.when(F.col("spot").isNull(), bands_of(F.col("s"))).otherwise(F.array("spot"))).alias("band"))
     hits = asked.join(bands, "band").select("doc_id", "license", "s")
     exact = hits.join(F.broadcast(known.select("license", "shingles")), "license")
