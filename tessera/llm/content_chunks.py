@@ -4,7 +4,8 @@ A gear rolling hash over the bytes decides where chunks end, from the last 32 by
 insertion moves the chunks around it but not those further on; where no end comes for long, the least
 hash of a window is one, so that runs start in every window. A chunk of a few words recurs by chance,
 so what is counted over all documents is the digest of the ``WINDOW_WORDS`` words from each chunk on;
-overlapping runs that other documents hold too make up repeated passages.
+overlapping runs that other documents hold too make up repeated passages, of which ``drop_repeats`` leaves
+one copy.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.base import mix64
+from tessera.llm.base import fresh, give_back, mix64
 
 #: Bytes of a chunk on average and at most, words of a run whose digest is counted, and of a passage at least.
 MEAN_BYTES, MOST_BYTES, WINDOW_WORDS, LEAST_WORDS = 32, 1024, 16, 16
@@ -25,6 +26,8 @@ MEAN_BYTES, MOST_BYTES, WINDOW_WORDS, LEAST_WORDS = 32, 1024, 16, 16
 SPAN = 3
 #: Bytes digested together; a run is told by those that lie inside it.
 GRAM = 8
+#: Sign bit of a run that is not the first of its kind in its document.
+AGAIN = np.int64(-(1 << 63))
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -97,8 +100,8 @@ def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES,
 
     A row for each first word of a chunk, and each ``words - 1`` words on inside it so that runs overlap, from
     which ``words`` words go on. To keep the shuffled rows short, at holds the run's bytes as start << 32 |
-    end, words the numbers of its first word and of the word after it likewise; d1 and d2 are 96 bits of
-    its digest.
+    end and is negative if the document has the same run further up, words the numbers of its first word and
+    of the word after it likewise; d1 and d2 are 96 bits of its digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +132,16 @@ def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES,
                     if not len(first):
                         continue
                     d = run_digests(byte_digests(data), start, end - GRAM + 1).view(np.int64)
-                    cols.append((np.full(len(first), doc, np.int64), start << 32 | end, first << 32 | first + words, d[:, 0], d[:, 1] >> 32))
+                    at_ = start << 32 | end
+                    seen = np.ones(len(at_), bool)
+                    seen[np.unique(d[:, 0], return_index=True)[1]] = False
+                    at_[seen] |= AGAIN
+                    cols.append((np.full(len(first), doc, np.int64), at_, first << 32 | first + words, d[:, 0], d[:, 1] >> 32))
                 if cols:
                     merged = [np.concatenate(c) for c in zip(*cols, strict=True)]
                     merged[4] = merged[4].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], ["doc", "at", "words", "d1", "d2"])
+        give_back()
 
     return docs.mapInArrow(run, "doc long, at long, words long, d1 long, d2 int")
 
@@ -146,20 +154,37 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     passage and falls short of it by up to 31 bytes, a window of ``SPAN * mean`` bytes and a word at the
     start, and by part of a run at the end. So with the given sizes a passage of 127 bytes and 17
     words more is always found, that is one of 51 words of 2.8 letters on average. n_docs is the largest
-    number of occurrences of one of its runs, first_doc the smallest id that holds the first one:
-    where that is another document, this copy is redundant. Null and empty texts have no chunks;
-    rows with a null id are left out; repeated rows of one id count as one document.
+    number of rows that hold one of its runs, however often, first_doc the smallest id that holds the first
+    one: where that is another document, this copy is redundant. Null and empty texts have no chunks;
+    rows with a null id are left out; a passage of repeated rows of one id alone is none.
     """
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     each = chunk_runs(base, mean, most, window_words)
-    held = each.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n_docs")).where("low < high")
+    held = each.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count_if(F.col("at") >= 0).alias("n_docs")).where("low < high")
     # a join key of its own has an exchange of its own on both sides, which the skew-join rule can split
     key = F.col("d1").bitwiseXOR(F.lit(1)).alias("key")
     hits = each.select(key, "d2", "doc", "at", "words").join(held.select(key, "d2", "low", "n_docs"), ["key", "d2"])
-    half = lambda c, n: F.shiftright(c, 32) if n else F.col(c).bitwiseAND((1 << 32) - 1)
+    half = lambda c, n: F.shiftright(F.col(c).bitwiseAND((1 << 63) - 1), 32) if n else F.col(c).bitwiseAND((1 << 32) - 1)
     hits = hits.select("doc", half("at", 1).alias("start"), half("at", 0).alias("end"), half("words", 1).alias("word"), half("words", 0).alias("word_end"), "low", "n_docs").dropDuplicates(["doc", "start", "end"])
     order = W.partitionBy("doc").orderBy("start", "end")
     hits = hits.withColumn("gap", F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(0)))
     hits = hits.withColumn("run", F.sum("gap").over(order))
     runs = hits.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_runs"), (F.max("word_end") - F.min("word")).alias("n_words"), F.max("n_docs").alias("n_docs"), F.min_by("low", "start").alias("first_doc"))
     return runs.where(F.col("n_words") >= least_words).select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs", F.col("n_words").cast("long").alias("n_words"), "n_docs", "first_doc")
+
+
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with ``text`` less the passages that a document of a smaller id holds too, so that one copy of each stays.
+
+    Rows without such passages, null texts and rows with a null id stay as they are; other columns stay
+    whatever their names. Passages begin and end with words, so what is cut out leaves the white space around it.
+    """
+    passages = repeated_passages(docs, doc_id, text, **how).where("first_doc < doc_id")
+    key, spans = fresh(docs, "_key", "_spans")
+    cuts = passages.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans))
+    raw = F.col(text).cast("binary")
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["end"]))
+    ends = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(raw).cast("long")))
+    kept = F.zip_with(begins, ends, lambda b, e: F.substring(raw, (b + 1).cast("int"), (e - b).cast("int")).cast("string"))
+    both = docs.join(cuts, F.col(doc_id).cast("long") == F.col(key), "left")
+    return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop(key, spans)

@@ -72,3 +72,47 @@ def test_passages_of_51_short_words_are_all_found(spark):
 def test_every_window_has_a_cut():
     data, table = np.random.default_rng(5).integers(97, 123, 20000).astype(np.uint8), C.gear_table()
     assert np.diff(C.cut_points(data, table, span=96)).max() <= 96 < np.diff(C.cut_points(data, table)).max()
+
+
+def test_against_brute_force(spark):
+    """Documents share 60 words in a row or more exactly where passages are found, unless they share less."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    noise = lambda n: [word() for _ in range(n)]
+    shared = [noise(n) for n in (8, 10, 60, 75, 120, 300)]
+    docs = []
+    for k in range(60):
+        w = noise(rng.randint(20, 80))
+        for p in rng.sample(shared, rng.choice([0, 1, 2])):
+            w += p + noise(rng.randint(5, 40))
+        docs.append((k, w))
+
+    def grams(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    must, may = set(), set()
+    for n, out in ((60, must), (C.WINDOW_WORDS, may)):
+        sets = {k: grams(w, n) for k, w in docs}
+        out |= {a for a, s in sets.items() for b, t in sets.items() if a != b and s & t}
+    got = C.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in got}
+    assert must <= found <= may and len(must) >= 20 and must != {k for k, _ in docs}
+
+
+def test_numbers_of_documents(spark):
+    p = " ".join(f"word{k} and" for k in range(60))
+    docs = [(1, f"{p} . {p} . {p}"), (2, f"so {p}"), (3, "x y z " * 5), (4, f"{p} end")]
+    got = C.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 4} and {r["n_docs"] for r in got} == {3} and {r["first_doc"] for r in got} == {1}
+
+
+def test_drop_repeats_leaves_one_copy(spark):
+    rng = random.Random(14)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(6)) for _ in range(n))
+    p, own = noise(120), [noise(30) for _ in range(4)]
+    docs = [(1, f"{own[0]} {p}", "u", "v"), (2, f"{own[1]} {p} {own[2]}", "u", "v"), (3, own[3], "u", "v"), (4, None, "u", "v"), (None, p, "u", "v")]
+    rows = C.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string, _key string, _spans string")).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert got[1] == docs[0][1] and got[3] == own[3] and got[4] is None and got[None] == p
+    assert got[2].startswith(own[1]) and got[2].endswith(own[2]) and len(got[2]) < len(own[1]) + len(own[2]) + len(p) // 2
+    assert all((r["_key"], r["_spans"]) == ("u", "v") for r in rows)
