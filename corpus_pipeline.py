@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, hyperminhash, line_dedup, toxicity, trie_bpe
-from tessera.llm.base import ensure_checkpoint_dir
+from tessera.llm.base import cut, ensure_checkpoint_dir
 from tessera.llm.queries import table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,10 +35,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingle similarity 0.8 or more, and all without words."""
-    found = hyperminhash.near_duplicates(docs, percent=80)
-    copies = found.where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-    return _documents(docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti"))
+    """One document of each group with five-word shingle similarity 0.8 or more, and all without words.
+
+    Rows are told apart by id and text: of an id with several texts only the copies go. Rows of one id and
+    text, if it has words, are one document; rows with a null id all stay.
+    """
+    docs = _documents(docs)
+    by = [F.col("doc_id"), F.xxhash64("text")]
+    found = cut(hyperminhash.near_duplicates(docs, percent=80, text_hash=True).where("doc_id is not null and n_shingles > 0"))
+    same = lambda df: (by[0] == df["id"]) & (by[1] == df["h"])
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).distinct()
+    left = docs.join(gone, same(gone), "left_anti")
+    again = cut(found.where("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).count().where("count > 1"))
+    if not again.isEmpty():
+        once = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(again, same(again), "left_anti").unionByName(once)
+    return _documents(left)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
