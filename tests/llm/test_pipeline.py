@@ -42,3 +42,25 @@ def test_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, FOLDER).columns
+
+
+def test_near_dedup_goes_by_rows(spark):
+    a, b = "one two three four five six seven", "something else that nobody else has written down"
+    rows = [(3, a), (5, a), (5, b), (8, None), (8, None), (None, a), (None, a), (9, "only here and in this row twice"), (9, "only here and in this row twice")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.keep_one_of_near_duplicates(spark, df, "").collect()), key=repr)
+    assert got == sorted([(3, a), (5, b), (8, None), (8, None), (None, a), (None, a), (9, rows[-1][1])], key=repr)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, missing labels and columns of clashing names go through all stages."""
+    names = ["_key", "_gone", "_bad", "score", "component_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, None, "s", None, *names) for i, t in [(None, "a b c"), (None, None), (1, "a b c"), (1, "a b c"), (1, "other words here"), (2, "x" * 50_000), (3, ""), (4, None)]]
+    for k, docs in enumerate(([], rows)):
+        at = str(tmp_path / str(k))
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        got = sorted((str(r["doc_id"]) for r in P.run(spark, at).collect()))
+        assert got == (sorted(["None", "None", "1", "1", "2", "3", "4"]) if docs else [])
