@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from tessera.functions.text import sentences, strip
 from tessera.functions.vectors import cosine, hash_embedding
 
 SIZE, OVERLAP = 500, 100
+# Separators in the order in which they are tried.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "，", "；", "：", " ", ""]
 
 
@@ -31,7 +33,8 @@ def _split(text: str, size: int, overlap: int, separators: list[str]) -> list[st
     sep, rest = separators[at], separators[at + 1 :]
     parts = list(text) if sep == "" else [p for p in re.split(f"(?={re.escape(sep)})", text) if p]
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
+    length = 0  # of what is in run
 
     def flush() -> None:
         if run:
@@ -40,14 +43,16 @@ def _split(text: str, size: int, overlap: int, separators: list[str]) -> list[st
     for p in parts:
         if len(p) > size and rest:
             flush()
-            run = []
+            run.clear()
+            length = 0
             out += _split(p, size, overlap, rest)
             continue
-        if run and sum(map(len, run)) + len(p) > size:
+        if run and length + len(p) > size:
             flush()
-            while run and (sum(map(len, run)) > overlap or sum(map(len, run)) + len(p) > size):
-                run.pop(0)
+            while run and (length > overlap or length + len(p) > size):
+                length -= len(run.popleft())
         run.append(p)
+        length += len(p)
     flush()
     return [s for s in (x.strip() for x in out) if s]
 
@@ -92,12 +97,21 @@ def around(chunks: DataFrame, width: int = 1, doc_id: str = "doc_id", idx: str =
 
 
 def page_context(items: DataFrame, width: int = 1, doc_id: str = "doc_id", page: str = "page", idx: str = "idx") -> DataFrame:
-    """Items with the contents of pages within ``width``, others than their own marked with the page."""
-    a, b = items.alias("a"), items.alias("b")
-    near = a.join(b, (F.col(f"a.{doc_id}") == F.col(f"b.{doc_id}")) & (F.abs(F.col(f"a.{page}") - F.col(f"b.{page}")) <= width))
-    mark = F.when(F.col(f"a.{page}") == F.col(f"b.{page}"), F.col("b.content")).otherwise(F.concat(F.lit("[Page "), F.col(f"b.{page}").cast("string"), F.lit("] "), F.col("b.content")))
-    each = near.groupBy(F.col(f"a.{doc_id}").alias(doc_id), F.col(f"a.{idx}").alias(idx)).agg(F.array_sort(F.collect_list(F.struct(F.col(f"b.{page}"), F.col(f"b.{idx}"), mark.alias("t")))).alias("x"))
-    return each.select(doc_id, idx, F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("context"))
+    """Items with the contents of pages within ``width``, others than their own marked with the page.
+
+    A page's contents are put together once, plain and marked; then an item asks for each page by its number.
+    """
+    lines = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("content").alias("t"))))
+    pages = items.groupBy(F.col(doc_id).alias("_d"), F.col(page).alias("_p")).agg(lines.alias("lines"))
+    mark = F.concat(F.lit("[Page "), F.col("_p").cast("string"), F.lit("] "))
+    join = lambda f: F.array_join(F.transform("lines", f), "\n")
+    pages = pages.select("_d", "_p", join(lambda x: x["t"]).alias("own"), join(lambda x: F.concat(mark, x["t"])).alias("other"))
+    # what an item gets is that of its page, so a page is asked for by pages and not by items
+    asked = items.select(F.col(doc_id).alias("d"), F.col(page).alias("p")).distinct().select("d", "p", F.explode(F.sequence(F.col("p") - width, F.col("p") + width)).alias("near"))
+    near = asked.join(pages, (F.col("d") == F.col("_d")) & (F.col("near") == F.col("_p")))
+    text = F.when(F.col("near") == F.col("p"), F.col("own")).otherwise(F.col("other"))
+    of_page = near.groupBy("d", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("near", text.alias("t")))), lambda x: x["t"]), "\n").alias("context"))
+    return items.select(doc_id, page, idx).join(of_page, (F.col(doc_id) == F.col("d")) & (F.col(page) == F.col("p"))).select(doc_id, idx, "context")
 
 
 def sentence_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

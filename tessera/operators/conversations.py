@@ -54,3 +54,41 @@ def drop_expired(sessions: DataFrame, messages: DataFrame, now: Column) -> tuple
 def save_messages(messages: DataFrame, new: DataFrame, sessions: DataFrame) -> DataFrame:
     """Messages with those new ones whose session exists."""
     return messages.unionByName(new.join(sessions.select("session_id"), "session_id", "left_semi"))
+
+
+def active_sessions(sessions: DataFrame) -> DataFrame:
+    """``(user_id, mode, session_id)``: the active session of each user and mode, the newest if there are several."""
+    live = sessions.where("is_active")
+    return live.groupBy("user_id", "mode").agg(F.max_by("session_id", F.struct("updated_at", "session_id")).alias("session_id"))
+
+
+def open_sessions(sessions: DataFrame, requests: DataFrame, days: int = 180) -> DataFrame:
+    """Sessions after requests ``(user_id, mode, session_id, now)``, one a user and mode.
+
+    An active session that has not expired is used again and lives ``days`` longer from now; else the user's
+    sessions of that mode are closed and the request's id becomes a new one.
+    ``sessions(session_id, user_id, mode, is_active, expires_at, updated_at)``.
+    """
+    later = F.col("now") + F.make_interval(days=F.lit(days))
+    asked = requests.select("user_id", "mode", F.col("session_id").alias("new_id"), "now")
+    joined = sessions.join(asked, ["user_id", "mode"], "left")
+    usable = F.col("now").isNotNull() & F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.col("now")))
+    w = W.partitionBy("user_id", "mode").orderBy(F.desc(usable), F.desc("updated_at"), F.desc("session_id"))
+    joined = joined.withColumn("_use", usable & (F.row_number().over(w) == 1))
+    old = joined.select(
+        "session_id", "user_id", "mode", F.when(F.col("now").isNull(), F.col("is_active")).otherwise(F.col("_use")).alias("is_active"),
+        F.when(F.col("_use"), later).otherwise(F.col("expires_at")).alias("expires_at"), F.when(F.col("_use"), F.col("now")).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    used = joined.where("_use").select("user_id", "mode")
+    new = asked.join(used, ["user_id", "mode"], "left_anti").select(F.col("new_id").alias("session_id"), "user_id", "mode", F.lit(True).alias("is_active"), later.alias("expires_at"), F.col("now").alias("updated_at"))
+    return old.unionByName(new)
+
+
+def recent_sessions(sessions: DataFrame, user: Column, limit: int = 50) -> DataFrame:
+    """A user's sessions, the latest first."""
+    return sessions.where(F.col("user_id") == user).orderBy(F.desc("updated_at"), "session_id").limit(limit)
+
+
+def first_messages(messages: DataFrame, session: Column, limit: int = 100, order: str = "created_at", conv_id: str = "conv_id") -> DataFrame:
+    """A session's messages, the oldest first."""
+    return messages.where(F.col(conv_id) == session).orderBy(order).limit(limit)

@@ -86,3 +86,8 @@ def prompt_context(results: DataFrame) -> DataFrame:
     """``(context)``: numbered blocks of a short result list ``(rank, title, content, score)``."""
     block = F.format_string("[来源%d] 标题: %s\n内容: %s\n得分: %.4f", F.col("rank"), F.col("title"), F.col("content"), F.col("score"))
     return results.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
+
+
+def source_list(results: DataFrame, limit: int = 10, chars: int = 500) -> DataFrame:
+    """What a stream names as its sources: the first results, their contents cut."""
+    return results.orderBy("rank").limit(limit).withColumn("content", F.left("content", F.lit(chars)))

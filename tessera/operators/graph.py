@@ -7,15 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def token_entities(docs: DataFrame, least_chars: int = 5, low: int = 2, high: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, entity_name)``: lower-cased words of ``least_chars`` letters or more, found in ``low`` to ``high`` documents.
+def token_entities(docs: DataFrame, least_chars: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, entity_name)``: each document's distinct lower-cased words of ``least_chars`` letters or more.
 
-    A substitute for extraction by a model. The bound on frequency keeps every entity's pairs bounded.
+    A substitute for extraction by a model. One scan, no shuffle.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= least_chars)
-    pairs = docs.select(doc_id, F.explode(F.array_distinct(words)).alias("entity_name"))
-    fair = pairs.groupBy("entity_name").agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    return pairs.join(fair.select("entity_name"), "entity_name").select(doc_id, "entity_name")
+    return docs.select(doc_id, F.explode(F.array_distinct(words)).alias("entity_name"))
 
 
 def merge_entities(events: DataFrame, key: tuple[str, ...] = ("name", "user_id")) -> DataFrame:
@@ -33,8 +31,13 @@ def merge_entities(events: DataFrame, key: tuple[str, ...] = ("name", "user_id")
 
 
 def append_descriptions(events: DataFrame, key: tuple[str, ...] = ("name", "type")) -> DataFrame:
-    """One row a key: first provenance, and descriptions appended in order unless already contained."""
-    per = events.groupBy(*key).agg(F.min_by("chunk_id", "seq").alias("chunk_id"), F.array_sort(F.collect_list(F.struct("seq", F.coalesce("description", F.lit("")).alias("d")))).alias("x"))
+    """One row a key: first provenance, and descriptions appended in order unless already contained.
+
+    A description counts where it first comes, so that only a key's distinct ones are gathered, however often
+    the key is mentioned.
+    """
+    said = events.groupBy(*key, F.coalesce("description", F.lit("")).alias("d")).agg(F.min("seq").alias("seq"), F.min_by("chunk_id", "seq").alias("chunk_id"))
+    per = said.groupBy(*key).agg(F.min_by("chunk_id", "seq").alias("chunk_id"), F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("x"))
     fold = F.aggregate("x", F.lit(""), lambda a, s: F.when(F.contains(a, s["d"]), a).otherwise(F.when(a == "", s["d"]).otherwise(F.concat_ws("; ", a, s["d"]))))
     return per.select(*key, "chunk_id", fold.alias("description"))
 
@@ -56,19 +59,83 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", "src", "dst").unionByName(edges.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def trails(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def trails(edges: DataFrame, seeds: DataFrame, hops: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(seed, target, hops, path)``: undirected trails of 1 to ``hops`` edges from ``seeds(seed)``; no edge twice in one.
 
-    An unrolled join a hop. Nodes may repeat, as in graph patterns.
+    An unrolled join a hop. Nodes may repeat, as in graph patterns. With ``carry`` also ``rels``: those columns
+    of the path's edges, in order.
     """
-    both = both_ways(edges)
-    reach = seeds.select("seed", F.col("seed").alias("target"), F.expr("cast(array() as array<bigint>)").alias("path"))
-    out = None
+    rel = F.struct(*carry) if carry else F.lit(None)
+    both = edges.select("edge_id", "src", "dst", rel.alias("rel")).unionByName(edges.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), rel.alias("rel")))
+    reach, out = seeds.select("seed", F.col("seed").alias("target")), None
     for k in range(1, hops + 1):
-        reach = reach.join(both, F.col("target") == F.col("src")).where(~F.array_contains("path", F.col("edge_id"))).select("seed", F.col("dst").alias("target"), F.array_append("path", F.col("edge_id")).alias("path"))
+        step = reach.join(both, F.col("target") == F.col("src"))
+        path, rels = F.array("edge_id"), F.array("rel")
+        if k > 1:
+            step = step.where(~F.array_contains("path", F.col("edge_id")))
+            path, rels = F.array_append("path", F.col("edge_id")), F.array_append("rels", F.col("rel"))
+        reach = step.select("seed", F.col("dst").alias("target"), path.alias("path"), rels.alias("rels"))
         part = reach.withColumn("hops", F.lit(k))
         out = part if out is None else out.unionByName(part)
-    return out.select("seed", "target", "hops", "path")
+    return out.select("seed", "target", "hops", "path", *(["rels"] if carry else []))
+
+
+def global_context(edges: DataFrame, entities: DataFrame, seeds: DataFrame, hops: int = 3, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Entities ``(name, kind, description, seq)`` and relations ``(source, kind, target, description, seq)`` around seeds.
+
+    Distinct trails (by ends and what their edges say), the shortest first, ``limit`` of them; each gives its
+    far end once, and each edge on it a relation from the seed to the far end.
+    ``edges(edge_id, src, dst, kind, description)``, ``entities(name, kind, description)``, ``seeds(seed)``.
+    """
+    each = trails(edges, seeds, hops, ("kind", "description")).select("seed", "target", "hops", "rels").distinct()
+    order = ["hops", "seed", "target", "rels"]
+    top = each.orderBy(*order).limit(limit).withColumn("n", F.row_number().over(W.orderBy(*order)).cast("long"))
+    ends = top.groupBy(F.col("target").alias("name")).agg(F.min("n").alias("seq"))
+    nodes = ends.join(entities, "name").select("name", "kind", F.coalesce("description", F.lit("")).alias("description"), "seq")
+    said = top.select("seed", "target", "n", F.posexplode("rels").alias("k", "rel"))
+    return nodes, said.select(F.col("seed").alias("source"), F.col("rel.kind").alias("kind"), "target", F.col("rel.description").alias("description"), (F.col("n") * hops + F.col("k")).alias("seq"))
+
+
+def local_query(edges: DataFrame, entities: DataFrame, terms: DataFrame, per_term: int = 5) -> tuple[DataFrame, DataFrame]:
+    """As ``global_context``, for one hop: entities whose name contains a term, and the relations of the terms themselves.
+
+    ``terms(term, pos)`` is a query's short list and goes to every task. Relations come once, though several
+    entities match.
+    """
+    t = F.broadcast(terms)
+    hit = entities.join(t, F.contains(F.col("name"), F.col("term")))
+    hit = hit.withColumn("rn", F.row_number().over(W.partitionBy("term").orderBy("name"))).where(F.col("rn") <= per_term)
+    nodes = hit.select("name", "kind", F.coalesce("description", F.lit("")).alias("description"), (F.col("pos") * per_term + F.col("rn")).cast("long").alias("seq"))
+    asked = hit.select("term", "pos").distinct()
+    both = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "kind", "description", "edge_id").unionByName(edges.select(F.col("dst").alias("source"), F.col("src").alias("target"), "kind", "description", "edge_id"))
+    rels = both.join(F.broadcast(asked), F.col("source") == F.col("term")).select("source", "kind", "target", "description", F.col("edge_id").alias("seq")).distinct()
+    return nodes, rels
+
+
+def related_chunks(appears: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
+    """``(chunk_id, content, doc_id)``: distinct chunks in which entities ``names(name)`` appear, less those without text.
+
+    The limit comes before empty ones go, as a result list is cut by the search itself.
+    ``appears(entity_name, doc_id, chunk_id, snippet)``.
+    """
+    hit = appears.where(F.col("chunk_id").isNotNull()).join(F.broadcast(names), F.col("entity_name") == F.col("name"), "left_semi")
+    top = hit.select("chunk_id", F.col("snippet").alias("content"), "doc_id").distinct().orderBy("doc_id", "chunk_id", "content").limit(limit)
+    return top.where(F.coalesce("content", F.lit("")) != "")
+
+
+def cross_document_relations(appears: DataFrame, anchor: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, shared)``: all documents that share entities with those of ``anchor(doc_id)``, and which."""
+    mine = appears.join(anchor, doc_id, "left_semi").select("entity_name").distinct()
+    other = appears.join(mine, "entity_name", "left_semi").join(anchor, doc_id, "left_anti")
+    return other.groupBy(doc_id).agg(F.array_sort(F.collect_set("entity_name")).alias("shared"))
+
+
+def full_graph(entities: DataFrame, edges: DataFrame, limit: int, created: str = "created_at", key: str = "name") -> tuple[DataFrame, DataFrame]:
+    """The newest ``limit`` entities and the edges among them; the limit comes before the edges."""
+    nodes = entities.orderBy(F.desc(created), key).limit(limit)
+    ends = F.broadcast(nodes.select(F.col(key).alias("_end")))
+    inside = edges.join(ends, F.col("src") == F.col("_end"), "left_semi").join(ends, F.col("dst") == F.col("_end"), "left_semi")
+    return nodes, inside
 
 
 def local_context(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -76,26 +143,32 @@ def local_context(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return both_ways(edges).join(seeds, F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("neighbour"), "edge_id").distinct()
 
 
-def search_entities(entities: DataFrame, keyword: str, limit: int, name: str = "name") -> DataFrame:
-    """Entities whose name contains the keyword, case-sensitively, by name."""
-    return entities.where(F.contains(F.col(name), F.lit(keyword))).orderBy(name).limit(limit)
+def search_entities(entities: DataFrame, keyword: str, limit: int, name: str = "name", *then: str) -> DataFrame:
+    """Entities whose name contains the keyword, case-sensitively, by name, ties by the columns ``then``."""
+    return entities.where(F.contains(F.col(name), F.lit(keyword))).orderBy(name, *then).limit(limit)
 
 
 def shared_entity_documents(appears: DataFrame, anchor: DataFrame, limit: int, doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, shared_count, shared)``: documents that share entities with those of ``anchor(doc_id)``, most first."""
-    mine = appears.join(F.broadcast(anchor), doc_id, "left_semi").select("entity_name").distinct()
-    other = appears.join(mine, "entity_name").join(F.broadcast(anchor), doc_id, "left_anti").distinct()
-    return other.groupBy(doc_id).agg(F.count_distinct("entity_name").alias("shared_count"), F.array_join(F.array_sort(F.collect_set("entity_name")), ",").alias("shared")).orderBy(F.desc("shared_count"), doc_id).limit(limit)
+    each = cross_document_relations(appears, anchor, doc_id)
+    return each.select(doc_id, F.size("shared").cast("long").alias("shared_count"), F.array_join("shared", ",").alias("shared")).orderBy(F.desc("shared_count"), doc_id).limit(limit)
 
 
-def document_graph(appears: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``(id1, id2, weight)``: pairs of documents, id1 < id2, and how many entities they share.
+def document_graph(appears: DataFrame, newest: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``(id1, id2, weight)``: pairs of the documents ``newest(doc_id)``, id1 < id2, and how many entities they share.
 
-    Entities must have a bounded number of documents, see ``token_entities``.
+    The documents to draw are chosen before any pair is made, so that an entity has no more than those.
     """
-    a = appears.select("entity_name", F.col(doc_id).alias("id1")).distinct()
-    b = appears.select("entity_name", F.col(doc_id).alias("id2")).distinct()
-    return a.join(b, "entity_name").where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("weight"))
+    a = appears.join(F.broadcast(newest), doc_id, "left_semi").select("entity_name", F.col(doc_id).alias("id1")).distinct()
+    return a.join(a.withColumnRenamed("id1", "id2"), "entity_name").where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("weight"))
+
+
+def document_links(appears: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, n_entities, n_links)`` for every document: how many entities it has, and how many appearances of
+    those in other documents. Sums of entities' numbers, so no pair is made."""
+    a = appears.select("entity_name", doc_id).distinct()
+    held = a.groupBy("entity_name").agg((F.count("*") - 1).alias("others"))
+    return a.join(held, "entity_name").groupBy(doc_id).agg(F.count("*").alias("n_entities"), F.sum("others").alias("n_links"))
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -121,3 +194,40 @@ def reconcile(graph_docs: DataFrame, live_docs: DataFrame, entities: DataFrame,
     gone = graph_docs.join(live_docs, doc_id, "left_anti")
     stay = appears.join(gone, doc_id, "left_anti")
     return gone, stay, orphans(entities, stay)
+
+
+def delete_statistics(docs: DataFrame, appears: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_count, rel_count)``: documents to be deleted and the appearances that go with them."""
+    gone = docs.join(ids, doc_id, "left_semi").select(doc_id).distinct()
+    both = gone.join(appears.select(doc_id, F.lit(1).alias("r")), doc_id, "left")
+    return both.agg(F.count_distinct(doc_id).alias("doc_count"), F.count("r").alias("rel_count"))
+
+
+def delete_documents(docs: DataFrame, appears: DataFrame, entities: DataFrame, ids: DataFrame, doc_id: str = "doc_id", on: str = "entity_name") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, appearances and entities that stay when ``ids(doc_id)`` go with what belonged to them alone.
+
+    Entities without any appearance left go, all of them.
+    """
+    stay = appears.join(ids, doc_id, "left_anti")
+    return docs.join(ids, doc_id, "left_anti"), stay, entities.join(stay.select(on).distinct(), on, "left_semi")
+
+
+def merge_document_nodes(nodes: DataFrame, new: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Document nodes ``(doc_id, title)`` with new ones; a title given again overwrites."""
+    both = nodes.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy(doc_id).agg(F.max_by("title", "_new").alias("title"))
+
+
+def with_ids(entities: DataFrame, entity_id: str = "entity_id", key: tuple[str, ...] = ("user_id", "name")) -> DataFrame:
+    """Entities with ids where there were none: digests of their keys, the same whenever they are made."""
+    return entities.withColumn(entity_id, F.coalesce(F.col(entity_id), F.md5(F.concat_ws(",", *key))))
+
+
+def id_counts(entities: DataFrame, entity_id: str = "entity_id") -> DataFrame:
+    """``(with_id, without_id)``."""
+    return entities.agg(F.count(entity_id).alias("with_id"), F.count_if(F.col(entity_id).isNull()).alias("without_id"))
+
+
+def duplicates(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys that should be unique and are not, with their numbers."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

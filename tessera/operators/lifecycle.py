@@ -71,3 +71,61 @@ def same_tags(docs: DataFrame, anchor: Column, key: str = "doc_id", tags: str =
     mine = docs.where(F.col(key) == anchor).select(F.explode(tags).alias("tag")).distinct()
     each = docs.where(F.col(key) != anchor).select(key, F.explode(F.array_distinct(tags)).alias("tag"))
     return each.join(F.broadcast(mine), "tag").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("common"))
+
+
+# Progress of each stage of an ingest, and statuses from which a document may be processed again.
+PROGRESS = {"pending": 0, "parsing": 10, "chunking": 30, "embedding": 60, "completed": 100}
+AGAIN = ("failed", "completed", "indexed")
+
+
+def ingest(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, status, progress, error)``: how far each document has come, from what its stages have made.
+
+    ``chunks(doc_id, ...)`` and ``vectors(doc_id, ...)`` hold a row a chunk and a row an embedded chunk. A document
+    without text fails in parsing, one without chunks in chunking; one of whose chunks only some are embedded
+    is still embedding. Errors are cut to 500 characters.
+    """
+    made = lambda df, name: df.groupBy(F.col(key).alias(f"_{name}")).agg(F.count("*").alias(name))
+    d = docs.join(made(chunks, "chunks"), F.col(key) == F.col("_chunks"), "left").join(made(vectors, "vectors"), F.col(key) == F.col("_vectors"), "left")
+    error = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "no text could be read").when(F.col("chunks").isNull(), "no chunks")
+    status = F.when(error.isNotNull(), "failed").when(F.col("vectors").isNull() | (F.col("vectors") < F.col("chunks")), "embedding").otherwise("completed")
+    progress = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PROGRESS.items() for x in kv]), status), F.when(F.col("chunks").isNull() & (error == "no chunks"), PROGRESS["chunking"]).otherwise(PROGRESS["parsing"]))
+    return d.select(key, status.alias("status"), progress.alias("progress"), F.left(error, F.lit(500)).alias("error"))
+
+
+def reprocess(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Docs with those of ``ids`` pending again, if their status allows it."""
+    d = docs.join(ids.select(key).distinct().withColumn("_again", F.lit(True)), key, "left")
+    hit = F.coalesce("_again", F.lit(False)) & F.col("status").isin(*AGAIN)
+    return d.withColumns({"status": F.when(hit, "pending").otherwise(F.col("status")), "progress": F.when(hit, 0).otherwise(F.col("progress")), "error": F.when(~hit, F.col("error"))}).drop("_again")
+
+
+def batch_outcomes(files: DataFrame, valid: Column, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """A row a file ``(name, status, error)``, and one row of counts ``(success, failed)``."""
+    rows = files.select(name, F.when(valid, "success").otherwise("failed").alias("status"), F.when(~valid, F.concat(F.lit("unsupported type or too large: "), F.col(name))).alias("error"))
+    return rows, rows.agg(F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def count_documents(docs: DataFrame, user: str = "user_id") -> DataFrame:
+    """``(user, n_all, n_live)``: documents of each user, with and without those deleted."""
+    return docs.groupBy(user).agg(F.count("*").alias("n_all"), F.count_if(F.coalesce(F.col("status") != "deleted", F.lit(True))).alias("n_live"))
+
+
+def light(docs: DataFrame, content: str = "content") -> DataFrame:
+    """Documents without their content, which is then not read."""
+    return docs.drop(content)
+
+
+def with_text(docs: DataFrame, extracted: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """Documents whose content is blank get what was extracted for them."""
+    e = extracted.select(key, F.col(content).alias("_extracted"))
+    blank = F.trim(F.coalesce(F.col(content), F.lit(""))) == ""
+    return docs.join(e, key, "left").withColumn(content, F.when(blank, F.coalesce("_extracted", content)).otherwise(F.col(content))).drop("_extracted")
+
+
+def cached_summaries(docs: DataFrame, fallback: Column, metadata: str = "metadata") -> DataFrame:
+    """Docs with ``summary`` from their metadata map, or made by ``fallback`` and put there."""
+    held = F.try_element_at(metadata, F.lit("summary"))
+    made = F.coalesce(held, fallback)
+    kept = F.when(held.isNull(), F.map_concat(F.map_filter(metadata, lambda k, v: k != "summary"), F.create_map(F.lit("summary"), made))).otherwise(F.col(metadata))
+    return docs.withColumn("summary", made).withColumn(metadata, kept)

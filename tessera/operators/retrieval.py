@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,14 +27,35 @@ def knn(vectors: DataFrame, query: DataFrame, k: int, threshold: float | None =
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """``(query_id, id, score, rank)``: the k nearest of each of a stated set of queries ``(query_id, q)``.
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 4096, query_block: int = 512) -> DataFrame:
+    """``(query_id, id, score, rank)``: the k rows with the largest cosine to each of a stated set of queries ``(query_id, q)``.
 
-    Each task keeps k rows a query before the shuffle (a window group limit).
+    Vectors and queries are dealt into blocks of bounded size. A unit of work is a block of each, multiplied as
+    matrices; it returns its k best a query, of which the k best stay. Null vectors take no part.
     """
-    scored = vectors.crossJoin(queries).select("query_id", id_col, cosine(F.col(vec), F.col("q")).alias("score"))
+    dealt = lambda df, i, v, n: df.where(F.col(v).isNotNull()).select(F.col(i).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(i), F.lit(n)).alias("block"))
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    gather = lambda df, name: df.groupBy("block").agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(name))
+    n = blocks(queries, query_block)
+    rows = gather(dealt(vectors, id_col, vec, blocks(vectors, block)), "v").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).drop("block")
+    asks = gather(dealt(queries, "query_id", "q", n), "q").withColumnRenamed("block", "q_block")
+
+    def matrix(col: pa.ListScalar) -> np.ndarray:
+        flat = col.values
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                ids, qids = (b[c][row].values.to_numpy() for c in ("v_ids", "q_ids"))
+                unit = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (matrix(b["v"][row]), matrix(b["q"][row]))]
+                score = unit[1] @ unit[0].T
+                best = np.stack([np.lexsort((ids, -s))[:k] for s in score])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query_id", id_col, "score"])
+
+    found = rows.join(asks, "q_block").select("v_ids", "v", "q_ids", "q").mapInArrow(run, f"query_id long, {id_col} long, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def term_postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,6 +64,17 @@ def term_postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     return docs.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def search_terms(docs: DataFrame, query_terms: DataFrame, k: int, threshold: float = SPARSE_THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``sparse_search`` straight from texts: words that the query lacks go before anything is counted.
+
+    ``query_terms(term, q)`` is one query's list and goes to every task.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+    hits = docs.select(id_col, F.explode(words).alias("term")).join(F.broadcast(query_terms), "term")
+    found = hits.groupBy(id_col).agg(F.sum("q").alias("score"))
+    return found.where(F.col("score") >= threshold).orderBy(F.desc("score"), id_col).limit(k)
+
+
 def sparse_search(postings: DataFrame, query_terms: DataFrame, k: int, threshold: float = SPARSE_THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """``(id, score)``: dot products with ``query_terms(term, q)``, the k largest, ties to the smaller id."""
     hits = postings.join(query_terms, "term").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
@@ -66,15 +102,18 @@ def ranked(found: DataFrame, id_col: str) -> DataFrame:
 
 
 def rerank_guard(found: DataFrame, limit: int, skip_at: float = RERANK_SKIP, top: int = RERANK_TOP, id_col: str = "vec_id", rerank: Column | None = None) -> DataFrame:
-    """The first ``limit`` rows if the best score is high enough, else the ``top`` first after reranking.
+    """The first ``limit`` rows if the best score is high enough, else the ``top`` best by ``rerank``, a score of all rows.
 
     Without a reranker the order stays and scores become 1.
     """
     best = found.agg(F.max("score").alias("best"))
-    r = ranked(found, id_col).crossJoin(F.broadcast(best))
-    sure = F.col("best") >= skip_at
-    kept = r.where(F.when(sure, F.col("rank") <= limit).otherwise(F.col("rank") <= min(top, limit)))
-    return kept.select(id_col, "rank", F.when(sure, F.col("score")).otherwise(F.lit(1.0) if rerank is None else rerank).alias("score"), (~sure).alias("reranked"))
+    r = ranked(found, id_col).crossJoin(F.broadcast(best)).withColumn("sure", F.col("best") >= skip_at)
+    if rerank is not None:
+        r = r.withColumn("_again", F.when(~F.col("sure"), rerank))
+        r = r.withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("_again"), "rank")).cast("int"))
+    kept = r.where(F.col("rank") <= F.when(F.col("sure"), limit).otherwise(min(top, limit)))
+    score = F.when(F.col("sure"), F.col("score")).otherwise(F.lit(1.0) if rerank is None else F.col("_again"))
+    return kept.select(id_col, "rank", score.alias("score"), (~F.col("sure")).alias("reranked"))
 
 
 def related_documents(parts: list[tuple[DataFrame, float | None, str]], limit: int, id_col: str = "doc_id") -> DataFrame:

@@ -40,10 +40,9 @@ def _first_vector(spark: SparkSession, d: str) -> DataFrame:
 _COS = """list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
   / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"""
 _DENSE = f"SELECT a.vec_id, a.label, {_COS} AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-_APPEARS = r"""words AS (
+_APPEARS = r"""appears AS (
   SELECT DISTINCT doc_id, w AS entity_name FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+')) AS w FROM documents) WHERE length(w) >= 5
-), fair AS (SELECT entity_name FROM words GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20),
-appears AS (SELECT doc_id, entity_name FROM words JOIN fair USING (entity_name))"""
+)"""
 _WINDOWS = """windows AS (
   SELECT doc_id, (s // 450)::INT AS idx, substr(text, (s + 1)::INT, 500) AS content
   FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS s FROM documents WHERE length(text) > 0)
@@ -64,11 +63,11 @@ def knn_threshold_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""SELECT query_id, vec_id, round(s, 4) AS score, r AS rank FROM (
 SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, a.vec_id)::INT AS r
-FROM embeddings a, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 10) q) WHERE r <= 5"""
+FROM embeddings a, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q) WHERE r <= 5"""
 )
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.knn_batch(e, asked, 5).withColumn("score", F.round("score", 4))
 
 
@@ -99,7 +98,7 @@ def _query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TF} SELECT doc_id, sum(weight * q) AS score FROM post JOIN qt USING (term) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def sparse_tf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.sparse_search(retrieval.term_postings(table(spark, d, "documents")), _query_terms(spark, d), 20)
+    return retrieval.search_terms(table(spark, d, "documents"), _query_terms(spark, d), 20)
 
 
 @query(
@@ -155,14 +154,14 @@ def keep_best_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     vectors = retrieval.ranked(retrieval.knn(table(spark, d, "embeddings"), _first_vector(spark, d), 12), "vec_id")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(900)).alias("content"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     found = vectors.join(docs, "vec_id").select(F.col("vec_id").alias("chunk_id"), "content", "score", F.col("rank").alias("seq"))
     return fusion.pack(fusion.candidates(found, None, None, None), 2000)
 
 
 @query(
     rf"""WITH v AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_DENSE}) ORDER BY s DESC, vec_id LIMIT 12),
-c AS (SELECT rank AS pos, left(text, 900) AS content, ' [来源:向量]' || chr(10) AS tail FROM v JOIN documents ON doc_id = vec_id),
+c AS (SELECT rank AS pos, text AS content, ' [来源:向量]' || chr(10) AS tail FROM v JOIN documents ON doc_id = vec_id),
 n AS (SELECT *, row_number() OVER (ORDER BY pos) AS p, coalesce(sum(length(content) + length(tail)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
 f AS (SELECT *, before + length(content) + length(tail) <= 5000 AS fits FROM n),
 g AS (SELECT *, min(CASE WHEN NOT fits THEN p END) OVER () AS stop FROM f),
@@ -180,15 +179,15 @@ def packed_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_APPEARS}, v AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM ({_DENSE}) ORDER BY s DESC, vec_id LIMIT 10),
-e AS (SELECT entity_name, count(*) AS n FROM appears GROUP BY 1 ORDER BY 1 LIMIT 10)
-SELECT 'vector_rerank_top' AS source_type, vec_id::VARCHAR AS chunk_id, left(text, 50) AS content, round(2.0 * (0.5 + 0.5 * s), 4)::DOUBLE AS weight FROM v JOIN documents ON doc_id = vec_id
+e AS (SELECT entity_name, count(*) AS n FROM appears GROUP BY 1)
+SELECT 'vector_rerank_top' AS source_type, vec_id::VARCHAR AS chunk_id, text AS content, round(2.0 * (0.5 + 0.5 * s), 4)::DOUBLE AS weight FROM v JOIN documents ON doc_id = vec_id
 UNION ALL SELECT 'direct_entity_match', NULL, '[实体] ' || entity_name || ' (概念): ' || n, 3.0 FROM e"""
 )
 def fusion_candidates(spark: SparkSession, d: str) -> DataFrame:
     v = retrieval.ranked(retrieval.knn(table(spark, d, "embeddings"), _first_vector(spark, d), 10), "vec_id")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(50)).alias("content"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     vec = v.join(docs, "vec_id").select(F.col("vec_id").alias("chunk_id"), "content", "score", F.col("rank").cast("long").alias("seq"))
-    e = _appears(spark, d).groupBy("entity_name").agg(F.count("*").alias("n")).orderBy("entity_name").limit(10)
+    e = _appears(spark, d).groupBy("entity_name").agg(F.count("*").alias("n"))
     ent = e.select(F.col("entity_name").alias("name"), F.lit("概念").alias("kind"), F.col("n").cast("string").alias("description"), F.lit(0).cast("long").alias("seq"))
     return fusion.candidates(vec, ent, None, None).select("source_type", "chunk_id", "content", F.round("weight", 4).alias("weight"))
 
@@ -221,13 +220,12 @@ def chunk_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_WINDOWS}, i AS (SELECT *, idx // 4 AS page FROM windows WHERE idx < 40)
+    f"""WITH {_WINDOWS}, i AS (SELECT *, idx // 4 AS page FROM windows)
 SELECT a.doc_id, a.idx, md5(string_agg(CASE WHEN a.page = b.page THEN b.content ELSE '[Page ' || b.page || '] ' || b.content END, chr(10) ORDER BY b.page, b.idx)) AS context
 FROM i a JOIN i b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 1 GROUP BY 1, 2"""
 )
 def page_window_context(spark: SparkSession, d: str) -> DataFrame:
-    # forty windows a document is what this example calls a document's pages
-    items = chunking.fixed_windows(table(spark, d, "documents")).where("idx < 40").withColumn("page", F.floor(F.col("idx") / 4).cast("int"))
+    items = chunking.fixed_windows(table(spark, d, "documents")).withColumn("page", F.floor(F.col("idx") / 4).cast("int"))
     return chunking.page_context(items).select("doc_id", "idx", F.md5("context").alias("context"))
 
 
@@ -366,7 +364,7 @@ def relation_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a') ORDER BY p_name, p_partkey LIMIT 50")
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(F.contains("p_name", F.lit("a"))).orderBy("p_name", "p_partkey").limit(50).select("p_partkey", "p_name")
+    return graph.search_entities(table(spark, d, "part").select("p_partkey", "p_name"), "a", 50, "p_name", "p_partkey")
 
 
 def _appears(spark: SparkSession, d: str) -> DataFrame:
@@ -374,11 +372,11 @@ def _appears(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey <= 400").select(F.col("o_orderkey").alias("edge_id"), (F.col("o_orderkey") % 60).alias("src"), (F.col("o_custkey") % 60).alias("dst"))
-    return o
+    """Each order is an edge from its customer to a customer of its number without the last digit, so that degrees stay the same at every size."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("src"), F.floor(F.col("o_orderkey") / 10).cast("long").alias("dst"))
 
 
-_E = "e AS (SELECT o_orderkey AS edge_id, o_orderkey % 60 AS src, o_custkey % 60 AS dst FROM orders WHERE o_orderkey <= 400), b AS (SELECT edge_id, src, dst FROM e UNION ALL SELECT edge_id, dst, src FROM e)"
+_E = "e AS (SELECT o_orderkey AS edge_id, o_custkey AS src, o_orderkey // 10 AS dst FROM orders), b AS (SELECT edge_id, src, dst FROM e UNION ALL SELECT edge_id, dst, src FROM e)"
 _T1 = "t1 AS (SELECT src AS seed, dst AS target, [edge_id] AS path FROM b WHERE src IN (1, 2, 3))"
 _T2 = "t2 AS (SELECT seed, dst AS target, list_append(path, edge_id) AS path FROM t1 JOIN b ON target = src WHERE NOT list_contains(path, edge_id))"
 _T3 = "t3 AS (SELECT seed, dst AS target, list_append(path, edge_id) AS path FROM t2 JOIN b ON target = src WHERE NOT list_contains(path, edge_id))"
@@ -412,9 +410,21 @@ def shared_entity_docs(spark: SparkSession, d: str) -> DataFrame:
     return graph.shared_entity_documents(_appears(spark, d), table(spark, d, "documents").where("doc_id = 1").select("doc_id"), 20)
 
 
-@query(f"WITH {_APPEARS} SELECT a.doc_id AS id1, b.doc_id AS id2, count(*) AS weight FROM appears a JOIN appears b ON a.entity_name = b.entity_name AND a.doc_id < b.doc_id GROUP BY 1, 2")
+@query(
+    f"""WITH {_APPEARS}, newest AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 100), a AS (SELECT * FROM appears WHERE doc_id IN (SELECT doc_id FROM newest))
+SELECT x.doc_id AS id1, y.doc_id AS id2, count(*) AS weight FROM a x JOIN a y ON x.entity_name = y.entity_name AND x.doc_id < y.doc_id GROUP BY 1, 2"""
+)
 def doc_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.document_graph(_appears(spark, d))
+    newest = table(spark, d, "documents").select("doc_id").orderBy(F.desc("doc_id")).limit(100)
+    return graph.document_graph(_appears(spark, d), newest)
+
+
+@query(
+    f"""WITH {_APPEARS}, h AS (SELECT entity_name, count(*) - 1 AS others FROM appears GROUP BY 1)
+SELECT doc_id, count(*) AS n_entities, sum(others)::BIGINT AS n_links FROM appears JOIN h USING (entity_name) GROUP BY 1"""
+)
+def doc_links(spark: SparkSession, d: str) -> DataFrame:
+    return graph.document_links(_appears(spark, d))
 
 
 @query("SELECT l_orderkey AS id1, l_partkey AS entity_name FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -439,16 +449,19 @@ def graph_sync_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS (SELECT vec_id AS doc_id, s FROM ({_DENSE}) WHERE vec_id <> 0 AND s >= 0.2 ORDER BY s DESC, vec_id LIMIT 15),
+    f"""WITH {_APPEARS}, v AS (SELECT vec_id AS doc_id, s FROM ({_DENSE}) WHERE vec_id <> 0 AND s >= 0.2 ORDER BY s DESC, vec_id LIMIT 15),
 t AS (SELECT doc_id FROM documents WHERE lang = (SELECT lang FROM documents WHERE doc_id = 0) AND source = (SELECT source FROM documents WHERE doc_id = 0) AND doc_id <> 0),
-x AS (SELECT doc_id, round(s, 4)::DOUBLE AS similarity, 'similar content' AS reason, 0 AS prio FROM v UNION ALL SELECT doc_id, 0.6, 'same tags', 1 FROM t)
+mine AS (SELECT entity_name FROM appears WHERE doc_id = 0),
+g AS (SELECT doc_id, count(*) AS n FROM appears JOIN mine USING (entity_name) WHERE doc_id <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+x AS (SELECT doc_id, round(s, 4)::DOUBLE AS similarity, 'similar content' AS reason, 0 AS prio FROM v UNION ALL SELECT doc_id, 0.6, 'same tags', 1 FROM t UNION ALL SELECT doc_id, 0.7, 'shared entities', 2 FROM g)
 SELECT doc_id, arg_min(similarity, prio) AS similarity, string_agg(reason, ' + ' ORDER BY prio) AS reason FROM x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
 )
 def related_docs_blend(spark: SparkSession, d: str) -> DataFrame:
     near = retrieval.knn(table(spark, d, "embeddings"), _first_vector(spark, d), 15, 0.2, F.col("vec_id") != 0).withColumnRenamed("vec_id", "doc_id")
     docs = table(spark, d, "documents").withColumn("tags", F.array("lang", "source"))
     both = lifecycle.same_tags(docs, F.lit(0)).where(F.size("common") == 2)
-    return retrieval.related_documents([(near, None, "similar content"), (both, 0.6, "same tags")], 20)
+    shared = graph.shared_entity_documents(_appears(spark, d), docs.where("doc_id = 0").select("doc_id"), 10)
+    return retrieval.related_documents([(near, None, "similar content"), (both, 0.6, "same tags"), (shared, 0.7, "shared entities")], 20)
 
 
 _LIT = "SELECT x, {} AS y FROM (VALUES {}) v(x)"
@@ -534,12 +547,12 @@ def doc_summary_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT string_agg('[来源' || r || '] 标题: ' || vec_id || chr(10) || '内容: ' || left(text, 80) || chr(10) || '得分: ' || printf('%.4f', s), chr(10) || chr(10) ORDER BY r) AS context
+    f"""SELECT string_agg('[来源' || r || '] 标题: ' || vec_id || chr(10) || '内容: ' || text || chr(10) || '得分: ' || printf('%.4f', s), chr(10) || chr(10) ORDER BY r) AS context
 FROM (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM ({_DENSE}) ORDER BY s DESC, vec_id LIMIT 5) JOIN documents ON doc_id = vec_id"""
 )
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     v = retrieval.ranked(retrieval.knn(table(spark, d, "embeddings"), _first_vector(spark, d), 5), "vec_id")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(80)).alias("content"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     return fusion.prompt_context(v.join(docs, "vec_id").select("rank", F.col("vec_id").cast("string").alias("title"), "content", "score"))
 
 
@@ -558,3 +571,6 @@ def query_tokens(spark: SparkSession, d: str) -> DataFrame:
 def path_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.col("doc_id").alias("created_at"))
     return lifecycle.dedup_paths(rows).select(F.col("file_path").alias("source"), "doc_id")
+
+
+from tessera.plans import lifecycle_queries, search_queries  # noqa: E402, F401  (they register more)
