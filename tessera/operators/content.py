@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,109 +18,158 @@ MAIN_HINTS = ("content", "post", "article", "entry", "markdown", "prose", "page-
 NO_PAGE_TITLE = "网页来源"
 
 
-class _Node:
-    def __init__(self, tag: str, attrs: dict[str, str], up: _Node | None):
-        self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
+class _Block:
+    """What is gathered between a block's start and end: its texts, and those of the items of a list."""
 
-    def all(self) -> Iterator[_Node]:
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack += [k for k in reversed(n.kids) if isinstance(k, _Node)]
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.texts, self.items = tag, attrs, [], []
 
-    def texts(self) -> Iterator[str]:
-        stack: list = [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                yield n
-            else:
-                stack += reversed(n.kids)
+    @property
+    def raw(self) -> str:
+        return "".join(self.texts)
 
-    def text(self, strip: bool = False, joiner: str = "") -> str:
-        return joiner.join(t.strip() for t in self.texts() if t.strip()) if strip else joiner.join(self.texts())
+    @property
+    def tight(self) -> str:
+        return _tight(self.texts)
 
 
-class _Tree(HTMLParser):
+def _tight(texts: list[str]) -> str:
+    return "".join(t.strip() for t in texts)
+
+
+def _heading(b: _Block) -> list[str]:
+    return [f"{'#' * int(b.tag[1])} {b.tight}", ""]
+
+
+def _listing(b: _Block) -> list[str]:
+    bullet = (lambda i: f"{i}. ") if b.tag == "ol" else (lambda i: "- ")
+    return [*(bullet(i) + _tight(item) for i, item in enumerate(b.items, 1)), ""]
+
+
+def _fence(b: _Block) -> list[str]:
+    return [f"```\n{b.raw}\n```", ""]
+
+
+def _link(b: _Block) -> list[str]:
+    return [f"[{b.tight}]({b.attrs['href']})" if b.attrs.get("href") else b.tight]
+
+
+#: How each kind of block is written; a block inside another is part of its text.
+WRITERS: dict[str, Callable[[_Block], list[str]]] = {
+    **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), _heading),
+    **dict.fromkeys(("ul", "ol"), _listing),
+    **dict.fromkeys(("pre", "code"), _fence),
+    "p": lambda b: [b.raw, ""],
+    "blockquote": lambda b: [*(f"> {x}" for x in b.raw.splitlines()), ""],
+    "a": _link,
+}
+
+
+class _Reader(HTMLParser):
+    """Writes Markdown lines while it reads, and notes where texts and lines of possible main parts begin and end.
+
+    A part that begins inside a block can't be written on its own and is none.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.top = self.at = _Node("", {}, None)
+        self.open: list[tuple[str, int | None]] = []  # tags with the part they began
+        self.parts: list[list] = []  # rank, first text and line, last text and line
+        self.texts: list[str] = []
+        self.lines: list[str] = []
+        self.block: _Block | None = None
+        self.block_depth = self.dropped = 0
+        self.title: str | None = None
+        self.has_body = False
+
+    def _rank(self, tag: str, attrs: dict[str, str]) -> tuple | None:
+        """The place of a possible main part among those of equal length; None if it is none."""
+        if tag in ("article", "main"):
+            first = all(p[0][:2] != (0, tag) for p in self.parts)
+            return (0, tag) if first else None
+        if tag in ("div", "section"):
+            hints = [k for k, hint in enumerate(MAIN_HINTS) if hint in attrs.get("class", "")]
+            return (1, hints[0], len(self.parts)) if hints else None
+        if tag == "body" and not self.has_body:
+            self.has_body = True
+            return (2,)
+        return None
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
+        held = {k: v or "" for k, v in attrs}
+        if tag in VOID:
+            self.handle_startendtag(tag, attrs)
+            return
+        part = None
+        if tag in DROPPED:
+            self.dropped += 1
+        elif self.block is None and not self.dropped:
+            if (rank := self._rank(tag, held)) is not None:
+                part = len(self.parts)
+                self.parts.append([rank, len(self.texts), len(self.lines), None, None])
+            if tag in WRITERS:
+                self.block, self.block_depth = _Block(tag, held), len(self.open)
+        self.open.append((tag, part))
+        if self.block is not None and tag == "li" and len(self.open) == self.block_depth + 2:
+            self.block.items.append([])
 
     def handle_startendtag(self, tag, attrs):
-        self.at.kids.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        if self.block is None and not self.dropped:
+            held = {k: v or "" for k, v in attrs}
+            if tag == "br":
+                self.lines.append("")
+            elif tag == "img" and held.get("src"):
+                self.lines.append(f"![{held.get('alt', '')}]({held['src']})")
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.up is not None and n.tag != tag:
-            n = n.up
-        if n.up is not None:
-            self.at = n.up
+        if any(t == tag for t, _ in self.open):
+            while self._leave() != tag:
+                pass
+
+    def _leave(self) -> str:
+        tag, part = self.open.pop()
+        if tag in DROPPED:
+            self.dropped -= 1
+        if self.block is not None and len(self.open) == self.block_depth:
+            self.lines += WRITERS[tag](self.block)
+            self.block = None
+        if part is not None:
+            self.parts[part][3:] = [len(self.texts), len(self.lines)]
+        return tag
 
     def handle_data(self, data):
-        self.at.kids.append(data)
-
-
-def _prune(top: _Node) -> None:
-    for n in top.all():
-        n.kids = [k for k in n.kids if isinstance(k, str) or k.tag not in DROPPED]
-
-
-def _markdown(top: _Node) -> str:
-    lines: list[str] = []
-    stack: list = [top]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, str):
-            if n.strip():
-                lines.append(n)
-        elif n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            lines += ["#" * int(n.tag[1]) + " " + n.text(True), ""]
-        elif n.tag == "p":
-            lines += [n.text(), ""]
-        elif n.tag == "br":
-            lines.append("")
-        elif n.tag in ("ul", "ol"):
-            items = [k for k in n.kids if isinstance(k, _Node) and k.tag == "li"]
-            lines += [(f"{i}. " if n.tag == "ol" else "- ") + k.text(True) for i, k in enumerate(items, 1)] + [""]
-        elif n.tag in ("pre", "code"):
-            lines += ["```\n" + n.text() + "\n```", ""]
-        elif n.tag == "blockquote":
-            lines += ["> " + x for x in n.text().splitlines()] + [""]
-        elif n.tag == "a":
-            href, said = n.attrs.get("href", ""), n.text(True)
-            lines.append(f"[{said}]({href})" if href else said)
-        elif n.tag == "img":
-            if n.attrs.get("src"):
-                lines.append(f"![{n.attrs.get('alt', '')}]({n.attrs['src']})")
+        inside = {t for t, _ in self.open}
+        if "title" in inside and self.title is None and data.strip():
+            self.title = data.strip()
+        if self.dropped:
+            return
+        self.texts.append(data)
+        if self.block is None:
+            if data.strip():
+                self.lines.append(data)
         else:
-            stack += reversed(n.kids)
-    return "\n".join("\n".join(x.rstrip() for x in lines).splitlines()).strip()
+            self.block.texts.append(data)
+            if self.block.items and len(self.open) >= self.block_depth + 2 and self.open[self.block_depth + 1][0] == "li":
+                self.block.items[-1].append(data)
+
+    def finish(self) -> None:
+        self.close()
+        while self.open:
+            self._leave()
 
 
 def read_page(html: str | None, only_main: bool = True) -> tuple[str, str]:
-    """Title and Markdown of a page: its longest main part, without scripts and styles."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    top = tree.top
-    nodes = [*top.all()]
-    title = next((t for n in nodes if n.tag == "title" and (t := n.text().strip())), NO_PAGE_TITLE)
-    _prune(top)
-    nodes = [*top.all()]
-    body = next((n for n in nodes if n.tag == "body"), top)
-    picked = body
-    if only_main:
-        found = [n for name in ("article", "main") for n in [next((x for x in nodes if x.tag == name), None)] if n]
-        found += [n for hint in MAIN_HINTS for n in nodes if n.tag in ("div", "section") and hint in n.attrs.get("class", "")]
-        picked = max([*found, body], key=lambda n: len(n.text(joiner="\n").strip()))
-    return title, _markdown(picked) or top.text(joiner="\n").strip()
+    """Title and Markdown of a page: its main part with the most text, without scripts and styles."""
+    page = _Reader()
+    page.feed(html or "")
+    page.finish()
+    whole = [(3,), 0, 0, len(page.texts), len(page.lines)]
+    bodies = [p for p in page.parts if p[0] == (2,)] or [whole]
+    wanted = [p for p in page.parts if p[0] < (2,)] + bodies if only_main else bodies
+    said = lambda p: "\n".join(page.texts[p[1] : p[3]]).strip()
+    best = min(wanted, key=lambda p: (-len(said(p)), p[0]))
+    lines = "\n".join(x.rstrip() for x in page.lines[best[2] : best[4]])
+    return page.title or NO_PAGE_TITLE, "\n".join(lines.splitlines()).strip() or said(whole)
 
 
 def pages_to_markdown(pages: DataFrame, page_id: str = "page_id", html: str = "html", only_main: bool = True) -> DataFrame:
