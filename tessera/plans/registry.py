@@ -519,7 +519,21 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return content.pages_to_markdown(table(spark, d, "pages"))
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _markdown_sql() -> str:
+    """The Markdown rules as nested replacements, then paragraphs."""
+    html = "coalesce(text, '')"
+    for pattern, to in T.MARKDOWN:
+        to = to.replace("$", "\\")
+        html = f"regexp_replace({html}, '{pattern}', '{to}', 'g')"
+    block = " OR ".join(f"starts_with(p, '{x}')" for x in T.BLOCK_STARTS)
+    parts = f"list_filter(list_transform(string_split({html}, chr(10) || chr(10)), lambda p: {_STRIP.format('p')}), lambda p: p <> '')"
+    return f"SELECT doc_id, array_to_string(list_transform({parts}, lambda p: CASE WHEN {block} THEN p ELSE '<p>' || replace(p, chr(10), '<br>') || '</p>' END), chr(10)) AS html FROM documents"
+
+
+@query(_markdown_sql())
 def md_to_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.md_to_html(F.coalesce("text", F.lit(""))).alias("html"))
 
@@ -536,6 +550,27 @@ def export_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", content.export_json("doc_id", "lang", "source", "text").alias("body"))
 
 
+_ENDS = "[。！？.!?]"
+_SENTENCE = "CASE " + " ".join(f"WHEN contains(p, '{e}') THEN {_STRIP.format(f"left(p, position('{e}' IN p)::INT)")}" for e in T.SENTENCE_END) + " END"
+_HEAD = r"""regexp_replace(regexp_replace(regexp_replace(regexp_extract(raw, '^[^\r\n]*'), 'PREFIXES', ''), '[\\/:*?"<>|]', '', 'g'), '\s+', ' ', 'g')"""
+_PREFIXES = "^" + "".join(rf"(?:{p}\s*)?" for p in T.TITLE_PREFIXES)
+_HEAD = _HEAD.replace("PREFIXES", _PREFIXES)
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS raw FROM documents),
+h AS (SELECT doc_id, raw, left({_STRIP.format(_HEAD)}, 60) AS head FROM t),
+p AS (SELECT doc_id, list_slice(list_filter(list_transform(string_split(regexp_replace(raw, '\r\n?', chr(10), 'g'), chr(10) || chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), 1, 4) AS ps FROM t),
+b AS (SELECT doc_id, list_transform(ps, lambda p: CASE WHEN coalesce({_SENTENCE}, '') <> '' THEN {_SENTENCE} WHEN length(p) > 120 THEN left(p, 120) || '...' ELSE p END) AS firsts FROM p)
+SELECT h.doc_id, CASE WHEN head = '' THEN '{T.NO_TITLE}' ELSE head END AS title, CASE WHEN raw = '' THEN '{T.NO_TEXT}' ELSE array_to_string(list_transform(firsts, lambda x: '- ' || x), chr(10)) END AS bullets,
+CASE WHEN length(raw) > 200 THEN left(raw, 200) || '...' ELSE raw END AS summary,
+array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(raw, '{_ENDS}'), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 10), 1, 3), '|') AS key_points FROM h JOIN b USING (doc_id)"""
+)
+def local_digest_parts(spark: SparkSession, d: str) -> DataFrame:
+    got = content.local_digest(table(spark, d, "documents"))
+    return got.select("doc_id", "title", "bullets", "summary", F.array_join("key_points", "|").alias("key_points"))
+
+
 @query()
 def local_digest(spark: SparkSession, d: str) -> DataFrame:
     return content.local_digest(table(spark, d, "documents"))
