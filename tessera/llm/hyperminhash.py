@@ -33,7 +33,9 @@ from tessera.llm.components import connected_components
 
 BANDS, ROWS, MANTISSA = 28, 5, 10
 #: Members of a block on average, and their shingles; leaves of a hub that one task compares with it.
-BLOCK_DOCS, BLOCK_SHINGLES, STAR_LEAVES = 512, 1_000_000, 1_000
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_LEAVES = 256, 1_000_000, 1_000
+#: Documents asked for up to which their ids go to every task, ahead of the join that finds their texts.
+BROADCAST_IDS = 500_000
 _U32 = np.uint32
 
 
@@ -228,8 +230,11 @@ def _likely(stars: DataFrame, percent: int, k: int) -> DataFrame:
     return stars.mapInArrow(run, _LINKS)
 
 
-def _sets(asked: DataFrame, classes: DataFrame, base: DataFrame, words: int) -> DataFrame:
-    """asked(node, uses) -> ``(node, uses, shingles)`` from the class's text, which is read and hashed once."""
+def _sets(asked: DataFrame, classes: DataFrame, base: DataFrame, words: int, most: int) -> DataFrame:
+    """asked(node, uses) -> ``(node, uses, shingles)`` from the class's text, which is read and hashed once.
+
+    ``most`` is how many nodes there are at most; few of them are looked for before texts are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +245,10 @@ def _sets(asked: DataFrame, classes: DataFrame, base: DataFrame, words: int) ->
                 yield pa.RecordBatch.from_arrays([part["node"], part["uses"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "uses", "shingles"]).filter(own)
         give_back()
 
-    rows = asked.join(classes.select("node", "rep"), "node").join(base, F.col("rep") == F.col("_id")).select("node", "uses", "_text")
+    named = asked.join(classes.select("node", "rep"), "node")
+    if most <= BROADCAST_IDS:
+        base = base.join(F.broadcast(named.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi")
+    rows = named.join(base, F.col("rep") == F.col("_id")).select("node", "uses", "_text")
     return rows.mapInArrow(run, f"node long, uses {asked.schema['uses'].dataType.simpleString()}, shingles binary")
 
 
@@ -250,7 +258,7 @@ def _star_links(likely: DataFrame, classes: DataFrame, base: DataFrame, percent:
     leaves = likely.join(parts, "b").select(F.col("a").alias("node"), F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("leaf")).alias("use"))
     hubs = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("b").alias("node"), F.struct("b", "part", F.lit(0).alias("leaf")).alias("use"))
     uses = leaves.unionByName(hubs).groupBy("node").agg(F.collect_list("use").alias("uses"))
-    held = _sets(uses, classes, base, words)
+    held = _sets(uses, classes, base, words, 2 * likely.count())
     units = held.select("node", F.explode("uses").alias("use"), "shingles").select("use.b", "use.part", "use.leaf", "node", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,14 +280,14 @@ def _star_links(likely: DataFrame, classes: DataFrame, base: DataFrame, percent:
 
 
 def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps: DataFrame, percent: int, words: int, bands: int, rows: int) -> DataFrame | None:
-    """Links between components inside buckets, ``buckets(bucket, band, node, low)``; None where nothing is open."""
+    """Links between components inside buckets, ``buckets(bucket, node, low)``; None where nothing is open."""
     own = buckets.where("node <> low").join(comps.select(F.col("node").alias("cnode"), "component"), F.col("node") == F.col("cnode"), "left")
-    own = own.join(classes.select(F.col("node").alias("nnode"), "n"), F.col("node") == F.col("nnode")).select("bucket", "band", "node", "n", F.coalesce("component", "node").alias("group"))
+    own = own.join(classes.select(F.col("node").alias("nnode"), "n"), F.col("node") == F.col("nnode")).select("bucket", "node", "n", F.coalesce("component", "node").alias("group"))
     several = own.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("g <> h")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     # a key of its own has an exchange of its own, which the skew-join rule can split
     key = F.col("bucket").bitwiseXOR(F.lit(1)).alias("key")
-    rest = cut(own.select(key, "*").join(several.select(key, blocks.alias("nb")), "key").select("bucket", "band", "node", "n", "group", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb"))
+    rest = cut(own.select(key, "*").join(several.select(key, blocks.alias("nb")), "key").select("bucket", "node", "n", "group", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb"))
     if rest.isEmpty():
         return None
     # block i meets every block j >= i; a unit (lo, hi) gets both, lo = hi has one
@@ -288,8 +296,9 @@ def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps:
         return df.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("part"))
 
     unit = ["bucket", "lo", "hi"]
-    registers_of = classes.select(F.col("node").alias("rnode"), "registers")
-    units = dealt(rest.join(registers_of, F.col("node") == F.col("rnode"))).select(*unit, "part", "band", "node", "n", "group", "registers")
+    registers_of = classes.select(F.col("node").alias("rnode"), "registers", "bands")
+    band = (F.array_position("bands", F.col("bucket")) - 1).cast("int").alias("band")
+    units = dealt(rest.join(registers_of, F.col("node") == F.col("rnode")).select("bucket", "node", "n", "group", "block", "nb", "registers", band)).select(*unit, "part", "band", "node", "n", "group", "registers")
 
     def arrays(g: pa.Table) -> tuple:
         regs = np.frombuffer(b"".join(g["registers"].to_pylist()), np.uint16).reshape(g.num_rows, bands * rows)
@@ -306,8 +315,9 @@ def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps:
     if asked.isEmpty():
         return None
     uses = asked.groupBy("node").agg(F.collect_set(F.struct(*unit)).alias("uses"))
-    held = _sets(uses, classes, base, words).select(F.explode("uses").alias("use"), "node", "shingles").select("use.*", "node", "shingles")
-    member = dealt(rest).select(*unit, "part", "band", "node", "n", "group").join(held, [*unit, "node"]).join(registers_of, F.col("node") == F.col("rnode")).drop("rnode")
+    held = _sets(uses, classes, base, words, asked.count()).select(F.explode("uses").alias("use"), "node", "shingles").select("use.*", "node", "shingles")
+    member = dealt(rest).select(*unit, "part", "node", "n", "group").join(held, [*unit, "node"]).join(registers_of, F.col("node") == F.col("rnode"))
+    member = member.select(*unit, "part", "node", "n", "group", "shingles", "registers", band)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, unit):
@@ -343,9 +353,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # documents with equal sets: the smallest id stands for them
     classes = sketches.where("id is not null and n > 0").groupBy(F.col("class_key").alias("node")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
     classes = cut(classes)
-    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
     first = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1")
-    buckets = cut(buckets.join(first, "bucket").select("bucket", "band", "node", "low", "m"))
+    buckets = cut(buckets.join(first, "bucket").select("bucket", "node", "low", "m"))
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     stars = buckets.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     likely = cut(_likely(stars.join(side("a"), "a").join(side("b"), "b"), percent, bands * rows))
