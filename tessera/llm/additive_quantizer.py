@@ -2,7 +2,8 @@
 
 A vector is coded as a sum of M full-dimensional codewords, found by beam search over the residuals, and
 stored with the norms that set a score of the sum right. Queries are scored against all codes through
-lookup tables, block by block, and what scores best is ranked again by exact inner products.
+lookup tables, block by block. Each block ranks what scores best in it again by exact inner products and
+returns a few, so that candidates grow with the blocks and recall doesn't fall with the size of the table.
 Equal vectors are searched as one, so that a very common vector is one code.
 """
 
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut
+from tessera.llm.base import cut, give_back
 
 #: Codebooks, codewords of each, beam width, vectors that the codebooks are fitted on at most.
 BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 4, 16_384
-#: Candidates ranked exactly for each query; codes and queries of one unit of work.
-RERANK, CODE_BLOCK, QUERY_BLOCK = 500, 32_768, 256
+#: Candidates of each block of codes ranked exactly for a query; codes and queries of one unit of work, and
+#: queries scored at a time.
+RERANK, CODE_BLOCK, QUERY_BLOCK, QUERY_STEP = 500, 32_768, 2_048, 128
 
 
 def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -89,11 +91,12 @@ def lookup_scores(queries: np.ndarray, codes: np.ndarray, gain: np.ndarray, book
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``(vec_id, v)``: rows with an id and a finite, non-zero vector of the most common length; one row an id.
+    """``(vec_id, v)``: rows with an id and a finite, non-zero vector of the most common length, in double precision; one row an id.
 
-    Of an id with several vectors the smallest in array order stays. Minus zero becomes zero.
+    An inner product needs vectors of one length, so others take no part. Of an id with several vectors the
+    smallest in array order stays. Minus zero becomes zero.
     """
-    v = F.transform(F.col(embedding), lambda x: x.cast("float") + F.lit(0.0).cast("float"))
+    v = F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     t = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     t = t.where(fine & F.exists("v", lambda x: x != 0))
@@ -102,7 +105,28 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(len(col), -1)
+    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
+
+
+def _single(x: np.ndarray) -> np.ndarray:
+    """Vectors in the precision of the codes; what that can't hold is its largest number."""
+    most = float(np.finfo(np.float32).max) / 1e4
+    return np.clip(x, -most, most).astype(np.float32)
+
+
+def nearest_of_block(queries: np.ndarray, reps: np.ndarray, vectors: np.ndarray, coded: np.ndarray, gain: np.ndarray, books: np.ndarray, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and exact inner products of each query's ``k`` nearest among the ``rerank`` that score best."""
+    out = []
+    n = min(rerank, len(reps))
+    for at in range(0, len(queries), QUERY_STEP):
+        part = queries[at : at + QUERY_STEP]
+        score = lookup_scores(_single(part), coded, gain, books)
+        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        for i, (q, b) in enumerate(zip(part, best, strict=True)):
+            exact = vectors[b] @ q
+            top = np.lexsort((reps[b], -exact))[:k]
+            out.append((np.full(len(top), at + i), reps[b][top], exact[top]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
@@ -120,49 +144,42 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.array(v, np.float32).tobytes() for v in b["v"].to_pylist()]
+            rows = [np.array(v, np.float64).tobytes() for v in b["v"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["rep"], pa.array(rows, pa.binary())], ["rep", "vec"])
 
-    packed = groups.mapInArrow(pack, "rep long, vec binary")
-    taken = [bytes(r["vec"]) for r in packed.orderBy(F.xxhash64("rep")).limit(sample).collect()]
+    packed = cut(groups.select("rep", "v").mapInArrow(pack, "rep long, vec binary"))
+    taken = [bytes(r["vec"]) for r in packed.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
     if not taken:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = spark.sparkContext.broadcast(fit_codebooks(np.frombuffer(b"".join(taken), np.float32).reshape(len(taken), -1)))
-    total = groups.count()
+    books = spark.sparkContext.broadcast(fit_codebooks(_single(np.frombuffer(b"".join(taken), np.float64).reshape(len(taken), -1))))
+    total = packed.count()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes, gain = encode(_matrix(b["vec"]), books.value)
-                yield pa.RecordBatch.from_arrays([b["rep"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(gain)], ["rep", "code", "gain"])
+                codes, gain = encode(_single(_matrix(b["vec"])), books.value)
+                yield pa.RecordBatch.from_arrays([b["rep"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(gain), b["vec"]], ["rep", "code", "gain", "vec"])
 
-    codes = packed.mapInArrow(code, "rep long, code binary, gain float").withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(-(-total // CODE_BLOCK))))
+    codes = packed.mapInArrow(code, "rep long, code binary, gain float, vec binary").withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(-(-total // CODE_BLOCK))))
     asks = own.where(F.col("vec_id") % every == 0).join(groups.select(F.col("v").alias("gv"), "rep"), F.col("v") == F.col("gv")).select("vec_id", "rep")
     queries = packed.join(asks.select("rep").distinct(), "rep")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     qblocks = queries.withColumn("qblock", F.pmod(F.xxhash64("rep"), F.lit(blocks))).groupBy("qblock").agg(F.collect_list(F.struct("rep", "vec")).alias("q"))
-    cblocks = codes.groupBy("cblock").agg(F.collect_list(F.struct("rep", "code", "gain")).alias("c"))
+    cblocks = codes.groupBy("cblock").agg(F.collect_list(F.struct("rep", "code", "gain", "vec")).alias("c"))
     units = cblocks.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(qblocks, "qblock")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, c in zip(b["q"], b["c"], strict=True):
-                q, c = q.values, c.values
-                reps = c.field("rep").to_numpy()
-                coded = np.frombuffer(b"".join(c.field("code").to_pylist()), np.uint8).reshape(len(reps), -1)
-                score = lookup_scores(_matrix(q.field("vec")), coded, c.field("gain").to_numpy(), books.value)
-                n = min(rerank, len(reps))
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q.field("rep").to_numpy(), n)), pa.array(reps[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())],
-                    ["query", "rep", "guess"],
-                )
-
-    found = units.select("q", "c").mapInArrow(look, "query long, rep long, guess float")
-    found = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("guess"), "rep"))).where(F.col("r") <= rerank)
-    pairs = found.join(groups.select("rep", "ids", "v"), "rep").join(groups.select(F.col("rep").alias("query"), F.col("v").alias("qv")), "query")
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = pairs.select("query", dot.alias("score"), F.explode("ids").alias("vec_id"))
+            for i in range(b.num_rows):
+                q, c = b["q"][i].values, b["c"][i].values
+                coded = np.frombuffer(b"".join(c.field("code").to_pylist()), np.uint8).reshape(len(c), -1)
+                at, reps, exact = nearest_of_block(_matrix(q.field("vec")), c.field("rep").to_numpy(), _matrix(c.field("vec")), coded, c.field("gain").to_numpy(), books.value, rerank, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(q.field("rep").to_numpy()[at]), pa.array(reps), pa.array(exact)], ["query", "rep", "score"])
+        give_back()
+
+    found = units.select("q", "c").mapInArrow(look, "query long, rep long, score double")
+    found = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
+    near = found.select("query", "rep", "score").join(groups.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     order = [F.desc("score"), "vec_id"]
     near = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("r") <= k + 1)
     out = asks.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(near.drop("r"), "query").where("query_id <> vec_id")

@@ -43,3 +43,28 @@ def test_beam_beats_greedy_and_recall():
     top = np.argsort(-(q.astype(float) @ x.T.astype(float)), 1)[:, :20]
     best = np.argsort(-A.lookup_scores(q, codes, gain, books), 1)[:, :200]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top, best, strict=True)]) >= 0.9
+
+
+def test_recall_of_search(spark, monkeypatch):
+    """Many blocks, and few candidates of each: quantisation decides who is ranked."""
+    monkeypatch.setattr(A, "CODE_BLOCK", 5000)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 30)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = A.search(df, k=20, every=400, rerank=100, sample=4000).collect()
+    asked = np.arange(0, 20_000, 400)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(q), int(c)) for q, s in zip(asked, score, strict=True) for c in np.argsort(-s)[:20]}
+    assert len(got) == 20 * len(asked)
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) / len(want) >= 0.9
+    assert all(abs(r["score"] - float(x[r["query_id"]] @ x[r["vec_id"]])) < 1e-12 for r in got)
+
+
+def test_double_precision(spark):
+    big = [1e200, 1.0, 0.0]
+    rows = [(0, [1.0, 1.0, 1.0]), (1, [1.0 + 1e-12, 1.0, 1.0]), (2, [1.0 + 2e-12, 1.0, 1.0]), (3, big)]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 3), (0, 2), (0, 1), (2, 3), (2, 1), (2, 0)]
+    assert got[0]["score"] == 1e200 + 1.0
