@@ -15,44 +15,54 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those dropped as ten documents or more hold them, and the digest of the rest."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1, count_by="doc_id")
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side, in segments, with masks."""
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans and their digest, and all spans with those of high entropy."""
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 def op7_additive_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
     return additive_quantizer.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses and notices that each document holds."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its score, and whether its label was left out of learning."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its shingles and the component of its near copies at 85 %."""
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold, also with other numbers and names."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that other documents hold too."""
     return content_chunks.repeated_passages(table(spark, sf_dir, "documents"))
 
 
@@ -63,6 +73,7 @@ def vocabulary(path: str | None = None) -> str:
 
 
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its tokens, the digest of their ids, and that of what they decode to."""
     return trie_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 

@@ -22,3 +22,17 @@ def test_long_and_unnumbered(spark):
     whole = "".join(r["text"] for r in order)
     assert whole.index("t0<") < whole.index("t63<") < whole.index("t64<") < whole.index("t149<")
     assert rotate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_turns_of_one_number(spark, monkeypatch):
+    from tessera.llm import chat
+
+    monkeypatch.setattr(chat, "MOST_TURNS", 10)
+    rows = [(1, 5, "ab"[k % 2], f"t{k:03d}", "") for k in range(95)] + [(1, None, "a", f"u{k:03d}", "") for k in range(20)] + [(2, 1, "a", "x", "")]
+    got = [r for r in rotate(spark.createDataFrame(rows, SCHEMA).repartition(5)).where("perspective = 'a'").collect() if r["conv_id"] == 1]
+    numbered = sorted((r for r in got if r["segment"] is not None), key=lambda r: r["bucket"])
+    assert [r["bucket"] for r in numbered] == [chat.LOOSE * k for k in range(10)] and [r["n_turns"] for r in numbered] == [10] * 9 + [5]
+    whole = "".join(r["text"] for r in numbered)
+    places = [whole.index(f"{t}<") for _, t in sorted((r, t) for _, n, r, t, _ in rows if n == 5)]
+    assert places == sorted(places)
+    assert sum(r["n_turns"] for r in got) == 115
