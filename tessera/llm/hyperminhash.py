@@ -9,8 +9,9 @@
    their hub; components of what holds contract most groups to one node.
 4. Pairs without the hub are still open in buckets whose other members are not all in one component.
    Such a bucket is cut into blocks, and the registers of each pair of blocks are compared; only members of
-   pairs between components that pass the estimate come back, and only those have their sets compared. A
-   spanning forest of the links leaves the task.
+   pairs between components that pass the estimate come back, and only those have their sets compared, once
+   however many buckets they share: by blocks of nodes with the same smallest hub. A spanning forest of the
+   links leaves the task.
 5. Components of all links, spread back over the classes.
 
 No pair of a bucket is emitted as a row and no bucket is capped. A link is missed only if no band
@@ -157,11 +158,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def open_pairs(part: np.ndarray, group: np.ndarray, regs: np.ndarray, n: np.ndarray, band: int, bands: int, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(part: np.ndarray, group: np.ndarray, regs: np.ndarray, n: np.ndarray, band: int | None, bands: int, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs between part 0 and part 1, or inside part 0 if it stands alone, that need their sets compared; best first.
 
     Left out are pairs of one component, of sizes or registers too unlike, and those that an earlier band's
-    bucket has too.
+    bucket has too, or with ``band`` None those that no band's bucket has.
     """
     k = bands * rows
     first = np.flatnonzero(part == 0)
@@ -169,7 +170,7 @@ def open_pairs(part: np.ndarray, group: np.ndarray, regs: np.ndarray, n: np.ndar
     ask = (group[first][:, None] != group[second][None, :]) & sizes_allow(n[first][:, None], n[second][None, :], percent)
     if second is first:
         ask = np.triu(ask, 1)
-    agree, earlier = np.zeros(ask.shape, np.int16), np.zeros(ask.shape, bool)
+    agree, banded = np.zeros(ask.shape, np.int16), np.zeros(ask.shape, bool)
     if ask.any():
         for j in range(bands):
             all_rows = np.ones(ask.shape, bool)
@@ -177,9 +178,9 @@ def open_pairs(part: np.ndarray, group: np.ndarray, regs: np.ndarray, n: np.ndar
                 same = regs[first, c][:, None] == regs[second, c][None, :]
                 agree += same
                 all_rows &= same
-            if j < band:
-                earlier |= all_rows
-    x, y = np.nonzero(ask & ~earlier & (agree >= k * least_estimate(percent, k)))
+            if band is None or j < band:
+                banded |= all_rows
+    x, y = np.nonzero(ask & (banded if band is None else ~banded) & (agree >= k * least_estimate(percent, k)))
     fine = estimate(agree[x, y], k, accident(n[first[x]], n[second[y]])) >= least_estimate(percent, k)
     x, y = x[fine], y[fine]
     order = np.argsort(-agree[x, y], kind="stable")
@@ -282,49 +283,61 @@ def _star_links(likely: DataFrame, classes: DataFrame, base: DataFrame, percent:
 def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps: DataFrame, percent: int, words: int, bands: int, rows: int) -> DataFrame | None:
     """Links between components inside buckets, ``buckets(bucket, node, low)``; None where nothing is open."""
     own = buckets.where("node <> low").join(comps.select(F.col("node").alias("cnode"), "component"), F.col("node") == F.col("cnode"), "left")
-    own = own.join(classes.select(F.col("node").alias("nnode"), "n"), F.col("node") == F.col("nnode")).select("bucket", "node", "n", F.coalesce("component", "node").alias("group"))
-    several = own.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("g <> h")
+    own = own.join(classes.select(F.col("node").alias("nnode"), "n"), F.col("node") == F.col("nnode")).select("bucket", "node", "low", "n", F.coalesce("component", "node").alias("group"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    several = own.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("g <> h")
     # a key of its own has an exchange of its own, which the skew-join rule can split
     key = F.col("bucket").bitwiseXOR(F.lit(1)).alias("key")
-    rest = cut(own.select(key, "*").join(several.select(key, blocks.alias("nb")), "key").select("bucket", "node", "n", "group", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb"))
+    rest = cut(own.select(key, "*").join(several.select(key, blocks.alias("nb")), "key").drop("key"))
     if rest.isEmpty():
         return None
+    members = rest.groupBy("node").agg(F.min("low").alias("home"), F.first("n").alias("n"), F.first("group").alias("group"))
+    homes = members.groupBy("home").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select(F.col("home").bitwiseXOR(F.lit(1)).alias("key"), blocks.alias("nb"))
+    slot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int").alias("slot")
+    members = cut(members.withColumn("key", F.col("home").bitwiseXOR(F.lit(1))).join(homes, "key").select("node", "home", slot, "n", "group"))
+    held = members.join(classes.select(F.col("node").alias("cnode"), "registers", "bands"), F.col("node") == F.col("cnode")).drop("cnode")
     # block i meets every block j >= i; a unit (lo, hi) gets both, lo = hi has one
-    def dealt(df: DataFrame) -> DataFrame:
-        df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-        return df.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("part"))
-
-    unit = ["bucket", "lo", "hi"]
-    registers_of = classes.select(F.col("node").alias("rnode"), "registers", "bands")
+    dealt = rest.select("bucket", F.col("node").alias("rnode"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("bucket", "rnode", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("part"))
     band = (F.array_position("bands", F.col("bucket")) - 1).cast("int").alias("band")
-    units = dealt(rest.join(registers_of, F.col("node") == F.col("rnode")).select("bucket", "node", "n", "group", "block", "nb", "registers", band)).select(*unit, "part", "band", "node", "n", "group", "registers")
+    unit = ["bucket", "lo", "hi"]
+    units = dealt.join(held, F.col("rnode") == F.col("node")).select(*unit, "part", band, "node", "home", "slot", "n", "group", "registers")
 
-    def arrays(g: pa.Table) -> tuple:
+    def pairs(g: pa.Table, band: int | None) -> tuple[np.ndarray, np.ndarray]:
         regs = np.frombuffer(b"".join(g["registers"].to_pylist()), np.uint16).reshape(g.num_rows, bands * rows)
-        return g["part"].to_numpy(), g["group"].to_numpy(), regs, g["n"].to_numpy(), g["band"][0].as_py(), bands, rows, percent
+        return open_pairs(g["part"].to_numpy(), g["group"].to_numpy(), regs, g["n"].to_numpy(), band, bands, rows, percent)
+
+    meeting = ["home", "slot", "home2", "slot2"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, unit):
-            x, y = open_pairs(*arrays(g))
+            x, y = pairs(g, g["band"][0].as_py())
             if len(x):
-                yield from g.select([*unit, "node"]).take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
+                at = np.stack([g[c].to_numpy() for c in ("home", "slot")], axis=1)
+                first, second = at[x], at[y]
+                swap = (first[:, 0] > second[:, 0]) | ((first[:, 0] == second[:, 0]) & (first[:, 1] > second[:, 1]))
+                first[swap], second[swap] = second[swap], first[swap].copy()
+                node = g["node"].to_numpy()
+                each = np.unique(np.concatenate([np.column_stack([first, second, node[z], (at[z] != first).any(1)]) for z in (x, y)]), axis=0)
+                cols = [each[:, k].astype(t) for k, t in enumerate((np.int64, np.int32, np.int64, np.int32, np.int64, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*meeting, "node", "part"])
         give_back()
 
-    asked = cut(units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(ask, "bucket long, lo int, hi int, node long"))
+    asked = units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(ask, "home long, slot int, home2 long, slot2 int, node long, part int")
+    asked = cut(asked.distinct())
     if asked.isEmpty():
         return None
-    uses = asked.groupBy("node").agg(F.collect_set(F.struct(*unit)).alias("uses"))
-    held = _sets(uses, classes, base, words, asked.count()).select(F.explode("uses").alias("use"), "node", "shingles").select("use.*", "node", "shingles")
-    member = dealt(rest).select(*unit, "part", "node", "n", "group").join(held, [*unit, "node"]).join(registers_of, F.col("node") == F.col("rnode"))
-    member = member.select(*unit, "part", "node", "n", "group", "shingles", "registers", band)
+    uses = asked.groupBy("node").agg(F.collect_list(F.struct(*meeting, "part")).alias("uses"))
+    sets = _sets(uses, classes, base, words, uses.count())
+    known = held.select(F.col("node").alias("mnode"), "n", "group", "registers")
+    member = sets.join(known, F.col("node") == F.col("mnode")).select(F.explode("uses").alias("use"), "node", "n", "group", "registers", "shingles").select("use.*", "node", "n", "group", "registers", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, unit):
-            x, y = open_pairs(*arrays(g))
-            nodes, n, groups = (g[c].to_numpy() for c in ("node", "n", "group"))
+        for g in _groups(batches, meeting):
+            x, y = pairs(g, None)
+            nodes, n = (g[c].to_numpy() for c in ("node", "n"))
             sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in g["shingles"]]
-            forest, found = _Forest(groups), []
+            forest, found = _Forest(g["group"].to_numpy()), []
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 if forest.find(i) != forest.find(j):
                     c = _common(sets[i], sets[j])
@@ -334,7 +347,7 @@ def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps:
             yield _links(found)
         give_back()
 
-    return member.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, _LINKS)
+    return member.repartition(*meeting).sortWithinPartitions(*meeting).mapInArrow(verify, _LINKS)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, bands: int = BANDS, rows: int = ROWS, text_hash: bool = False) -> DataFrame:
