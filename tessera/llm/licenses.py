@@ -7,7 +7,7 @@ window is s shares one of ``len(SEEDS)`` bands of one minimum with probability 1
 template, so a third kind of window is a single shingle: it shares a band with a template if it is one of the
 template's least shingles under the seeds. A text with a share c of a template's shingles, whatever stands
 around them, holds one of those with probability about 1 - (1 - c) ** len(SEEDS): 1 for whole templates.
-What a shared band retrieves is verified on the shingles themselves. A text without a single shingle of any
+What a shared band retrieves is verified on the shingles of the whole document. A text without a single shingle of any
 template can hold none of them, so only the others have their windows made.
 """
 
@@ -130,11 +130,10 @@ def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """``(doc_id, license, n_shared, n_shingles, containment)`` for each document and template it holds.
 
-    containment is the share of the template's distinct shingles found in the document's retrieved
-    windows; ``contained`` of them make a match, all of them if
-    they are fewer than SHORT. Null and empty texts match nothing; rows of one id
-    count as one document; rows with a null id are left out. The template table is a parameter of
-    fixed size and goes to every task.
+    A window retrieves a template; containment is then the share of the template's distinct shingles that the
+    whole document has. ``contained`` of them make a match, all of them if they are fewer than SHORT. Null and
+    empty texts match nothing; rows of one id count as one document; rows with a null id are left out. The
+    template table is a parameter of fixed size and goes to every task.
     """
     known = template_table(docs.sparkSession, templates)
     least = known.where("n_words > 0").select("license", "n_words", F.explode(least_shingles(F.col("shingles"))).alias("band"))
@@ -145,14 +144,21 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     of_windows = windows(known.select("license", "body"), "body").select("license", shingles_of(F.col("words")).alias("s"))
     bands = F.broadcast(of_windows.select("license", F.explode(bands_of(F.col("s"))).alias("band")).union(least.select("license", "band")).distinct())
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    # no word spans lines, so the words of all lines are those of the text
-    # an array of one stands in for a name, so that the words are found once
-    held = F.exists(F.array(words_of(lowered(F.col("body")))), lambda ws: F.exists(shingles_of(ws), lambda h: h.isin(own)))
-    asked = windows(base if shortest < SHINGLE else base.where(held), "body", sorted({r["band"] for r in spots}), around).select("doc_id", "spot", shingles_of(F.col("words")).alias("s"))
-    asked = asked.select("doc_id", "s", F.explode(F.when(F.col("spot").isNull(), bands_of(F.col("s"))).otherwise(F.array("spot"))).alias("band"))
-    hits = asked.join(bands, "band").select("doc_id", "license", "s")
+    # no word spans lines, so the words of all lines are those of the text; an array of one stands in for a
+    # name, so that the words are found once
+    mine = lambda f: F.element_at(F.transform(F.array(words_of(lowered(F.col("body")))), f), 1)
+    if shortest >= SHINGLE:
+        base = base.where(mine(lambda ws: F.exists(shingles_of(ws), lambda h: h.isin(own))))
+    held = mine(lambda ws: F.array_distinct(F.filter(shingles_of(ws), lambda h: h.isin(own))))
+    if shortest < SHINGLE:  # lines of fewer words have a shingle of their own
+        few = F.filter(word_lines(F.col("body")), lambda w: (F.size(w) > 0) & (F.size(w) < SHINGLE))
+        held = F.array_union(held, F.transform(few, lambda w: F.element_at(shingles_of(w), 1)))
+    base = base.withColumn("held", held)
+    asked = windows(base, "body", sorted({r["band"] for r in spots}), around).select("doc_id", "held", "spot", shingles_of(F.col("words")).alias("s"))
+    asked = asked.select("doc_id", "held", F.explode(F.when(F.col("spot").isNull(), bands_of(F.col("s"))).otherwise(F.array("spot"))).alias("band"))
+    hits = asked.join(bands, "band").select("doc_id", "license", "held").distinct()
     exact = hits.join(F.broadcast(known.select("license", "shingles")), "license")
-    shared = exact.select("doc_id", "license", F.size("shingles").alias("n_shingles"), F.explode(F.array_intersect("s", "shingles")).alias("h"))
+    shared = exact.select("doc_id", "license", F.size("shingles").alias("n_shingles"), F.explode(F.array_intersect("held", "shingles")).alias("h"))
     shared = shared.groupBy("doc_id", "license", "h").agg(F.first("n_shingles").alias("n_shingles"))
     found = shared.groupBy("doc_id", "license").agg(F.count("*").alias("n_shared"), F.first("n_shingles").cast("long").alias("n_shingles"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= F.when(F.col("n_shingles") < SHORT, 1.0).otherwise(contained))

@@ -90,7 +90,45 @@ QUERIES: dict[str, Query] = {
     "op10_trie_bpe": op10_trie_bpe,
 }
 
+def _license_sql() -> str:
+    """Containment of every template in every document, by shingles of all words."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.TEMPLATES.items()))
+    word = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
+    grams = f"unnest(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(1, greatest(len(ws) - {licenses.SHINGLE} + 1, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + {licenses.SHINGLE} - 1), ' ')) END)"
+    return f"""WITH t(license, body) AS (VALUES {rows}),
+tg AS (SELECT DISTINCT license, {grams} AS g FROM (SELECT license, regexp_extract_all(lower(body), '{word}') AS ws FROM t)),
+n AS (SELECT license, count(*) AS n_shingles FROM tg GROUP BY 1),
+dg AS (SELECT DISTINCT doc_id, {grams} AS g FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS ws FROM documents)),
+c AS (SELECT doc_id, license, count(*) AS n_shared FROM dg JOIN tg USING (g) GROUP BY 1, 2)
+SELECT doc_id, license, n_shared, n_shingles, n_shared / n_shingles AS containment FROM c JOIN n USING (license)
+WHERE n_shared / n_shingles >= CASE WHEN n_shingles < {licenses.SHORT} THEN 1.0 ELSE {licenses.CONTAINED} END"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": _license_sql(),
+    "op6_hyperminhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+    lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT x AS doc, y AS other FROM e UNION SELECT r.doc, e.y FROM r JOIN e ON r.other = e.x
+), m AS (
+  SELECT doc, min(other) AS low FROM r GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc = d.doc_id""",
     "op2_line_dedup": """
 WITH split AS (
   SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents

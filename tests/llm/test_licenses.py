@@ -1,4 +1,5 @@
 import random
+import re
 
 from tessera.llm import licenses as L
 
@@ -49,3 +50,36 @@ def test_each_template_inside_a_long_paragraph(spark):
 def test_very_long_texts(spark):
     texts = ["1." * 500_000, "a-" * 500_000, "x" * 1_000_000, "word " * 100_000 + "Released under the MIT License." + " word" * 1000]
     assert scan(spark, list(enumerate(texts))) == {(3, "notice-mit")}
+
+
+def brute(docs):
+    """Containment of all templates in all documents, by their words."""
+    words = lambda t: re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    out = set()
+    for i, t in docs:
+        mine = grams(words(t))
+        for name, body in L.TEMPLATES.items():
+            need = grams(words(body))
+            if len(mine & need) / len(need) >= (1.0 if len(need) < L.SHORT else L.CONTAINED):
+                out.add((i, name))
+    return out
+
+
+def test_brute_force(spark):
+    """Templates whole, wrapped, in running text, and with words changed, among texts that share parts of them."""
+    rng = random.Random(15)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    docs = []
+    for i, body in enumerate(list(L.TEMPLATES.values()) * 6):
+        w = body.split()
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = "changed"
+        kind = i % 4
+        if kind == 1:
+            w = w[: len(w) * 2 // 3]
+        if kind == 2:
+            w = [x + ("\n" if k % 5 == 4 else "") for k, x in enumerate(w)]
+        docs.append((i, noise(rng.randint(0, 90)) + rng.choice([" ", "\n"]) + " ".join(w) + rng.choice([" ", "\n"]) + noise(rng.randint(0, 90))))
+    want = brute(docs)
+    assert scan(spark, docs) == want and len(want) >= 40

@@ -64,3 +64,36 @@ def test_label_model_finds_rates():
     post = X.posterior(p, prior, h, m, r)
     match = post[[np.flatnonzero((p == row).all(1))[0] for row in v]] >= 0.5
     assert np.mean(match == y) >= 0.95 and (h[:4] > 5 * m[:4]).all()
+
+
+def plain_features(text):
+    """Words without ASCII punctuation, and beginnings that two words or more, one in a hundred, share."""
+    words = "".join(" " if c < "\x7f" and not c.isalnum() and not c.isspace() and c > " " else c for c in (text or "").lower()).split()
+    begun = {}
+    for w in words:
+        for n in X.BEGINNINGS:
+            if len(w) > n:
+                begun[w[:n] + "*"] = begun.get(w[:n] + "*", 0) + 1
+    return set(words) | {s for s, n in begun.items() if n >= max(2, len(words) / 100)}
+
+
+def test_brute_force_of_features_counts_and_scores(spark):
+    docs, labels = make(400, 7)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts, toxic = {i: t for i, t, _ in docs}, {i: t for i, _, t in labels}
+    learnt = [i for i in toxic if zlib.crc32(str(i).encode()) % 5]
+    counts = {}
+    for i in learnt:
+        for f in plain_features(texts[i]):
+            counts.setdefault(f, [0, 0])[toxic[i]] += 1
+    labelled = spark.createDataFrame([(texts[i], toxic[i]) for i in learnt], "text string, toxic int")
+    found = X.association(labelled)
+    assert found and all(counts[f] == [clean, bad] for f, bad, clean, _ in found)
+    strong = {f for f, (c, t) in counts.items() if t >= X.LEAST_ROWS and not c and t >= 20}
+    assert strong <= {f for f, *_ in found}
+    model, _ = X.train(d, y)
+    for r in X.toxicity(d, y).collect():
+        logit = model.bias + sum(model.weights[f] for f in plain_features(texts[r["doc_id"]]) & model.weights.keys())
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-9
+    again = {r["doc_id"]: r["score"] for r in X.score(d, model).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-12 for r in X.toxicity(d, y).collect())
