@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sentences, strip
-from tessera.functions.vectors import cosine, hash_embedding
+from tessera.functions.vectors import dot, hash_vector
 
 SIZE, OVERLAP = 500, 100
 # Separators in the order in which they are tried.
@@ -125,10 +125,9 @@ def semantic_chunks(docs: DataFrame, least: int = 100, most: int = 750, similari
     A chunk ends where the next sentence is unlike or would exceed ``most``, once it has ``least``
     characters; then chunks under ``least`` join the next. Similarity is that of the offline embedding.
     """
-    s = sentence_rows(docs, doc_id, text).withColumn("key", F.concat_ws("#", F.col(doc_id).cast("string"), F.col("idx").cast("string")))
-    v = s.join(hash_embedding(s.select("key", F.col("sentence").alias("body")), "key", "body", dim), "key")
+    v = sentence_rows(docs, doc_id, text).withColumn("vector", hash_vector(F.col("sentence"), dim))
     w = W.partitionBy(doc_id).orderBy("idx")
-    v = v.withColumn("sim", F.coalesce(cosine(F.col("vector"), F.lag("vector").over(w)), F.lit(1.0)))
+    v = v.withColumn("sim", F.coalesce(dot(F.col("vector"), F.lag("vector").over(w)), F.lit(1.0)))
     runs = v.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence", "sim"))).alias("s"))
     none = F.expr("cast(array() as array<string>)")
     zero = F.struct(none.alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import auto_title, local_summary, md_to_html, summary_parts
+from tessera.functions.text import auto_title, local_summary, md_to_html, safe_filename, summary_parts
 
 # Tags that are dropped, tags that stand alone, hints of a main part.
 DROPPED = {"script", "style", "noscript"}
@@ -199,6 +199,17 @@ def export_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+# Media types of the exports.
+MIME = {"md": "text/markdown", "html": "text/html", "json": "application/json"}
+
+
+def export_files(docs: DataFrame, form: str, *kept: str) -> DataFrame:
+    """``(filename, mime, body)`` of documents ``(title, file_type, tags, created_at, content)`` as Markdown, a page or JSON."""
+    c = {x: F.col(x) for x in ("title", "file_type", "tags", "created_at", "content")}
+    body = {"md": export_markdown(*c.values()), "html": export_html(c["title"], c["content"]), "json": export_json(*c)}[form]
+    return docs.select(*kept, safe_filename(c["title"], form).alias("filename"), F.lit(MIME[form]).alias("mime"), body.alias("body"))
+
+
 def multimodal_text(kind: Column, caption: Column, body: Column, footnote: Column) -> Column:
     """Text of an image, table or equation item for indexing, without a model."""
     name = F.create_map(*[F.lit(x) for x in ("image", "[图片]", "table", "[表格]", "equation", "[公式]")])

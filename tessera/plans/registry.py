@@ -351,7 +351,10 @@ def entity_merge(spark: SparkSession, d: str) -> DataFrame:
     return graph.merge_entities(_entity_events(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_EE}, d AS (SELECT name, type, description, min(seq) AS seq FROM ev WHERE description <> '' GROUP BY 1, 2, 3), p AS (SELECT name, type, string_agg(description, '; ' ORDER BY seq) AS description FROM d GROUP BY 1, 2),
+c AS (SELECT name, type, first(chunk_id ORDER BY seq) AS chunk_id FROM ev GROUP BY 1, 2) SELECT name, type, chunk_id, coalesce(description, '') AS description FROM c LEFT JOIN p USING (name, type)"""
+)
 def entity_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return graph.append_descriptions(_entity_events(spark, d))
 
@@ -545,7 +548,7 @@ def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", body.alias("body"))
 
 
-@query()
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'text': text})::VARCHAR AS body FROM documents")
 def export_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", content.export_json("doc_id", "lang", "source", "text").alias("body"))
 
@@ -571,6 +574,12 @@ def local_digest_parts(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "title", "bullets", "summary", F.array_join("key_points", "|").alias("key_points"))
 
 
+@query("SELECT doc_id, 'Document_ ' || doc_id || '.html' AS filename, 'text/html' AS mime, length(coalesce(text, '')) > 0 AS filled FROM documents")
+def export_pages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Document: "), F.col("doc_id").cast("string")).alias("title"), F.lit("text").alias("file_type"), F.array("lang").alias("tags"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.coalesce("text", F.lit("")).alias("content"))
+    return content.export_files(docs, "html", "doc_id").select("doc_id", "filename", "mime", (F.length("body") > 120).alias("filled"))
+
+
 @query()
 def local_digest(spark: SparkSession, d: str) -> DataFrame:
     return content.local_digest(table(spark, d, "documents"))

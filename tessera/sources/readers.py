@@ -48,9 +48,21 @@ def docx_text(content: bytes) -> str | None:
 def docx_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content, status, error)``: files that can't be read fail on their own."""
 
+    return _docx(spark.read.format("binaryFile").load(path))
+
+
+def _docx(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             text = [docx_text(c) for c in pdf["content"]]
             yield pd.DataFrame({"path": pdf["path"], "content": text, "status": ["failed" if t is None else "completed" for t in text], "error": ["not a readable file" if t is None else None for t in text]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, content string, status string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, content string, status string, error string")
+
+
+def any_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content, status, error)`` of all files of a folder by their type; those of other types fail on their own."""
+    files = spark.read.format("binaryFile").load(path).withColumn("kind", file_type(F.col("path")))
+    text = files.where(F.col("kind").isin("text", "markdown")).select("path", F.decode("content", "UTF-8").alias("content"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"))
+    other = files.where(~F.col("kind").isin("text", "markdown", "docx")).select("path", F.lit(None).cast("string").alias("content"), F.lit("failed").alias("status"), F.concat(F.lit("unsupported type: "), F.col("kind")).alias("error"))
+    return text.unionByName(_docx(files.where("kind = 'docx'"))).unionByName(other)

@@ -268,3 +268,30 @@ def test_scalars(spark):
     assert row.select(content.multimodal_text(F.col("k"), F.col("c"), F.col("b"), F.col("f"))).first()[0] == "[表格]\ncap\nbody"
     assert "<h1>T</h1><p>x</p>" in spark.range(1).select(content.export_html(F.lit("T"), F.lit("x"))).first()[0]
     assert spark.range(1).select(fusion.relation_text(F.lit("a"), F.lit("r"), F.lit("b"), F.lit(""))).first()[0] == "[关系] a ←r→ b"
+
+
+def test_any_files_and_index(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, raw in (("a.txt", "é one".encode()), ("b.docx", b"no zip"), ("c.pdf", b"%PDF"), ("d.md", b"# h")):
+        (tmp_path / "in" / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1]: (r["content"], r["status"], r["error"]) for r in readers.any_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.txt": ("é one", "completed", None), "d.md": ("# h", "completed", None), "b.docx": (None, "failed", "not a readable file"), "c.pdf": (None, "failed", "unsupported type: pdf")}
+    chunks = spark.createDataFrame([("u", "c1", [1.0], {"x": 2.0})], "user_id string, chunk_id string, vector array<double>, terms map<string,double>")
+    sinks.write_index(chunks, str(tmp_path / "both"))
+    sinks.write_index(chunks.drop("terms"), str(tmp_path / "dense"))
+    assert spark.read.parquet(str(tmp_path / "both" / "postings")).first()["term"] == "x" and not (tmp_path / "dense" / "postings").exists()
+
+
+def test_exports(spark):
+    docs = spark.createDataFrame([("T", "text", ["a"], None, "x")], "title string, file_type string, tags array<string>, created_at timestamp, content string")
+    got = {f: content.export_files(docs, f).first() for f in content.MIME}
+    assert [got[f]["filename"] for f in ("md", "html", "json")] == ["T.md", "T.html", "T.json"] and json.loads(got["json"]["body"])["title"] == "T"
+
+
+def test_row_embedding_is_the_embedding(spark):
+    from tessera.functions.vectors import hash_embedding, hash_vector
+
+    docs = spark.createDataFrame([(1, "a bb ccc a"), (2, ""), (3, "流处理系统"), (4, "solo")], "doc_id int, text string")
+    want = {r["doc_id"]: r["vector"] for r in hash_embedding(docs).collect()}
+    for r in docs.select("doc_id", hash_vector(F.col("text")).alias("v")).collect():
+        assert r["v"] == pytest.approx(want[r["doc_id"]])
