@@ -34,7 +34,7 @@ from tessera.llm.components import connected_components
 
 BANDS, ROWS, MANTISSA = 28, 5, 10
 #: Members of a block on average, and their shingles; leaves of a hub that one task compares with it.
-BLOCK_DOCS, BLOCK_SHINGLES, STAR_LEAVES = 256, 1_000_000, 1_000
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_LEAVES = 512, 1_000_000, 1_000
 #: Documents asked for up to which their ids go to every task, ahead of the join that finds their texts.
 BROADCAST_IDS = 500_000
 _U32 = np.uint32
@@ -293,7 +293,8 @@ def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps:
         return None
     members = rest.groupBy("node").agg(F.min("low").alias("home"), F.first("n").alias("n"), F.first("group").alias("group"))
     homes = members.groupBy("home").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select(F.col("home").bitwiseXOR(F.lit(1)).alias("key"), blocks.alias("nb"))
-    slot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int").alias("slot")
+    # as inside buckets, so that a bucket's blocks are mostly those of a home, and a unit asks for few others
+    slot = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("slot")
     members = cut(members.withColumn("key", F.col("home").bitwiseXOR(F.lit(1))).join(homes, "key").select("node", "home", slot, "n", "group"))
     held = members.join(classes.select(F.col("node").alias("cnode"), "registers", "bands"), F.col("node") == F.col("cnode")).drop("cnode")
     # block i meets every block j >= i; a unit (lo, hi) gets both, lo = hi has one
@@ -319,12 +320,17 @@ def _open_links(buckets: DataFrame, classes: DataFrame, base: DataFrame, comps:
                 first[swap], second[swap] = second[swap], first[swap].copy()
                 node = g["node"].to_numpy()
                 each = np.unique(np.concatenate([np.column_stack([first, second, node[z], (at[z] != first).any(1)]) for z in (x, y)]), axis=0)
-                cols = [each[:, k].astype(t) for k, t in enumerate((np.int64, np.int32, np.int64, np.int32, np.int64, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*meeting, "node", "part"])
+                keys, of = np.unique(each[:, [0, 1, 2, 3, 5]], axis=0, return_inverse=True)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of.ravel()))])
+                nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each[np.argsort(of.ravel(), kind="stable"), 4]))
+                cols = [keys[:, k].astype(t) for k, t in enumerate((np.int64, np.int32, np.int64, np.int32, np.int32))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), nodes], [*meeting, "part", "nodes"])
         give_back()
 
-    asked = units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(ask, "home long, slot int, home2 long, slot2 int, node long, part int")
-    asked = cut(asked.distinct())
+    asked = units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(ask, "home long, slot int, home2 long, slot2 int, part int, nodes array<long>")
+    # two blocks meet in the buckets that their nodes share, of which each node has a few, so this gathers little
+    asked = asked.groupBy(*meeting, "part").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
+    asked = cut(asked.select(*meeting, "part", F.explode("nodes").alias("node")))
     if asked.isEmpty():
         return None
     uses = asked.groupBy("node").agg(F.collect_list(F.struct(*meeting, "part")).alias("uses"))
@@ -381,7 +387,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # a key of its own has an exchange of its own, which the skew-join rule can split
     named = member.select(F.col("key").bitwiseXOR(F.lit(2)).alias("k"), "node").join(lowest.select(F.col("key").bitwiseXOR(F.lit(2)).alias("k"), "component"), "k").select(F.col("node").alias("class_key"), "component")
     named = classes.select(F.col("node").alias("class_key"), "rep").join(named, "class_key", "left").select("class_key", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n", "class_key", *more).join(named, "class_key", "left")
+    own = F.col("class_key").bitwiseXOR(F.lit(1)).alias("key")
+    out = sketches.select("id", "n", own, *more).join(named.select(own, "component"), "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = out.select("id", "n", component.cast("long").alias("component"), *more)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), *more)
