@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 
 import numpy as np
@@ -22,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as no other machine sees such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="tessera-checkpoints-")
     if not spark.sparkContext.getCheckpointDir():

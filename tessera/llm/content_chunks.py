@@ -96,12 +96,12 @@ def run_digests(digests: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
 
 
 def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES, words: int = WINDOW_WORDS) -> DataFrame:
-    """``docs(doc, text)`` -> ``(doc, at, words, d1, d2)``.
+    """``docs(doc, text)`` -> ``(doc, at, d1, rest)``.
 
     A row for each first word of a chunk, and each ``words - 1`` words on inside it so that runs overlap, from
     which ``words`` words go on. To keep the shuffled rows short, at holds the run's bytes as start << 32 |
-    end and is negative if the document has the same run further up, words the numbers of its first word and
-    of the word after it likewise; d1 and d2 are 96 bits of its digest.
+    end and is negative if the document has the same run further up; d1 and the upper half of rest are 96 bits
+    of its digest, the lower half is the number of its first word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +136,13 @@ def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES,
                     seen = np.ones(len(at_), bool)
                     seen[np.unique(d[:, 0], return_index=True)[1]] = False
                     at_[seen] |= AGAIN
-                    cols.append((np.full(len(first), doc, np.int64), at_, first << 32 | first + words, d[:, 0], d[:, 1] >> 32))
+                    cols.append((np.full(len(first), doc, np.int64), at_, d[:, 0], d[:, 1] >> 32 << 32 | first))
                 if cols:
                     merged = [np.concatenate(c) for c in zip(*cols, strict=True)]
-                    merged[4] = merged[4].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], ["doc", "at", "words", "d1", "d2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], ["doc", "at", "d1", "rest"])
         give_back()
 
-    return docs.mapInArrow(run, "doc long, at long, words long, d1 long, d2 int")
+    return docs.mapInArrow(run, "doc long, at long, d1 long, rest long")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN_BYTES, most: int = MOST_BYTES, window_words: int = WINDOW_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -160,12 +159,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     each = chunk_runs(base, mean, most, window_words)
-    held = each.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count_if(F.col("at") >= 0).alias("n_docs")).where("low < high")
+    d2, low_half = F.shiftright("rest", 32).cast("int"), (1 << 32) - 1
+    held = each.groupBy("d1", d2.alias("d2")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count_if(F.col("at") >= 0).alias("n_docs")).where("low < high")
     # a join key of its own has an exchange of its own on both sides, which the skew-join rule can split
-    key = F.col("d1").bitwiseXOR(F.lit(1)).alias("key")
-    hits = each.select(key, "d2", "doc", "at", "words").join(held.select(key, "d2", "low", "n_docs"), ["key", "d2"])
-    half = lambda c, n: F.shiftright(F.col(c).bitwiseAND((1 << 63) - 1), 32) if n else F.col(c).bitwiseAND((1 << 32) - 1)
-    hits = hits.select("doc", half("at", 1).alias("start"), half("at", 0).alias("end"), half("words", 1).alias("word"), half("words", 0).alias("word_end"), "low", "n_docs").dropDuplicates(["doc", "start", "end"])
+    key = F.col("d1").bitwiseXOR(F.lit(1))
+    held = held.select(key.alias("held_key"), "d2", "low", "n_docs")
+    hits = each.select(key.alias("key"), "doc", "at", "rest").join(held, (F.col("key") == F.col("held_key")) & (d2 == F.col("d2")))
+    place = F.col("at").bitwiseAND((1 << 63) - 1)
+    word = F.col("rest").bitwiseAND(low_half)
+    hits = hits.select("doc", F.shiftright(place, 32).alias("start"), place.bitwiseAND(low_half).alias("end"), word.alias("word"), (word + window_words).alias("word_end"), "low", "n_docs").dropDuplicates(["doc", "start", "end"])
     order = W.partitionBy("doc").orderBy("start", "end")
     hits = hits.withColumn("gap", F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(0)))
     hits = hits.withColumn("run", F.sum("gap").over(order))
