@@ -46,7 +46,7 @@ def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps:
         out[m] = c
         rest = rest - c[_assign(rest, c)]
     codes = encode(x, out)[0].astype(np.int64) + np.arange(books) * words
-    gram = np.zeros((books * words, books * words), np.float64)
+    gram = np.zeros((books * words, books * words), np.float32)  # counts, exact; solved in double
     for i in range(books):
         for j in range(books):
             np.add.at(gram, (codes[:, i], codes[:, j]), 1)
