@@ -16,6 +16,8 @@ from tessera.llm import decontaminate, hyperminhash, line_dedup, toxicity, trie_
 from tessera.llm.base import cut, ensure_checkpoint_dir
 from tessera.llm.queries import table, vocabulary
 
+#: Copies up to which their ids and text hashes go to every task; beyond that documents are shuffled to meet them.
+BROADCAST_IDS = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -45,6 +47,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     found = cut(hyperminhash.near_duplicates(docs, percent=80, text_hash=True).where("doc_id is not null and n_shingles > 0"))
     same = lambda df: (by[0] == df["id"]) & (by[1] == df["h"])
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     left = docs.join(gone, same(gone), "left_anti")
     again = cut(found.where("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).count().where("count > 1"))
     if not again.isEmpty():
