@@ -39,7 +39,7 @@ _OLD = re.compile("[^\x00-ͷ]")
 #: White space to Python's split() but not to the split pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Chunks a worker keeps encoded, and borders between tokens that it keeps judged.
-KEPT_WORDS, KEPT_BORDERS = 400_000, 200_000
+KEPT_WORDS, KEPT_BORDERS = 250_000, 100_000
 #: Bytes of text encoded at a time, or one text, if longer.
 PART_BYTES = 2_000_000
 #: Symbols of a word up to which it goes into the trie; a longer one shares nothing and is walked alone.
