@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hyperminhash, licenses, line_dedup, secrets, toxicity, trie_bpe
+from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hyperminhash, licenses, line_dedup, merkle, secrets, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,11 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its leaf, proof and root, and whether the leaf, tampered with in one row of seven, still leads to the root."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_content_chunks": op9_content_chunks,
     "op10_trie_bpe": op10_trie_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 def _license_sql() -> str:
@@ -105,7 +111,45 @@ SELECT doc_id, license, n_shared, n_shingles, n_shared / n_shingles AS containme
 WHERE n_shared / n_shingles >= CASE WHEN n_shingles < {licenses.SHORT} THEN 1.0 ELSE {licenses.CONTAINED} END"""
 
 
+#: crc32 of a short ASCII text, as SQL: bit by bit over its characters.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+#: Node lists of a tree level by level, from nodes(g, level, nodes), and what a slot meets on its way up.
+_LEVELS = "SELECT g, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM {0} WHERE len(nodes) > 1"
+_SIBLING = "CASE WHEN (slot >> level) % 2 = 1 THEN '<' || nodes[slot >> level] ELSE coalesce('>' || nodes[(slot >> level) + 2], '') END"
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, {_CRC.format("doc_id::VARCHAR")} % 7 = 0 AS hit FROM documents
+), h AS (
+  SELECT doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN hit AND n_chars IS NOT NULL THEN sha256(head || length((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) || tail) END AS bad FROM d
+), l AS (
+  SELECT *, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot FROM h
+), t(g, level, nodes) AS (
+  SELECT g, 0, list(leaf ORDER BY slot) FROM l GROUP BY g UNION ALL {_LEVELS.format("t")}
+), s AS (
+  SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS slot FROM t WHERE len(nodes) = 1
+), r(g, level, nodes) AS (
+  SELECT '', 0, list(subroot ORDER BY slot) FROM s UNION ALL {_LEVELS.format("r")}
+), up AS (
+  SELECT s.g, coalesce(list({_SIBLING} ORDER BY level) FILTER (WHERE len(nodes) > 1), []) AS path FROM s, r GROUP BY s.g
+), own AS (
+  SELECT l.g, slot, coalesce(list({_SIBLING} ORDER BY level) FILTER (WHERE len(nodes) > 1), []) AS path FROM l JOIN t ON l.g = t.g GROUP BY l.g, slot
+), f AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT nodes[1] FROM r WHERE len(nodes) = 1) AS root, list_concat(own.path, up.path) AS path, coalesce(bad, leaf) AS node
+  FROM l JOIN s ON l.g = s.g JOIN up ON up.g = l.g JOIN own ON own.g = l.g AND own.slot = l.slot
+), o AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: substr(x, 2)), '')) AS proof_sha256,
+    list_reduce(list_concat([node], path), lambda a, x: CASE WHEN x = '' THEN sha256(a) WHEN x[1] = '<' THEN sha256(substr(x, 2) || a) ELSE sha256(a || substr(x, 2)) END) AS folded_root FROM f
+)
+SELECT *, folded_root = root AS verified FROM o"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _MERKLE_SQL,
     "op8_licenses": _license_sql(),
     "op6_hyperminhash": r"""
 WITH RECURSIVE w AS (
