@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hyperminhash, licenses, line_dedup, merkle, secrets, toxicity, trie_bpe
+from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hmm, hyperminhash, licenses, line_dedup, merkle, secrets, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the base score and the hidden Markov model's log10 probability of its text."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_content_chunks": op9_content_chunks,
     "op10_trie_bpe": op10_trie_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_hidden_markov": op13_hidden_markov,
 }
 
 def _license_sql() -> str:
