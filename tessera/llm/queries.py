@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hmm, hyperminhash, licenses, line_dedup, merkle, secrets, toxicity, trie_bpe
+from tessera.llm import additive_quantizer, chat, content_chunks, decontaminate, hard_negatives, hmm, hyperminhash, licenses, line_dedup, merkle, secrets, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector's five positives."""
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the base score and the hidden Markov model's log10 probability of its text."""
     return hmm.score(table(spark, sf_dir, "documents"))
@@ -99,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op9_content_chunks": op9_content_chunks,
     "op10_trie_bpe": op10_trie_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_hidden_markov": op13_hidden_markov,
 }
 
@@ -156,6 +162,20 @@ SELECT *, folded_root = root AS verified FROM o"""
 
 ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": _MERKLE_SQL,
+    "op12_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3""",
     "op8_licenses": _license_sql(),
     "op6_hyperminhash": r"""
 WITH RECURSIVE w AS (
