@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.text import sentences, strip
 from tessera.functions.vectors import dot, hash_vector
@@ -119,36 +122,94 @@ def sentence_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return docs.select(doc_id, F.posexplode(sentences(F.coalesce(F.col(text), F.lit("")))).alias("idx", "sentence"))
 
 
-def semantic_chunks(docs: DataFrame, least: int = 100, most: int = 750, similarity: float = 0.5, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
-    """``(doc_id, idx, content)``: sentences merged while neighbours are alike and the size allows.
+def merge_sentences(sentences: list[str], likeness: list[float], least: int = 100, most: int = 750, similarity: float = 0.5) -> list[str]:
+    """Sentences merged while neighbours are alike and the size allows; ``likeness`` has each one's to the one before.
 
-    A chunk ends where the next sentence is unlike or would exceed ``most``, once it has ``least``
-    characters; then chunks under ``least`` join the next. Similarity is that of the offline embedding.
+    A chunk ends where the next sentence is unlike or would exceed ``most``, once it has ``least`` characters;
+    then chunks under ``least`` join the next. Every character is copied twice.
     """
+    runs: list[list[str]] = []
+    size = 0
+    for s, like in zip(sentences, likeness, strict=True):
+        if not runs or size >= least and (like < similarity or size + len(s) > most):
+            runs.append([])
+            size = 0
+        runs[-1].append(s)
+        size += len(s)
+    out: list[list[str]] = []
+    for text in map(" ".join, runs):
+        held = sum(map(len, out[-1])) + len(out[-1]) - 1 if out else least
+        if held < least and held + len(text) <= most:
+            out[-1].append(text)
+        else:
+            out.append([text])
+    return [" ".join(c) for c in out]
+
+
+def semantic_chunks(docs: DataFrame, least: int = 100, most: int = 750, similarity: float = 0.5, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
+    """``(doc_id, idx, content)``: sentences merged by ``merge_sentences``, alike by the offline embedding."""
     v = sentence_rows(docs, doc_id, text).withColumn("vector", hash_vector(F.col("sentence"), dim))
     w = W.partitionBy(doc_id).orderBy("idx")
     v = v.withColumn("sim", F.coalesce(dot(F.col("vector"), F.lag("vector").over(w)), F.lit(1.0)))
-    runs = v.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence", "sim"))).alias("s"))
-    none = F.expr("cast(array() as array<string>)")
-    zero = F.struct(none.alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    runs = v.groupBy(F.col(doc_id).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence", "sim"))).alias("s"))
 
-    def step(acc, x):
-        over = ((x["sim"] < similarity) | (acc["n"] + F.length(x["sentence"]) > most)) & (acc["n"] >= least)
-        start = over | (acc["cur"] == "")
-        out = F.when(over, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"])
-        cur = F.when(start, x["sentence"]).otherwise(F.concat_ws(" ", acc["cur"], x["sentence"]))
-        n = F.when(start, F.length(x["sentence"])).otherwise(acc["n"] + F.length(x["sentence"]))
-        return F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [s.values for s in b["s"]]
+            out = [merge_sentences(r.field("sentence").to_pylist(), r.field("sim").to_pylist(), least, most, similarity) for r in runs]
+            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(out, pa.list_(pa.string()))], ["doc", "chunks"])
 
-    merged = F.aggregate("s", zero, step, lambda a: F.filter(F.array_append(a["out"], a["cur"]), lambda t: t != ""))
+    merged = runs.mapInArrow(merge, f"doc {runs.schema['doc'].dataType.simpleString()}, chunks array<string>")
+    return merged.select(F.col("doc").alias(doc_id), F.posexplode("chunks").alias("idx", "content"))
 
-    def small(acc, x):
-        join = (F.length(acc["cur"]) < least) & (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(x) <= most)
-        out = F.when(join | (acc["cur"] == ""), acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"]))
-        return F.struct(out.alias("out"), F.when(join, F.concat_ws(" ", acc["cur"], x)).otherwise(x).alias("cur"))
 
-    whole = F.aggregate(F.col("m"), F.struct(none.alias("out"), F.lit("").alias("cur")), small, lambda a: F.filter(F.array_append(a["out"], a["cur"]), lambda t: t != ""))
-    return runs.withColumn("m", merged).select(doc_id, F.posexplode(whole).alias("idx", "content"))
+def chunk_by_strategy(
+    docs: DataFrame, load: Callable[[], Callable[[list[str]], list]], strategy: Column, least: int = 100, most: int = 750, similarity: float = 0.5, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """``(doc_id, idx, content, used, error)``: documents chunked by the strategy asked for, or by what is left if it fails.
+
+    ``load`` is called in the worker and gives an embedder, from sentences to vectors. Where ``strategy`` is "semantic",
+    sentences are merged by the cosine of their vectors; a document whose sentences the embedder throws at, or gives another
+    number of vectors for, is split into characters like all others, with the error as data. A document of one sentence
+    is one chunk, of none has none. An embedder that can't be loaded fails every document on its own. Only failed
+    documents and those of other strategies reach the second pass.
+    """
+    base = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.coalesce(strategy, F.lit("")) == "semantic").alias("asked"))
+    parts = base.withColumn("sentences", F.when(F.col("asked"), sentences(F.col("text"))))
+
+    def attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            model, broken = load(), None
+        except Exception as e:  # the model's own errors, whatever they are, are results here
+            model, broken = None, f"{type(e).__name__}: {e}"
+
+        def one(found: list[str] | None) -> tuple[list[str] | None, str | None]:
+            if found is None or broken:
+                return None, None if found is None else broken
+            if len(found) < 2:
+                return found, None
+            try:
+                v = np.array(model(found), np.float64)
+                if v.ndim != 2 or len(v) != len(found):
+                    return None, f"ValueError: {len(v)} vectors for {len(found)} sentences"
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+            size = np.linalg.norm(v, axis=1)
+            like = (v[1:] * v[:-1]).sum(1) / np.where(size[1:] * size[:-1] > 0, size[1:] * size[:-1], np.inf)
+            return merge_sentences(found, [1.0, *like.tolist()], least, most, similarity), None
+
+        for b in batches:
+            got = [one(s.as_py()) for s in b["sentences"]]
+            yield pa.RecordBatch.from_arrays([b["doc"], b["text"], b["asked"], pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.string())], ["doc", "text", "asked", "chunks", "error"])
+
+    @pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _split(t, SIZE, OVERLAP, SEPARATORS) if t else [])
+
+    tried = parts.select("doc", "text", "asked", "sentences").mapInArrow(attempt, f"doc {base.schema['doc'].dataType.simpleString()}, text string, asked boolean, chunks array<string>, error string")
+    left = F.when(F.col("chunks").isNull(), F.col("text"))
+    each = tried.select("doc", F.coalesce("chunks", split(left)).alias("c"), F.when(F.col("chunks").isNotNull(), "semantic").otherwise("recursive").alias("used"), "error")
+    return each.select(F.col("doc").alias(doc_id), F.posexplode("c").alias("idx", "content"), "used", "error")
 
 
 def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,17 +227,24 @@ def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     level = F.when(is_mark, F.length(mark)).otherwise(F.size(F.split(number, r"\.")))
     title = F.when(is_mark, strip(F.regexp_extract("line", marked, 2))).otherwise(F.concat_ws(" ", number, strip(F.regexp_extract("line", numbered, 2))))
     head = head.select(doc_id, F.when(is_mark, 0).otherwise(1).alias("turn"), "position", level.alias("level"), title.alias("title"))
-    per = head.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("turn", "position", "level", "title"))).alias("h"))
-    item = "struct<position:bigint,level:int,title:string,path:string>"
-    zero = F.struct(F.expr("cast(array() as array<struct<level:int,title:string>>)").alias("stack"), F.expr(f"cast(array() as array<{item}>)").alias("out"))
-
-    def step(acc, x):
-        stack = F.array_append(F.filter(acc["stack"], lambda s: s["level"] < x["level"]), F.struct(x["level"].alias("level"), x["title"].alias("title")))
-        path = F.array_join(F.transform(stack, lambda s: s["title"]), " > ")
-        row = F.struct(x["position"].alias("position"), x["level"].alias("level"), x["title"].alias("title"), path.alias("path"))
-        return F.struct(stack.alias("stack"), F.array_append(acc["out"], row).alias("out"))
-
-    return per.select(doc_id, F.explode(F.aggregate("h", zero, step, lambda a: a["out"])).alias("s")).select(doc_id, "s.*")
+    per = head.groupBy(F.col(doc_id).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", "position", "level", "title"))).alias("h"))
+    item = "array<struct<position:bigint,level:int,title:string,path:string>>"
+    kind = pa.list_(pa.struct([("position", pa.int64()), ("level", pa.int32()), ("title", pa.string()), ("path", pa.string())]))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h in b["h"].to_pylist():
+                above: list[dict] = []
+                rows = []
+                for x in h:
+                    above = [*[y for y in above if y["level"] < x["level"]], x]
+                    rows.append({"position": x["position"], "level": x["level"], "title": x["title"], "path": " > ".join([y["title"] for y in above])})
+                out.append(rows)
+            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(out, kind)], ["doc", "s"])
+
+    found = per.mapInArrow(paths, f"doc {per.schema['doc'].dataType.simpleString()}, s {item}")
+    return found.select(F.col("doc").alias(doc_id), F.explode("s").alias("s")).select(doc_id, "s.*")
 
 
 def section_of(chunks: DataFrame, heads: DataFrame, doc_id: str = "doc_id", start: str = "start") -> DataFrame:
@@ -191,15 +259,22 @@ def section_of(chunks: DataFrame, heads: DataFrame, doc_id: str = "doc_id", star
 
 def extraction_units(chunks: DataFrame, most: int = 2500, doc_id: str = "doc_id", idx: str = "idx", section: str = "section_path") -> DataFrame:
     """``(doc_id, unit, first_idx, content)``: consecutive chunks of one section joined up to ``most`` characters."""
-    per = chunks.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("idx"), F.coalesce(F.col(section), F.lit("")).alias("sec"), "content"))).alias("c"))
-    unit = "struct<first:int,sec:string,content:string>"
-    zero = F.expr(f"cast(array() as array<{unit}>)")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (last["sec"] == x["sec"]) & (F.length(last["content"]) + F.length(x["content"]) + 1 <= most)
-        own = F.struct(x["idx"].cast("int").alias("first"), x["sec"].alias("sec"), x["content"].alias("content"))
-        grown = F.struct(last["first"].alias("first"), last["sec"].alias("sec"), F.concat_ws("\n", last["content"], x["content"]).alias("content"))
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, own))
-
-    return per.select(doc_id, F.posexplode(F.aggregate("c", zero, step)).alias("unit", "u")).select(doc_id, "unit", F.col("u.first").alias("first_idx"), F.col("u.content").alias("content"))
+    per = chunks.groupBy(F.col(doc_id).alias("doc")).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("idx"), F.coalesce(F.col(section), F.lit("")).alias("sec"), "content"))).alias("c"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_units = []
+            for c in b["c"]:
+                units: list[tuple[int, list[str]]] = []
+                last, size = None, 0
+                for i, sec, text in zip(*[c.values.field(k).to_pylist() for k in ("idx", "sec", "content")], strict=True):
+                    size += len(text) + 1
+                    if sec != last or size > most:
+                        units.append((i, []))
+                        last, size = sec, len(text)
+                    units[-1][1].append(text)
+                all_units.append([{"first": i, "content": "\n".join(texts)} for i, texts in units])
+            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(all_units, pa.list_(pa.struct([("first", pa.int32()), ("content", pa.string())])))], ["doc", "units"])
+
+    joined = per.mapInArrow(join, f"doc {per.schema['doc'].dataType.simpleString()}, units array<struct<first:int,content:string>>")
+    return joined.select(F.col("doc").alias(doc_id), F.posexplode("units").alias("unit", "u")).select(doc_id, "unit", F.col("u.first").alias("first_idx"), F.col("u.content").alias("content"))

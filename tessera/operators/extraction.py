@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from tessera.functions.text import NO_CONTEXT, SENTENCE_END, clip, entity_type, strip
 
 LEAST_CHARS = 20
 ANSWER = "struct<entities:array<struct<name:string,type:string,description:string>>,relations:array<struct<source:string,target:string,type:string,description:string>>>"
-_CLOSERS = {"{": "}", "[": "]"}
 
 
 def worth_asking(text: Column) -> Column:
@@ -28,29 +22,21 @@ def fenced(text: Column) -> Column:
     return strip(F.when(F.contains(text, F.lit("```")), inside).otherwise(text))
 
 
-def close_open(text: str) -> str:
-    """A cut JSON text with what is still open closed: a string, then brackets, innermost first; no comma before them."""
-    expected: list[str] = []
-    quoted = skip = False
-    for ch in text:
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch in _CLOSERS:
-            expected.append(_CLOSERS[ch])
-        elif ch in "}]" and expected:
-            expected.pop()
-    return (text + '"' * quoted).rstrip(", \t\r\n") + "".join(reversed(expected))
-
+def close_open(text: Column) -> Column:
+    """A cut JSON text with what is still open closed: a string, then brackets, innermost first; no comma before them.
 
-@pandas_udf(StringType())
-def closed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """``close_open`` of each text."""
-    for s in texts:
-        yield s.map(close_open, na_action="ignore")
+    Whole strings are taken out; a quote that is left opens the last, cut one. Of what stands before it only the
+    brackets count: each opening one puts its partner in front of those awaited, each closing one takes the first.
+    """
+    bare = F.regexp_replace(text, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.regexp_replace(F.substring_index(bare, '"', 1), r"[^\[\]{}]", ""), "")
+    awaited = F.aggregate(
+        F.filter(brackets, lambda c: c != ""), F.lit(""),
+        lambda held, c: F.when(c == "{", F.concat(F.lit("}"), held)).when(c == "[", F.concat(F.lit("]"), held)).otherwise(F.substr(held, F.lit(2))),
+    )
+    # a backslash that lost what it escapes would escape the added quote
+    whole = F.when(F.contains(bare, F.lit('"')), F.concat(F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\\z", "$1"), F.lit('"'))).otherwise(text)
+    return F.concat(F.regexp_replace(whole, r"[, \t\r\n]+\z", ""), awaited)
 
 
 def answer(text: Column) -> Column:
@@ -58,7 +44,7 @@ def answer(text: Column) -> Column:
     outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     start = F.regexp_extract(text, r"(?s)(\{.*)\z", 1)
     whole = F.regexp_extract(start, r"(?s)\A(.*\})", 1)
-    tries = (fenced(text), outer, closed(start), closed(whole))
+    tries = (fenced(text), outer, close_open(start), close_open(whole))
     return F.coalesce(*[F.when(F.get_json_object(t, "$").startswith("{"), F.from_json(t, ANSWER)) for t in tries])
 
 

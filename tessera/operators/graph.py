@@ -80,6 +80,73 @@ def trails(edges: DataFrame, seeds: DataFrame, hops: int, carry: tuple[str, ...]
     return out.select("seed", "target", "hops", "path", *(["rels"] if carry else []))
 
 
+def nearest_trails(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, carry: tuple[str, ...]) -> DataFrame:
+    """``(seed, target, hops, rels)``: the first ``limit`` distinct trails by hops, seed, target and rels, as ``trails`` has them.
+
+    Hop by hop, and no further than the limit needs. A trail is told by its ends and what its edges say, so of edges
+    that are alike no more than ``hops`` can matter, and of a node's other ends no more than the limit and the edges
+    that a trail already has: tasks drop the rest before anything is shuffled, so that a hub costs a read of its edges.
+    As long as there are fewer trails than the limit, their paths are few and start the next hop.
+    """
+    spark, rel = edges.sparkSession, F.struct(*carry)
+    both = edges.select("edge_id", "src", "dst", rel.alias("rel")).unionByName(edges.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), rel.alias("rel")))
+    kind = both.schema["rel"].dataType.simpleString()
+    node, edge = both.schema["src"].dataType.simpleString(), both.schema["edge_id"].dataType.simpleString()
+    schema = f"seed {node}, target {node}, path array<{edge}>, rels array<{kind}>"
+    reach = seeds.select("seed", F.col("seed").alias("target"), F.expr(f"cast(array() as array<{edge}>)").alias("path"), F.expr(f"cast(array() as array<{kind}>)").alias("rels")).distinct()
+    alike, near = W.partitionBy("src", "dst", "rel").orderBy("edge_id"), W.partitionBy("src").orderBy("dst", "rel")
+    found: list[tuple] = []
+    for k in range(1, hops + 1):
+        step = both.join(reach.select(F.col("target").alias("src")).distinct(), "src", "left_semi")
+        step = step.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= hops)
+        step = step.withColumn("r", F.dense_rank().over(near)).where(F.col("r") <= limit + hops).drop("r")
+        step = reach.join(step, F.col("target") == F.col("src")).where(~F.array_contains("path", F.col("edge_id")))
+        grown = step.select("seed", F.col("dst").alias("target"), F.array_append("path", F.col("edge_id")).alias("path"), F.array_append("rels", F.col("rel")).alias("rels"))
+        left = limit - len(found)
+        order = ["seed", "target", "rels"]
+        first = grown.select(*order).distinct().orderBy(*order).limit(left).collect()  # the limit's rows at most
+        found += [(r["seed"], r["target"], k, r["rels"]) for r in first]
+        if len(first) == left or not first:
+            break
+        if k < hops:  # fewer trails than the limit, with ``hops`` edges at most where several are alike
+            reach = spark.createDataFrame(grown.collect(), schema)
+    return spark.createDataFrame(found, f"seed {node}, target {node}, hops int, rels array<{kind}>")
+
+
+def typed_trails(relations: DataFrame, appears: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """``(seed, target, hops, path, rels)``: trails of 1 to ``hops`` edges of either kind between entities, documents between them allowed.
+
+    ``relations(edge_id, source, target, relation_type, description)`` link entities, ``appears(entity_name, doc_id)`` entities
+    and documents. A trail begins at an entity of ``seeds(seed)`` and ends at an entity, whatever it passes through, and
+    has no edge twice. path names its edges, rels has each edge's ``(relation_type, source, target, description)`` in the edge's
+    own direction; an appearance has no type and an empty target.
+    """
+    name = lambda c: F.struct(F.lit("entity").alias("kind"), F.col(c).cast("string").alias("id"))
+    document = F.struct(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"))
+    say = lambda kind, a, b, text: F.struct(kind.alias("relation_type"), a.cast("string").alias("source"), b.alias("target"), text.alias("description"))
+    own = relations.select(
+        F.concat(F.lit("r"), F.col("edge_id").cast("string")).alias("edge_id"), name("source").alias("src"), name("target").alias("dst"),
+        say(F.coalesce("relation_type", F.lit("")), F.col("source"), F.col("target").cast("string"), F.coalesce("description", F.lit(""))).alias("say"),
+    )
+    held = appears.select("entity_name", "doc_id").distinct().select(
+        F.concat_ws(" ", F.lit("a"), F.col("doc_id").cast("string"), F.col("entity_name").cast("string")).alias("edge_id"), name("entity_name").alias("src"), document.alias("dst"),
+        say(F.lit(""), F.col("entity_name"), F.lit(""), F.lit("")).alias("say"),
+    )
+    start = seeds.select(name("seed").alias("seed"))
+    all_trails = trails(own.unionByName(held), start, hops, ("say",))
+    ends = all_trails.where("target.kind = 'entity'")
+    return ends.select(F.col("seed.id").alias("seed"), F.col("target.id").alias("target"), "hops", "path", F.transform("rels", lambda x: x["say"]).alias("rels"))
+
+
+def entity_neighbourhood(relations: DataFrame, appears: DataFrame, seeds: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Entities ``(seed, entity_name)`` that ``typed_trails`` reach, the seed among them where any is reached, and the distinct
+    relations ``(seed, relation_type, source, target)`` on the way."""
+    t = typed_trails(relations, appears, seeds, hops)
+    names = t.select("seed", F.col("target").alias("entity_name")).unionByName(t.select("seed", F.col("seed").alias("entity_name"))).distinct()
+    said = t.select("seed", F.explode("rels").alias("x")).select("seed", "x.relation_type", "x.source", "x.target").distinct()
+    return names, said
+
+
 def global_context(edges: DataFrame, entities: DataFrame, seeds: DataFrame, hops: int = 3, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """Entities ``(name, kind, description, seq)`` and relations ``(source, kind, target, description, seq)`` around seeds.
 
@@ -87,9 +154,8 @@ def global_context(edges: DataFrame, entities: DataFrame, seeds: DataFrame, hops
     far end once, and each edge on it a relation from the seed to the far end.
     ``edges(edge_id, src, dst, kind, description)``, ``entities(name, kind, description)``, ``seeds(seed)``.
     """
-    each = trails(edges, seeds, hops, ("kind", "description")).select("seed", "target", "hops", "rels").distinct()
     order = ["hops", "seed", "target", "rels"]
-    top = each.orderBy(*order).limit(limit).withColumn("n", F.row_number().over(W.orderBy(*order)).cast("long"))
+    top = nearest_trails(edges, seeds, hops, limit, ("kind", "description")).withColumn("n", F.row_number().over(W.orderBy(*order)).cast("long"))
     ends = top.groupBy(F.col("target").alias("name")).agg(F.min("n").alias("seq"))
     nodes = ends.join(entities, "name").select("name", "kind", F.coalesce("description", F.lit("")).alias("description"), "seq")
     said = top.select("seed", "target", "n", F.posexplode("rels").alias("k", "rel"))

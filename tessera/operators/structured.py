@@ -103,6 +103,51 @@ def chunk_contexts(items: DataFrame, width: int = 1, types: tuple[str, ...] = ("
     return t.select(doc_id, pos, cut_context(F.array_join(near, "\n")).alias("context"))
 
 
+def any_contexts(sources: DataFrame, width: int = 1, mode: str = "page", types: tuple[str, ...] = ("text",), source: str = "source", index: str = "index", page: str = "page_idx") -> DataFrame:
+    """sources with ``context``, that of the asked item of a source of any form.
+
+    A source is JSON or plain text. A list of objects is a layout: by page what pages within ``width`` of the asked page say,
+    others marked ``[Page n]``, or with ``mode`` "chunk" what the items before and after say. Any other list gives
+    the items before and after, objects by their ``content``. A string gives itself, anything else and an empty list nothing.
+    What isn't JSON, or too large for a variant, is text; null gives nothing. Rows stay as they are, no shuffle.
+    """
+    v = F.try_parse_json(F.col(source))
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    items = get(v, "$", "array<variant>")
+    is_object = lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))
+    here, asked = F.coalesce(F.col(index), F.lit(0)), F.coalesce(F.col(page), F.lit(0))
+
+    def captions(x: Column, *names: str) -> Column:
+        found = [F.coalesce(get(x, f"$.{n}", "array<string>"), F.array(get(x, f"$.{n}", "string"))) for n in names]
+        some = [F.when(F.size(F.filter(c, lambda s: s.isNotNull())) > 0, F.array_join(c, ", ")) for c in found]
+        return F.coalesce(*some, F.lit(""))
+
+    def said(x: Column) -> Column:
+        kind, text, level = get(x, "$.type", "string"), F.coalesce(get(x, "$.text", "string"), F.lit("")), get(x, "$.text_level", "int")
+        out = F.when(kind == "text", F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).otherwise(text))
+        for name, mark, keys in (("image", "Image", ("image_caption", "img_caption")), ("table", "Table", ("table_caption",))):
+            held = captions(x, *keys)
+            out = out.when((kind == name) & (held != ""), F.concat(F.lit(f"[{mark}: "), held, F.lit("]")))
+        return F.when(kind.isin(*types), out)
+
+    full = lambda c: F.filter(c, lambda s: s.isNotNull() & (strip(s) != ""))
+    near = lambda say: F.array_join(full(F.transform(items, lambda x, i: F.when((i != here) & (F.abs(i - here) <= width), say(x)))), "\n")
+
+    def paged(x: Column) -> Column:
+        own = F.coalesce(get(x, "$.page_idx", "int"), F.lit(0))
+        text = F.when(own.between(F.greatest(asked - width, F.lit(0)), asked + width), said(x))
+        return F.when(strip(text) != "", F.when(own == asked, text).otherwise(F.concat(F.lit("[Page "), own.cast("string"), F.lit("] "), text)))
+
+    layout = near(said) if mode == "chunk" else F.array_join(full(F.transform(items, paged)), "\n")
+    loose = near(lambda x: strip(F.coalesce(get(x, "$.content", "string"), get(x, "$", "string"))))
+    kind = F.schema_of_variant(v)
+    text = (
+        F.when(F.col(source).isNull(), "").when(v.isNull(), F.col(source)).when(kind == "STRING", get(v, "$", "string"))
+        .when(F.size(items) > 0, F.when(is_object(get(v, "$[0]", "variant")), layout).otherwise(loose)).otherwise("")
+    )
+    return sources.withColumn("context", cut_context(F.coalesce(text, F.lit(""))))
+
+
 def media_contexts(items: DataFrame, width: int = 1, doc_id: str = "doc_id", pos: str = "pos") -> DataFrame:
     """``(doc_id, pos, context)`` of images, tables and equations: their page's context, else the text before them, else empty."""
     typed = typed_items(items, doc_id, pos).where("type <> 'text'")

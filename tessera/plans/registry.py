@@ -467,37 +467,38 @@ def related_docs_blend(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.related_documents([(near, None, "similar content"), (both, 0.6, "same tags"), (shared, 0.7, "shared entities")], 20)
 
 
-_LIT = "SELECT x, {} AS y FROM (VALUES {}) v(x)"
 _TYPES = [" Dataset ", "公司", "xyz", "", "Tool", "城市", "PERSON", "理论", "时间段"]
 _RELS = ["依赖", "depends on", "foo", "", " 影响", "Causes", "located IN", "产生"]
 _AGENTS = ["Mozilla/5.0 (iPhone) Safari", "Mozilla/5.0 (iPad)", "Android 14 Chrome Mobile", "Mozilla Chrome/120", "Safari mobile", "curl/8", ""]
 
 
-def _literals(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "x string")
+def _said(spark: SparkSession, d: str, values: list[str]) -> DataFrame:
+    """Every event with one of the values, as sources outside would spell it."""
+    at = (F.col("event_id") % len(values) + 1).cast("int")
+    return table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, values)), at).alias("x"))
 
 
-def _values(values: list[str]) -> str:
-    return ", ".join(f"('{v}')" for v in values)
+def _said_sql(values: list[str], y: str) -> str:
+    return f"SELECT event_id, x, {y} AS y FROM (SELECT event_id, {values}[(event_id % {len(values)})::INT + 1] AS x FROM events)"
 
 
 def _case(groups: dict[str, list[str]], key: str) -> str:
     return "CASE " + " ".join(f"WHEN {key} IN ({', '.join(repr(w) for w in ws)}) THEN '{g}'" for g, ws in groups.items())
 
 
-@query(_LIT.format(_case(T.ENTITY_TYPES, "lower(trim(x))") + " ELSE '概念' END", _values(_TYPES)))
+@query(_said_sql(_TYPES, _case(T.ENTITY_TYPES, "lower(trim(x))") + " ELSE '概念' END"))
 def entity_type_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _literals(spark, _TYPES).select("x", T.entity_type(F.col("x")).alias("y"))
+    return _said(spark, d, _TYPES).withColumn("y", T.entity_type(F.col("x")))
 
 
-@query(_LIT.format(_case({k: [*v, k] for k, v in T.RELATION_LABELS.items()}, "upper(replace(trim(x), ' ', '_'))") + " ELSE 'RELATED_TO' END", _values(_RELS)))
+@query(_said_sql(_RELS, _case({k: [*v, k] for k, v in T.RELATION_LABELS.items()}, "upper(replace(trim(x), ' ', '_'))") + " ELSE 'RELATED_TO' END"))
 def relation_type_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _literals(spark, _RELS).select("x", T.relation_label(F.col("x")).alias("y"))
+    return _said(spark, d, _RELS).withColumn("y", T.relation_label(F.col("x")))
 
 
-@query(_LIT.format("CASE WHEN lower(x) LIKE '%iphone%' THEN 'iphone' WHEN lower(x) LIKE '%ipad%' THEN 'ipad' WHEN lower(x) LIKE '%android%' THEN 'android' WHEN regexp_matches(lower(x), 'chrome|firefox|safari|edge|opera') AND lower(x) NOT LIKE '%mobile%' THEN 'web' ELSE 'unknown' END", _values(_AGENTS)))
+@query(_said_sql(_AGENTS, "CASE WHEN lower(x) LIKE '%iphone%' THEN 'iphone' WHEN lower(x) LIKE '%ipad%' THEN 'ipad' WHEN lower(x) LIKE '%android%' THEN 'android' WHEN regexp_matches(lower(x), 'chrome|firefox|safari|edge|opera') AND lower(x) NOT LIKE '%mobile%' THEN 'web' ELSE 'unknown' END"))
 def device_type(spark: SparkSession, d: str) -> DataFrame:
-    return _literals(spark, _AGENTS).select("x", T.device_type(F.col("x")).alias("y"))
+    return _said(spark, d, _AGENTS).withColumn("y", T.device_type(F.col("x")))
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.models import collection_statistics, dense_embedder, embed_texts, reranker
 from tessera.operators import chunking, extraction, fusion, graph, retrieval, search, structured
-from tessera.plans.registry import _APPEARS, _COS, _DENSE, _WINDOWS, _appears, _first_vector, query
+from tessera.plans.registry import _APPEARS, _COS, _DENSE, _STRIP, _WINDOWS, _appears, _first_vector, query
 from tessera.sources.readers import table
 
 _ENTITIES = """entities AS (SELECT c_custkey, c_name AS name, c_mktsegment AS kind, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment || ' in ' || c_nationkey END AS description FROM customer)"""
 _NAMES = """edges AS (SELECT o_orderkey AS edge_id, printf('Customer#%09d', o_custkey) AS src, printf('Customer#%09d', o_orderkey // 10) AS dst, o_orderpriority AS kind, o_orderstatus AS description FROM orders),
 ways AS (SELECT edge_id, src, dst, kind, description FROM edges UNION ALL SELECT edge_id, dst, src, kind, description FROM edges)"""
+_CUT = """CASE WHEN length(c) <= 2000 THEN c WHEN 2000 - position(chr(10) IN reverse(left(c, 2000))) > 1600 AND contains(left(c, 2000), chr(10)) THEN left(c, (2000 - position(chr(10) IN reverse(left(c, 2000))))::INT)
+  WHEN 2000 - length(regexp_extract(left(c, 2000), '(?s)([^。！？.!?]*)$', 1)) - 1 > 1600 THEN left(c, (2000 - length(regexp_extract(left(c, 2000), '(?s)([^。！？.!?]*)$', 1)))::INT) ELSE left(c, 2000) || '...' END"""
 _TERMS = [("Customer#00000001", 0), ("Customer#000000003", 1)]
 _TERM_SQL = "terms AS (SELECT * FROM (VALUES ('Customer#00000001', 0), ('Customer#000000003', 1)) v(term, pos))"
 _LOCAL = """hits AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY name) AS rn FROM entities JOIN terms ON contains(name, term)),
@@ -270,10 +272,86 @@ def structured_items(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_ITEMS}, said AS (SELECT doc_id, pos, page_idx, CASE WHEN text_level > 0 THEN repeat('#', text_level) || ' ' || line ELSE line END AS s FROM typed WHERE type = 'text'),
 ok AS (SELECT * FROM said WHERE {_TRIM.format('s')} <> ''), pages AS (SELECT DISTINCT doc_id, page_idx AS page FROM typed),
 ctx AS (SELECT p.doc_id, p.page, string_agg(CASE WHEN o.page_idx = p.page THEN s ELSE '[Page ' || o.page_idx || '] ' || s END, chr(10) ORDER BY o.pos) AS c FROM pages p LEFT JOIN ok o ON o.doc_id = p.doc_id AND o.page_idx BETWEEN p.page - 1 AND p.page + 1 GROUP BY 1, 2)
-SELECT doc_id, page, md5(left(coalesce(c, ''), 300)) AS head FROM ctx"""
+SELECT doc_id, page, {_CUT} AS context FROM (SELECT doc_id, page, coalesce(c, '') AS c FROM ctx)"""
 )
 def structured_page_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return structured.page_contexts(_items(spark, d)).select("doc_id", "page", F.md5(F.left("context", F.lit(300))).alias("head"))
+    return structured.page_contexts(_items(spark, d)).select("doc_id", "page", "context")
+
+
+_MIXED = f"""{_WINDOWS}, n AS (SELECT doc_id, count(*)::INT AS n FROM windows GROUP BY 1),
+src AS (SELECT w.doc_id, max(doc_id % n)::INT AS index, max((doc_id % n) // 3)::INT AS page_idx, CASE w.doc_id % 5
+  WHEN 0 THEN to_json(list({{'type': CASE WHEN idx % 4 = 3 THEN 'image' ELSE 'text' END, 'text': content, 'text_level': CASE WHEN idx % 5 = 0 THEN 2 END, 'page_idx': idx // 3}} ORDER BY idx))::VARCHAR
+  WHEN 1 THEN to_json(list(content ORDER BY idx))::VARCHAR WHEN 2 THEN to_json(first(content ORDER BY idx))::VARCHAR
+  WHEN 3 THEN '[' || string_agg(content, '' ORDER BY idx) ELSE to_json({{'text': first(content ORDER BY idx)}})::VARCHAR END AS source
+FROM windows w JOIN n USING (doc_id) GROUP BY w.doc_id)"""
+
+
+@query(
+    rf"""WITH {_MIXED}, j AS (SELECT *, CASE WHEN json_valid(source) THEN source::JSON END AS v FROM src),
+e AS (SELECT doc_id, index, page_idx, json_type(v, '$[0]') = 'OBJECT' AS layout, unnest(json_extract(v, '$[*]')) AS x, generate_subscripts(json_extract(v, '$[*]'), 1) - 1 AS i FROM j WHERE json_type(v) = 'ARRAY'),
+p AS (SELECT doc_id, i, layout, CASE WHEN NOT layout THEN CASE WHEN i <> index AND abs(i - index) <= 1 THEN {_STRIP.format("x->>'$'")} END
+  WHEN x->>'type' = 'text' AND abs((x->>'page_idx')::INT - page_idx) <= 1 THEN CASE WHEN (x->>'page_idx')::INT <> page_idx THEN '[Page ' || (x->>'page_idx') || '] ' ELSE '' END || CASE WHEN x->>'text_level' IS NOT NULL THEN '## ' ELSE '' END || (x->>'text') END AS s FROM e),
+c AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) FILTER ({_STRIP.format('s')} <> '') AS c FROM p GROUP BY 1),
+a AS (SELECT j.doc_id, coalesce(CASE WHEN v IS NULL THEN source WHEN json_type(v) = 'VARCHAR' THEN v->>'$' ELSE c.c END, '') AS c FROM j LEFT JOIN c ON c.doc_id = j.doc_id)
+SELECT doc_id, {_CUT} AS context FROM a"""
+)
+def any_source_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of items of sources of five forms: layouts, lists of texts, JSON strings, broken JSON and objects."""
+    w = chunking.fixed_windows(table(spark, d, "documents"))
+    item = F.struct(F.when(F.col("idx") % 4 == 3, "image").otherwise("text").alias("type"), F.col("content").alias("text"), F.when(F.col("idx") % 5 == 0, 2).alias("text_level"), F.floor(F.col("idx") / 3).cast("int").alias("page_idx"))
+    per = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "content", item.alias("item")))).alias("x"))
+    texts, k = F.transform("x", lambda x: x["content"]), F.col("doc_id") % 5
+    source = (
+        F.when(k == 0, F.to_json(F.transform("x", lambda x: x["item"]))).when(k == 1, F.to_json(texts)).when(k == 2, F.to_json(F.slice(texts, 1, 1)).substr(F.lit(2), F.length(F.to_json(F.slice(texts, 1, 1))) - 2))
+        .when(k == 3, F.concat(F.lit("["), F.array_join(texts, ""))).otherwise(F.to_json(F.struct(texts[0].alias("text"))))
+    )
+    at = (F.col("doc_id") % F.size("x")).cast("int")
+    return structured.any_contexts(per.select("doc_id", source.alias("source"), at.alias("index"), F.floor(at / 3).cast("int").alias("page_idx"))).select("doc_id", "context")
+
+
+_TYPED = """rel AS (SELECT 'r' || o_orderkey AS edge_id, 'e' || o_custkey AS src, 'e' || (o_orderkey // 10) AS dst, o_orderpriority AS kind, o_custkey::VARCHAR AS a, (o_orderkey // 10)::VARCHAR AS b, o_orderstatus AS description FROM orders),
+app AS (SELECT DISTINCT 'a ' || (o_orderkey // 40) || ' ' || o_custkey AS edge_id, 'e' || o_custkey AS src, 'd' || (o_orderkey // 40) AS dst, '' AS kind, o_custkey::VARCHAR AS a, '' AS b, '' AS description FROM orders),
+one AS (SELECT * FROM rel UNION ALL SELECT * FROM app), ways AS (SELECT * FROM one UNION ALL SELECT edge_id, dst, src, kind, a, b, description FROM one),
+w1 AS (SELECT src AS seed, dst AS target, [edge_id] AS path FROM ways WHERE src IN ('e1', 'e2', 'e3')),
+w2 AS (SELECT seed, dst AS target, list_append(path, edge_id) AS path FROM w1 JOIN ways ON target = src WHERE NOT list_contains(path, edge_id)),
+w3 AS (SELECT * FROM (SELECT *, 1 AS hops FROM w1 UNION ALL SELECT *, 2 FROM w2) WHERE target[1] = 'e')"""
+
+
+def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders link customers, and each puts its customer into a document of about ten orders."""
+    o = table(spark, d, "orders")
+    ten = F.floor(F.col("o_orderkey") / 10).cast("long")
+    rel = o.select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("source"), ten.alias("target"), F.col("o_orderpriority").alias("relation_type"), F.col("o_orderstatus").alias("description"))
+    app = o.select(F.col("o_custkey").alias("entity_name"), F.floor(F.col("o_orderkey") / 40).cast("long").alias("doc_id"))
+    return rel, app, spark.range(1, 4).select(F.col("id").alias("seed"))
+
+
+@query(f"WITH {_TYPED} SELECT substr(seed, 2) AS seed, substr(target, 2) AS target, hops, array_to_string(path, ',') AS path FROM w3")
+def graph_typed_trails(spark: SparkSession, d: str) -> DataFrame:
+    return graph.typed_trails(*_typed(spark, d)).select("seed", "target", "hops", F.array_join("path", ",").alias("path"))
+
+
+@query(f"WITH {_TYPED} SELECT DISTINCT substr(seed, 2) AS seed, kind AS relation_type, a AS source, b AS target FROM (SELECT seed, unnest(path) AS edge_id FROM w3) JOIN one USING (edge_id)")
+def graph_neighbourhood_relations(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entity_neighbourhood(*_typed(spark, d))[1]
+
+
+def _letter_embedder():
+    """Letter counts as vectors; tables are more than it can read."""
+
+    def embed(sentences: list[str]) -> list[list[int]]:
+        if any("|" in s for s in sentences):
+            raise ValueError("no table")
+        return [[s.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for s in sentences]
+
+    return embed
+
+
+@query()
+def chunk_by_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """Two documents of three by meaning, where the embedder can read them; all others by characters."""
+    asked = F.when(F.col("doc_id") % 3 == 0, "recursive").otherwise("semantic")
+    return chunking.chunk_by_strategy(table(spark, d, "documents"), _letter_embedder, asked, similarity=0.8)
 
 
 @query()

@@ -72,8 +72,27 @@ def test_answers(spark):
 
 
 @pytest.mark.parametrize(("cut", "want"), [('{"a": [1, {"b": "x\\"', '{"a": [1, {"b": "x\\""}]}'), ('{"a": 1,', '{"a": 1}'), ('{"a": "}', '{"a": "}"}'), ("{}", "{}"), ("", "")])
-def test_closing(cut, want):
-    assert extraction.close_open(cut) == want
+def test_closing(spark, cut, want):
+    assert spark.createDataFrame([(cut,)], "t string").select(extraction.close_open(F.col("t"))).first()[0] == want
+
+
+def test_closing_any_cut(spark):
+    """Every beginning of an answer is closed to JSON or to what lacks a value only."""
+    whole = json.dumps({"a": [{"b": 'x "y" \\ {[', "c": [1, [2]]}, "]}"], "d": {"e": "f, "}})
+    cuts = [whole[:n] for n in range(1, len(whole) + 1)]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cuts], "t string").select(extraction.close_open(F.col("t"))).collect()]
+    for text in got:
+        out, quoted, skip = [], False, False
+        for c in text:  # balanced outside strings
+            if quoted:
+                skip, quoted = c == "\\" and not skip, skip or c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "[{":
+                out.append({"[": "]", "{": "}"}[c])
+            elif c in "]}":
+                assert out.pop() == c
+        assert not out and not quoted
 
 
 def test_result_summary(spark):
