@@ -1,33 +1,37 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the bytes decides where chunks end, from the last 32 bytes alone, so that an
-insertion moves the chunks around it but not those further on; where no end comes for long, the least
-hash of a window is one, so that runs start in every window. A chunk of a few words recurs by chance,
-so what is counted over all documents is the digest of the ``WINDOW_WORDS`` words from each chunk on;
-overlapping runs that other documents hold too make up repeated passages, of which ``drop_repeats`` leaves
-one copy.
+A gear rolling hash over the bytes decides where chunks end: at the least hash of any ``SPAN`` bytes in a row, a hash being
+of 16 bytes alone, so that an insertion moves the ends around it but none further on, and every ``SPAN`` bytes have one.
+A chunk goes from an end to the first one ``LEAST_CHUNK`` bytes on, and one starts at every end, so that chunks overlap. Chunks
+are deduplicated by the digest of their bytes; consecutive ones that other documents hold too are joined to repeated
+passages, of which ``drop_repeats`` leaves one copy. Words play no part but at the borders of a passage, which are moved
+inward to words where there are any, so that unspaced scripts and encoded data are searched like all else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.base import fresh, give_back, mix64
 
-#: Bytes of a chunk on average and at most, words of a run whose digest is counted, and of a passage at least.
-MEAN_BYTES, MOST_BYTES, WINDOW_WORDS, LEAST_WORDS = 32, 1024, 16, 16
-#: Bytes of the windows that each have an end of a chunk, as a multiple of the mean.
-SPAN = 3
+#: Bytes of a chunk on average and at most, as ``cut_points`` takes them.
+MEAN_BYTES, MOST_BYTES = 32, 1024
+#: Bytes in a row of which the least hash ends a chunk, of a chunk at least, and of a passage at least.
+SPAN, LEAST_CHUNK, LEAST_PASSAGE = 64, 48, 64
+#: Bytes up to which a border of a passage moves to a word.
+MOVE = 63
 #: Bytes digested together; a run is told by those that lie inside it.
 GRAM = 8
 #: Sign bit of a run that is not the first of its kind in its document.
 AGAIN = np.int64(-(1 << 63))
+LOW = (1 << 32) - 1
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -53,6 +57,31 @@ def _sliding(pick: np.ufunc, h: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def chunk_ends(data: np.ndarray, table: np.ndarray, span: int = SPAN, most: int = MOST_BYTES) -> np.ndarray:
+    """Ends of the smallest pieces of one text: where the lower half of the gear hash, of the last 16 bytes, is the least of
+    ``span`` bytes in a row, never inside a character; the text's end is one."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    h = table.astype(np.uint16)[data]
+    for k in (1, 2, 4, 8):  # as in gear(): sums over 2, 4, 8 and 16 bytes, in 16 bits
+        h[k:] += h[:-k].copy() << np.uint16(k)
+    inside = np.concatenate([(data[1:] & 0xC0) == 0x80, [False]])
+    h[inside] = 0xFFFF
+    at_end = np.zeros(len(h), bool)
+    if len(h) >= span:
+        least = np.pad(_sliding(np.minimum, h, span), span - 1)
+        at_end = (_sliding(np.maximum, least, span) == h) & ~inside
+    return np.union1d(np.flatnonzero(at_end) + 1, [len(data)])
+
+
+def chunks(data: np.ndarray, ends: np.ndarray, least: int = LEAST_CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all chunks of ``least`` bytes or more; what is left at a text's end is none."""
+    starts = np.concatenate([[0], ends[:-1]])
+    to = np.searchsorted(ends, starts + least)
+    fine = to < len(ends)
+    return starts[fine], ends[to[fine]]
+
+
 def cut_points(data: np.ndarray, table: np.ndarray, mean: int = MEAN_BYTES, most: int = MOST_BYTES, span: int | None = None) -> np.ndarray:
     """Ends of the chunks of one text; no chunk is longer than ``most``.
 
@@ -83,60 +112,73 @@ def byte_digests(data: np.ndarray) -> np.ndarray:
 def run_digests(digests: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Digest of places lo[i] to hi[i] (exclusive) from the places' 2 x 64-bit digests, by prefix sums of powers."""
     out = np.empty((len(lo), 2), np.uint64)
+    up, down = powers(max(len(digests) + 1, KEPT_POWERS))
     with np.errstate(over="ignore"):
-        for lane, p in enumerate(_P):
-            up = np.full(len(digests) + 1, p, np.uint64)
-            up[0] = 1
-            down = np.full(len(digests) + 1, pow(p, -1, 1 << 64), np.uint64)
-            down[0] = 1
-            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests[:, lane] * up[:-1], dtype=np.uint64)])
-            out[:, lane] = (total[hi] - total[lo]) * down[lo]
+        for lane in range(2):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests[:, lane] * up[lane, : len(digests)], dtype=np.uint64)])
+            out[:, lane] = (total[hi] - total[lo]) * down[lane, lo]
     return out
 
 
-def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES, words: int = WINDOW_WORDS) -> DataFrame:
-    """``docs(doc, text)`` -> ``(doc, at, d1, rest)``.
+#: Powers that a worker keeps; longer texts have their own.
+KEPT_POWERS = 1 << 17
+
+
+@lru_cache(1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    made = np.ones((2, 2, n), np.uint64)
+    for lane, p in enumerate(_P):
+        made[0, lane, 1:], made[1, lane, 1:] = p, pow(p, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        made = np.cumprod(made, axis=2, dtype=np.uint64)
+    return made[0], made[1]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of both factors, and of their inverses: lanes x n."""
+    return _kept_powers() if n == KEPT_POWERS else _powers(n)
+
+
+def chunk_rows(docs: DataFrame, span: int = SPAN, least: int = LEAST_CHUNK) -> DataFrame:
+    """``docs(doc, th, text)`` -> ``(doc, at, d1, rest)``: a row for each chunk, th being 32 bits of a hash of the text.
 
-    A row for each first word of a chunk, and each ``words - 1`` words on inside it so that runs overlap, from
-    which ``words`` words go on. To keep the shuffled rows short, at holds the run's bytes as start << 32 |
-    end and is negative if the document has the same run further up; d1 and the upper half of rest are 96 bits
-    of its digest, the lower half is the number of its first word.
+    To keep the shuffled rows short, at holds 31 bits of the chunk's start, 20 of its length, and twice 6 of how far its borders
+    are from words inside it; it is negative if the document has the same chunk further up. d1 and the upper half
+    of rest are 96 bits of its digest, the lower half is th.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table()
         blank = np.zeros(256, bool)
         blank[[9, 10, 11, 12, 13, 32]] = True
-        step = max(words - 1, 1)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 cols: list[tuple] = []
                 part = b.slice(at, 64)
-                for doc, t in zip(part["doc"].to_pylist(), part["text"], strict=True):
-                    raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                    data = np.frombuffer(raw, np.uint8)
-                    ends = cut_points(data, table, mean, most, SPAN * mean)
-                    if not len(ends):
+                for doc, th, t in zip(part["doc"].to_pylist(), part["th"].to_pylist(), part["text"], strict=True):
+                    data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+                    start, end = chunks(data, chunk_ends(data, table, span), least)
+                    fits = end - start < 1 << 20
+                    start, end = start[fits], end[fits]
+                    if not len(start):
                         continue
                     gap = blank[data]
-                    begins = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-                    stops = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-                    first = np.unique(np.searchsorted(begins, np.concatenate([[0], ends[:-1]])))
-                    n = -(-np.diff(first, append=len(begins)) // step)
-                    first = np.repeat(first, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    first = first[first + words <= len(begins)]
-                    start, end = begins[first], stops[np.minimum(first + words, len(stops)) - 1]
-                    long = end - start >= GRAM
-                    first, start, end = first[long], start[long], end[long]
-                    if not len(first):
-                        continue
+                    opens = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+                    closes = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
+                    none = np.int64(1 << 40)
+                    ahead = np.append(opens, none)[np.searchsorted(opens, start)] - start
+                    back = end - np.insert(closes, 0, -none)[np.searchsorted(closes, end, "right")]
+                    ahead, back = np.where(ahead > MOVE, 0, ahead), np.where(back > MOVE, 0, back)
                     d = run_digests(byte_digests(data), start, end - GRAM + 1).view(np.int64)
-                    at_ = start << 32 | end
-                    seen = np.ones(len(at_), bool)
+                    place = start << 32 | (end - start) << 12 | ahead << 6 | back
+                    seen = np.ones(len(place), bool)
                     seen[np.unique(d[:, 0], return_index=True)[1]] = False
-                    at_[seen] |= AGAIN
-                    cols.append((np.full(len(first), doc, np.int64), at_, d[:, 0], d[:, 1] >> 32 << 32 | first))
+                    place[seen] |= AGAIN
+                    cols.append((np.full(len(start), doc, np.int64), place, d[:, 0], d[:, 1] >> 32 << 32 | th))
                 if cols:
                     merged = [np.concatenate(c) for c in zip(*cols, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], ["doc", "at", "d1", "rest"])
@@ -145,48 +187,63 @@ def chunk_runs(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MOST_BYTES,
     return docs.mapInArrow(run, "doc long, at long, d1 long, rest long")
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN_BYTES, most: int = MOST_BYTES, window_words: int = WINDOW_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, start, end, n_runs, n_words, n_docs, first_doc)``: passages that other documents hold too.
+def _text_half(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(LOW)
 
-    start and end are byte offsets in the UTF-8 text. A passage is the union of consecutive runs each
-    found in two documents or more, of ``least_words`` words at least; it lies inside the true repeated
-    passage and falls short of it by up to 31 bytes, a window of ``SPAN * mean`` bytes and a word at the
-    start, and by part of a run at the end. So with the given sizes a passage of 127 bytes and 17
-    words more is always found, that is one of 51 words of 2.8 letters on average. n_docs is the largest
-    number of rows that hold one of its runs, however often, first_doc the smallest id that holds the first
-    one: where that is another document, this copy is redundant. Null and empty texts have no chunks;
-    rows with a null id are left out; a passage of repeated rows of one id alone is none.
-    """
-    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    each = chunk_runs(base, mean, most, window_words)
-    d2, low_half = F.shiftright("rest", 32).cast("int"), (1 << 32) - 1
+
+def _passages(docs: DataFrame, doc_id: str, text: str, span: int, least_chunk: int, least: int) -> DataFrame:
+    """``repeated_passages`` with th, by which texts of one id are told apart."""
+    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), _text_half(F.col(text)).alias("th"), F.col(text).alias("text"))
+    each = chunk_rows(base, span, least_chunk)
+    d2 = F.shiftright("rest", 32).cast("int")
     held = each.groupBy("d1", d2.alias("d2")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count_if(F.col("at") >= 0).alias("n_docs")).where("low < high")
     # a join key of its own has an exchange of its own on both sides, which the skew-join rule can split
     key = F.col("d1").bitwiseXOR(F.lit(1))
     held = held.select(key.alias("held_key"), "d2", "low", "n_docs")
     hits = each.select(key.alias("key"), "doc", "at", "rest").join(held, (F.col("key") == F.col("held_key")) & (d2 == F.col("d2")))
-    place = F.col("at").bitwiseAND((1 << 63) - 1)
-    word = F.col("rest").bitwiseAND(low_half)
-    hits = hits.select("doc", F.shiftright(place, 32).alias("start"), place.bitwiseAND(low_half).alias("end"), word.alias("word"), (word + window_words).alias("word_end"), "low", "n_docs").dropDuplicates(["doc", "start", "end"])
-    order = W.partitionBy("doc").orderBy("start", "end")
-    hits = hits.withColumn("gap", F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(0)))
+    bits = lambda n, size: F.shiftright(F.col("at"), n).bitwiseAND((1 << size) - 1)
+    start = bits(32, 31)
+    hits = hits.select("doc", F.col("rest").bitwiseAND(LOW).alias("th"), start.alias("start"), (start + bits(12, 20)).alias("end"), bits(6, 6).alias("ahead"), bits(0, 6).alias("back"), "low", "n_docs").dropDuplicates(["doc", "th", "start", "end"])
+    order = W.partitionBy("doc", "th").orderBy("start", "end")
+    hits = hits.withColumn("gap", F.coalesce((F.col("start") > F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0)))
     hits = hits.withColumn("run", F.sum("gap").over(order))
-    runs = hits.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_runs"), (F.max("word_end") - F.min("word")).alias("n_words"), F.max("n_docs").alias("n_docs"), F.min_by("low", "start").alias("first_doc"))
-    return runs.where(F.col("n_words") >= least_words).select(F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_runs", F.col("n_words").cast("long").alias("n_words"), "n_docs", "first_doc")
+    runs = hits.groupBy("doc", "th", "run").agg(
+        (F.min("start") + F.min_by("ahead", F.struct("start", "end"))).alias("start"), (F.max("end") - F.min_by("back", F.struct(-F.col("end"), "start"))).alias("end"),
+        F.count("*").alias("n_chunks"), F.max("n_docs").alias("n_docs"), F.min_by("low", F.struct("start", "end")).alias("first_doc"),
+    )
+    return runs.where(F.col("end") - F.col("start") >= least).select(F.col("doc").alias("doc_id"), "th", "start", "end", "n_chunks", "n_docs", "first_doc")
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, least_chunk: int = LEAST_CHUNK, least: int = LEAST_PASSAGE) -> DataFrame:
+    """``(doc_id, start, end, n_chunks, n_docs, first_doc)``: passages that other documents hold too.
+
+    start and end are byte offsets in the UTF-8 text, never inside a character. A passage is the union of consecutive chunks
+    each found in two documents or more, of ``least`` bytes at least; it lies inside the true repeated passage and falls
+    short of it by up to 15 bytes and ``span`` at the start, by up to ``span`` at the end, and by parts of words. So with
+    the given sizes a passage of 207 bytes is always found (51 words of 3 letters have 203: one in some ten thousand may be
+    missed), whatever script it is in. Text that repeats a few bytes has an end at each least hash, a byte apart at worst.
+    n_docs is the largest number of rows that hold one of its chunks, however often, first_doc the smallest id that holds
+    the first one: where that is another document, this copy is redundant. Rows of one id with several texts are passages
+    each of its own text, and a passage that rows of one id alone hold is none. Null, empty and short texts have no
+    chunks; rows with a null id are left out.
+    """
+    return _passages(docs, doc_id, text, span, least_chunk, least).drop("th").distinct()
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with ``text`` less the passages that a document of a smaller id holds too, so that one copy of each stays.
 
     Rows without such passages, null texts and rows with a null id stay as they are; other columns stay
-    whatever their names. Passages begin and end with words, so what is cut out leaves the white space around it.
+    whatever their names. What is cut out leaves the white space around it. Rows of one
+    id with several texts lose what is repeated of their own text.
     """
-    passages = repeated_passages(docs, doc_id, text, **how).where("first_doc < doc_id")
-    key, spans = fresh(docs, "_key", "_spans")
-    cuts = passages.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans))
+    sizes = {"span": SPAN, "least_chunk": LEAST_CHUNK, "least": LEAST_PASSAGE} | how
+    passages = _passages(docs, doc_id, text, **sizes).where("first_doc < doc_id")
+    key, half, spans = fresh(docs, "_key", "_half", "_spans")
+    cuts = passages.groupBy(F.col("doc_id").alias(key), F.col("th").alias(half)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans))
     raw = F.col(text).cast("binary")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["end"]))
     ends = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(raw).cast("long")))
     kept = F.zip_with(begins, ends, lambda b, e: F.substring(raw, (b + 1).cast("int"), (e - b).cast("int")).cast("string"))
-    both = docs.join(cuts, F.col(doc_id).cast("long") == F.col(key), "left")
-    return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop(key, spans)
+    both = docs.join(cuts, (F.col(doc_id).cast("long") == F.col(key)) & (_text_half(F.col(text)) == F.col(half)), "left")
+    return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop(key, half, spans)

@@ -49,7 +49,7 @@ def test_planted_passages(spark):
     text = {i: (t or "").encode() for i, t in docs if i is not None}
     for r in rows:
         passage = text[r["doc_id"]][r["start"] : r["end"]]
-        assert len(passage.split()) + 1 >= r["n_words"] >= C.LEAST_WORDS and r["first_doc"] <= r["doc_id"]
+        assert len(passage) >= C.LEAST_PASSAGE and passage == passage.strip() and r["first_doc"] <= r["doc_id"]
         assert any(passage in t for i, t in text.items() if i != r["doc_id"])
     assert C.repeated_passages(df.limit(0)).count() == 0
 
@@ -91,7 +91,7 @@ def test_against_brute_force(spark):
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     must, may = set(), set()
-    for n, out in ((60, must), (C.WINDOW_WORDS, may)):
+    for n, out in ((60, must), (16, may)):
         sets = {k: grams(w, n) for k, w in docs}
         out |= {a for a, s in sets.items() for b, t in sets.items() if a != b and s & t}
     got = C.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")).collect()
@@ -116,3 +116,56 @@ def test_drop_repeats_leaves_one_copy(spark):
     assert got[1] == docs[0][1] and got[3] == own[3] and got[4] is None and got[None] == p
     assert got[2].startswith(own[1]) and got[2].endswith(own[2]) and len(got[2]) < len(own[1]) + len(own[2]) + len(p) // 2
     assert all((r["_key"], r["_spans"]) == ("u", "v") for r in rows)
+
+
+def test_rows_of_one_id(spark):
+    """Texts of one id are cut at their own offsets; other passages, and what stands around them, stay."""
+    rng = random.Random(15)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(6)) for _ in range(n))
+    p, q, own = noise(80), noise(80), [noise(n) for n in (150, 40, 20, 90, 60)]
+    docs = [(1, f"{own[0]} {p}"), (2, f"{q} {own[1]}"), (7, f"{own[2]} {p} {own[3]}"), (7, f"{own[4]} {q}"), (7, f"{own[4]} {q}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(r["text"] for r in C.drop_repeats(df).where("doc_id = 7").collect())
+    a, b = max(got, key=len), min(got, key=len)
+    assert len(got) == 3 and got.count(b) == 2
+    assert a.startswith(own[2]) and a.endswith(own[3]) and len(a) < len(own[2]) + len(own[3]) + 200
+    assert b.startswith(own[4]) and len(b) < len(own[4]) + 200
+    texts = [t.encode() for _, t in docs]
+    for r in C.repeated_passages(df).where("doc_id = 7").collect():
+        assert any(t[r["start"] : r["end"]] in (p + q).encode() for t in texts[2:4])
+
+
+def test_unspaced_texts(spark):
+    """Unspaced scripts, encoded data and code without blanks, held against the longest common stretch of bytes."""
+    rng = random.Random(16)
+    kinds = {
+        "han": lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n // 3)), "base64": lambda n: "".join(rng.choice("ABCDEFGHabcdefgh01234567+/") for _ in range(n)),
+        "code": lambda n: "".join(rng.choice(["f(", "x", ")", ";", "a=b", "{", "}", "return"]) for _ in range(n // 2)),
+    }
+    docs, want, other = [], {}, {}
+    for kind in kinds.values():
+        for size in (240, 400, 2000):
+            for _ in range(10):
+                shared, k = kind(size), len(docs)
+                for i in (k, k + 1):
+                    head = kind(rng.randint(0, 300))
+                    docs.append((i, head + shared + kind(rng.randint(0, 300))))
+                    want[i], other[i] = (len(head.encode()), len((head + shared).encode())), 2 * k + 1 - i
+        docs.append((len(docs), kind(900)))
+    got = C.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    covered = {}
+    for r in got:
+        lo, hi = want[r["doc_id"]]
+        assert docs[r["doc_id"]][1].encode()[r["start"] : r["end"]].decode() in docs[other[r["doc_id"]]][1]
+        covered[r["doc_id"]] = covered.get(r["doc_id"], 0) + min(r["end"], hi) - max(r["start"], lo)
+    assert set(covered) == set(want)
+    assert sum(covered.values()) > 0.85 * sum(hi - lo for lo, hi in want.values())
+
+
+def test_chunks_of_bytes():
+    data, table = np.frombuffer(("é漢x " * 300 + "z" * 500).encode(), np.uint8), C.gear_table()
+    ends = C.chunk_ends(data, table)
+    starts, stops = C.chunks(data, ends)
+    assert (np.diff(ends) <= C.SPAN + 3).all() and (stops - starts >= C.LEAST_CHUNK).all()
+    for e in ends:
+        data[:e].tobytes().decode()
