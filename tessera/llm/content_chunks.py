@@ -57,7 +57,7 @@ def _sliding(pick: np.ufunc, h: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: np.ndarray, table: np.ndarray, span: int = SPAN, most: int = MOST_BYTES) -> np.ndarray:
+def chunk_ends(data: np.ndarray, table: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Ends of the smallest pieces of one text: where the lower half of the gear hash, of the last 16 bytes, is the least of
     ``span`` bytes in a row, never inside a character; the text's end is one."""
     if not len(data):
@@ -162,7 +162,7 @@ def chunk_rows(docs: DataFrame, span: int = SPAN, least: int = LEAST_CHUNK) -> D
                 for doc, th, t in zip(part["doc"].to_pylist(), part["th"].to_pylist(), part["text"], strict=True):
                     data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                     start, end = chunks(data, chunk_ends(data, table, span), least)
-                    fits = end - start < 1 << 20
+                    fits = end - start < 1 << 20  # always, but in bytes that are no UTF-8
                     start, end = start[fits], end[fits]
                     if not len(start):
                         continue

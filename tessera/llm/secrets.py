@@ -19,17 +19,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 CLASSES = {
     "hex": (r"(?<![0-9A-Za-z+/_-])[0-9A-Fa-f]{20,}(?![0-9A-Za-z+/_-])", "0123456789abcdefABCDEF", 3.0),
     "base64": (r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.7),
+    "printable": (r"[!-~]{20,}", "".join(map(chr, range(33, 127))), 4.0),
 }
+#: What a stretch of a class must hold; a key with symbols has letters, digits and symbols.
+HOLDS = {"printable": r"^(?=.*[A-Za-z])(?=.*[0-9])(?=.*[^A-Za-z0-9+/_.,:;-])"}
 WINDOW = 20
-#: Candidates that match one of these are let through: one letter case or a capitalised word, decimal
-#: numbers, UUIDs, paths of words, placeholders. Repeated groups are possessive, as others take a stack frame a turn.
+#: Candidates and stretches that match one of these are let through: one letter case or a capitalised word, decimal
+#: numbers, UUIDs, paths of words, addresses. Repeated groups are possessive, as others take a stack frame a turn.
 ALLOWED = (
     r"[A-Z]?[a-z]+|[A-Z]+",
     r"[0-9]+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"/?[A-Za-z]++(?:[/_-][A-Za-z]++)*+/?",
-    r"(?i).*(example|placeholder|changeme|xxxx|0123456789|abcdefghij).*",
+    r"[A-Za-z][A-Za-z0-9+.-]*+://.*|[^@]*+@[A-Za-z0-9.-]++",
 )
+#: Placeholders cut a candidate in two: no window over one is looked at.
+PLACEHOLDER = r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefghij"
 
 
 #: Matches whose places are found in one fold, and characters of a run whose windows are.
@@ -67,7 +72,7 @@ def _scan(text: Column, pattern: str) -> Column:
 
 
 def _part_windows(chars: Column, alphabet: str, least: float, n: int) -> Column:
-    """``(first, last)``: the first and last window of ``n`` characters with ``least`` bits a character; null if none.
+    """Stretches ``(first, last)`` of the starts of windows of ``n`` characters with ``least`` bits a character that overlap or touch.
 
     Entropy is log2(n) - S / n with S the sum of c log2 c over the counts c. A character that comes in or
     goes out changes one count by one, and S by the difference of that term. Counts are five bits each of
@@ -81,52 +86,85 @@ def _part_windows(chars: Column, alphabet: str, least: float, n: int) -> Column:
     once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     count = lambda ws, at: F.call_function("shiftright", F.element_at(ws, F.floor(at / each).cast("int") + 1), (at % each * 5).cast("int")).bitwiseAND(31).cast("int")
     change = lambda ws, at, by: F.transform(ws, lambda w, k: F.when(k == F.floor(at / each).cast("int"), w + by * F.element_at(unit, (at % each + 1).cast("int"))).otherwise(w))
+    keep = ("first", "last", "found")
 
     def move(acc, at, by):
-        return once(count(acc["counts"], at), lambda c: F.struct(change(acc["counts"], at, by).alias("counts"), (acc["s"] - t(c) + t(c + by)).alias("s"), acc["first"].alias("first"), acc["last"].alias("last")))
+        return once(count(acc["counts"], at), lambda c: F.struct(change(acc["counts"], at, by).alias("counts"), (acc["s"] - t(c) + t(c + by)).alias("s"), *[acc[k].alias(k) for k in keep]))
+
+    def done(acc):  # the stretch that ends here, if there is one
+        return F.when(acc["first"].isNull(), acc["found"]).otherwise(F.array_append(acc["found"], F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
     def step(acc, i):
         came = move(acc, F.element_at(chars, i), 1)
         went = lambda a: F.when(i > n, move(a, F.element_at(chars, F.greatest(i - n, F.lit(1))), -1)).otherwise(a)
 
         def mark(a):
-            hit = (i >= n) & (F.lit(math.log2(n)) - a["s"] / n >= least)
             start = i - n
-            return F.struct(a["counts"].alias("counts"), a["s"].alias("s"), F.when(hit, F.coalesce(a["first"], start)).otherwise(a["first"]).alias("first"), F.when(hit, start).otherwise(a["last"]).alias("last"))
+            hit = (i >= n) & (F.lit(math.log2(n)) - a["s"] / n >= least)
+            new = hit & (a["first"].isNull() | (start > a["last"] + n))
+            return F.struct(
+                a["counts"].alias("counts"), a["s"].alias("s"), F.when(new, start).otherwise(a["first"]).alias("first"),
+                F.when(hit, start).otherwise(a["last"]).alias("last"), F.when(new, done(a)).otherwise(a["found"]).alias("found"),
+            )
 
         return once(once(came, went), mark)
 
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
+    null = F.lit(None).cast("int")
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("s"), null.alias("first"), null.alias("last"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, done)
 
 
 def high_entropy(run: Column, alphabet: str, least: float, window: int = WINDOW) -> Column:
-    """``(first, last)``: start of the first and end of the last window of a run with ``least`` bits a character; null if none.
+    """Stretches ``(first, last)`` of a run, start and end, of windows with ``least`` bits a character that overlap or touch.
 
-    The run is cut into parts that share ``window - 1`` characters, so that every window lies in one. Only
-    the outermost windows matter: parts are looked through from the front to the first that has one, and
-    from the back.
+    The run is cut into parts that share ``window - 1`` characters, so that every window lies in one and is
+    looked at once; stretches that go on in the next part are joined.
     """
     code = F.lit(np.array([max(0, alphabet.find(chr(c))) for c in range(128)], np.int32))
     once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     pieces = F.regexp_extract_all(run, F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0))
     places = lambda piece: F.transform(F.split(piece, ""), lambda ch: F.element_at(code, F.ascii(ch) + 1))
 
-    def outermost(ps: Column) -> Column:
-        seen = lambda k: _part_windows_of(F.concat(F.element_at(ps, k), F.left(F.coalesce(F.try_element_at(ps, k + 1), F.lit("")), F.lit(window - 1))))
-        _part_windows_of = lambda piece: once(places(piece), lambda chars: _part_windows(chars, alphabet, least, window))
-        none = F.expr("cast(null as struct<at:int,first:int,last:int>)")
-        look = lambda acc, k: F.when(acc.isNotNull(), acc).otherwise(once(seen(k), lambda w: F.when(w.isNotNull(), F.struct(((k - 1) * PART_CHARS).alias("at"), w["first"].alias("first"), w["last"].alias("last")))))
-        front = F.aggregate(F.sequence(F.lit(1), F.size(ps)), none, look)
-        back = F.aggregate(F.sequence(F.size(ps), F.lit(1)), none, look)
-        both = lambda f: F.when(f.isNotNull(), once(back, lambda b: F.struct((f["at"] + f["first"]).alias("first"), (b["at"] + b["last"] + window).alias("last"))))
-        return once(front, both)
+    def part(ps: Column, piece: Column, k: Column) -> Column:
+        whole = F.concat(piece, F.left(F.coalesce(F.try_element_at(ps, k + 2), F.lit("")), F.lit(window - 1)))
+        moved = lambda w: F.struct((w["first"] + k * PART_CHARS).alias("first"), (w["last"] + k * PART_CHARS).alias("last"))
+        return once(places(whole), lambda chars: F.transform(_part_windows(chars, alphabet, least, window), moved))
+
+    def joined(found: Column) -> Column:
+        apart = lambda i: F.element_at(found, i + 1)["first"] > F.element_at(found, i)["last"] + window
+        firsts = F.filter(F.transform(found, lambda w, i: F.when((i == 0) | apart(F.greatest(i, F.lit(1))), w["first"])), lambda x: x.isNotNull())
+        lasts = F.filter(F.transform(found, lambda w, i: F.when((i == F.size(found) - 1) | apart(F.least(i + 1, F.size(found) - 1)), w["last"] + window)), lambda x: x.isNotNull())
+        return F.when(F.size(found) < 2, F.transform(found, lambda w: F.struct(w["first"].alias("first"), (w["last"] + window).alias("last")))).otherwise(F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
+
+    return once(pieces, lambda ps: once(F.flatten(F.transform(ps, lambda piece, k: part(ps, piece, k))), joined))
+
+
+def _between_placeholders(runs: Column) -> Column:
+    """Runs, those with placeholders as what stands before, between and after these."""
+
+    def cut(s: Column) -> Column:
+        held = _scan(s["m"], PLACEHOLDER)
+        begins = F.concat(F.array(F.lit(0)), F.transform(held, lambda x: x["end"]))
+        ends = F.concat(F.transform(held, lambda x: x["start"]), F.array(F.length(s["m"])))
+        return F.zip_with(begins, ends, lambda a, b: F.struct((s["start"] + a).alias("start"), (s["start"] + b).alias("end"), F.substr(s["m"], a + 1, b - a).alias("m")))
+
+    return F.filter(F.flatten(F.transform(runs, lambda s: F.when(s["m"].rlike(PLACEHOLDER), cut(s)).otherwise(F.array(s)))), lambda s: s["end"] - s["start"] >= WINDOW)
+
+
+def _matching(runs: Column, pattern: str) -> Column:
+    return F.filter(runs, lambda s: s["m"].rlike(pattern))
+
 
-    return once(pieces, outermost)
+def _stretches(runs: Column, name: str, dull: str) -> Column:
+    """Spans ``(start, end)`` of suspect stretches of runs that the allow-list doesn't hold."""
+    _, alphabet, least = CLASSES[name]
 
+    def of_run(s: Column) -> Column:
+        text = lambda w: F.substr(s["m"], w["first"] + 1, w["last"] - w["first"])
+        fine = lambda w: ~text(w).rlike(dull) & (text(w).rlike(HOLDS[name]) if name in HOLDS else F.lit(True))
+        return F.transform(F.filter(high_entropy(s["m"], alphabet, least), fine), lambda w: F.struct((s["start"] + w["first"]).alias("start"), (s["start"] + w["last"]).alias("end")))
 
-def _windows_of(alphabet: str, least: float):
-    return lambda s: F.struct(s["start"].alias("at"), high_entropy(s["m"], alphabet, least).alias("w"))
+    return F.flatten(F.transform(runs, of_run))
 
 
 def _spans(kind: str, found: Column) -> Column:
@@ -143,21 +181,22 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", al
     """``(doc_id, n_assign, n_access, n_hex, n_entropy, base_spans, spans)`` for each row of docs.
 
     Spans are ``kind:start:end`` in code points, by start, then kind, comma-joined. Null and empty
-    texts have none. An entropy span runs from the first to the last suspect window of a candidate;
-    it may repeat a pattern's span. The allow-list holds back entropy spans only.
+    texts have none. An entropy span is a stretch of a candidate's suspect windows that overlap or touch; it may repeat
+    a pattern's span. The allow-list holds back entropy spans only: candidates and stretches that it matches as a
+    whole, and windows over a placeholder.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text"))
     values = F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(1))
     out = out.withColumns({"_assign": _scan(F.col("_text"), ASSIGN), "_access": _scan(F.col("_text"), ACCESS), "_hex": _scan(F.col("_text"), HEX)})
     out = out.withColumn("_assign", F.when(F.size("_assign") > 0, F.filter(F.zip_with("_assign", values, lambda s, v: F.when(F.length(v) >= LEAST_VALUE, s)), lambda s: s.isNotNull())).otherwise(F.col("_assign")))
-    dull = "|".join(f"(?:{p})" for p in allowed)
-    for name, (pattern, alphabet, least) in CLASSES.items():
-        runs = F.filter(_scan(F.col("_text"), pattern), lambda s: ~s["m"].rlike(f"^(?:{dull})$"))
-        out = out.withColumn(f"_class_{name}", runs)
-        seen = F.transform(f"_class_{name}", _windows_of(alphabet, least))
-        part = F.transform(F.filter(seen, lambda s: s["w"].isNotNull()), lambda s: F.struct((s["at"] + s["w"]["first"]).alias("start"), (s["at"] + s["w"]["last"]).alias("end")))
-        out = out.withColumn(f"_class_{name}", part)
+    dull = "^(?:" + "|".join(f"(?:{p})" for p in allowed) + ")$"
+    for name, (pattern, _, _) in CLASSES.items():
+        runs = F.filter(_scan(F.col("_text"), pattern), lambda s: ~s["m"].rlike(dull))
+        if name in HOLDS:
+            runs = _matching(runs, HOLDS[name])
+        out = out.withColumn(f"_class_{name}", _between_placeholders(runs))
+        out = out.withColumn(f"_class_{name}", _stretches(F.col(f"_class_{name}"), name, dull))
     out = out.withColumn("_base", F.concat(*[_spans(k, F.col(f"_{k}")) for k in KINDS[:3]]))
     # spans as numbers, of which repeated ones are found by hash and not by comparing all
     packed = F.transform(F.concat(*[F.col(f"_class_{c}") for c in CLASSES]), lambda s: F.shiftleft(s["start"].cast("long"), 32) + s["end"])

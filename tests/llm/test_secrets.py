@@ -33,12 +33,16 @@ def test_base_spans(spark):
 
 
 def brute_windows(run, alphabet, least, n):
-    hits = []
+    """Stretches of all suspect windows that overlap or touch."""
+    out = []
     for i in range(len(run) - n + 1):
         c = Counter(run[i : i + n])
         if -sum(v / n * math.log2(v / n) for v in c.values()) >= least - 1e-9:
-            hits.append(i)
-    return (hits[0], hits[-1] + n) if hits else None
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], i + n)
+            else:
+                out.append((i, i + n))
+    return out
 
 
 def test_entropy_by_counts(spark):
@@ -47,7 +51,7 @@ def test_entropy_by_counts(spark):
     runs = ["".join(rng.choice(alphabet[: rng.choice([8, 16, 66])]) for _ in range(rng.randrange(20, 60))) for _ in range(60)] + ["a" * 30 + "".join(rng.sample(alphabet, 25)) + "b" * 30]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, r string").select("i", S.high_entropy(F.col("r"), alphabet, least).alias("w")).collect()
     for g in got:
-        assert (g["w"] and (g["w"]["first"], g["w"]["last"])) == brute_windows(runs[g["i"]], alphabet, least, S.WINDOW)
+        assert [tuple(w) for w in g["w"]] == brute_windows(runs[g["i"]], alphabet, least, S.WINDOW)
     assert any(g["w"] for g in got) and not all(g["w"] for g in got)
 
 
@@ -64,9 +68,10 @@ def test_long_runs_are_looked_through_in_parts(spark):
     loud = "".join(rng.choice(alphabet) for _ in range(40))
     runs = ["".join(rng.choice(alphabet[: rng.choice([4, 9, 66])]) for _ in range(n)) for n in (255, 256, 257, 275, 276, 511, 700, 2000)]
     runs += ["a" * k + loud + "b" * 600 for k in (230, 240, 250, 256, 500)] + ["ab" * 700]
+    runs += [(loud + "a" * k) * 5 for k in (19, 20, 21, 60, 300)]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, r string").select("i", S.high_entropy(F.col("r"), alphabet, least).alias("w")).collect()
     for g in got:
-        assert (g["w"] and (g["w"]["first"], g["w"]["last"])) == brute_windows(runs[g["i"]], alphabet, least, S.WINDOW)
+        assert [tuple(w) for w in g["w"]] == brute_windows(runs[g["i"]], alphabet, least, S.WINDOW)
 
 
 def test_very_long_texts(spark):
@@ -74,6 +79,22 @@ def test_very_long_texts(spark):
     alphabet = S.CLASSES["base64"][1].replace("x", "").replace("X", "")  # four in a row are a placeholder
     texts = ["ab-" * 350_000, "1." * 500_000, "".join(rng.choice(alphabet) for _ in range(1_000_000)), "abcd" * 60_000, "token=abcdef1 " * 20_000, "so it goes. " * 400_000]
     got = {r["doc_id"]: r for r in S.scan_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)).collect()}
-    assert [got[i]["n_entropy"] for i in range(6)] == [0, 0, 1, 0, 0, 0]
+    loud = brute_windows(texts[2], alphabet, S.CLASSES["base64"][2], S.WINDOW)
+    assert [got[i]["n_entropy"] for i in range(6)] == [0, 0, len(loud), 0, 0, 0]
+    assert [x for x in got[2]["spans"].split(",") if x.startswith("entropy")] == [f"entropy:{a}:{b}" for a, b in loud]
     assert got[2]["spans"].endswith("1000000") and got[4]["n_assign"] == 20_000
     assert got[4]["base_spans"] == base(texts[4])
+
+
+def test_stretches_and_placeholders(spark):
+    """Two keys with dull letters or a placeholder between them are two spans, and a key with symbols is one."""
+    rng = random.Random(10)
+    key = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWYZbcdfghkmnpqrstvwyz123456789") for _ in range(40))
+    a, b, c, d = key(), key(), key(), key()
+    symbols = "p$9K!x2@Wq#7Zr%4Tn^8Lb&3"
+    texts = [a + "a" * 300 + b, f"see {c}example{d} here", f"{c}EXAMPLEshort", f"login {symbols} now", "https://host.example.org/a1?b=2&c=%20d9Z", "so!it.goes?on,and(on)and;on:and"]
+    got = S.scan_secrets(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    spans = [[tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("entropy")] for r in got]
+    assert len(spans[0]) == 2 and all(e - s < 70 for s, e in spans[0]) and spans[0][0][0] == 0 and spans[0][1][1] == 380
+    assert spans[1] == [(4, 44), (51, 91)] and spans[2] == [(0, 40)]
+    assert spans[3] == [(6, 6 + len(symbols))] and spans[4] == [] and spans[5] == []
