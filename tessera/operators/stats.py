@@ -49,3 +49,16 @@ def content_types(items: DataFrame, doc_id: str, kind: str = "type") -> DataFram
     """``(doc_id, types, has_multimodal)``: a histogram of content types a document."""
     each = items.groupBy(doc_id, kind).agg(F.count("*").alias("n"))
     return each.groupBy(doc_id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("types"), F.bool_or(F.col(kind) != "text").alias("has_multimodal"))
+
+
+def user_sketches(events: DataFrame, *by: str, user: str = "user_id", bits: int = 12) -> DataFrame:
+    """``(by, users)``: mergeable sketches of the distinct users of each group, to be kept beside its counts.
+
+    A sketch has 2 ** bits registers, so a few kilobytes however many users; counts are off by 1.04 / sqrt(2 ** bits) or so.
+    """
+    return events.where(F.col(user).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(user, bits).alias("users"))
+
+
+def distinct_users(sketches: DataFrame, *by: str) -> DataFrame:
+    """``(by, n_users)`` of coarser groups, by union of sketches: no event is read again."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("n_users"))

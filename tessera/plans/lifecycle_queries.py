@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunking, conversations, lifecycle, stats, tokens
 from tessera.plans.registry import _WINDOWS, query
+from tessera.sources import stores
 from tessera.sources.readers import table
+from tessera.streaming import gates
 
 _NOW = "2024-02-15 00:00:00"
 
@@ -190,3 +192,38 @@ def tokens_created(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TOKENS} SELECT token_id, is_revoked OR user_id = 5 AS is_revoked, CASE WHEN user_id = 5 AND NOT is_revoked THEN TIMESTAMP '{_NOW}' ELSE revoked_at END AS revoked_at FROM tokens")
 def tokens_revoked(spark: SparkSession, d: str) -> DataFrame:
     return tokens.revoke(_tokens(spark, d), F.col("user_id") == 5, _at()).select("token_id", "is_revoked", "revoked_at")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_exact, true AS close FROM events GROUP BY 1")
+def distinct_users_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users of each type from sketches of its days, and whether they are within five percent of the exact number."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    near = stats.distinct_users(stats.user_sketches(e, "event_type", "day"), "event_type")
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("n_exact"))
+    return exact.join(near, "event_type").select("event_type", "n_exact", (F.abs(F.col("n_users") - F.col("n_exact")) <= 0.05 * F.col("n_exact")).alias("close"))
+
+
+@query("WITH t AS (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS turn FROM orders UNION ALL SELECT o_orderkey, 'X', o_totalprice, 2 FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0) SELECT o_orderkey, arg_max(o_orderstatus, turn) AS o_orderstatus FROM t GROUP BY 1")
+def upserted_table(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in a table at rest, of which a second batch brings new ones and changes some."""
+    o, path = table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), stores.scratch_folder(spark, "upsert")
+    stores.upsert_table(o.where("o_orderkey % 5 <> 0"), path, "o_orderkey", buckets=16)
+    changed = o.where("o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.lit("X"))
+    stores.upsert_table(changed.unionByName(o.where("o_orderkey % 5 = 0")), path, "o_orderkey", buckets=16)
+    return spark.read.parquet(path).drop("bucket")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (5, 55, 555) AND lang = 'en'")
+def stored_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Three documents by id, those of one owner, from a table stored for look-ups."""
+    path = stores.scratch_folder(spark, "lookup")
+    stores.write_lookup(lifecycle.light(table(spark, d, "documents"), "text"), path, "doc_id")
+    return stores.lookup(spark, path, "doc_id", [5, 55, 555], lang="en").select("doc_id", "lang", "source", "n_chars")
+
+
+@query()
+def failure_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls of twenty services: which a gate lets through, and its state after each."""
+    e = table(spark, d, "events")
+    calls = e.select((F.col("user_id") % 20).cast("string").alias("service"), F.col("event_id").alias("call_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6, F.col("event_type").isin("error", "view").alias("failed"))
+    return gates.gate_table(calls.toDF("service", "call_id", "at", "failed"), 3, 7200.0)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.models import collection_statistics, dense_embedder, embed_texts, reranker
 from tessera.operators import chunking, extraction, fusion, graph, retrieval, search, structured
-from tessera.plans.registry import _APPEARS, _COS, _DENSE, _STRIP, _WINDOWS, _appears, _first_vector, query
+from tessera.plans.registry import _APPEARS, _COS, _DENSE, _STRIP, _TF, _WINDOWS, _appears, _first_vector, _query_terms, query
+from tessera.sources import stores
 from tessera.sources.readers import table
 
 _ENTITIES = """entities AS (SELECT c_custkey, c_name AS name, c_mktsegment AS kind, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment || ' in ' || c_nationkey END AS description FROM customer)"""
@@ -399,3 +400,11 @@ def plugged_reranker(spark: SparkSession, d: str) -> DataFrame:
     model = reranker(_load_overlap, F.lit("the and of is"))
     scored = near.join(docs, "vec_id").withColumn("again", model(F.coalesce("content", F.lit(""))))
     return retrieval.rerank_guard(scored, 10, rerank=F.col("again"))
+
+
+@query(f"WITH {_TF} SELECT doc_id, sum(weight * q) AS score FROM post JOIN qt USING (term) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def sparse_block_max_topk(spark: SparkSession, d: str) -> DataFrame:
+    """``sparse_tf_topk`` over postings that are stored, by block maxima."""
+    path = stores.scratch_folder(spark, "postings")
+    stores.write_postings(retrieval.term_postings(table(spark, d, "documents")), path, block_bits=6)
+    return stores.search_postings(spark, path, _query_terms(spark, d), 20, first=4)
