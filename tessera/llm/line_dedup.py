@@ -266,10 +266,12 @@ def dedup_lines(
     # rows of one id and text share their lines; null ids are told apart by their texts
     key, gone, all_lines, kept = fresh(docs, "_key", "_gone", "_lines", "_kept")
     keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
-    each = keyed.select(F.col(key).alias("_row"), F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_digest))).alias("digest"))
-    hits = probe(each, filters, shards, most_bytes).join(frequent.select("digest"), "digest").groupBy(F.col("_row").alias(key)).agg(F.collect_set("digest").alias(gone))
+    each = keyed.select(F.col(key).alias("_row"), F.posexplode(F.transform(lines_of(F.col(text)), line_digest)).alias("pos", "digest"))
+    hits = probe(each, filters, shards, most_bytes).join(frequent.select("digest"), "digest").groupBy(F.col("_row").alias(key)).agg(F.collect_set("pos").alias(gone))
     lines = keyed.join(hits.hint("shuffle_hash"), key, "left").withColumn(all_lines, lines_of(F.col(text)))
-    stay = F.when(F.col(gone).isNull(), F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col(gone), line_digest(x))))
+    # places that stay, by hash, so that no line is compared with all that go
+    places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone))
+    stay = F.when(F.col(gone).isNull(), F.col(all_lines)).otherwise(F.transform(places, lambda i: F.element_at(all_lines, i + 1)))
     lines = lines.withColumn(kept, stay)
     out = lines.withColumns({"n_lines": F.size(all_lines).cast("long"), "n_dropped": (F.size(all_lines) - F.size(kept)).cast("long"), text: F.array_join(kept, "\n")})
     return out.drop(key, gone, all_lines, kept)

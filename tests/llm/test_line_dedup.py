@@ -120,3 +120,11 @@ def test_clashing_names(spark):
     assert {(r["doc_id"], r["text"]) for r in rows} == {(1, "b"), (2, "")} and all(r[n] == n for r in rows for n in names)
     with pytest.raises(ValueError, match="together"):
         L.dedup_lines(df, filters=df)
+
+
+def test_very_many_frequent_lines(spark):
+    """Documents of a hundred thousand frequent lines, some of them several times: time goes with lines, not with pairs of them."""
+    lines = [f"line {k}" for k in range(50_000)]
+    docs = [(i, "\n".join([*lines, f"own {i}", *reversed(lines)])) for i in range(10)]
+    rows = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), min_docs=10).collect()
+    assert {(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in rows} == {(i, f"own {i}", 100_001, 100_000) for i in range(10)}
