@@ -141,8 +141,9 @@ def reference_counts(docs: DataFrame, text: str = "text", min_chars: int = 1, co
 
     A document is a row, or with ``count_by`` a value of that column (rows where it is null are one each).
     """
-    digests = F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), lambda k: F.unhex(F.md5(k))))
-    counts = docs.select(F.explode(digests).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_docs"))
+    # of strings distinct ones are found by hash, of binary values by comparing all with all
+    digests = F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars), F.md5))
+    counts = docs.select(F.explode(digests).alias("hex")).select(F.unhex("hex").alias("digest")).groupBy("digest").agg(F.count("*").alias("n_docs"))
     if count_by is None:
         return counts
     again = docs.where(F.col(count_by).isNotNull()).groupBy(F.col(count_by).alias("by")).agg(F.count("*").alias("n")).where("n > 1").select("by")
@@ -151,7 +152,7 @@ def reference_counts(docs: DataFrame, text: str = "text", min_chars: int = 1, co
         return counts
     # rows of the same document count once: what they have in common is taken off
     rows = docs.select(F.col(count_by).alias("by"), digests.alias("digests")).join(F.broadcast(again) if n <= BROADCAST_IDS else again, "by", "left_semi")
-    extra = rows.select("by", F.explode("digests").alias("digest")).groupBy("by", "digest").agg((F.lit(1) - F.count("*")).alias("n_docs")).where("n_docs < 0")
+    extra = rows.select("by", F.explode("digests").alias("hex")).select("by", F.unhex("hex").alias("digest")).groupBy("by", "digest").agg((F.lit(1) - F.count("*")).alias("n_docs")).where("n_docs < 0")
     return add_counts(counts, extra.select("digest", "n_docs"))
 
 
