@@ -2,7 +2,8 @@
 
 Tokens become a template: numbers, names and units turn into typed placeholders. Windows of template
 tokens are hash-joined between benchmark items and documents, so that a question with other numbers
-or names still meets its source. A slot is a placeholder's value; along one alignment each benchmark
+or names still meets its source. Names and number words of several tokens are one placeholder; scripts without
+spaces have a token a character. A slot is a placeholder's value; along one alignment each benchmark
 value must map to one document value of its type and back, but for one slip in ten, else the match is
 chance. A window of placeholders alone has no template to go by and is joined by its values.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.base import Memo, cut, fresh, give_back, windows64
 
 WINDOW, COVERAGE = 8, 0.6
-#: Tokens of an item at least; a shorter one recurs by chance and matches nothing.
+#: Tokens of an item at least; a shorter one recurs by chance and matches whole lines only.
 LEAST_TOKENS = 4
 #: Bytes of benchmark window hashes that every task gets at a time as a filter ahead of the join.
 FILTER_BYTES = 32 << 20
@@ -33,8 +34,16 @@ UNITS = frozenset(
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "k c f v w kw kwh j hz khz mhz ghz b kb mb gb tb mph kmh km/h m/s usd eur gbp dollar dollars euro euros cent cents percent % $ € £ °c °f meter meters metre metres kilometer kilometers".split()
 )
-_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$%") + "“”‘’«»¿¡…–—"
-_END = tuple(".!?:;")
+#: Number words of the language of the units.
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+#: Characters of scripts without spaces: kana, Han, Thai, Lao, Khmer.
+_SOLID = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1780-\u17ff\U00020000-\U0002ffff"
+SOLID, SOLID_PARTS = re.compile(f"[{_SOLID}]"), re.compile(f"[{_SOLID}]|[^{_SOLID}]+")
+_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$%") + "“”‘’«»¿¡…–—。！？，、；："
+_END = tuple(".!?:;。！？：；")
 
 
 def _read(token: str) -> tuple[int, int, str, int, bool]:
@@ -45,6 +54,8 @@ def _read(token: str) -> tuple[int, int, str, int, bool]:
     bare = token.strip(_EDGE) or token
     ends = token.rstrip("\"')]}”’»").endswith(_END)
     low = bare.lower()
+    if low in NUMBER_WORDS:
+        return xxhash.xxh3_64_intdigest("\0number"), 1, low, 1, ends
     if NUMBER.fullmatch(bare.strip("$%")):
         return xxhash.xxh3_64_intdigest("\0number"), 1, bare, 1, ends
     if low in UNITS and len(low) > 1 or bare in "%$€£":
@@ -65,13 +76,19 @@ class TemplateReader:
         self.index = Memo(self._add, 1 << 62)
         self.texts: list[str] = []
         self.hash, self.exact = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-        self.kinds, self.ends = np.zeros((1024, 2), np.int8), np.zeros(1024, bool)
+        self.kinds, self.ends, self.glued = np.zeros((1024, 2), np.int8), np.zeros(1024, bool), np.zeros(1024, np.int8)
 
     def _add(self, token: str) -> int:
         i = len(self.texts)
         if i == len(self.hash):
-            self.hash, self.exact, self.kinds, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.exact, self.kinds, self.ends))
-        self.hash[i], first, value, later, self.ends[i] = _read(token)
+            self.hash, self.exact, self.kinds, self.ends, self.glued = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.exact, self.kinds, self.ends, self.glued))
+        if token.startswith("\0"):  # of several
+            first = later = 0
+            value = token[1:]
+        else:
+            self.hash[i], first, value, later, self.ends[i] = _read(token)
+            # which kind of run it may be part of: 1 number words, 2 names; and 4 if the next token may go on
+            self.glued[i] = (2 * (later == 2) or value.lower() in NUMBER_WORDS) | 4 * (token[-1:].isalnum())
         self.exact[i] = xxhash.xxh3_64_intdigest(value)
         self.kinds[i] = first, later
         self.texts.append(value)
@@ -80,13 +97,25 @@ class TemplateReader:
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hashes, slot types and table places of a text's tokens; the places hold until the next read."""
         tokens = (text or "").split()
-        if len(self.texts) + len(tokens) > self.limit:
+        if text and SOLID.search(text):
+            tokens = [p for t in tokens for p in (SOLID_PARTS.findall(t) if SOLID.search(t) else (t,))]
+        if len(self.texts) + 2 * len(tokens) > self.limit:
             self._empty()
         at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
         later = np.zeros(len(at), np.int64)
         later[1:] = ~self.ends[at[:-1]]
         kind, h = self.kinds[at, later], self.hash[at]
         h[kind == 2] = self.name_hash
+        run = np.where(kind == 2, 2, np.where(kind == 1, self.glued[at] & 1, 0))
+        joined = (run[1:] > 0) & (run[1:] == run[:-1]) & (self.glued[at[:-1]] & 4 > 0) & (at[1:] != at[:-1])
+        if joined.any():
+            starts = np.flatnonzero(np.concatenate([[True], ~joined]))
+            sizes = np.diff(np.append(starts, len(at)))
+            # a name goes by its last word: the first may be a word that only opens a sentence
+            h, kind, merged = h[starts], kind[starts], at[starts + sizes - 1]
+            for k in np.flatnonzero((sizes > 1) & (kind == 1)):
+                merged[k] = self.index["\0" + " ".join(self.values(at[starts[k] : starts[k] + sizes[k]]))]
+            at = merged
         return h, kind, at
 
     def values(self, at: np.ndarray) -> list[str]:
@@ -112,13 +141,6 @@ def _hashes(h: np.ndarray, kind: np.ndarray, at: np.ndarray, n: int) -> np.ndarr
     return out
 
 
-def _windows_of(text: str | None, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    h, kind, at = _reader().read(text)
-    for n in lengths:
-        if len(h) >= n:
-            yield n, _hashes(h, kind, at, n), kind, at
-
-
 def _slots(kind: np.ndarray, at: np.ndarray, lo: int, n: int) -> str | None:
     here = np.flatnonzero(kind[lo : lo + n]) + lo
     if not len(here):
@@ -126,13 +148,14 @@ def _slots(kind: np.ndarray, at: np.ndarray, lo: int, n: int) -> str | None:
     return "\x1f".join(f"{i - lo}={kind[i]}={v}" for i, v in zip(here, _reader().values(at[here]), strict=True))
 
 
-def _inside(n: int, kind: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[int, str] | None:
-    """Hash and slots of the first window of n tokens as it reads inside a sentence, where its first word is a name; None if it isn't."""
-    if kind[0] or _reader().kinds[at[0], 1] != 2:
+def _inside(text: str | None, n: int) -> tuple[int, int, str] | None:
+    """Length, hash and slots of a text's first window of n tokens at most as it reads inside a sentence, where its first word is a name; None if it isn't."""
+    was = _reader().read(text)[1]
+    h, kind, at = (x[1:] for x in _reader().read(f"x {text or ''}"))
+    if not len(kind) or kind[0] != 2 or was[0] == 2:
         return None
-    h, kind = h[:n].copy(), kind[:n].copy()
-    h[0], kind[0] = _reader().name_hash, 2
-    return int(_hashes(h, kind, at[:n], n).view(np.int64)[0]), _slots(kind, at, 0, n)
+    n = min(n, len(h))
+    return n, int(_hashes(h[:n], kind[:n], at[:n], n).view(np.int64)[0]), _slots(kind, at, 0, n)
 
 
 _SCHEMA = "row string, pos int, n int, h long, slots string, total int, inside boolean"
@@ -155,8 +178,11 @@ def template_windows(rows: DataFrame, window: int, lengths: list[int] | None = N
             out: list[tuple] = []
             for row, t in zip(b["row"].to_pylist(), b["text"], strict=True):
                 text = t.as_py()
-                own = lengths or [max(1, min(window, len((text or "").split())))]
-                for n, h, kind, at in _windows_of(text, own):
+                tokens, kind, at = _reader().read(text)
+                for n in lengths or [max(1, min(window, len(tokens)))]:
+                    if len(tokens) < n:
+                        continue
+                    h = _hashes(tokens, kind, at, n)
                     keep = np.arange(len(h))
                     if sent is not None and len(wanted):
                         keep = np.flatnonzero(seen[(h & np.uint64(0xFFFFF)).astype(np.int64)])
@@ -165,9 +191,9 @@ def template_windows(rows: DataFrame, window: int, lengths: list[int] | None = N
                     elif sent is not None:
                         keep = keep[:0]
                     out += [(row, int(i), n, int(h[i : i + 1].view(np.int64)[0]), _slots(kind, at, i, n), len(h), False) for i in keep]
-                    other = _inside(n, kind, at, _reader().read(text)[0]) if inside else None
+                    other = _inside(text, n) if inside else None
                     if other:
-                        out.append((row, 0, n, other[0], other[1], len(h), True))
+                        out.append((row, 0, other[0], other[1], other[2], len(h), True))
             if out:
                 cols = list(zip(*out, strict=True))
                 types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
@@ -182,12 +208,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     A pair is returned if, over alignments whose slots are consistent, the share of the item's
     distinct windows found reaches ``coverage``. n_changed counts the slot values that differ, each window
-    taken where it differs least: 0 for a plain copy. Null and empty texts and items match nothing, nor do items of fewer than
-    LEAST_TOKENS tokens; repeated rows of an id count once;
+    taken where it differs least: 0 for a plain copy. Null and empty texts and items match nothing; items of fewer than
+    LEAST_TOKENS tokens match lines that hold nothing else, case and outer punctuation aside. Repeated rows of an id count once;
     rows with a null id are left out. Other columns play no part.
     """
     items = template_windows(benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("row"), F.col(item_text).alias("text")), window, inside=True)
-    items = items.where(F.col("n") >= LEAST_TOKENS).distinct()
+    items = cut(items.distinct())
+    short = items.where((F.col("total") == 1) & (F.col("n") < LEAST_TOKENS)).select("row").distinct()
+    items = items.where(F.col("n") >= LEAST_TOKENS)
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most `window` of them
     found = _held_windows(items, docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("row"), F.col(text).alias("text")), window, lengths or [window])
     i = items.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "n", "h", F.col("slots").alias("item_slots"), "total", "inside")
@@ -212,7 +240,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     whole = whole.withColumn("whole", F.aggregate("each", zero, take))
     whole = whole.select("row", "item", F.size("whole.at").cast("long").alias("n_matched"), "n_windows", F.size("whole.changed").cast("long").alias("n_changed"))
     whole = whole.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    return _own_ids(whole, docs, doc_id, benchmark, item_id)
+    lines = _short_items(short, docs, benchmark, doc_id, text, item_id, item_text)
+    return _own_ids(whole.unionByName(lines) if lines is not None else whole, docs, doc_id, benchmark, item_id)
+
+
+def _short_items(short: DataFrame, docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame | None:
+    """Documents with a line that is one of the items ``short(row)`` and nothing else; None where there are no such items."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), r"^[\p{P}\s&&[^-+]]+|[\p{P}\s]+$", ""))
+    mine = benchmark.join(short, F.col(item_id).cast("string") == F.col("row"), "left_semi").select(F.col(item_id).cast("string").alias("item"), bare(F.col(item_text)).alias("said")).where("said <> ''")
+    longest = mine.agg(F.max(F.length("said"))).first()[0]
+    if longest is None:
+        return None
+    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("string").alias("row"), F.explode(F.split(F.col(text), r"[\r\n]+")).alias("line"))
+    lines = lines.where(F.length(F.trim("line")) <= 3 * longest + 20).select("row", bare(F.col("line")).alias("line"))
+    hit = lines.join(mine, F.col("line") == F.col("said")).select("row", "item").distinct()
+    one = F.lit(1).cast("long")
+    return hit.select("row", "item", one.alias("n_matched"), one.alias("n_windows"), F.lit(0).cast("long").alias("n_changed"), F.lit(1.0).alias("coverage"))
 
 
 def _held_windows(items: DataFrame, docs: DataFrame, window: int, lengths: list[int]) -> DataFrame:

@@ -120,3 +120,51 @@ def test_all_verbatim_copies_and_no_others(spark):
     docs = [(k, noise(rng.randint(0, 60)) + " " + rng.choice(bench)[1] + " " + noise(rng.randint(0, 60)) if k % 2 else noise(rng.randint(0, 160))) for k in range(120)]
     want = brute(docs, bench)
     assert len(want) >= 60 and set(found(spark, docs, bench)) == want
+
+
+def test_names_and_numbers_of_several_words(spark):
+    bench = [(1, "On her way home Maria met John at the old bridge and gave him three of the 60 shells that she had found")]
+    new = bench[0][1].replace("Maria", "Anna Lopez Diaz").replace("John", "Peter van Smith".replace(" van", "")).replace("three", "twenty five").replace("60", "80")
+    docs = [(1, f"so {new} and more"), (2, new.replace("Peter Smith", "Anna Lopez Diaz"))]
+    assert found(spark, docs, bench)[1, 1] == 4
+    assert found(spark, [(3, "we drove 80 km in three hours on the road to the sea and back")], [(1, "we drove 60 miles in two hours on the road to the sea and back")]) == {(3, 1): 3}
+
+
+def test_scripts_without_spaces(spark):
+    item = "小明有3个苹果，又买了5个苹果，请问他一共有多少个苹果？"
+    docs = [(1, "这是一个很长的前言。" + item + "后面还有别的话。"), (2, item.replace("3", "17").replace("5", "29")), (3, "小明去学校上课，老师问了他很多问题，他都答对了。"), (4, item.replace(" ", ""))]
+    assert found(spark, docs, [(1, item)]) == {(1, 1): 0, (2, 1): 2, (4, 1): 0}
+
+
+def test_short_items_are_whole_lines(spark):
+    bench = [(1, "What is 2+2?"), (2, "Define entropy."), (3, "???")]
+    docs = [(1, "Quiz\n  what is 2+2 \nDefine it"), (2, "Do you know What is 2+2? Yes"), (3, "DEFINE ENTROPY"), (4, "???"), (5, None)]
+    assert found(spark, docs, bench) == {(1, 1): 0, (3, 2): 0}
+
+
+def test_reparameterised_copies_against_all_alignments(spark):
+    """Items with other names and numbers are found where the new values map one to one, and only there."""
+    rng = random.Random(17)
+    names, plain = ["Ann", "Ben", "Carl", "Dora", "Ed"], "the a red box sold went near many of it was when left over under field stone".split()
+
+    def made():
+        return [rng.choice(plain) if rng.random() < 0.7 else rng.choice(names) if rng.random() < 0.5 else str(rng.randrange(10, 99)) for _ in range(24)]
+
+    bench, docs, want = [], [], set()
+    for k in range(30):
+        item = ["so", *made(), "end"]
+        used = sorted({w for w in item if w in names or w.isdigit()})
+        new_names, new_numbers = iter(rng.sample(["Pia", "Quin", "Rob", "Sue", "Tom"], 5)), iter(rng.sample(range(100, 999), 30))
+        swap = {w: next(new_names) if w in names else str(next(new_numbers)) for w in used}
+        copy = [swap.get(w, w) for w in item]
+        bench.append((k, " ".join(item)))
+        docs.append((2 * k, "it is told " + " ".join(copy) + " and on"))
+        want.add((2 * k, k))
+        slots = [i for i, w in enumerate(copy) if w in swap.values()]
+        for i in slots[:: max(1, len(slots) // 4)]:  # values that map to several
+            copy[i] = "Zoe" if copy[i].isalpha() else "7777"
+        docs.append((2 * k + 1, " ".join(made())))
+    got = found(spark, docs, bench)
+    runs = lambda ws: [w for w, v in zip(ws, [None, *ws]) if not (w in names and v in names)]
+    assert want <= set(got) and {d for d, _ in got} <= {2 * k for k in range(30)}
+    assert all(got[2 * k, k] >= len({w for w in runs(bench[k][1].split()) if w.isdigit()}) for k in range(30))
