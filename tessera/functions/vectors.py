@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import has_cjk
 
+#: Features whose buckets a worker keeps.
+KEPT_FEATURES = 200_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -32,10 +39,32 @@ def features(text: Column, most: int = 1000) -> Column:
 
 
 def hash_buckets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
-    """``(doc_id, idx, weight)``: feature-hashing embedding as sparse rows; dim is a power of two up to 2**32."""
-    f = docs.select(F.col(doc_id), F.explode(features(F.col(text))).alias("f"))
-    idx = (F.conv(F.right(F.md5(F.col("f")), F.lit(8)), 16, 10).cast("long") % dim).cast("int")
-    return f.select(doc_id, idx.alias("idx"), (F.lit(1.0) + 0.1 * (F.length("f") % 3)).alias("w")).groupBy(doc_id, "idx").agg(F.sum("w").alias("weight"))
+    """``(doc_id, idx, weight)``: feature-hashing embedding as sparse rows; dim is a power of two up to 2**32.
+
+    A row of docs is summed up where it is, so nothing is shuffled; rows of one id have each their own.
+    """
+    f = docs.select(F.col(doc_id).alias("doc"), features(F.col(text)).alias("f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for b in batches:
+            at, idx, weight = [], [], []
+            for row, found in enumerate(b["f"].to_pylist()):
+                sums: dict[int, float] = {}
+                for x in found or ():
+                    if x not in known:
+                        if len(known) >= KEPT_FEATURES:
+                            known.clear()
+                        known[x] = int.from_bytes(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[-4:], "big") % dim, 1.0 + 0.1 * (len(x) % 3)
+                    k, w = known[x]
+                    sums[k] = sums.get(k, 0.0) + w
+                at += [row] * len(sums)
+                idx += sums.keys()
+                weight += sums.values()
+            yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(at, pa.int64())), pa.array(idx, pa.int64()), pa.array(weight, pa.float64())], ["doc", "idx", "weight"])
+
+    made = f.mapInArrow(run, f"doc {f.schema['doc'].dataType.simpleString()}, idx long, weight double")
+    return made.select(F.col("doc").alias(doc_id), F.col("idx").cast("int").alias("idx"), "weight")
 
 
 def hash_embedding(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:

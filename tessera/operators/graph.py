@@ -297,3 +297,13 @@ def id_counts(entities: DataFrame, entity_id: str = "entity_id") -> DataFrame:
 def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that should be unique and are not, with their numbers."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def appearance_counts(appears: DataFrame, user: str = "user_id", doc_id: str = "doc_id") -> DataFrame:
+    """``(user_id, doc_id, n_entities, n_appearances)`` by document, by user (doc_id null) and in all (both null).
+
+    One pass: grouping sets share what tasks have summed up.
+    """
+    n = appears.groupBy(user, doc_id, "entity_name").agg(F.count("*").alias("n"))
+    sets = n.groupingSets([[user, doc_id], [user], []], user, doc_id)
+    return sets.agg(F.count_distinct("entity_name").alias("n_entities"), F.sum("n").alias("n_appearances"))

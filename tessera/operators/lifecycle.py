@@ -66,6 +66,11 @@ def dedup_paths(rows: DataFrame, path: str = "file_path", key: str = "doc_id", o
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def recent_paths(rows: DataFrame, limit: int, path: str = "file_path", key: str = "doc_id", order: str = "created_at") -> DataFrame:
+    """``dedup_paths`` of the newest ``limit`` rows: a path's older rows still take places of the limit, so fewer may be left."""
+    return dedup_paths(rows.orderBy(F.desc_nulls_last(order), key).limit(limit), path, key, order)
+
+
 def same_tags(docs: DataFrame, anchor: Column, key: str = "doc_id", tags: str = "tags") -> DataFrame:
     """``(doc_id, common)``: other documents that share tags with one document."""
     mine = docs.where(F.col(key) == anchor).select(F.explode(tags).alias("tag")).distinct()

@@ -31,11 +31,13 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     """``(query_id, id, score, rank)``: the k rows with the largest cosine to each of a stated set of queries ``(query_id, q)``.
 
     Vectors and queries are dealt into blocks of bounded size. A unit of work is a block of each, multiplied as
-    matrices; it returns its k best a query, of which the k best stay. Null vectors take no part.
+    matrices; it returns its k best a query, of which the k best stay. Vectors meet queries of their own length
+    only. Vectors that are null, empty or have a null component take no part.
     """
-    dealt = lambda df, i, v, n: df.where(F.col(v).isNotNull()).select(F.col(i).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(i), F.lit(n)).alias("block"))
+    whole = lambda v: F.forall(v, lambda x: x.isNotNull()) & (F.size(v) > 0)
+    dealt = lambda df, i, v, n: df.where(F.col(v).isNotNull() & whole(v)).select(F.col(i).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"), F.size(v).alias("length"), F.pmod(F.xxhash64(i), F.lit(n)).alias("block"))
     blocks = lambda df, size: max(1, -(-df.count() // size))
-    gather = lambda df, name: df.groupBy("block").agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(name))
+    gather = lambda df, name: df.groupBy("length", "block").agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(name))
     n = blocks(queries, query_block)
     rows = gather(dealt(vectors, id_col, vec, blocks(vectors, block)), "v").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).drop("block")
     asks = gather(dealt(queries, "query_id", "q", n), "q").withColumnRenamed("block", "q_block")
@@ -53,7 +55,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                 best = np.stack([np.lexsort((ids, -s))[:k] for s in score])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query_id", id_col, "score"])
 
-    found = rows.join(asks, "q_block").select("v_ids", "v", "q_ids", "q").mapInArrow(run, f"query_id long, {id_col} long, score double")
+    found = rows.join(asks, ["length", "q_block"]).select("v_ids", "v", "q_ids", "q").mapInArrow(run, f"query_id long, {id_col} long, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -104,14 +106,14 @@ def ranked(found: DataFrame, id_col: str) -> DataFrame:
 def rerank_guard(found: DataFrame, limit: int, skip_at: float = RERANK_SKIP, top: int = RERANK_TOP, id_col: str = "vec_id", rerank: Column | None = None) -> DataFrame:
     """The first ``limit`` rows if the best score is high enough, else the ``top`` best by ``rerank``, a score of all rows.
 
-    Without a reranker the order stays and scores become 1.
+    Reranking returns ``top`` rows whatever the limit. Without a reranker the order stays and scores become 1.
     """
     best = found.agg(F.max("score").alias("best"))
     r = ranked(found, id_col).crossJoin(F.broadcast(best)).withColumn("sure", F.col("best") >= skip_at)
     if rerank is not None:
         r = r.withColumn("_again", F.when(~F.col("sure"), rerank))
         r = r.withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("_again"), "rank")).cast("int"))
-    kept = r.where(F.col("rank") <= F.when(F.col("sure"), limit).otherwise(min(top, limit)))
+    kept = r.where(F.col("rank") <= F.when(F.col("sure"), limit).otherwise(top))
     score = F.when(F.col("sure"), F.col("score")).otherwise(F.lit(1.0) if rerank is None else F.col("_again"))
     return kept.select(id_col, "rank", score.alias("score"), (~F.col("sure")).alias("reranked"))
 

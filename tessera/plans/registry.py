@@ -575,10 +575,13 @@ def local_digest_parts(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "title", "bullets", "summary", F.array_join("key_points", "|").alias("key_points"))
 
 
-@query("SELECT doc_id, 'Document_ ' || doc_id || '.html' AS filename, 'text/html' AS mime, length(coalesce(text, '')) > 0 AS filled FROM documents")
+@query(
+    f"""SELECT doc_id, 'Document_ ' || doc_id || '.html' AS filename, 'text/html' AS mime,
+'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Document: ' || doc_id || '</title></head><body><h1>Document: ' || doc_id || '</h1>' || html || '</body></html>' AS body FROM ({_markdown_sql()})"""
+)
 def export_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Document: "), F.col("doc_id").cast("string")).alias("title"), F.lit("text").alias("file_type"), F.array("lang").alias("tags"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.coalesce("text", F.lit("")).alias("content"))
-    return content.export_files(docs, "html", "doc_id").select("doc_id", "filename", "mime", (F.length("body") > 120).alias("filled"))
+    return content.export_files(docs, "html", "doc_id")
 
 
 @query()
@@ -612,6 +615,22 @@ def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
+@query("SELECT source, max(doc_id) AS doc_id FROM (SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 5) GROUP BY 1")
+def recent_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the newest rows, of which repeated paths go afterwards."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.col("doc_id").alias("created_at"))
+    return lifecycle.recent_paths(rows, 5).select(F.col("file_path").alias("source"), "doc_id")
+
+
+@query(
+    f"""WITH {_APPEARS} SELECT coalesce(lang, 'all') AS user_id, coalesce(doc_id, -1) AS doc_id, count(DISTINCT entity_name) AS n_entities, count(*) AS n_appearances FROM appears JOIN documents USING (doc_id)
+GROUP BY GROUPING SETS ((lang, doc_id), (lang), ())"""
+)
+def appearance_counts(spark: SparkSession, d: str) -> DataFrame:
+    owners = table(spark, d, "documents").select("doc_id", F.col("lang").alias("user_id"))
+    return graph.appearance_counts(_appears(spark, d).join(owners, "doc_id")).fillna({"user_id": "all", "doc_id": -1})
+
+
 @query("SELECT source, max(doc_id) AS doc_id FROM (SELECT doc_id, source FROM documents) GROUP BY 1")
 def path_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.col("doc_id").alias("created_at"))

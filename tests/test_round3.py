@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, graph, structured
+from tessera.operators import chunking, graph, lifecycle, retrieval, structured
 
 
 def test_sources_of_any_form(spark):
@@ -101,3 +101,29 @@ def test_sentences_stay_whole_and_in_order():
     got = chunking.merge_sentences(sentences, like, 100, 750, 0.5)
     assert " ".join(got) == " ".join(sentences) and all(len(c) <= 760 for c in got) and sum(len(c) < 100 for c in got) <= 1
     assert chunking.merge_sentences([], []) == []
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0]), (4, [2.0]), (5, None), (6, [None, 1.0]), (7, []), (8, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id in (1, 3, 5, 7)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.knn_batch(v, asked, 2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (3, 1): 3, (3, 2): 4}
+
+
+def test_reranked_rows_whatever_the_limit(spark):
+    found = spark.createDataFrame([(i, 0.5 - i / 100) for i in range(9)], "vec_id long, score double")
+    assert [r["vec_id"] for r in retrieval.rerank_guard(found, 2).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert retrieval.rerank_guard(found, 2, skip_at=0.5).count() == 2
+
+
+def test_limit_before_paths(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i < 6 else None, i) for i in range(8)], "doc_id int, file_path string, created_at int")
+    assert {r["doc_id"] for r in lifecycle.recent_paths(rows, 5).collect()} == {7, 6, 5, 4}
+    assert {r["doc_id"] for r in lifecycle.recent_paths(rows, 3).collect()} == {7, 6, 5}
+
+
+def test_appearance_counts(spark):
+    rows = [("u", 1, "x"), ("u", 1, "x"), ("u", 2, "x"), ("u", 2, "y"), ("v", 3, "x")]
+    got = {(r["user_id"], r["doc_id"]): (r["n_entities"], r["n_appearances"]) for r in graph.appearance_counts(spark.createDataFrame(rows, "user_id string, doc_id int, entity_name string")).collect()}
+    assert got == {("u", 1): (1, 2), ("u", 2): (2, 2), ("v", 3): (1, 1), ("u", None): (2, 4), ("v", None): (1, 1), (None, None): (2, 5)}
