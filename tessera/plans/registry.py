@@ -159,20 +159,21 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return fusion.pack(fusion.candidates(found, None, None, None), 2000)
 
 
-@query(
-    rf"""WITH v AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_DENSE}) ORDER BY s DESC, vec_id LIMIT 12),
+_PACK = rf"""WITH v AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_DENSE}) ORDER BY s DESC, vec_id LIMIT 12),
 c AS (SELECT rank AS pos, text AS content, ' [来源:向量]' || chr(10) AS tail FROM v JOIN documents ON doc_id = vec_id),
 n AS (SELECT *, row_number() OVER (ORDER BY pos) AS p, coalesce(sum(length(content) + length(tail)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
 f AS (SELECT *, before + length(content) + length(tail) <= 5000 AS fits FROM n),
 g AS (SELECT *, min(CASE WHEN NOT fits THEN p END) OVER () AS stop FROM f),
 h AS (SELECT p, fits, tail, CASE WHEN fits THEN content WHEN length(content) <= 5000 - before THEN content ELSE regexp_replace(left(content, (5000 - before)::INT), '(?s)[。！？.!?\n][^。！？.!?\n]*$', '') END AS short FROM g WHERE (stop IS NULL OR p <= stop) AND before <= 5000)
 SELECT p::INT AS pos, short || tail AS part FROM h WHERE fits OR short <> ''"""
-)
+
+
+@query(_PACK)
 def context_pack_budget(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
-@query()
+@query(f"SELECT string_agg(part, '' ORDER BY pos) AS context FROM ({_PACK})")
 def packed_context(spark: SparkSession, d: str) -> DataFrame:
     return fusion.packed_text(_packed(spark, d))
 

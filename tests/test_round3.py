@@ -127,3 +127,24 @@ def test_appearance_counts(spark):
     rows = [("u", 1, "x"), ("u", 1, "x"), ("u", 2, "x"), ("u", 2, "y"), ("v", 3, "x")]
     got = {(r["user_id"], r["doc_id"]): (r["n_entities"], r["n_appearances"]) for r in graph.appearance_counts(spark.createDataFrame(rows, "user_id string, doc_id int, entity_name string")).collect()}
     assert got == {("u", 1): (1, 2), ("u", 2): (2, 2), ("v", 3): (1, 1), ("u", None): (2, 4), ("v", None): (1, 1), (None, None): (2, 5)}
+
+
+def test_recursive_chunks_are_places_of_the_text(spark):
+    """Every chunk stands where it says; chunks come in order, overlap by no more than asked and leave out white space alone."""
+    import random
+
+    rng = random.Random(3)
+    bits = ["word ", "longer words here, ", "\n", "\n\n", "。", "end. ", "x" * 90, "é？", " "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (0, 1, 5, 40, 200, 600)] + [None, "y" * 1300]
+    got = {}
+    for r in chunking.recursive_chunks(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"), 120, 30).orderBy("doc_id", "idx").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, t in enumerate(texts):
+        parts = got.get(i, [])
+        assert bool(parts) == bool((t or "").strip()) and [r["idx"] for r in parts] == [*range(len(parts))]
+        end = 0
+        for r in parts:
+            assert t[r["start"] : r["end"]] == r["content"] and 0 < len(r["content"]) <= 120
+            assert not t[end : r["start"]].strip() and end - r["start"] <= 30
+            end = r["end"]
+        assert not (t or "")[end:].strip()
