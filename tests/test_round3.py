@@ -134,8 +134,8 @@ def test_recursive_chunks_are_places_of_the_text(spark):
     import random
 
     rng = random.Random(3)
-    bits = ["word ", "longer words here, ", "\n", "\n\n", "。", "end. ", "x" * 90, "é？", " "]
-    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (0, 1, 5, 40, 200, 600)] + [None, "y" * 1300]
+    bits = ["word{} ", "longer words {} here, ", "\n{}", "\n\n{}", "。{}", "end{}. ", "x" * 90 + "{}", "é{}？", " {}"]
+    texts = ["".join(rng.choice(bits).format(k) for k in range(n)) for n in (0, 1, 5, 40, 200, 600)] + [None, "\n\n ", "".join(map(str, range(1000, 1400)))]
     got = {}
     for r in chunking.recursive_chunks(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"), 120, 30).orderBy("doc_id", "idx").collect():
         got.setdefault(r["doc_id"], []).append(r)
