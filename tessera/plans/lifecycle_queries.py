@@ -221,7 +221,14 @@ def stored_lookup(spark: SparkSession, d: str) -> DataFrame:
     return stores.lookup(spark, path, "doc_id", [5, 55, 555], lang="en").select("doc_id", "lang", "source", "n_chars")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT (user_id % 20)::VARCHAR AS service, event_id AS call_id, epoch_us(ts) AS us, epoch_us(ts)::DOUBLE / 1e6 AS sec, event_type IN ('error', 'view') AS failed FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY us, call_id) AS k FROM c),
+g AS (SELECT service, 0::BIGINT AS k, NULL::BIGINT AS call_id, NULL::DOUBLE AS sec, NULL::BOOLEAN AS admitted, 'closed' AS state, 0 AS failures, NULL::DOUBLE AS last FROM n WHERE k = 1
+UNION ALL SELECT service, k, call_id, sec, ok, CASE WHEN ok AND (NOT failed OR f < 3) THEN 'closed' ELSE 'open' END, CASE WHEN NOT ok THEN failures WHEN NOT failed THEN 0 ELSE f END, CASE WHEN ok AND failed THEN sec ELSE last END
+FROM (SELECT n.service, n.k, n.call_id, n.sec, n.failed, g.failures, g.last, g.state <> 'open' OR n.sec - g.last >= 7200 AS ok, CASE WHEN g.state = 'open' THEN 3 WHEN g.last IS NULL OR n.sec - g.last >= 7200 THEN 1 ELSE g.failures + 1 END AS f FROM g JOIN n ON n.service = g.service AND n.k = g.k + 1))
+SELECT service, call_id, sec AS "at", admitted, state FROM g WHERE k > 0"""
+)
 def failure_gates(spark: SparkSession, d: str) -> DataFrame:
     """Events as calls of twenty services: which a gate lets through, and its state after each."""
     e = table(spark, d, "events")

@@ -81,7 +81,16 @@ def hash_embed_buckets(spark: SparkSession, d: str) -> DataFrame:
     return hash_buckets(docs).withColumn("weight", F.round("weight", 4))
 
 
-@query()
+@query(
+    r"""WITH docs AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id = 0),
+b AS (SELECT kind, id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM docs),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> '') AS ws, regexp_replace(body, '\s+', '', 'g') AS solid FROM b),
+f AS (SELECT kind, id, unnest(list_slice(CASE WHEN len(ws) > 1 THEN ws WHEN length(solid) < 3 THEN list_filter([solid], lambda x: x <> '') ELSE list_transform(range(1, length(solid) - 1), lambda i: substr(solid, i, 3)) END, 1, 1000)) AS f FROM w),
+h AS (SELECT kind, id, ('0x' || right(md5(f), 8))::BIGINT % 64 AS idx, sum(10 + length(f) % 3) AS n FROM f GROUP BY ALL),
+m AS (SELECT kind, id, sqrt(sum(n * n)::DOUBLE) AS norm FROM h GROUP BY ALL),
+s AS (SELECT d.id AS doc_id, sum(d.n * q.n)::DOUBLE AS dot FROM h d JOIN h q ON q.kind = 1 AND q.idx = d.idx WHERE d.kind = 0 GROUP BY 1)
+SELECT doc_id, round(coalesce(dot / (a.norm * (SELECT norm FROM m WHERE kind = 1)), 0), 4) AS score FROM (SELECT doc_id FROM documents) LEFT JOIN s USING (doc_id) LEFT JOIN m a ON a.kind = 0 AND a.id = doc_id ORDER BY coalesce(dot / (a.norm * (SELECT norm FROM m WHERE kind = 1)), 0) DESC, doc_id LIMIT 20"""
+)
 def hash_embed_similarity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     q = hash_embedding(table(spark, d, "benchmark").where("item_id = 0"), "item_id", "text").select(F.col("vector").alias("q"))
@@ -256,6 +265,42 @@ def extraction_units(spark: SparkSession, d: str) -> DataFrame:
     return chunking.extraction_units(chunking.section_of(chunking.recursive_chunks(docs), chunking.sections(docs)))
 
 
+_HEADINGS = rf"""lines AS (SELECT doc_id, generate_subscripts(ls, 1) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+spots AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM lines),
+heads AS (SELECT doc_id, position, level, title, row_number() OVER (PARTITION BY doc_id ORDER BY turn, position) AS k FROM (
+  SELECT doc_id, position, 0 AS turn, length(regexp_extract(line, '^(#{{1,6}})\s+\S', 1)) AS level, regexp_replace(regexp_extract(line, '^#{{1,6}}\s+(\S.*)$', 1), '^\s+|\s+$', '', 'g') AS title FROM spots WHERE regexp_matches(line, '^#{{1,6}}\s+\S.*$')
+  UNION ALL SELECT doc_id, position, 1, len(string_split(regexp_extract(line, '^(\d+(?:\.\d+)*)\s+\S', 1), '.')),
+    regexp_extract(line, '^(\d+(?:\.\d+)*)\s+\S', 1) || ' ' || regexp_replace(regexp_extract(line, '^\d+(?:\.\d+)*\s+(\S.*)$', 1), '^\s+|\s+$', '', 'g') FROM spots WHERE regexp_matches(line, '^\d+(?:\.\d+)*\s+\S.*$'))),
+above AS (SELECT h.doc_id, h.k, max(u.k) AS up FROM heads h LEFT JOIN heads u ON u.doc_id = h.doc_id AND u.k < h.k AND u.level < h.level GROUP BY 1, 2),
+paths AS (SELECT h.doc_id, h.k, h.position, h.title AS path FROM heads h JOIN above USING (doc_id, k) WHERE up IS NULL
+  UNION ALL SELECT h.doc_id, h.k, h.position, p.path || ' > ' || h.title FROM paths p JOIN above a ON a.doc_id = p.doc_id AND a.up = p.k JOIN heads h ON h.doc_id = a.doc_id AND h.k = a.k),
+{_WINDOWS},
+placed AS (SELECT w.doc_id, w.idx, w.content, (SELECT p.path FROM paths p WHERE p.doc_id = w.doc_id AND p.position <= w.idx * 450 ORDER BY p.position DESC LIMIT 1) AS section_path FROM windows w)"""
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return chunking.section_of(chunking.fixed_windows(docs).withColumn("start", F.col("idx") * 450), chunking.sections(docs))
+
+
+@query(f"WITH RECURSIVE {_HEADINGS} SELECT doc_id, idx, section_path FROM placed")
+def section_windows(spark: SparkSession, d: str) -> DataFrame:
+    """``section_asof`` of fixed windows."""
+    return _placed(spark, d).select("doc_id", "idx", "section_path")
+
+
+@query(
+    f"""WITH RECURSIVE {_HEADINGS}, r AS (SELECT doc_id, idx, content, coalesce(section_path, '') AS sec FROM placed),
+walk AS (SELECT doc_id, idx, 0 AS unit, sec, length(content) AS size FROM r WHERE idx = 0
+  UNION ALL SELECT r.doc_id, r.idx, CASE WHEN r.sec <> w.sec OR w.size + length(r.content) + 1 > 2500 THEN w.unit + 1 ELSE w.unit END, r.sec,
+    CASE WHEN r.sec <> w.sec OR w.size + length(r.content) + 1 > 2500 THEN length(r.content) ELSE w.size + length(r.content) + 1 END FROM walk w JOIN r ON r.doc_id = w.doc_id AND r.idx = w.idx + 1)
+SELECT w.doc_id, w.unit, min(w.idx) AS first_idx, md5(string_agg(r.content, chr(10) ORDER BY r.idx)) AS content FROM walk w JOIN r USING (doc_id, idx) GROUP BY 1, 2"""
+)
+def window_units(spark: SparkSession, d: str) -> DataFrame:
+    """``extraction_units`` of fixed windows."""
+    return chunking.extraction_units(_placed(spark, d)).withColumn("content", F.md5("content"))
+
+
 def _usage(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     kinds = {"queries": "click", "added": "purchase", "deleted": "error"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.models import collection_statistics, dense_embedder, embed_texts, reranker
 from tessera.operators import chunking, extraction, fusion, graph, retrieval, search, structured
-from tessera.plans.registry import _APPEARS, _COS, _DENSE, _STRIP, _TF, _WINDOWS, _appears, _first_vector, _query_terms, query
+from tessera.plans.registry import _APPEARS, _COS, _DENSE, _FP, _STRIP, _TF, _WINDOWS, _appears, _first_vector, _query_terms, query
 from tessera.sources import stores
 from tessera.sources.readers import table
 
@@ -110,7 +110,23 @@ def search_candidates_local(spark: SparkSession, d: str) -> DataFrame:
     return fusion.keep_best(search.candidates("local", _vector(spark, d), _known(spark, d), _terms(spark))).select("content", "weight")
 
 
-@query()
+_KEY = _FP.replace("coalesce(text, '')", "content")
+
+
+@query(
+    rf"""WITH {_ENTITIES}, {_NAMES}, {_TERM_SQL}, {_LOCAL}, {_GLOBAL}, {_FOUND},
+told AS (SELECT 'local' AS part, 3.0 AS weight, seq, NULL AS chunk_id, '图谱-实体' AS label, {_TEXTS} AS content FROM lnodes
+  UNION ALL SELECT 'local', 1.5, seq, NULL, '图谱-关系', {_RTEXT} FROM lrels
+  UNION ALL SELECT 'global', 3.0, seq, NULL, '图谱-实体', {_TEXTS} FROM gnodes UNION ALL SELECT 'global', 1.5, seq, NULL, '图谱-关系', {_RTEXT} FROM grels
+  UNION ALL SELECT 'vector', 2.0 * (0.5 + 0.5 * score), rank, doc_id::VARCHAR, '向量', text FROM results JOIN documents USING (doc_id)),
+modes AS (SELECT * FROM (VALUES ('vector', 'vector'), ('other', 'vector'), ('local', 'local'), ('global', 'global'), ('hybrid', 'local'), ('hybrid', 'global'), ('hybrid', 'vector'), ('mix', 'local'), ('mix', 'global'), ('mix', 'vector')) v(mode, part)),
+asked AS (SELECT mode, weight::DOUBLE AS weight, seq + CASE WHEN part = 'global' AND mode <> 'global' THEN 4294967296 ELSE 0 END AS seq, coalesce(chunk_id, {_KEY}) AS key, content, ' [来源:' || label || ']' || chr(10) AS tail FROM modes JOIN told USING (part)),
+best AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY mode, key ORDER BY weight DESC, seq) = 1),
+sized AS (SELECT *, row_number() OVER o AS p, length(content) + length(tail) AS size, coalesce(sum(length(content) + length(tail)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM best WINDOW o AS (PARTITION BY mode ORDER BY weight DESC, seq)),
+fit AS (SELECT *, before + size <= 10000 AS fits, min(CASE WHEN before + size > 10000 THEN p END) OVER (PARTITION BY mode) AS stop FROM sized),
+cut AS (SELECT mode, p, fits, tail, CASE WHEN fits OR length(content) <= 10000 - before THEN content ELSE regexp_replace(left(content, 10000 - before), '(?s)[。！？.!?\n][^。！？.!?\n]*$', '') END AS short FROM fit WHERE (stop IS NULL OR p <= stop) AND before <= 10000)
+SELECT mode, string_agg(short || tail, '' ORDER BY p) AS context FROM cut WHERE fits OR short <> '' GROUP BY 1"""
+)
 def search_context_by_mode(spark: SparkSession, d: str) -> DataFrame:
     """The packed context of each mode, and of one that is not known."""
     vector, known, terms = _vector(spark, d), _known(spark, d), _terms(spark)
@@ -355,12 +371,27 @@ def chunk_by_strategy(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_by_strategy(table(spark, d, "documents"), _letter_embedder, asked, similarity=0.8)
 
 
-@query()
+@query(
+    f"""WITH {_ITEMS}, {_HEADS}, said AS (SELECT doc_id, pos, page_idx, CASE WHEN text_level > 0 THEN repeat('#', text_level) || ' ' || line ELSE line END AS s FROM typed WHERE type = 'text'),
+ok AS (SELECT * FROM said WHERE {_TRIM.format('s')} <> ''), pages AS (SELECT DISTINCT doc_id, page_idx AS page FROM typed),
+joined AS (SELECT p.doc_id, p.page, string_agg(CASE WHEN o.page_idx = p.page THEN s ELSE '[Page ' || o.page_idx || '] ' || s END, chr(10) ORDER BY o.pos) AS c FROM pages p JOIN ok o ON o.doc_id = p.doc_id AND o.page_idx BETWEEN p.page - 1 AND p.page + 1 GROUP BY 1, 2),
+ctx AS (SELECT doc_id, page, {_CUT} AS context FROM joined)
+SELECT h.doc_id, h.pos, CASE WHEN coalesce(context, '') <> '' THEN context WHEN h.type = 'image' THEN coalesce(left(h.before, 2000), '') ELSE '' END AS context FROM h LEFT JOIN ctx ON ctx.doc_id = h.doc_id AND ctx.page = h.page_idx WHERE h.type <> 'text'"""
+)
 def structured_media_contexts(spark: SparkSession, d: str) -> DataFrame:
     return structured.media_contexts(_items(spark, d))
 
 
-@query()
+_PATH = "CASE WHEN p1 IS NOT NULL OR p2 IS NOT NULL THEN concat_ws(' > ', t1, CASE WHEN p1 IS NULL OR p2 > p1 THEN t2 END) END"
+_FIELDS = {
+    "type": "type", "text": "CASE WHEN type = 'text' THEN body END", "page_idx": "page_idx", "section_path": _PATH, "neighbour_text": "CASE WHEN type = 'image' THEN before END",
+    "caption": "CASE WHEN type <> 'text' THEN left(line, 20) || ', fig' END", "footnote": "CASE WHEN type <> 'text' THEN 'note' END",
+    "image_path": "CASE WHEN type <> 'text' THEN '/data/uploads/7/images/' || pos || '.png' END", "table_body": "CASE WHEN type = 'table' THEN line END",
+}
+_PAIRS = ", ".join(f"""CASE WHEN ({x}) IS NOT NULL THEN '"{name}":' || to_json({x}) END""" for name, x in _FIELDS.items())
+
+
+@query(f"WITH {_ITEMS}, {_HEADS} SELECT doc_id, pos, '{{' || concat_ws(',', {_PAIRS}) || '}}' AS record FROM h WHERE type <> 'text' OR body <> ''")
 def structured_records(spark: SparkSession, d: str) -> DataFrame:
     return structured.to_records(structured.typed_items(_items(spark, d)), "doc_id", "pos")
 
@@ -392,7 +423,12 @@ def plugged_embedder(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("vector")[0].cast("double").alias("chars"), F.col("vector")[1].cast("double").alias("blanks"))
 
 
-@query()
+@query(
+    rf"""WITH d AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_DENSE}) WHERE vec_id <> 0 ORDER BY s DESC, vec_id LIMIT 20),
+o AS (SELECT d.*, len(list_filter(['the', 'and', 'of', 'is'], lambda w: list_contains(regexp_split_to_array(coalesce(text, ''), '\s+'), w)))::DOUBLE / 100 AS again FROM d JOIN documents ON doc_id = vec_id),
+r AS (SELECT vec_id, s, again, max(s) OVER () >= 0.75 AS sure, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS plain, row_number() OVER (ORDER BY again DESC, s DESC, vec_id)::INT AS anew FROM o)
+SELECT vec_id, CASE WHEN sure THEN plain ELSE anew END AS rank, CASE WHEN sure THEN s ELSE again END AS score, NOT sure AS reranked FROM r WHERE CASE WHEN sure THEN plain <= 10 ELSE anew <= 5 END"""
+)
 def plugged_reranker(spark: SparkSession, d: str) -> DataFrame:
     """A reranker of one's own behind the guard: words shared with a query."""
     near = retrieval.knn(table(spark, d, "embeddings"), _first_vector(spark, d), 20, where=F.col("vec_id") != 0)
