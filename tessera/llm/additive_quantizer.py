@@ -91,17 +91,14 @@ def lookup_scores(queries: np.ndarray, codes: np.ndarray, gain: np.ndarray, book
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``(vec_id, v)``: rows with an id and a finite, non-zero vector of the most common length, in double precision; one row an id.
+    """``(vec_id, v)``: rows with an id and a finite, non-zero vector, in double precision; one row an id.
 
-    An inner product needs vectors of one length, so others take no part. Of an id with several vectors the
-    smallest in array order stays. Minus zero becomes zero.
+    Of an id with several vectors the smallest in array order stays. Minus zero becomes zero.
     """
     v = F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     t = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
-    t = t.where(fine & F.exists("v", lambda x: x != 0))
-    size = t.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return t.where(F.size("v") == (size["n"] if size else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return t.where(fine & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -114,14 +111,19 @@ def _single(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -most, most).astype(np.float32)
 
 
-def nearest_of_block(queries: np.ndarray, reps: np.ndarray, vectors: np.ndarray, coded: np.ndarray, gain: np.ndarray, books: np.ndarray, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries, ids and exact inner products of each query's ``k`` nearest among the ``rerank`` that score best."""
+def nearest_of_block(queries: np.ndarray, reps: np.ndarray, vectors: np.ndarray, coded: np.ndarray, gain: np.ndarray, books: np.ndarray | None, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and exact inner products of each query's ``k`` nearest among the ``rerank`` that score best.
+
+    Where there are no more than ``rerank`` all are ranked, and neither codes nor codebooks are needed.
+    """
     out = []
     n = min(rerank, len(reps))
     for at in range(0, len(queries), QUERY_STEP):
         part = queries[at : at + QUERY_STEP]
-        score = lookup_scores(_single(part), coded, gain, books)
-        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        if n < len(reps):
+            best = np.argpartition(-lookup_scores(_single(part), coded, gain, books), n - 1, axis=1)[:, :n]
+        else:
+            best = np.broadcast_to(np.arange(n), (len(part), n))
         for i, (q, b) in enumerate(zip(part, best, strict=True)):
             exact = vectors[b] @ q
             top = np.lexsort((reps[b], -exact))[:k]
@@ -133,8 +135,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` the ``k`` nearest found.
 
     Nearness is the inner product in double precision, largest first, ties to the smaller id; a row is
-    no candidate for itself. Every usable row is indexed (see ``usable``); codebooks are fitted on the
-    ``sample`` distinct vectors with the smallest id hashes. No rows give an empty result.
+    no candidate for itself. Every usable row is indexed (see ``usable``); an inner product needs vectors of
+    one length, so rows meet those of their own. Each length has codebooks of its own, fitted on its
+    ``sample`` distinct vectors with the smallest id hashes; a length of ``rerank`` distinct vectors or fewer
+    needs none, as all of them are ranked. No rows give an empty result.
     """
     spark = vectors.sparkSession
     own = cut(usable(vectors, vec_id, embedding))
@@ -145,39 +149,44 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [np.array(v, np.float64).tobytes() for v in b["v"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["rep"], pa.array(rows, pa.binary())], ["rep", "vec"])
+            yield pa.RecordBatch.from_arrays([b["rep"], b["n"], pa.array(rows, pa.binary())], ["rep", "n", "vec"])
 
-    packed = cut(groups.select("rep", "v").mapInArrow(pack, "rep long, vec binary"))
-    taken = [bytes(r["vec"]) for r in packed.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
-    if not taken:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = spark.sparkContext.broadcast(fit_codebooks(_single(np.frombuffer(b"".join(taken), np.float64).reshape(len(taken), -1))))
+    packed = cut(groups.select("rep", F.size("v").alias("n"), "v").mapInArrow(pack, "rep long, n int, vec binary"))
     total = packed.count()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fitted = {}
+    for (n,) in packed.groupBy("n").count().where(F.col("count") > rerank).orderBy("n").select("n").collect():
+        taken = [bytes(r["vec"]) for r in packed.where(F.col("n") == n).orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
+        fitted[n] = fit_codebooks(_single(np.frombuffer(b"".join(taken), np.float64).reshape(len(taken), n)))
+    books = spark.sparkContext.broadcast(fitted)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                codes, gain = encode(_single(_matrix(b["vec"])), books.value)
-                yield pa.RecordBatch.from_arrays([b["rep"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(gain), b["vec"]], ["rep", "code", "gain", "vec"])
+            size = b["n"].to_numpy()
+            for n in np.unique(size):
+                part = b.filter(pa.array(size == n))
+                codes, gain = encode(_single(_matrix(part["vec"])), books.value[n]) if n in books.value else (np.zeros((len(part), 0), np.uint8), np.ones(len(part), np.float32))
+                yield pa.RecordBatch.from_arrays([part["rep"], part["n"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(gain), part["vec"]], ["rep", "n", "code", "gain", "vec"])
 
-    codes = packed.mapInArrow(code, "rep long, code binary, gain float, vec binary").withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(-(-total // CODE_BLOCK))))
+    codes = packed.mapInArrow(code, "rep long, n int, code binary, gain float, vec binary").withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(-(-total // CODE_BLOCK))))
     asks = own.where(F.col("vec_id") % every == 0).join(groups.select(F.col("v").alias("gv"), "rep"), F.col("v") == F.col("gv")).select("vec_id", "rep")
     queries = packed.join(asks.select("rep").distinct(), "rep")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    qblocks = queries.withColumn("qblock", F.pmod(F.xxhash64("rep"), F.lit(blocks))).groupBy("qblock").agg(F.collect_list(F.struct("rep", "vec")).alias("q"))
-    cblocks = codes.groupBy("cblock").agg(F.collect_list(F.struct("rep", "code", "gain", "vec")).alias("c"))
-    units = cblocks.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(qblocks, "qblock")
+    qblocks = queries.withColumn("qblock", F.pmod(F.xxhash64("rep"), F.lit(blocks))).groupBy("n", "qblock").agg(F.collect_list(F.struct("rep", "vec")).alias("q"))
+    cblocks = codes.groupBy("n", "cblock").agg(F.collect_list(F.struct("rep", "code", "gain", "vec")).alias("c"))
+    units = cblocks.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(qblocks, ["n", "qblock"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                q, c = b["q"][i].values, b["c"][i].values
+                n, q, c = b["n"][i].as_py(), b["q"][i].values, b["c"][i].values
                 coded = np.frombuffer(b"".join(c.field("code").to_pylist()), np.uint8).reshape(len(c), -1)
-                at, reps, exact = nearest_of_block(_matrix(q.field("vec")), c.field("rep").to_numpy(), _matrix(c.field("vec")), coded, c.field("gain").to_numpy(), books.value, rerank, k + 1)
+                at, reps, exact = nearest_of_block(_matrix(q.field("vec")), c.field("rep").to_numpy(), _matrix(c.field("vec")), coded, c.field("gain").to_numpy(), books.value.get(n), rerank, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(q.field("rep").to_numpy()[at]), pa.array(reps), pa.array(exact)], ["query", "rep", "score"])
         give_back()
 
-    found = units.select("q", "c").mapInArrow(look, "query long, rep long, score double")
+    found = units.select("n", "q", "c").mapInArrow(look, "query long, rep long, score double")
     found = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
     near = found.select("query", "rep", "score").join(groups.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     order = [F.desc("score"), "vec_id"]
