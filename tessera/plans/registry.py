@@ -248,7 +248,23 @@ def sentence_split_count(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sentence_rows(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE m AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([。！？.!?])', '\1' || chr(1), 'g') AS t FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, chr(1) || '|\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM m),
+s AS (SELECT doc_id, generate_subscripts(ss, 1) AS idx, unnest(ss) AS s FROM p),
+w AS (SELECT doc_id, idx, regexp_split_to_array(s, '\s+') AS ws, regexp_replace(s, '\s+', '', 'g') AS solid FROM s),
+f AS (SELECT doc_id, idx, unnest(list_slice(CASE WHEN len(ws) > 1 THEN ws WHEN length(solid) < 3 THEN [solid] ELSE list_transform(range(1, length(solid) - 1), lambda i: substr(solid, i, 3)) END, 1, 1000)) AS f FROM w),
+h AS (SELECT doc_id, idx, ('0x' || right(md5(f), 8))::BIGINT % 64 AS b, sum(10 + length(f) % 3)::DOUBLE AS n FROM f GROUP BY ALL),
+l AS (SELECT doc_id, idx, sqrt(sum(n * n)) AS norm FROM h GROUP BY ALL),
+d AS (SELECT a.doc_id, a.idx, sum(a.n * o.n) AS dot FROM h a JOIN h o ON o.doc_id = a.doc_id AND o.idx = a.idx - 1 AND o.b = a.b GROUP BY ALL),
+r AS (SELECT s.doc_id, s.idx, s.s, length(s.s) AS n, coalesce(d.dot, 0) / (x.norm * y.norm) AS sim FROM s JOIN l x USING (doc_id, idx) LEFT JOIN l y ON y.doc_id = s.doc_id AND y.idx = s.idx - 1 LEFT JOIN d ON d.doc_id = s.doc_id AND d.idx = s.idx),
+walk AS (SELECT doc_id, idx, 0 AS run, n AS size FROM r WHERE idx = 1
+  UNION ALL SELECT r.doc_id, r.idx, w.run + (w.size >= 100 AND (r.sim < 0.5 OR w.size + r.n > 750))::INT, CASE WHEN w.size >= 100 AND (r.sim < 0.5 OR w.size + r.n > 750) THEN r.n ELSE w.size + r.n END FROM walk w JOIN r ON r.doc_id = w.doc_id AND r.idx = w.idx + 1),
+runs AS (SELECT doc_id, run, string_agg(s, ' ' ORDER BY idx) AS t FROM walk JOIN r USING (doc_id, idx) GROUP BY 1, 2),
+joined AS (SELECT doc_id, run, 0 AS idx, length(t) AS held FROM runs WHERE run = 0
+  UNION ALL SELECT u.doc_id, u.run, j.idx + (j.held >= 100 OR j.held + length(u.t) > 750)::INT, CASE WHEN j.held >= 100 OR j.held + length(u.t) > 750 THEN length(u.t) ELSE j.held + 1 + length(u.t) END FROM joined j JOIN runs u ON u.doc_id = j.doc_id AND u.run = j.run + 1)
+SELECT doc_id, idx, string_agg(t, ' ' ORDER BY run) AS content FROM joined JOIN runs USING (doc_id, run) GROUP BY 1, 2"""
+)
 def semantic_merge(spark: SparkSession, d: str) -> DataFrame:
     return chunking.semantic_chunks(table(spark, d, "documents"))
 
