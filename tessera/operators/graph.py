@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.sizes import broadcast_small
+
 
 def token_entities(docs: DataFrame, least_chars: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, entity_name)``: each document's distinct lower-cased words of ``least_chars`` letters or more.
@@ -184,7 +186,7 @@ def related_chunks(appears: DataFrame, names: DataFrame, limit: int = 20) -> Dat
     The limit comes before empty ones go, as a result list is cut by the search itself.
     ``appears(entity_name, doc_id, chunk_id, snippet)``.
     """
-    hit = appears.where(F.col("chunk_id").isNotNull()).join(F.broadcast(names), F.col("entity_name") == F.col("name"), "left_semi")
+    hit = appears.where(F.col("chunk_id").isNotNull()).join(broadcast_small(names), F.col("entity_name") == F.col("name"), "left_semi")
     top = hit.select("chunk_id", F.col("snippet").alias("content"), "doc_id").distinct().orderBy("doc_id", "chunk_id", "content").limit(limit)
     return top.where(F.coalesce("content", F.lit("")) != "")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.sizes import broadcast_small
+
 RETENTION_DAYS = 30
 
 
@@ -75,7 +77,7 @@ def same_tags(docs: DataFrame, anchor: Column, key: str = "doc_id", tags: str =
     """``(doc_id, common)``: other documents that share tags with one document."""
     mine = docs.where(F.col(key) == anchor).select(F.explode(tags).alias("tag")).distinct()
     each = docs.where(F.col(key) != anchor).select(key, F.explode(F.array_distinct(tags)).alias("tag"))
-    return each.join(F.broadcast(mine), "tag").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("common"))
+    return each.join(broadcast_small(mine), "tag").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("common"))
 
 
 # Progress of each stage of an ingest, and statuses from which a document may be processed again.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.sizes import broadcast_small
 from tessera.functions.vectors import cosine
 
 DENSE_THRESHOLD, SPARSE_THRESHOLD, RRF_K, RERANK_SKIP, RERANK_TOP = 0.3, 0.0, 60, 0.75, 5
@@ -69,10 +70,10 @@ def term_postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 def search_terms(docs: DataFrame, query_terms: DataFrame, k: int, threshold: float = SPARSE_THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``sparse_search`` straight from texts: words that the query lacks go before anything is counted.
 
-    ``query_terms(term, q)`` is one query's list and goes to every task.
+    ``query_terms(term, q)`` is one query's list; a short one goes to every task.
     """
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
-    hits = docs.select(id_col, F.explode(words).alias("term")).join(F.broadcast(query_terms), "term")
+    hits = docs.select(id_col, F.explode(words).alias("term")).join(broadcast_small(query_terms), "term")
     found = hits.groupBy(id_col).agg(F.sum("q").alias("score"))
     return found.where(F.col("score") >= threshold).orderBy(F.desc("score"), id_col).limit(k)
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.sizes import broadcast_small
+
 BUCKETS = 64
 
 
@@ -179,7 +181,7 @@ def search_postings(spark: SparkSession, path: str, query: DataFrame, k: int, fi
     bound are scored; after that only blocks whose bound isn't under the k-th score can matter, and the rest of the
     documents is never read. ``seen`` gets the numbers of blocks with a query term and of blocks scored.
     """
-    terms = F.broadcast(query.groupBy("term").agg(F.sum("q").alias("q")))
+    terms = broadcast_small(query.groupBy("term").agg(F.sum("q").alias("q")))
     index = spark.read.parquet(path)
     bounds = index.select("term", "block", "most").join(terms, "term").groupBy("block").agg(F.sum(F.col("most") * F.col("q")).alias("bound"))
     best = W.orderBy(F.desc("bound"), "block")

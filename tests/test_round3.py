@@ -148,3 +148,18 @@ def test_recursive_chunks_are_places_of_the_text(spark):
             assert not t[end : r["start"]].strip() and end - r["start"] <= 30
             end = r["end"]
         assert not (t or "")[end:].strip()
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    from tessera.functions import sizes
+    from tessera.operators import retrieval
+
+    side = spark.range(10)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(sizes.broadcast_small(side, 10)) and not hinted(sizes.broadcast_small(side, 9))
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "doc_id int, text string")
+    terms = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, q double")
+    want = [(1, 4.0), (2, 2.0)]
+    assert [tuple(r) for r in retrieval.search_terms(docs, terms, 5).collect()] == want
+    monkeypatch.setattr(retrieval, "broadcast_small", lambda side: sizes.broadcast_small(side, 0))
+    assert [tuple(r) for r in retrieval.search_terms(docs, terms, 5).collect()] == want
