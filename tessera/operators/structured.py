@@ -91,7 +91,8 @@ def page_contexts(items: DataFrame, width: int = 1, types: tuple[str, ...] = ("t
     mark = F.when(F.col("near") == F.col("page"), F.lit("")).otherwise(F.concat(F.lit("[Page "), F.col("near").cast("string"), F.lit("] ")))
     each = F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), F.concat(mark, x["said"]).alias("said")))
     per = found.groupBy(doc_id, "page").agg(F.array_sort(F.flatten(F.collect_list(F.coalesce(each, F.expr("cast(array() as array<struct<pos:int,said:string>>)"))))).alias("x"))
-    return per.select(doc_id, "page", cut_context(F.array_join(F.transform("x", lambda x: x["said"]), "\n")).alias("context"))
+    whole = per.select(doc_id, "page", F.array_join(F.transform("x", lambda x: x["said"]), "\n").alias("_whole"))  # made once, cut in a step of its own
+    return whole.select(doc_id, "page", cut_context(F.col("_whole")).alias("context"))
 
 
 def chunk_contexts(items: DataFrame, width: int = 1, types: tuple[str, ...] = ("text",), doc_id: str = "doc_id", pos: str = "pos") -> DataFrame:
@@ -100,7 +101,7 @@ def chunk_contexts(items: DataFrame, width: int = 1, types: tuple[str, ...] = ("
     t = items.withColumn("_said", F.when(speaks, item_text()))
     w = W.partitionBy(doc_id).orderBy(pos)
     near = F.concat(F.collect_list("_said").over(w.rowsBetween(-width, -1)), F.collect_list("_said").over(w.rowsBetween(1, width)))
-    return t.select(doc_id, pos, cut_context(F.array_join(near, "\n")).alias("context"))
+    return t.select(doc_id, pos, F.array_join(near, "\n").alias("_whole")).select(doc_id, pos, cut_context(F.col("_whole")).alias("context"))
 
 
 def any_contexts(sources: DataFrame, width: int = 1, mode: str = "page", types: tuple[str, ...] = ("text",), source: str = "source", index: str = "index", page: str = "page_idx") -> DataFrame:
