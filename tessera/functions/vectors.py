@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -75,11 +75,18 @@ def hash_embedding(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return both.select(doc_id, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at).alias("vector"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once: an array of one stands in for a name."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def hash_tenths(text: Column, dim: int = 64) -> Column:
+    """The embedding of one short text within its row, in tenths and not normalised: whole numbers, so that sums and products are exact."""
+    bucket = lambda t: (F.conv(F.right(F.md5(t), F.lit(8)), 16, 10).cast("long") % dim).cast("int")
+    each = F.transform(features(text), lambda t: F.struct(bucket(t).alias("i"), (F.lit(10.0) + F.length(t) % 3).alias("w")))
+    return F.aggregate(each, F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.transform(acc, lambda v, k: v + F.when(k == x["i"], x["w"]).otherwise(F.lit(0.0))))
+
+
 def hash_vector(text: Column, dim: int = 64) -> Column:
     """The embedding of one short text within its row; for texts of many features ``hash_embedding`` shares the work."""
-    bucket = lambda t: (F.conv(F.right(F.md5(t), F.lit(8)), 16, 10).cast("long") % dim).cast("int")
-    each = F.transform(features(text), lambda t: F.struct(bucket(t).alias("i"), (F.lit(1.0) + 0.1 * (F.length(t) % 3)).alias("w")))
-    raw = F.aggregate(each, F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.transform(acc, lambda v, k: v + F.when(k == x["i"], x["w"]).otherwise(F.lit(0.0))))
-    # an array of one stands in for a name, so that the sums and their norm are made once
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    return once(raw, lambda v: once(norm(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))))
+    return _once(hash_tenths(text, dim), lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.text import sentences, strip
-from tessera.functions.vectors import dot, hash_vector
+from tessera.functions.vectors import dot, hash_tenths, norm
 
 SIZE, OVERLAP = 500, 100
 # Separators in the order in which they are tried.
@@ -147,10 +147,14 @@ def merge_sentences(sentences: list[str], likeness: list[float], least: int = 10
 
 
 def semantic_chunks(docs: DataFrame, least: int = 100, most: int = 750, similarity: float = 0.5, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
-    """``(doc_id, idx, content)``: sentences merged by ``merge_sentences``, alike by the offline embedding."""
-    v = sentence_rows(docs, doc_id, text).withColumn("vector", hash_vector(F.col("sentence"), dim))
+    """``(doc_id, idx, content)``: sentences merged by ``merge_sentences``, alike by the offline embedding.
+
+    Likeness is an exact product of whole numbers over that of the norms, as sentences just at ``similarity`` are common.
+    """
+    v = sentence_rows(docs, doc_id, text).withColumn("vector", hash_tenths(F.col("sentence"), dim)).withColumn("norm", norm(F.col("vector")))
     w = W.partitionBy(doc_id).orderBy("idx")
-    v = v.withColumn("sim", F.coalesce(dot(F.col("vector"), F.lag("vector").over(w)), F.lit(1.0)))
+    v = v.withColumns({"_product": dot(F.col("vector"), F.lag("vector").over(w)), "_norms": F.col("norm") * F.lag("norm").over(w)})
+    v = v.withColumn("sim", F.when(F.col("_product").isNull(), 1.0).when(F.col("_norms") == 0, 0.0).otherwise(F.col("_product") / F.col("_norms")))
     runs = v.groupBy(F.col(doc_id).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence", "sim"))).alias("s"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

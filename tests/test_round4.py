@@ -26,3 +26,12 @@ def test_cut_context_looks_once(spark):
     long = spark.range(60_000).select(F.concat(F.repeat(F.lit("word "), F.lit(500)), F.col("id").cast("string")).alias("t"))
     assert long.select(F.length(T.cut_context(F.col("t"))).alias("n")).agg(F.max("n")).first()[0] == 2003
     assert time.time() - start < 25
+
+
+def test_likeness_at_the_threshold(spark):
+    """The last two sentences are alike by just under a half, as whole numbers over norms say; sums of tenths rounded that up."""
+    from tessera.operators import chunking
+
+    first = "It tion stenes on thedndre re therlyan, heblent and onenin ththes was reingnting wh. Hehean of thsthant. In of of onintion of nthe."
+    docs = spark.createDataFrame([(1, first + " The ernder threthed.")], "doc_id int, text string")
+    assert [r["content"] for r in chunking.semantic_chunks(docs).orderBy("idx").collect()] == [first, "The ernder threthed."]
