@@ -4,7 +4,8 @@ Tokens are words and one end of text. Each of the most frequent words is a symbo
 class, told by their last byte and length, followed by the word's own share of its class, which states have no
 part in. States emit symbols, so that the model's tables have a fixed size, while counts of all words, however many,
 stay in a table that rare words are joined with. Every round of Baum-Welch reads all training texts: each task sums the
-expected counts of its own, Spark adds these up by symbol, and the driver makes the next tables from the sums.
+expected counts of its own, Spark adds these up by symbol, and the driver makes the next tables from the sums. The
+first round does so after each part of the texts, the others once.
 
 The likelihood is the scaled forward recursion over the whole text. A long text is cut into segments that
 know what lies before and behind through products of transfer matrices, which changes no result.
@@ -26,8 +27,8 @@ from tessera.llm.base import Memo, ensure_checkpoint_dir, fresh, give_back
 
 #: Latent states; classes of rare words; symbols with a number of two bytes, classes included.
 STATES, CLASSES, SYMBOLS = 8, 64, 1 << 16
-#: Rounds over a sample of about so many texts, from which training starts, and rounds over all texts.
-START_ROUNDS, START_TEXTS, ROUNDS = 8, 2_000, 2
+#: Parts of the training texts, after each of which the model is made anew in the first round; rounds over all texts after that one.
+PARTS, ROUNDS = 8, 2
 #: Weight of the words' overall distribution in each state's, in tokens, and of each transition.
 PRIOR, PRIOR_STEP = 50.0, 1.0
 #: Tokens worked on at a time, and of a segment; bytes of text split at a time; words kept by a worker.
@@ -415,13 +416,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
     coded = spark.read.parquet(f"{place}/coded")
     train = coded.where("not held_out")
     texts = train.count()
-    few = train.where(F.pmod(F.xxhash64(rid), F.lit(1 << 20)) < min(1 << 20, (START_TEXTS << 20) // max(1, texts)))
     model = Model.start(unigram, states)
     if texts:
-        few.select("codes").write.parquet(f"{place}/start")
-        for part, n in ((spark.read.parquet(f"{place}/start"), START_ROUNDS), (train, rounds)):
-            for _ in range(n):
-                model = Model.of_counts(*train_round(part, model), unigram)
+        sums: tuple[np.ndarray, ...] | None = None
+        for i in range(PARTS):  # every training text is in one part
+            got = train_round(train.where(F.pmod(F.xxhash64(rid), F.lit(PARTS)) == i), model)
+            sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
+            model = Model.of_counts(*sums, unigram)
+        for _ in range(rounds):
+            model = Model.of_counts(*train_round(train, model), unigram)
     if fitted:
         fitted(model)
 

@@ -104,3 +104,12 @@ def test_empty_and_held_out_only(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = hmm.score(spark.createDataFrame([(held, "a b", 1, "", 1)], SCHEMA)).collect()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 3, 0, 0, 0.0)
+
+
+def test_all_training_texts_in_every_round(spark, monkeypatch):
+    """No round takes a sample: the parts of the first are all training texts, each once, and the other rounds take all."""
+    taken, plain = [], hmm.train_round
+    monkeypatch.setattr(hmm, "train_round", lambda coded, model: (taken.append(coded.count()), plain(coded, model))[1])
+    docs = spark.createDataFrame([(*r, 1, "h", 2) for r in rows()], SCHEMA)
+    n = sum(not r["held_out"] for r in hmm.score(docs).select("held_out").collect())
+    assert sum(taken[: -hmm.ROUNDS]) == n and taken[-hmm.ROUNDS :] == [n] * hmm.ROUNDS
