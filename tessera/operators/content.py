@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ DROPPED = {"script", "style", "noscript"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 MAIN_HINTS = ("content", "post", "article", "entry", "markdown", "prose", "page-content", "container")
 NO_PAGE_TITLE = "网页来源"
+#: Characters of pages that are read at a time.
+PART_CHARS = 4_000_000
 
 
 class _Block:
@@ -173,15 +175,25 @@ def read_page(html: str | None, only_main: bool = True) -> tuple[str, str]:
 
 
 def pages_to_markdown(pages: DataFrame, page_id: str = "page_id", html: str = "html", only_main: bool = True) -> DataFrame:
-    """``(page_id, title, markdown)``; null pages have the default title and no text."""
+    """``(page_id, title, markdown)``; null pages have the default title and no text.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got = [read_page(h, only_main) for h in pdf["_html"]]
-            yield pd.DataFrame({"page_id": pdf["_id"], "title": [g[0] for g in got], "markdown": [g[1] for g in got]})
+    A batch is read in parts, so that Python holds a few pages as text and not a batch of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                size, got = 0, []
+                while at + len(got) < b.num_rows and (not got or size < PART_CHARS):
+                    page = b["_html"][at + len(got)].as_py()
+                    size += len(page or "")
+                    got.append(read_page(page, only_main))
+                yield pa.RecordBatch.from_arrays([b["_id"].slice(at, len(got)), *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], ["page_id", "title", "markdown"])
+                at += len(got)
 
     base = pages.select(F.col(page_id).alias("_id"), F.col(html).alias("_html"))
-    return base.mapInPandas(run, f"page_id {base.schema['_id'].dataType.simpleString()}, title string, markdown string")
+    return base.mapInArrow(run, f"page_id {base.schema['_id'].dataType.simpleString()}, title string, markdown string")
 
 
 def export_markdown(title: Column, kind: Column, tags: Column, created_at: Column, content: Column) -> Column:

@@ -35,3 +35,13 @@ def test_likeness_at_the_threshold(spark):
     first = "It tion stenes on thedndre re therlyan, heblent and onenin ththes was reingnting wh. Hehean of thsthant. In of of onintion of nthe."
     docs = spark.createDataFrame([(1, first + " The ernder threthed.")], "doc_id int, text string")
     assert [r["content"] for r in chunking.semantic_chunks(docs).orderBy("idx").collect()] == [first, "The ernder threthed."]
+
+
+def test_pages_in_parts(spark):
+    """Batches of pages go through Python in parts, as they come, not as frames of whole batches; results stay."""
+    from tessera.operators import content
+
+    pages = [(i, None if i % 50 == 7 else f"<title>t{i}</title><body><article><h1>H{i}</h1><p>{'x' * (i * 997 % 40_000)}</p></article></body>") for i in range(400)]
+    got = content.pages_to_markdown(spark.createDataFrame(pages, "page_id long, html string").coalesce(1))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.orderBy("page_id").collect()] == [(i, *content.read_page(h)) for i, h in pages]
