@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,8 +14,17 @@ def token_entities(docs: DataFrame, least_chars: int = 5, doc_id: str = "doc_id"
 
     A substitute for extraction by a model. One scan, no shuffle.
     """
+    return docs.select(doc_id, F.explode(_names(text, least_chars)).alias("entity_name"))
+
+
+def token_lists(docs: DataFrame, least_chars: int = 5, doc_id: str = "doc_id", text: str = "text", user: str = "user_id") -> DataFrame:
+    """``(user, doc_id, names)``: the same as an array a document, with its user."""
+    return docs.select(user, doc_id, _names(text, least_chars).alias("names"))
+
+
+def _names(text: str, least_chars: int) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= least_chars)
-    return docs.select(doc_id, F.explode(F.array_distinct(words)).alias("entity_name"))
+    return F.array_distinct(words)
 
 
 def merge_entities(events: DataFrame, key: tuple[str, ...] = ("name", "user_id")) -> DataFrame:
@@ -309,3 +318,23 @@ def appearance_counts(appears: DataFrame, user: str = "user_id", doc_id: str = "
     n = appears.groupBy(user, doc_id, "entity_name").agg(F.count("*").alias("n"))
     sets = n.groupingSets([[user, doc_id], [user], []], user, doc_id)
     return sets.agg(F.count_distinct("entity_name").alias("n_entities"), F.sum("n").alias("n_appearances"))
+
+
+def listed_counts(lists: DataFrame, user: str = "user_id", doc_id: str = "doc_id", names: str = "names") -> DataFrame:
+    """``appearance_counts`` of rows ``(user, doc_id, names)``, an array of names each, none of them null.
+
+    A document in one row is counted where it is; only those of several rows are put together. What users have in common is summed
+    up by name, so that what is held and sent grows with the vocabulary and not with the appearances.
+    """
+    rows = lists.select(F.col(user).alias("u"), F.col(doc_id).alias("d"), F.array_distinct(names).alias("names"), F.size(names).alias("n")).where("n > 0")
+    several = broadcast_small(rows.groupBy("u", "d").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("u").alias("_u"), F.col("d").alias("_d")))
+    same = F.col("u").eqNullSafe(F.col("_u")) & F.col("d").eqNullSafe(F.col("_d"))
+    none = lambda c: F.lit(None).cast(lists.schema[c].dataType)
+    out = lambda u, d, names, n: [u.alias(user), d.alias(doc_id), names.cast("long").alias("n_entities"), n.cast("long").alias("n_appearances")]
+    alone = rows.join(several, same, "left_anti").select(*out(F.col("u"), F.col("d"), F.size("names"), F.col("n")))
+    sets = rows.join(several, same, "left_semi").groupBy("u", "d").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.sum("n").alias("n"))
+    sets = sets.select(*out(F.col("u"), F.col("d"), F.size("names"), F.col("n")))
+    by_name = lists.select(F.col(user).alias("u"), F.explode(names).alias("name")).groupBy("u", "name").agg(F.count("*").alias("n"))
+    by_user = by_name.groupBy("u").agg(F.count("*").alias("k"), F.sum("n").alias("n")).select(*out(F.col("u"), none(doc_id), F.col("k"), F.col("n")))
+    total = by_name.groupBy("name").agg(F.sum("n").alias("n")).agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return alone.unionByName(sets).unionByName(by_user).unionByName(total.select(*out(none(user), none(doc_id), F.col("k"), F.col("n"))))

@@ -689,8 +689,8 @@ def recent_paths(spark: SparkSession, d: str) -> DataFrame:
 GROUP BY GROUPING SETS ((lang, doc_id), (lang), ())"""
 )
 def appearance_counts(spark: SparkSession, d: str) -> DataFrame:
-    owners = table(spark, d, "documents").select("doc_id", F.col("lang").alias("user_id"))
-    return graph.appearance_counts(_appears(spark, d).join(owners, "doc_id")).fillna({"user_id": "all", "doc_id": -1})
+    docs = table(spark, d, "documents").withColumn("user_id", F.col("lang"))
+    return graph.listed_counts(graph.token_lists(docs)).fillna({"user_id": "all", "doc_id": -1})
 
 
 @query("SELECT source, max(doc_id) AS doc_id FROM (SELECT doc_id, source FROM documents) GROUP BY 1")

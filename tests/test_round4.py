@@ -45,3 +45,16 @@ def test_pages_in_parts(spark):
     got = content.pages_to_markdown(spark.createDataFrame(pages, "page_id long, html string").coalesce(1))
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.orderBy("page_id").collect()] == [(i, *content.read_page(h)) for i, h in pages]
+
+
+def test_listed_counts_send_no_appearances(spark):
+    """As appearance_counts of single rows, also of documents in several rows; no grouping by document and name."""
+    from tessera.operators import graph
+
+    rows = [("u", 1, ["x", "x"]), ("u", 2, ["x"]), ("u", 2, ["y", "x"]), ("v", 3, ["x"]), ("v", 4, []), (None, 5, ["z"]), ("v", 6, None)]
+    lists = spark.createDataFrame(rows, "user_id string, doc_id int, names array<string>")
+    key = lambda r: repr(tuple(r))
+    want = graph.appearance_counts(lists.select("user_id", "doc_id", F.explode("names").alias("entity_name")))
+    got = graph.listed_counts(lists)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
