@@ -61,10 +61,16 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def term_postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, term, weight)``: term frequencies of lower-cased words, the sparse channel without a model."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").cast("double").alias("weight"))
+def term_postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, term, weight)``: term frequencies of lower-cased words, the sparse channel without a model.
+
+    Texts are dealt by id, so that words are counted where they are split and are not shuffled; or by ``by``, columns that an
+    id decides, which come along.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+    dealt = docs.select(*by, id_col, text).repartition(*(by or (id_col,)))
+    terms = dealt.select(*by, id_col, F.explode(words).alias("term")).where("term <> ''")
+    return terms.groupBy(*by, id_col, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def search_terms(docs: DataFrame, query_terms: DataFrame, k: int, threshold: float = SPARSE_THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -442,5 +442,6 @@ def plugged_reranker(spark: SparkSession, d: str) -> DataFrame:
 def sparse_block_max_topk(spark: SparkSession, d: str) -> DataFrame:
     """``sparse_tf_topk`` over postings that are stored, by block maxima."""
     path = stores.scratch_folder(spark, "postings")
-    stores.write_postings(retrieval.term_postings(table(spark, d, "documents")), path, block_bits=6)
+    docs = table(spark, d, "documents").withColumn("block", stores.block_of(F.col("doc_id"), 6))
+    stores.write_postings(retrieval.term_postings(docs, by=("block",)), path, block_bits=6)
     return stores.search_postings(spark, path, _query_terms(spark, d), 20, first=4)

@@ -161,17 +161,25 @@ def stale_files(files: DataFrame, parsed: DataFrame, slack: float = 1.0) -> Data
 
 #: Document ids of one block, as a power of two, and blocks of ids that are scored first.
 BLOCK_BITS, FIRST_BLOCKS = 10, 64
+#: Terms of a query that the scan itself looks for.
+FEW_TERMS = 1000
+
+
+def block_of(doc_id: Column, block_bits: int = BLOCK_BITS) -> Column:
+    return F.shiftright(doc_id.cast("long"), block_bits)
 
 
 def write_postings(postings: DataFrame, path: str, doc_id: str = "doc_id", block_bits: int = BLOCK_BITS) -> None:
     """Store ``postings(doc_id, term, weight)`` by term and block of ids, with each block's largest weight.
 
-    Blocks of all terms span the same ids, so that bounds of terms add up block by block. Rows are sorted by term, so that a
-    scan for a few terms reads a few row groups. Weights must not be negative.
+    Blocks of all terms span the same ids, so that bounds of terms add up block by block. Rows of a file are sorted by term, block
+    and id, so that a scan for a few terms reads a few pages, and what a block's rows have in common takes next to no
+    space. Weights must not be negative. ``postings`` that have their ``block`` and are dealt by it are not shuffled again.
     """
-    rows = postings.withColumn("block", F.shiftright(F.col(doc_id).cast("long"), block_bits))
-    held = rows.groupBy("term", "block").agg(F.max("weight").alias("most"), F.array_sort(F.collect_list(F.struct(F.col(doc_id).alias("doc"), "weight"))).alias("docs"))
-    held.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("errorifexists").parquet(path)
+    block = F.col("block") if "block" in postings.columns else block_of(F.col(doc_id), block_bits)
+    rows = postings.select("term", block.alias("block"), F.col(doc_id).alias("doc"), "weight")
+    whole = W.partitionBy("term", "block").orderBy("doc").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows.withColumn("most", F.max("weight").over(whole)).write.mode("errorifexists").parquet(path)
 
 
 def search_postings(spark: SparkSession, path: str, query: DataFrame, k: int, first: int = FIRST_BLOCKS, seen: list[int] | None = None) -> DataFrame:
@@ -181,25 +189,29 @@ def search_postings(spark: SparkSession, path: str, query: DataFrame, k: int, fi
     bound are scored; after that only blocks whose bound isn't under the k-th score can matter, and the rest of the
     documents is never read. ``seen`` gets the numbers of blocks with a query term and of blocks scored.
     """
-    terms = broadcast_small(query.groupBy("term").agg(F.sum("q").alias("q")))
+    terms = query.groupBy("term").agg(F.sum("q").alias("q"))
+    few = terms.limit(FEW_TERMS + 1).collect()  # a longer list is joined as it is
     index = spark.read.parquet(path)
-    bounds = index.select("term", "block", "most").join(terms, "term").groupBy("block").agg(F.sum(F.col("most") * F.col("q")).alias("bound"))
-    best = W.orderBy(F.desc("bound"), "block")
+    if len(few) <= FEW_TERMS:
+        terms = F.broadcast(spark.createDataFrame(few, terms.schema))
+        index = index.where(F.col("term").isin([r["term"] for r in few if r["term"] is not None]))
+    else:
+        terms = broadcast_small(terms)
+    bounds = index.select("term", "block", "most").distinct().join(terms, "term").groupBy("block").agg(F.sum(F.col("most") * F.col("q")).alias("bound"))
 
-    def scored(blocks: DataFrame) -> DataFrame:
-        hit = index.join(terms, "term").join(blocks.select("block"), "block", "left_semi")
-        each = hit.select("q", F.explode("docs").alias("x")).groupBy(F.col("x.doc").alias("doc_id")).agg(F.sum(F.col("x.weight") * F.col("q")).alias("score"))
+    def scored(hit: DataFrame) -> DataFrame:
+        each = hit.select("term", "doc", "weight").join(terms, "term").groupBy(F.col("doc").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
         return each.orderBy(F.desc("score"), "doc_id").limit(k)
 
     head = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(first).collect()]  # ``first`` numbers
-    start = scored(bounds.where(F.col("block").isin(head)))
+    start = scored(index.where(F.col("block").isin(head)))
     got = start.collect()  # ``k`` rows
     least = got[-1]["score"] if len(got) == k else float("-inf")
     # sums of bounds and of scores are rounded in different orders
     rest = bounds.where((F.col("bound") >= least - abs(least) * 1e-9 if got and len(got) == k else F.lit(True)) & ~F.col("block").isin(head))
     if seen is not None:
         seen += [bounds.count(), len(head) + rest.count()]
-    both = spark.createDataFrame(got, start.schema).unionByName(scored(rest))
+    both = spark.createDataFrame(got, start.schema).unionByName(scored(index.join(rest.select("block"), "block", "left_semi")))
     return both.orderBy(F.desc("score"), "doc_id").limit(k)
 
 

@@ -58,3 +58,22 @@ def test_listed_counts_send_no_appearances(spark):
     got = graph.listed_counts(lists)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_shuffle_texts_only(spark, tmp_path):
+    """Words are counted where they are split; dealt by block they are stored without a shuffle, and a search's scan looks for its terms."""
+    from tessera.operators import retrieval
+    from tessera.sources import stores
+
+    docs = spark.createDataFrame([(i, f"All all w{i % 9} x{i % 7}. {'rare ' * (i % 4)}") for i in range(300)] + [(7, "all again")], "doc_id long, text string")
+    held = retrieval.term_postings(docs.withColumn("block", stores.block_of(F.col("doc_id"), 4)), by=("block",))
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    key = lambda r: (r["doc_id"], r["term"], r["weight"])
+    assert sorted(map(key, held.collect())) == sorted(map(key, retrieval.term_postings(docs).collect()))
+    stores.write_postings(held, str(tmp_path / "p"), block_bits=4)
+    query = spark.createDataFrame([("all", 1.0), ("rare", 2.0), ("w3", 0.5)], "term string, q double")
+    found = stores.search_postings(spark, str(tmp_path / "p"), query, 12, first=2)
+    assert "In(term, [" in found._jdf.queryExecution().executedPlan().toString()
+    want = held.join(query, "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(12)
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.collect()]
