@@ -112,9 +112,10 @@ def any_contexts(sources: DataFrame, width: int = 1, mode: str = "page", types:
     the items before and after, objects by their ``content``. A string gives itself, anything else and an empty list nothing.
     What isn't JSON, or too large for a variant, is text; null gives nothing. Rows stay as they are, no shuffle.
     """
-    v = F.try_parse_json(F.col(source))
+    parsed = sources.withColumn("_v", F.try_parse_json(F.col(source)))  # what later steps use more than once is made once, in a step before
     get = lambda x, path, kind: F.try_variant_get(x, path, kind)
-    items = get(v, "$", "array<variant>")
+    parsed = parsed.withColumns({"_kind": F.schema_of_variant("_v"), "_items": get(F.col("_v"), "$", "array<variant>")})
+    v, kind, items = F.col("_v"), F.col("_kind"), F.col("_items")
     is_object = lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))
     here, asked = F.coalesce(F.col(index), F.lit(0)), F.coalesce(F.col(page), F.lit(0))
 
@@ -141,12 +142,12 @@ def any_contexts(sources: DataFrame, width: int = 1, mode: str = "page", types:
 
     layout = near(said) if mode == "chunk" else F.array_join(full(F.transform(items, paged)), "\n")
     loose = near(lambda x: strip(F.coalesce(get(x, "$.content", "string"), get(x, "$", "string"))))
-    kind = F.schema_of_variant(v)
     text = (
         F.when(F.col(source).isNull(), "").when(v.isNull(), F.col(source)).when(kind == "STRING", get(v, "$", "string"))
         .when(F.size(items) > 0, F.when(is_object(get(v, "$[0]", "variant")), layout).otherwise(loose)).otherwise("")
     )
-    return sources.withColumn("context", cut_context(F.coalesce(text, F.lit(""))))
+    whole = parsed.withColumn("_whole", F.coalesce(text, F.lit("")))
+    return whole.withColumn("context", cut_context(F.col("_whole"))).drop("_v", "_kind", "_items", "_whole")
 
 
 def media_contexts(items: DataFrame, width: int = 1, doc_id: str = "doc_id", pos: str = "pos") -> DataFrame:

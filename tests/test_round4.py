@@ -77,3 +77,15 @@ def test_postings_shuffle_texts_only(spark, tmp_path):
     assert "In(term, [" in found._jdf.queryExecution().executedPlan().toString()
     want = held.join(query, "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(12)
     assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_source_is_parsed_once(spark):
+    """A source's JSON and its joined text are made once, however often later steps use them."""
+    from tessera.operators import structured
+
+    rows = [(1, '["a", " b ", "c"]', 1, 0), (2, "not [json", 0, 0), (3, '"x"', 0, 0), (4, None, 0, 0), (5, '[{"type": "text", "text": "t", "text_level": 2}]', 0, 0), (6, "[]", 0, 0)]
+    got = structured.any_contexts(spark.createDataFrame(rows, "id int, source string, index int, page_idx int"))
+    assert got.columns == ["id", "source", "index", "page_idx", "context"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count(" AS _whole#") == 1
+    assert [r["context"] for r in got.orderBy("id").collect()] == ["a\nc", "not [json", "x", "", "## t", ""]
