@@ -14,16 +14,16 @@ know what lies before and behind through products of transfer matrices, which ch
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import Memo, ensure_checkpoint_dir, fresh, give_back
+from tessera.llm.base import ensure_checkpoint_dir, fresh, give_back
 
 #: Latent states; classes of rare words; symbols with a number of two bytes, classes included.
 STATES, CLASSES, SYMBOLS = 8, 64, 1 << 16
@@ -31,66 +31,54 @@ STATES, CLASSES, SYMBOLS = 8, 64, 1 << 16
 PARTS, ROUNDS = 8, 2
 #: Weight of the words' overall distribution in each state's, in tokens, and of each transition.
 PRIOR, PRIOR_STEP = 50.0, 1.0
-#: Tokens worked on at a time, and of a segment; bytes of text split at a time; words kept by a worker.
-BATCH_TOKENS, SEGMENT, PART_BYTES, KEPT_WORDS = 250_000, 8_192, 4_000_000, 150_000
+#: Tokens worked on at a time, and of a segment; bytes of text split at a time.
+BATCH_TOKENS, SEGMENT, PART_BYTES = 500_000, 65_536, 4_000_000
 #: The end of a text, which is no word.
 END = b"\n"
 #: Buckets of counts for each doubling.
 _FINE = 64
 
 
-def word_key(word: bytes) -> tuple[int, int]:
-    """A word's 64-bit number, and its class."""
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63), (word[-1] & 7) * 8 + min(len(word) // 2, 7)
+def word_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words' 64-bit numbers, and their classes."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+    ends, raw = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+    return (h ^ np.uint64(1 << 63)).view(np.int64), ((raw[ends[1:] - 1] & 7) * 8 + np.minimum(np.diff(ends) // 2, 7)).astype(np.int8)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The tokens of a text: its words with A-Z lower-cased, then the end."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    found.append(END)
-    return found
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Batches in slices of about PART_BYTES, one row at least: their distinct tokens, of each token its place among these, of each row its number of tokens.
 
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Batches in slices of about PART_BYTES, one row at least, with the tokens of each text."""
+    The tokens of a text are its words with A-Z lower-cased, then the end, which stands last among the distinct ones.
+    """
     for b in batches:
-        at = 0
-        while at < b.num_rows:
-            size, n = 0, 0
-            rows = []
-            while at + n < b.num_rows and (not n or size < PART_BYTES):
-                text = b["text"][at + n].as_py()
-                size += len(text or "")
-                rows.append(words_of(text))
-                n += 1
-            yield b.slice(at, n), rows
-            at += n
+        texts = pc.fill_null(b["text"], "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy()) // PART_BYTES
+        cuts = [0, *(1 + np.flatnonzero(np.diff(part))), b.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            if at == to:
+                continue
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[at:to]))
+            flat = lists.flatten()
+            some = pc.binary_length(flat).to_numpy() > 0  # blanks around a text leave empty words
+            before = np.concatenate([[0], np.cumsum(some)])
+            n = np.diff(before[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]) + 1
+            coded = flat.filter(pa.array(some)).dictionary_encode()
+            words = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+            is_end = np.zeros(n.sum(), bool)
+            is_end[np.cumsum(n) - 1] = True
+            places = np.full(len(is_end), len(words) - 1, np.int32)
+            places[~is_end] = coded.indices.to_numpy()
+            yield b.slice(at, to - at), words, places, n
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """texts(text) -> ``(h, cls, c)``: all tokens by number and class, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(word_key, KEPT_WORDS)
-        total: dict[tuple[int, int], int] = {}
-
-        def out() -> pa.RecordBatch:
-            keys = np.array([*total], np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(np.int8)), pa.array([*total.values()], pa.int64())], ["h", "cls", "c"])
-
-        for _, rows in _texts(batches):
-            seen: Counter[bytes] = Counter()
-            for r in rows:
-                seen.update(r)
-            for w, n in seen.items():
-                k = known[w]
-                total[k] = total.get(k, 0) + n
-            if len(total) > 4 * KEPT_WORDS:
-                yield out()
-                total.clear()
-        if total:
-            yield out()
-        del known
+        for _, words, places, _ in _texts(batches):
+            h, cls = word_keys(words)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(cls), pa.array(np.bincount(places, minlength=len(words)))], ["h", "cls", "c"])
         give_back()
 
     return texts.select("text").mapInArrow(run, "h long, cls byte, c long").groupBy("h", "cls").agg(F.sum("c").alias("c"))
@@ -115,19 +103,25 @@ class Layout:
 
 
 def forward(emit: np.ndarray, lay: Layout, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities of each place, and the scale factors; ``start`` has each sequence's states before its first token."""
+    """Scaled forward probabilities of each place, and the scale factors; ``start`` has each sequence's states before its first token.
+
+    Work goes state by state, so that a step's operations run along its sequences: ``emit`` is best the transpose of such an array.
+    """
+    emit, back = np.ascontiguousarray(emit.T), np.ascontiguousarray(step.T)
     alpha = np.empty_like(emit)
-    scale = np.empty(len(emit), emit.dtype)
-    now = start
-    for t in range(len(lay.n)):
-        a, b = lay.off[t], lay.off[t + 1]
-        if t:
-            now = alpha[lay.off[t - 1] : lay.off[t - 1] + b - a] @ step
-        now = now * emit[a:b]
-        s = now.sum(1)
-        scale[a:b] = s
-        np.divide(now, s[:, None], out=alpha[a:b])
-    return alpha, scale
+    scale = np.empty(emit.shape[1], emit.dtype)
+    off, before = lay.off.tolist(), 0
+    for a, b in zip(off, off[1:]):
+        now, s = alpha[:, a:b], scale[a:b]
+        if a:
+            np.matmul(back, alpha[:, before : before + b - a], out=now)
+            np.multiply(now, emit[:, a:b], out=now)
+        else:
+            np.multiply(start.T, emit[:, :b], out=now)
+        np.add.reduce(now, 0, out=s)
+        np.divide(now, s, out=now)
+        before = a
+    return alpha.T, scale
 
 
 def log_likelihood(scale: np.ndarray, lay: Layout) -> np.ndarray:
@@ -139,16 +133,17 @@ def log_likelihood(scale: np.ndarray, lay: Layout) -> np.ndarray:
 
 def backward(emit: np.ndarray, scale: np.ndarray, lay: Layout, step: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled backward probabilities, and each place's ``emit * beta / scale``; ``end`` has what follows each sequence's last token."""
-    beta, ahead, back = np.empty_like(emit), np.empty_like(emit), np.ascontiguousarray(step.T)
-    for t in range(len(lay.n) - 1, -1, -1):
-        a, b = lay.off[t], lay.off[t + 1]
-        n = lay.n[t + 1] if t + 1 < len(lay.n) else 0
-        beta[a + n : b] = end[n : b - a]
+    ratio, end, step = np.ascontiguousarray(emit.T) / scale, np.ascontiguousarray(end.T), np.ascontiguousarray(step)
+    beta, ahead = np.empty_like(ratio), np.empty_like(ratio)
+    off, n = lay.off.tolist(), 0
+    for a, b in zip(off[-2::-1], off[:0:-1]):
         if n:
-            np.matmul(ahead[b : b + n], back, out=beta[a : a + n])
-        np.multiply(emit[a:b], beta[a:b], out=ahead[a:b])
-        ahead[a:b] /= scale[a:b, None]
-    return beta, ahead
+            np.matmul(step, ahead[:, b : b + n], out=beta[:, a : a + n])
+        if a + n < b:
+            beta[:, a + n : b] = end[:, n : b - a]
+        np.multiply(ratio[:, a:b], beta[:, a:b], out=ahead[:, a:b])
+        n = b - a
+    return beta.T, ahead.T
 
 
 def transfers(parts: list[np.ndarray], emits: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -156,7 +151,7 @@ def transfers(parts: list[np.ndarray], emits: np.ndarray, step: np.ndarray) -> n
     k = len(step)
     lay = Layout(np.repeat([len(p) for p in parts], k))
     codes = np.concatenate([p for p in parts for _ in range(k)])[lay.source]
-    alpha, scale = forward(emits[codes], lay, step, np.tile(np.eye(k, dtype=emits.dtype), (len(parts), 1))[lay.order])
+    alpha, scale = forward(emits.T.take(codes, 1).T, lay, step, np.tile(np.eye(k, dtype=emits.dtype), (len(parts), 1))[lay.order])
     last = np.empty((len(lay.order), k), emits.dtype)
     last[lay.order] = alpha[lay.last]
     log = log_likelihood(scale, lay).reshape(-1, k)
@@ -167,7 +162,7 @@ class Sequences:
     """Texts as sequences of BATCH_TOKENS at most, long ones in segments."""
 
     def __init__(self, first: np.ndarray, step: np.ndarray, emits: np.ndarray, segment: int = SEGMENT):
-        self.first, self.step, self.emits, self.segment = first, step, emits, segment
+        self.first, self.step, self.emits, self.segment = first, step, np.ascontiguousarray(emits.T).T, segment
         self.codes: list[np.ndarray] = []
         self.start: list[np.ndarray] = []
         self.end: list[np.ndarray] = []
@@ -202,8 +197,8 @@ class Sequences:
 def expected_counts(seqs: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected numbers of first states (K), of steps between states (K x K) and of emissions (symbols x K)."""
     lay = Layout(np.array([len(c) for c in seqs.codes]))
-    codes = np.concatenate(seqs.codes)[lay.source]
-    emit = seqs.emits[codes]
+    codes = np.concatenate(seqs.codes)[lay.source].astype(np.intp)
+    emit = seqs.emits.T.take(codes, 1).T
     alpha, scale = forward(emit, lay, seqs.step, np.array(seqs.start)[lay.order])
     end = np.array(seqs.end)[lay.order]
     end /= (alpha[lay.last] * end).sum(1, keepdims=True)
@@ -211,7 +206,7 @@ def expected_counts(seqs: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray
     n, prior = lay.n[0], np.array(seqs.prior)[lay.order]
     whole = prior.sum(1) == 0
     beta *= alpha
-    pairs = alpha[lay.before].T @ ahead[n:] + prior.T @ ahead[:n]
+    pairs = alpha.T.take(lay.before, 1) @ ahead[n:] + prior.T @ ahead[:n]
     kept = np.zeros((len(seqs.emits), len(seqs.step)))
     for k in range(len(seqs.step)):
         kept[:, k] = np.bincount(codes, beta[:, k], len(kept))
@@ -245,6 +240,7 @@ def train_round(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, step, emits = sent.value
+        emits = np.ascontiguousarray(emits.T).T
         total = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k))]
 
         def add(seqs: Sequences) -> None:
@@ -280,41 +276,28 @@ def train_round(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
 
 def code_texts(base: DataFrame, numbers: dict[int, int]) -> DataFrame:
     """base(rid, text, ...) -> each row with ``codes``, its symbols, and its rare words ``rare`` (numbers) and ``times``."""
-    sent = base.sparkSession.sparkContext.broadcast(numbers)
+    order = sorted(numbers)
+    sent = base.sparkSession.sparkContext.broadcast((np.array(order, np.int64), np.array([numbers[h] for h in order], np.uint16)))
     more = [c for c in base.columns if c != "text"]
     schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in more) + ", n_tokens long, codes binary, rare array<long>, times array<int>"
     classes_from = SYMBOLS - CLASSES
 
-    class Codes(dict):
-        """Symbols of frequent words, kept; a rare word's class is found each time, and its number put on a list."""
-
-        def __init__(self, table: dict[int, int]):
-            super().__init__()
-            self.table, self.rare = table, []
-
-        def __missing__(self, word: bytes) -> int:
-            h, cls = word_key(word)
-            found = self.table.get(h)
-            if found is None:
-                self.rare.append(h)
-                return classes_from + cls
-            self[word] = found
-            return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(sent.value)
-        for b, rows in _texts(batches):
-            codes, hs, times, ends = [], [], [], [0]
-            for r in rows:
-                codes.append(np.fromiter(map(known.__getitem__, r), np.uint16, len(r)).tobytes())
-                h, n = np.unique(np.array(known.rare, np.int64), return_counts=True)
-                known.rare.clear()
-                hs.append(h)
-                times.append(n)
-                ends.append(ends[-1] + len(h))
-            off = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x).astype(t))) for x, t in ((hs, np.int64), (times, np.int32))]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in more], pa.array([len(r) for r in rows], pa.int64()), pa.array(codes, pa.binary()), *lists], [*more, "n_tokens", "codes", "rare", "times"])
+        known, symbols = sent.value
+        for b, words, places, n in _texts(batches):
+            h, cls = word_keys(words)
+            at = np.searchsorted(known, h)
+            held = np.append(known, 0)[at] == h
+            held &= at < len(known)
+            codes = np.where(held, np.append(symbols, np.uint16(0))[at], (classes_from + cls.astype(int)).astype(np.uint16))[places]
+            far = np.flatnonzero(~held[places])
+            row = np.repeat(np.arange(len(n)), n)[far]
+            pairs, times = np.unique(row * len(words) + places[far], return_counts=True)
+            off = pa.array(np.searchsorted(pairs, np.arange(len(n) + 1) * len(words)), pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (h[pairs % len(words)], times.astype(np.int32))]
+            ends = pa.array(np.concatenate([[0], 2 * np.cumsum(n)]), pa.int32())
+            made = pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in more], pa.array(n), made, *lists], [*more, "n_tokens", "codes", "rare", "times"])
         give_back()
 
     return base.mapInArrow(run, schema)
@@ -332,6 +315,7 @@ def score_codes(coded: DataFrame, model: Model, logs: np.ndarray, known: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, step, emits, logs, known, shares = sent.value
+        emits = np.ascontiguousarray(emits.T).T
         for b in batches:
             all_codes = [np.frombuffer(c.as_py(), np.uint16) for c in b["codes"]]
             got = np.empty((3, len(all_codes)))
@@ -339,7 +323,7 @@ def score_codes(coded: DataFrame, model: Model, logs: np.ndarray, known: np.ndar
 
             def flush() -> None:
                 lay = Layout(np.array([len(c) for c in seqs.codes]))
-                _, scale = forward(emits[np.concatenate(seqs.codes)[lay.source]], lay, step, np.array(seqs.start)[lay.order])
+                _, scale = forward(emits.T.take(np.concatenate(seqs.codes)[lay.source], 1).T, lay, step, np.array(seqs.start)[lay.order])
                 got[0] += np.bincount(at, log_likelihood(scale, lay), len(all_codes)) / np.log(10)
 
             got[0] = 0

@@ -113,3 +113,26 @@ def test_all_training_texts_in_every_round(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, 1, "h", 2) for r in rows()], SCHEMA)
     n = sum(not r["held_out"] for r in hmm.score(docs).select("held_out").collect())
     assert sum(taken[: -hmm.ROUNDS]) == n and taken[-hmm.ROUNDS :] == [n] * hmm.ROUNDS
+
+
+def test_each_distinct_word_once(monkeypatch):
+    """Tokens are told apart in Arrow and only distinct ones are hashed; a text is cut only where it alone would make a batch too large."""
+    import pyarrow as pa
+    import xxhash
+
+    texts = ["B a\x0bb  A", None, "", " \n\t", "ünseen\x1c É é  " * 50, "a" * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    want = [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b"\n"] for t in texts]
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(hmm, "PART_BYTES", size)
+        got = []
+        for _, words, places, n in hmm._texts([batch]):
+            listed = words.to_pylist()
+            assert len(set(listed)) == len(listed)
+            h, cls = hmm.word_keys(words)
+            assert [*h] == [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in listed] and [*cls] == [(w[-1] & 7) * 8 + min(len(w) // 2, 7) for w in listed]
+            got += [[listed[i] for i in p] for p in np.split(places, np.cumsum(n)[:-1])]
+        assert got == want
+    seqs = hmm.Sequences(FIRST, STEP, EMITS)
+    seqs.add(np.zeros(20_000, np.uint16))
+    assert len(seqs.codes) == 1
