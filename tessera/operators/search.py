@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import fusion, graph, retrieval
+from tessera.sources.stores import scratch_folder
 
 MODES = ("vector", "local", "global", "hybrid", "mix")
 
@@ -19,6 +20,33 @@ class Graph:
     entities: DataFrame
     edges: DataFrame
 
+    def near(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return graph.local_query(self.edges, self.entities, terms)
+
+    def far(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return graph.global_context(self.edges, self.entities, terms.select(F.col("term").alias("seed")))
+
+
+class KeptGraph(Graph):
+    """A graph that looks around one list of terms once in either way, and keeps what it found in a scratch folder."""
+
+    def __init__(self, known: Graph, terms: DataFrame):
+        super().__init__(known.entities, known.edges)
+        self._near, self._far = ((kept(nodes), kept(rels)) for nodes, rels in (known.near(terms), known.far(terms)))
+
+    def near(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return self._near
+
+    def far(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return self._far
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows written to a scratch folder, for what reads them several times."""
+    path = scratch_folder(rows.sparkSession, "kept")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
 
 def search_documents(vectors: DataFrame, query: DataFrame, docs: DataFrame, user: Column, limit: int, threshold: float | None = retrieval.DENSE_THRESHOLD, tags: list[str] | None = None, most: int = 50, id_col: str = "doc_id") -> DataFrame:
     """``(id, score, rank)``: a tenant's live documents nearest to a query.
@@ -31,13 +59,15 @@ def search_documents(vectors: DataFrame, query: DataFrame, docs: DataFrame, user
     live = docs.where((F.col("status") != "deleted") & F.col("deleted_at").isNull())
     if tags:
         live = live.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
-    return retrieval.ranked(found.join(live.select(id_col), id_col, "left_semi"), id_col)
+    # a few results go to every task, documents are not shuffled for them
+    found = F.broadcast(retrieval.ranked(found, id_col))
+    return retrieval.ranked(live.select(id_col).join(found, id_col).dropDuplicates(["rank"]).drop("rank"), id_col)
 
 
 def graph_context(mode: str, known: Graph, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and relations for ``terms(term, pos)``: around the terms (local), along trails (global), or both."""
-    near = graph.local_query(known.edges, known.entities, terms) if mode != "global" else None
-    far = graph.global_context(known.edges, known.entities, terms.select(F.col("term").alias("seed"))) if mode != "local" else None
+    near = known.near(terms) if mode != "global" else None
+    far = known.far(terms) if mode != "local" else None
     if near is None or far is None:
         return near or far
     after = lambda df: df.withColumn("seq", F.col("seq") + F.lit(1 << 32))  # noqa: E731  (local ones come first)
@@ -59,3 +89,12 @@ def context(mode: str, vector: DataFrame, known: Graph | None, terms: DataFrame,
     """``(context)``: candidates once each, heaviest first, packed into the budget."""
     best = fusion.keep_best(candidates(mode, vector, known, terms))
     return fusion.packed_text(fusion.pack(best, tokens))
+
+
+def contexts(modes: tuple[str, ...], vector: DataFrame, known: Graph, terms: DataFrame, tokens: int = 4000) -> DataFrame:
+    """``(mode, context)`` of each mode; vector results and what the graph gives are found once for all of them."""
+    vector, known, out = kept(vector), KeptGraph(known, terms), None
+    for mode in modes:
+        one = context(mode, vector, known, terms, tokens).select(F.lit(mode).alias("mode"), "context")
+        out = one if out is None else out.unionByName(one)
+    return out

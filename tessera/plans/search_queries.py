@@ -84,7 +84,7 @@ def search_tenant_live_tags(spark: SparkSession, d: str) -> DataFrame:
 
 def _vector(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    return _results(spark, d).join(docs, "doc_id").select(F.col("doc_id").alias("chunk_id"), "content", "score", F.col("rank").cast("long").alias("seq"))
+    return docs.join(F.broadcast(_results(spark, d)), "doc_id").select(F.col("doc_id").alias("chunk_id"), "content", "score", F.col("rank").cast("long").alias("seq"))
 
 
 _TEXTS = """'[实体] ' || name || ' (' || kind || ')' || CASE WHEN description = '' THEN '' ELSE ': ' || description END"""
@@ -129,12 +129,7 @@ SELECT mode, string_agg(short || tail, '' ORDER BY p) AS context FROM cut WHERE
 )
 def search_context_by_mode(spark: SparkSession, d: str) -> DataFrame:
     """The packed context of each mode, and of one that is not known."""
-    vector, known, terms = _vector(spark, d), _known(spark, d), _terms(spark)
-    out = None
-    for mode in (*search.MODES, "other"):
-        one = search.context(mode, vector, known, terms).select(F.lit(mode).alias("mode"), "context")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return search.contexts((*search.MODES, "other"), _vector(spark, d), _known(spark, d), _terms(spark))
 
 
 _MENTIONS = "mentions AS (SELECT o_custkey, o_orderkey // 10 AS doc_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS chunk_id, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS snippet FROM orders)"

@@ -89,3 +89,33 @@ def test_source_is_parsed_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1 and plan.count(" AS _whole#") == 1
     assert [r["context"] for r in got.orderBy("id").collect()] == ["a\nc", "not [json", "x", "", "## t", ""]
+
+
+def test_modes_share_what_they_find(spark, monkeypatch):
+    """Several modes look around a graph once, and say what each says alone."""
+    from tessera.operators import graph, search
+
+    entities = spark.createDataFrame([(f"n{i}", "k", f"about {i}") for i in range(9)], "name string, kind string, description string")
+    edges = spark.createDataFrame([(i, f"n{i}", f"n{i * 2 % 9}", "e", "") for i in range(9)], "edge_id long, src string, dst string, kind string, description string")
+    terms = spark.createDataFrame([("n1", 0), ("n4", 1)], "term string, pos int")
+    vector = spark.createDataFrame([("a", "text a", 0.9, 1), ("b", "text b", 0.5, 2)], "chunk_id string, content string, score double, seq long")
+    known, modes = search.Graph(entities, edges), (*search.MODES, "odd")
+    want = {m: search.context(m, vector, known, terms).first()[0] for m in modes}
+    called = []
+    for name in ("local_query", "nearest_trails"):
+        plain = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda *a, _n=name, _p=plain: (called.append(_n), _p(*a))[1])
+    assert {r["mode"]: r["context"] for r in search.contexts(modes, vector, known, terms).collect()} == want
+    assert sorted(called) == ["local_query", "nearest_trails"]
+
+
+def test_live_results_shuffle_no_documents(spark):
+    """A few results meet all documents without a shuffle of these; results with several vectors or document rows stay as they were."""
+    from tessera.operators import search
+
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 0, [1.0, 1.0]), (3, 0, [1.0, 0.5]), (4, 1, [1.0, 0.0])], "doc_id long, user_id int, embedding array<double>")
+    docs = spark.createDataFrame([(1, "completed", None, ["x"]), (2, "deleted", None, ["x"]), (3, "completed", None, ["x"]), (3, "completed", None, ["y"])], "doc_id long, status string, deleted_at timestamp, tags array<string>")
+    got = search.search_documents(vectors, vectors.where("doc_id = 4").select(F.col("embedding").alias("q")), docs, F.lit(0), 10)
+    assert [(r["doc_id"], r["rank"]) for r in got.orderBy("rank").collect()] == [(1, 1), (1, 2), (3, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
